@@ -177,11 +177,11 @@ def fit_rates(judged: DataFrame, targets: dict[str, float], most_steps: int = 25
     document, divided by its tokens, is its posteriors times one vector; that vector is the residual through the
     inverse of the domains' second moments over the documents that still have a rate, so a step without projection
     would meet the targets at once. Each step is one aggregate over all documents; the driver sees K + K * K sums.
-    A step that makes the residual worse is halved. Targets beyond reach end at the best step found.
+    A step that makes the residual worse is halved. Targets beyond reach end at the best step found. A domain without
+    a target keeps its present share; the named ones share the rest in proportion to their targets.
     """
     k = len(DOMAINS)
-    weights = np.array([targets[d] for d in DOMAINS], np.float64)
-    weights = weights / weights.sum()
+    weights: np.ndarray | None = None
     moves: list[np.ndarray] = []
     best: tuple[float, list[np.ndarray], np.ndarray] = (np.inf, [], np.zeros(k))
     scale = 1.0
@@ -196,6 +196,10 @@ def fit_rates(judged: DataFrame, targets: dict[str, float], most_steps: int = 25
         if total == 0:
             return [], {d: 0.0 for d in DOMAINS}
         m = np.array([row[f"m{i}"] for i in range(k)])
+        if weights is None:
+            free = sum(m[i] for i, d in enumerate(DOMAINS) if d not in targets) / total
+            named = sum(targets.values())
+            weights = np.array([targets[d] / named * (1 - free) if d in targets else m[i] / total for i, d in enumerate(DOMAINS)])
         gap = m - weights * total
         size = float(np.abs(gap).sum() / total)
         if size < best[0]:

@@ -391,6 +391,9 @@ def test_rates_solve_the_least_squares(spark):
             r = np.maximum(0, r - p @ v)
         assert np.allclose((r * n) @ p / n.sum(), [targets[d] for d in mixing.DOMAINS], atol=1e-4)
         assert np.allclose([share[d] for d in mixing.DOMAINS], [targets[d] for d in mixing.DOMAINS], atol=1e-3)
+    low = (n * p[:, 1]).sum() / n.sum()
+    _, share = mixing.fit_rates(judged, {"clean": 0.75, "toxic": 0.25})
+    assert np.allclose([share[d] for d in mixing.DOMAINS], [0.75 * (1 - low), low, 0.25 * (1 - low)], atol=1e-3)
 
 
 # ---- URL filter

@@ -52,9 +52,11 @@ def test_decontaminated(spark, stages):
 
 
 def test_mixture_follows_rates(spark, stages):
-    mixed = mixing.mix(stages[3], spark.read.parquet(f"{SMALL}/labels.parquet")).select("doc_id", "copies").collect()
+    mixed = mixing.mix(stages[3], spark.read.parquet(f"{SMALL}/labels.parquet"), cp.MIXTURE).select("doc_id", "copies").collect()
     got = Counter(r["doc_id"] for r in stages[4].collect())
     assert got == Counter({r["doc_id"]: r["copies"] for r in mixed if r["copies"]})
+    clean = spark.read.parquet(f"{SMALL}/labels.parquet").filter("quality = 1 AND toxic = 0").join(stages[3], "doc_id").select("doc_id").collect()
+    assert sum(got[r["doc_id"]] > 0 for r in clean) >= 0.97 * len(clean)
 
 
 def test_shards_hold_all(stages):
