@@ -39,7 +39,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return _like(judged.filter(~F.col("contaminated")), docs)
 
 
-#: The quality stage leaves hardly any document of domain `low`; it keeps the share that it has.
+#: The quality stage leaves hardly any document of domain `low`; it has no target.
 MIXTURE = {"clean": 0.95, "toxic": 0.05}
 
 

@@ -178,10 +178,11 @@ def fit_rates(judged: DataFrame, targets: dict[str, float], most_steps: int = 25
     inverse of the domains' second moments over the documents that still have a rate, so a step without projection
     would meet the targets at once. Each step is one aggregate over all documents; the driver sees K + K * K sums.
     A step that makes the residual worse is halved. Targets beyond reach end at the best step found. A domain without
-    a target keeps its present share; the named ones share the rest in proportion to their targets.
+    a target is left out of the fit; the named ones share in proportion to their targets what is not its own at first.
     """
     k = len(DOMAINS)
     weights: np.ndarray | None = None
+    fit = [i for i, d in enumerate(DOMAINS) if d in targets]
     moves: list[np.ndarray] = []
     best: tuple[float, list[np.ndarray], np.ndarray] = (np.inf, [], np.zeros(k))
     scale = 1.0
@@ -200,12 +201,13 @@ def fit_rates(judged: DataFrame, targets: dict[str, float], most_steps: int = 25
             free = sum(m[i] for i, d in enumerate(DOMAINS) if d not in targets) / total
             named = sum(targets.values())
             weights = np.array([targets[d] / named * (1 - free) if d in targets else m[i] / total for i, d in enumerate(DOMAINS)])
-        gap = m - weights * total
+        gap = (m - weights * total)[fit]
         size = float(np.abs(gap).sum() / total)
         if size < best[0]:
             best, scale = (size, list(moves), m), min(1.0, scale * 2)
             g = np.array([[row[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-            move = np.linalg.solve(g + 1e-9 * total * np.eye(k), gap)
+            move = np.zeros(k)
+            move[fit] = np.linalg.solve((g + 1e-9 * total * np.eye(k))[np.ix_(fit, fit)], gap)
         else:
             scale /= 2
             moves = list(best[1])

@@ -338,18 +338,18 @@ def test_gradient_is_right():
     rng = np.random.default_rng(1)
     bags = [rng.normal(size=(k, quality.FEATURES)) for k in (1, 3, 4)]
     net = quality.fit(bags, np.array([0.0, 1.0, 1.0]), steps=1)
+    net.weights = {k: np.array(v) for k, v in net.weights.items()}
     x, first, y = np.concatenate(bags), np.array([0, 1, 4, 8]), np.array([0.0, 1.0, 1.0])
     loss = lambda: -np.mean(y * np.log(f := net.forward(x, first)["y"]) + (1 - y) * np.log(1 - f))
     g = net.gradient(x, first, y)
     for k, v in net.weights.items():
         at = (0,) * v.ndim
-        for step in (1e-5,):
-            v[at] += step
-            up = loss()
-            v[at] -= 2 * step
-            down = loss()
-            v[at] += step
-            assert abs((up - down) / (2 * step) - g[k][at]) < 1e-6
+        v[at] += 1e-5
+        up = loss()
+        v[at] -= 2e-5
+        down = loss()
+        v[at] += 1e-5
+        assert abs((up - down) / 2e-5 - g[k][at]) < 1e-6
 
 
 def test_quality_held_out(spark, docs, empty):
@@ -391,9 +391,8 @@ def test_rates_solve_the_least_squares(spark):
             r = np.maximum(0, r - p @ v)
         assert np.allclose((r * n) @ p / n.sum(), [targets[d] for d in mixing.DOMAINS], atol=1e-4)
         assert np.allclose([share[d] for d in mixing.DOMAINS], [targets[d] for d in mixing.DOMAINS], atol=1e-3)
-    low = (n * p[:, 1]).sum() / n.sum()
     _, share = mixing.fit_rates(judged, {"clean": 0.75, "toxic": 0.25})
-    assert np.allclose([share[d] for d in mixing.DOMAINS], [0.75 * (1 - low), low, 0.25 * (1 - low)], atol=1e-3)
+    assert abs(share["clean"] / share["toxic"] - 3) < 1e-3
 
 
 # ---- URL filter
