@@ -106,24 +106,29 @@ NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[list(WHITESPACE)] = False
 
 
-def slices(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cuts a string column into runs of rows of about `most` bytes: first row, last row + 1, bytes, row offsets.
 
     Null is empty. A row longer than `most` gets a run of its own. Between rows stands one newline, so that no word
-    or window crosses rows: row i has bytes[offsets[i]:offsets[i + 1] - 1].
+    or window crosses rows: row i has bytes[offsets[i]:offsets[i + 1] - 1]. Only one run is held at a time.
     """
-    texts = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in column.to_pylist()]
-    at = 0
-    while at < len(texts):
-        size, to = 0, at
-        while to < len(texts) and (to == at or size + len(texts[to]) <= most):
-            size += len(texts[to]) + 1
-            to += 1
-        part = texts[at:to]
-        offsets = np.zeros(len(part) + 1, np.int64)
-        np.cumsum([len(t) + 1 for t in part], out=offsets[1:])
-        yield at, to, np.frombuffer(b"\n".join(part) + b"\n", np.uint8), offsets
-        at = to
+    at, size, part = 0, 0, []
+    for begin in range(0, len(column), 128):
+        for text in column.slice(begin, 128).to_pylist():
+            raw = b"" if text is None else text.encode("utf-8", "surrogatepass")
+            if part and size + len(raw) > most:
+                yield at, at + len(part), *_joined(part)
+                at, size, part = at + len(part), 0, []
+            part.append(raw)
+            size += len(raw) + 1
+    if part:
+        yield at, at + len(part), *_joined(part)
+
+
+def _joined(part: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    offsets = np.zeros(len(part) + 1, np.int64)
+    np.cumsum([len(t) + 1 for t in part], out=offsets[1:])
+    return np.frombuffer(b"\n".join(part) + b"\n", np.uint8), offsets
 
 
 def concat_rows(batch: pa.RecordBatch, drop: Iterable[str], new: dict[str, pa.Array]) -> pa.RecordBatch:
