@@ -63,6 +63,21 @@ def history(rows: DataFrame, subject: str, value: str) -> DataFrame:
     return rows.join(runs, [subject, "run_date"], "left")
 
 
+def runs_of(known: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, runs): the known values of a key as one array of (run_date, row_index, value) by run, for last_before.
+
+    An array has one entry a run, whatever the number of rows.
+    """
+    per_run = known.groupBy(key, "run_date").agg(F.max("row_index").alias("row_index"), F.max_by(value, "row_index").alias("value"))
+    return per_run.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("run_date", "row_index", "value"))).alias("runs"))
+
+
+def last_before(runs: Column, run_date: Column) -> Column:
+    """The value of the last row, in the order of the rows, of the runs strictly before a date."""
+    earlier = F.filter(runs, lambda r: r["run_date"] < run_date)
+    return F.array_max(F.transform(earlier, lambda r: F.struct(r["row_index"].alias("i"), r["value"].alias("v"))))["v"]
+
+
 def earliest(rows: DataFrame, key: str, values: list[str]) -> DataFrame:
     """The row of the least capture_date of each key, ties by row_index."""
     first = F.min_by(F.struct("capture_date", *values), F.struct("capture_date", "row_index"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import ids, text
-from .lookup import last_wins
+from .lookup import last_before, last_wins, runs_of
 
 
 @dataclass(frozen=True)
@@ -82,7 +82,16 @@ def resolve_identities(
     named = lambda d, key, out: d.join(F.broadcast(names.select(F.col("series_number").alias(key), F.col("series_name").alias(out))), key, "left")
     rows = named(rows, "class_number", "class_name")
     derived = text.alias(text.variety_name(F.col("variety_name"), F.col("species_common_name"), F.col("caption"))) if p.name_fallback else F.lit(None).cast("string")
-    name = F.coalesce(derived, F.col("class_name"))
+    told = intake.select(
+        F.nullif(F.regexp_extract("caption", ids.SUBJECT_PATTERNS[2], 1), F.lit("")).try_cast("bigint").alias("number"), "run_date", "row_index", "label",
+        text.variety_name(F.col("variety_name"), F.col("species_common_name"), F.col("caption")).alias("told"),
+    )
+    past = runs_of(told.filter("label = 'tomato' AND number IS NOT NULL AND told IS NOT NULL"), "number", "told")
+    historical = lambda d, out: (
+        d.withColumn("number", ids.subject_number(F.col("subject_id"))).join(past, "number", "left").withColumn(out, last_before(F.col("runs"), F.col("run_date"))).drop("number", "runs")
+    )
+    rows = historical(rows, "history_name")
+    name = F.coalesce(derived, F.col("history_name") if p.name_fallback else F.lit(None).cast("string"), F.col("class_name"))
     name = F.when(F.col("use_fixed"), F.coalesce("class_name", name)).otherwise(name)
     base_name = ~F.col("use_fixed") & F.col("baseline_name").isNotNull() & (name.isNull() | (F.lit(p.baseline_reconcile) & _differs(name, F.col("baseline_name"))))
     rows = rows.withColumns({"use_base_name": base_name, "name": F.when(base_name, F.col("baseline_name")).otherwise(name)})
@@ -102,6 +111,8 @@ def resolve_identities(
             "name": F.coalesce("o_name", "name"),
         }
     )
+    # names from rows or history take the place of the class's name, which is noted where it was looked up first
+    rows = historical(rows, "history_final")
     confirmed = seen(ids.subject_number(F.col("subject_id")))
     target = F.lit(p.target_only_run) | (F.col("label") == "tomato") | F.col("subject_id").isNotNull()
     rows = rows.withColumns({"ocr_confirmed": confirmed, "candidate": target})
@@ -109,6 +120,7 @@ def resolve_identities(
         (F.col("inferred"), "pot_id_inferred_from_run_sequence"),
         (F.lit(p.target_only_run) & (F.col("label") != "tomato"), "label_not_tomato_run_assumed_tomato"),
         (F.col("ocr_confirmed"), "ocr_confirms_pot_number"),
+        (F.col("history_final") == F.col("name"), "variety_from_historical_pot_mapping"),
         (F.col("series_map"), "variety_from_series_number_map"),
         (F.col("use_fixed"), "series_from_manual_pot_override"),
         (F.col("use_base_class"), "series_from_baseline_pot_mapping"),
@@ -123,7 +135,7 @@ def resolve_identities(
     rows = rows.withColumn("notes_list", F.array_compact(F.array(*(F.when(c, F.lit(n)) for c, n in codes))))
     has = lambda *n: F.arrays_overlap("notes_list", F.array(*(F.lit(x) for x in n)))
     review = has("row_not_detected_as_tomato", "missing_pot_id", "missing_variety_name")
-    automatic = has(*(n for _, n in codes[:2]), *(n for _, n in codes[3:9]))
+    automatic = has(*(n for _, n in codes[:2]), *(n for _, n in codes[3:10]))
     status = (
         F.when(has("missing_pot_id"), "review_needed_pot_id").when(has("missing_variety_name"), "review_needed_variety")
         .when(review, "review_needed_mapping").when(automatic, "ready_auto_resolved").otherwise("ready_direct")
@@ -133,6 +145,7 @@ def resolve_identities(
         .when(has("pot_id_from_manual_row_override", "series_from_manual_row_override"), "manual_row_override")
         .when(has("series_from_manual_pot_override"), "manual_override")
         .when(has("series_from_baseline_pot_mapping", "variety_from_baseline_pot_mapping"), "baseline_continuity")
+        .when(has("variety_from_historical_pot_mapping"), "historical_continuity")
         .when(has("variety_from_series_number_map"), "series_map")
         .when(has("pot_id_inferred_from_run_sequence"), "sequence_inference")
         .otherwise("direct_detection")

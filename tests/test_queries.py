@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from fieldlens.plans import catalog
+from fieldlens.plans import catalog, records, registry  # noqa: F401  these register their queries
 
 DATA = "/root/testdata/sf0.001"
 
@@ -34,12 +34,12 @@ def rows(names, found):
     return [names[i] for i in order], sorted((tuple(norm(r[i]) for i in order) for r in found), key=str)
 
 
-@pytest.mark.parametrize("name", list(catalog.queries()))
+@pytest.mark.parametrize("name", list(registry.queries()))
 def test_query(spark, duck, name):
-    df = catalog.queries()[name](spark, DATA)
+    df = registry.queries()[name](spark, DATA)
     got = rows(df.columns, [tuple(r) for r in df.collect()])
     assert got[1]
-    sql = catalog.oracle_sql().get(name)
+    sql = registry.oracle_sql().get(name)
     if sql:
         found = duck.sql(sql)
         want = rows(found.columns, found.fetchall())
