@@ -138,3 +138,45 @@ def subjects_in_messages(messages: DataFrame, column: str) -> DataFrame:
     """Messages grouped by the subject id that they name."""
     subject = F.nullif(F.regexp_extract(column, r"\b([0-9]{1,3}T)\b", 1), F.lit(""))
     return messages.select(subject.alias("subject_id")).filter("subject_id IS NOT NULL").groupBy("subject_id").agg(F.count("*").alias("n"))
+
+
+def metric_summary(rows: DataFrame) -> DataFrame:
+    """One row for a metric run. rows: (focus, coverage, inner_spill, neighbor_spill, growth, next_step)."""
+    mean = lambda c, d: F.coalesce(F.round(F.avg(c), d), F.lit(0.0)).alias(f"mean_{c}")
+    return rows.agg(
+        F.count("*").alias("subjects"), mean("focus", 3), mean("coverage", 6), mean("inner_spill", 6), mean("neighbor_spill", 6),
+        F.coalesce(F.round(F.count("growth") / F.nullif(F.count("*"), F.lit(0)), 3), F.lit(0.0)).alias("growth_availability"), F.count_if(F.col("next_step") == "ready").alias("ready"),
+    )
+
+
+def run_cards(rows: DataFrame, continuity: tuple[str, ...], n: int) -> DataFrame:
+    """Per run: kept rows, subjects, confirmed rows, rows resolved by continuity, and how many of 1..n are missing."""
+    kept = rows.filter("dropped IS NULL")
+    number = F.regexp_extract("subject_id", "^([0-9]+)T$", 1).try_cast("bigint")
+    return kept.groupBy("run_date").agg(
+        F.count("*").alias("rows"), F.count_distinct("subject_id").alias("subjects"), F.count_if("ocr_confirmed").alias("confirmed_rows"),
+        F.count_if(F.col("resolution_source").isin(*continuity)).alias("continuity_rows"), (n - F.count_distinct(F.when(number.between(1, n), number))).alias("missing"),
+    )
+
+
+def comparison_insight(compared: DataFrame, cards: DataFrame, first, second, n: int) -> DataFrame:
+    """Two runs in one row: subjects at risk and partly confirmed, confirmed rows of both, and the kind of headline.
+
+    compared is the comparison over the spine of n subjects; cards has a row for each run.
+    """
+    side = lambda d, s: cards.filter(F.col("run_date") == F.lit(d)).agg(F.max("rows").alias(f"rows_{s}"), F.max("confirmed_rows").alias(f"confirmed_{s}"))
+    counts = compared.agg(F.count_if(F.col("status") == "risk").alias("at_risk"), F.count_if(F.col("status") == "info").alias("partial"))
+    out = counts.join(F.broadcast(side(first, "a")), F.lit(True)).join(F.broadcast(side(second, "b")), F.lit(True))
+    kind = F.when((F.col("rows_b") == n) & (F.col("rows_a") > n), "census_after_sweep").when(F.col("rows_b") == n, "complete").otherwise("batch")
+    return out.withColumn("headline", kind)
+
+
+def top_category(rows: DataFrame, column: str) -> DataFrame:
+    """The most frequent value with its count, ties by name."""
+    return value_counts(rows.dropna(subset=[column]), column).limit(1)
+
+
+def ingest_summary(tasks: DataFrame) -> DataFrame:
+    """tasks: (status). Counts of ready and pending tasks, and the advice that follows from them."""
+    out = tasks.agg(F.count("*").alias("tasks"), F.count_if(F.col("status") == "ready").alias("ready"), F.count_if(F.col("status").isin("pending", "started_empty")).alias("pending"))
+    return out.withColumn("advice", F.when(F.col("ready") >= 8, "benchmark").when(F.col("ready") >= 4, "baseline").when(F.col("pending") > 0, "annotate").otherwise("unblock"))

@@ -63,3 +63,17 @@ def decisions(rows: DataFrame, voted: DataFrame) -> DataFrame:
     return j.select(
         "row_key", F.coalesce("number", "visual_top1", F.lit(0)).alias("number"), F.when(high | medium, F.col("votes")).otherwise(F.lit(0)).alias("votes"), tier.alias("tier")
     )
+
+
+def hard_rows(rows: DataFrame, mapped: DataFrame, vector: str, known: DataFrame, subject: str, voted: DataFrame, most: int) -> DataFrame:
+    """Rows that no mapping has, with the number that pictures and votes suggest.
+
+    rows: (row_key, vector); mapped: (row_key); known: numbered templates; voted: (row_key, number, votes). The margin
+    is between the two nearest templates (0 stands for a second that is not there). Numbers outside 1..most fall away.
+    """
+    left = rows.join(mapped.select("row_key").distinct(), "row_key", "left_anti")
+    near = matches(left, vector, known, subject, "row_key", k=3)
+    at = lambda k, c: F.max(F.when(F.col("rank") == k, F.col(c)))
+    seen = near.groupBy("row_key").agg(at(1, subject).alias("visual_top1"), (at(1, "score") - F.coalesce(at(2, "score"), F.lit(0.0))).alias("margin"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", subject))), lambda s: s[subject].cast("string")), ",").alias("top3"))
+    said = decisions(seen.select("row_key", "visual_top1"), voted)
+    return seen.join(said, "row_key").filter(F.col("number").between(1, most))
