@@ -26,16 +26,22 @@ def templates(vectors: DataFrame, subject: str, vector: str) -> DataFrame:
 def matches(targets: DataFrame, vector: str, known: DataFrame, subject: str, key: str, k: int = 3, most_templates: int = 10_000) -> DataFrame:
     """(key, subject, score, rank): the k templates nearest to each target, ties by subject.
 
-    All templates are compared as a broadcast query set, whose number is checked; beyond most_templates they are joined
-    block by block of targets instead. Each target's scores fold to its k best in its own row.
+    Templates are a query set that every target is compared with, kept as arrays of about most_templates. One such block
+    is broadcast; more are joined block by block, each target keeping its k best of a block and then of all blocks.
     """
     n = known.count()
-    if n > most_templates:
-        raise ValueError(f"{n} templates, more than most_templates = {most_templates}: match them in blocks")
-    table = F.broadcast(known.agg(F.array_sort(F.collect_list(F.struct(F.col(subject).alias("s"), F.col("template").alias("t")))).alias("_all")))
-    scored = targets.withColumn("_u", unit(F.col(vector))).join(table, F.lit(True))
+    block = F.struct(F.col(subject).alias("s"), F.col("template").alias("t"))
     best = F.slice(F.array_sort(F.transform("_all", lambda r: F.struct((-F.round(dot(F.col("_u"), r["t"]), 9)).alias("n"), r["s"].alias("s")))), 1, k)
-    return scored.select(key, F.posexplode(best).alias("p", "b")).select(key, F.col("b.s").alias(subject), (-F.col("b.n")).alias("score"), (F.col("p") + 1).alias("rank"))
+    each = targets.select(key, unit(F.col(vector)).alias("_u"))
+    if n <= most_templates:
+        found = each.join(F.broadcast(known.agg(F.collect_list(block).alias("_all"))), F.lit(True)).select(key, best.alias("_best"))
+    else:
+        count = -(-n // most_templates)
+        blocks = known.groupBy(F.pmod(F.xxhash64(subject), F.lit(count)).alias("_b")).agg(F.collect_list(block).alias("_all"))
+        dealt = each.withColumn("_id", F.monotonically_increasing_id()).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint"))))
+        near = dealt.join(blocks.hint("shuffle_hash"), "_b").select("_id", key, best.alias("_best"))
+        found = near.groupBy("_id", key).agg(F.slice(F.array_sort(F.flatten(F.collect_list("_best"))), 1, k).alias("_best")).drop("_id")
+    return found.select(key, F.posexplode("_best").alias("p", "b")).select(key, F.col("b.s").alias(subject), (-F.col("b.n")).alias("score"), (F.col("p") + 1).alias("rank"))
 
 
 def accuracy(found: DataFrame, truth: DataFrame, key: str, subject: str) -> DataFrame:

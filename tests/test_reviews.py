@@ -64,3 +64,11 @@ def test_one_template_leaves_its_score_as_margin(spark):
     voted = spark.createDataFrame([], "row_key long, number long, votes long")
     (row,) = similarity.hard_rows(rows, rows.filter(F.col("row_key") == 2), "v", known, "s", voted, 8).collect()
     assert (row.row_key, row.number, row.tier, row.margin, row.top3) == (1, 3, "needs_manual", 1.0, "3")
+
+
+def test_blocks_of_templates_give_the_same_matches(spark):
+    rows = spark.range(40).select(F.col("id").alias("k"), F.array(*(F.sin(F.col("id") * n + n) for n in (1, 2, 3))).alias("v"))
+    known = spark.range(25).select(F.col("id").alias("s"), similarity.unit(F.array(*(F.cos(F.col("id") * n - n) for n in (1, 2, 3)))).alias("template"))
+    twice = rows.unionByName(rows.filter("k < 3"))
+    one, many = (sorted(map(tuple, similarity.matches(twice, "v", known, "s", "k", 3, most).collect())) for most in (100, 4))
+    assert one == many and len(one) == 129
