@@ -28,7 +28,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     uid = free_name(docs, "_uid")
     numbered = docs.withColumn(uid, F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.monotonically_increasing_id().alias("i")))
-    linked = jaccard.jaccard_join(numbered, n=5, num=80, den=100, doc_id=uid, keep=[uid])
+    linked = jaccard.jaccard_join(numbered, n=5, num=80, den=100, doc_id=uid, keep=[uid], count_links=False)
     kept = linked.filter(F.col(uid) == F.col("component_id")).select(F.col(f"{uid}.i").alias("_i"))
     return _like(docs.withColumn(uid, F.monotonically_increasing_id()).join(kept, F.col(uid) == F.col("_i"), "left_semi"), docs)
 

@@ -6,8 +6,10 @@
    content is the class's address in the tile. No similar pair can miss all of its addresses.
 3. Classes at one address are compared by hashed bitmaps: bits that differ bound the overlap from above.
 4. What may still be similar is gathered in clusters, and exact sorted-array intersections decide, in blocks of bounded
-   size; pairs that earlier links have joined already are not compared.
-5. Components of the exact links.
+   size: every pair of classes of a cluster that sizes and bitmaps leave is compared once, in the task of its two blocks.
+   Where only components are asked for, pairs that earlier links have joined already are not compared.
+5. Components of the exact links, and each document's number of links: a link of classes counts as often as they have
+   copies.
 """
 
 from __future__ import annotations
@@ -335,11 +337,15 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         labels = new.select("node", "component")
 
 
-def exact_links(docs: DataFrame, n: int, text: str, doc_id: str, members: DataFrame, classes: DataFrame, tiles: Tiles, buckets: int, small: int) -> DataFrame:
-    """(a, b): exact links that join the similar classes of each cluster.
+def exact_links(
+    docs: DataFrame, n: int, text: str, doc_id: str, members: DataFrame, classes: DataFrame, tiles: Tiles, buckets: int, small: int, every: bool, pairs: bool
+) -> DataFrame:
+    """(a, b, linked, others): exact links (a, b) that join the similar classes of each cluster.
 
-    members: (class, cluster, weight, in_cluster). Only one document of each member is read again for its shingles; a
-    list of at most `small` of them is broadcast, a longer one is joined by shuffle.
+    With `every`, all similar pairs are found: over the rows of a class, `linked` adds up to the documents of other
+    classes that it is similar to, and with `pairs` the lists `others` hold each pair of similar classes once.
+    members: (class, cluster, weight, in_cluster, copies). Only one document of each member is read again for its
+    shingles; a list of at most `small` of them is broadcast, a longer one is joined by shuffle.
     """
     wanted = members.join(classes.select("class", "rep"), "class").select(F.col("rep").alias("__rep")).distinct()
     few = members.count() <= small
@@ -358,30 +364,56 @@ def exact_links(docs: DataFrame, n: int, text: str, doc_id: str, members: DataFr
     body = body.join(F.broadcast(members) if few else members, "class").dropDuplicates(["class"])
     body = scratch(body, "jaccard-sets")
     rows = in_blocks(body, "cluster", "in_cluster", "class", BLOCK)
-    # the most central class of a large cluster goes to all its blocks, as it joins most of it
-    heads = body.filter(F.col("in_cluster") > BLOCK).groupBy("cluster").agg(F.max(F.struct("weight", "class")).alias("lead"))
-    blocks = F.ceil(F.col("in_cluster") / F.lit(BLOCK)).cast("int")
-    chosen = body.join(heads, "cluster").filter(F.col("class") == F.col("lead.class")).drop("lead")
-    every = chosen.withColumn("block_a", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("block_b", F.explode(F.sequence(F.col("block_a"), blocks - 1)))
-    rows = rows.unionByName(every.withColumn("block_own", F.lit(-1)))
+    if not every:
+        # the most central class of a large cluster goes to all its blocks, as it joins most of it
+        heads = body.filter(F.col("in_cluster") > BLOCK).groupBy("cluster").agg(F.max(F.struct("weight", "class")).alias("lead"))
+        blocks = F.ceil(F.col("in_cluster") / F.lit(BLOCK)).cast("int")
+        chosen = body.join(heads, "cluster").filter(F.col("class") == F.col("lead.class")).drop("lead")
+        spread = chosen.withColumn("block_a", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("block_b", F.explode(F.sequence(F.col("block_a"), blocks - 1)))
+        rows = rows.unionByName(spread.withColumn("block_own", F.lit(-1)))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("cluster", "block_a", "block_b"), F.lit(buckets)).cast("int"))
-    rows = rows.select("bucket", "cluster", "block_a", "block_b", "class", "weight", "shingles")
+    rows = rows.select("bucket", "cluster", "block_a", "block_b", "class", "weight", "block_own", "copies", "shingles")
+    none = np.zeros(0, np.int64)
 
     def compare(table: pa.Table) -> pa.Table:
         """Each task of the bucket in turn: the rows of one pair of blocks of one cluster."""
-        cols = [table.column(c).to_numpy().astype(np.int64) for c in ("cluster", "block_a", "block_b", "class", "weight")]
+        cols = [table.column(c).to_numpy().astype(np.int64) for c in ("cluster", "block_a", "block_b", "class", "weight", "block_own", "copies")]
         body = table.column("shingles")
         order = np.lexsort(cols[2::-1])
         keys = np.stack([c[order] for c in cols[:3]])
         cut = np.flatnonzero(np.concatenate(([True], (keys[:, 1:] != keys[:, :-1]).any(axis=0), [True])))
-        none = np.zeros(0, np.int64)
-        a, b = [none], [none]
+        a, b, linked, others = [none], [none], [none], []
         for start, end in zip(cut[:-1], cut[1:]):
-            for to, what in zip((a, b), linked(order[start:end], cols[3], cols[4], body)):
-                to.append(what)
-        return pa.Table.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["a", "b"])
+            mine = order[start:end]
+            at, one, two = similar_pairs(mine, cols[1][mine[0]] != cols[2][mine[0]], *cols[3:6], body)
+            name, copies = cols[3][at], cols[6][at]
+            if not every:
+                a.append(name[one])
+                b.append(name[two])
+                continue
+            met = np.unique(np.concatenate([one, two]))
+            a.append(name[met])
+            b.append(name[joined(len(at), one, two)[met]])
+            linked.append((np.bincount(one, weights=copies[two], minlength=len(at)) + np.bincount(two, weights=copies[one], minlength=len(at)))[met].astype(np.int64))
+            if pairs:
+                span = np.searchsorted(one, met, side="left"), np.searchsorted(one, met, side="right")
+                others += [name[two[x:y]] for x, y in zip(*span)]
+        a = np.concatenate(a)
+        return pa.Table.from_arrays(
+            [
+                pa.array(a, pa.int64()),
+                pa.array(np.concatenate(b), pa.int64()),
+                pa.array(np.concatenate(linked), pa.int64()) if every else pa.nulls(len(a), pa.int64()),
+                pa.array(others, pa.list_(pa.int64())) if pairs else pa.nulls(len(a), pa.list_(pa.int64())),
+            ],
+            names=["a", "b", "linked", "others"],
+        )
 
-    def linked(rows_: np.ndarray, name: np.ndarray, weight: np.ndarray, body: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    def similar_pairs(
+        rows_: np.ndarray, cross: bool, name: np.ndarray, weight: np.ndarray, side: np.ndarray, body: pa.ChunkedArray
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The rows of the task's classes, and the similar pairs as places in them, in order of the first. Two blocks
+        are compared with each other only, as each has a task for its own pairs."""
         at = rows_[np.unique(name[rows_], return_index=True)[1]]
         at = at[np.lexsort((name[at], -weight[at]))]
         sets_ = [np.frombuffer(body[int(i)].as_py(), "<u8") for i in at]
@@ -390,30 +422,69 @@ def exact_links(docs: DataFrame, n: int, text: str, doc_id: str, members: DataFr
         _, code = np.unique(np.concatenate(sets_), return_inverse=True)
         bits = min(width_of(int(size.min())), 4096)
         maps = np.stack([bitmap(s, bits) for s in sets_])
-        mark = np.zeros(int(code.max()) + 1, np.int64)
+        mark = np.zeros(int(code.max()) + 1, bool)
         forest = Forest(len(at))
-        a, b = [], []
+        one, two = [none], [none]
         for p in range(len(at)):
-            open_ = p + 1 + np.flatnonzero(forest.label[p + 1 :] != forest.label[p])
-            if not len(open_):
-                continue
+            if every:
+                open_ = p + 1 + np.flatnonzero(side[at[p + 1 :]] != side[at[p]]) if cross else np.arange(p + 1, len(at))
+            else:
+                open_ = p + 1 + np.flatnonzero(forest.label[p + 1 :] != forest.label[p])
             most = tiles.may_differ(size[p], size[open_])
-            open_ = open_[(np.abs(size[open_] - size[p]) <= most) & (np.bitwise_count(maps[p] ^ maps[open_]).sum(axis=1, dtype=np.int64) <= most)]
+            near = np.abs(size[open_] - size[p]) <= most
+            open_, most = open_[near], most[near]
+            open_ = open_[np.bitwise_count(maps[p] ^ maps[open_]).sum(axis=1, dtype=np.int64) <= most]
             if not len(open_):
                 continue
-            mark[code[offsets[p] : offsets[p + 1]]] = 1
-            spans = np.concatenate([mark[code[offsets[q] : offsets[q + 1]]] for q in open_])
-            common = np.add.reduceat(spans, np.concatenate(([0], np.cumsum(size[open_])[:-1])))
-            mark[code[offsets[p] : offsets[p + 1]]] = 0
+            mark[code[offsets[p] : offsets[p + 1]]] = True
+            common = np.array([np.count_nonzero(mark[code[offsets[q] : offsets[q + 1]]]) for q in open_], np.int64)
+            mark[code[offsets[p] : offsets[p + 1]]] = False
             hit = open_[tiles.similar(size[p], size[open_], common)]
             if len(hit):
-                forest.join(p, hit)
-                a.append(np.full(len(hit), name[at[p]]))
-                b.append(name[at[hit]])
-        none = np.zeros(0, np.int64)
-        return np.concatenate([none, *a]), np.concatenate([none, *b])
+                if not every:
+                    forest.join(p, hit)
+                one.append(np.full(len(hit), p))
+                two.append(hit)
+        return at, np.concatenate(one), np.concatenate(two)
+
+    return rows.groupBy("bucket").applyInArrow(compare, "a long, b long, linked long, others array<long>")
+
+
+def class_links(
+    docs: DataFrame, n: int, tiles: Tiles, text: str, doc_id: str, rows: DataFrame, per_bucket: int, small: int, every: bool, pairs: bool
+) -> tuple[DataFrame, DataFrame]:
+    """The classes (class, rep, n_shingles, bitmap, copies) of described rows, and their exact links."""
+    described_ = rows.filter("class IS NOT NULL").groupBy("class")
+    classes = described_.agg(F.min("__doc").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bitmap").alias("bitmap"), F.count("*").alias("copies"))
+    classes = scratch(classes, "jaccard-classes")
+    buckets = max(128, classes.count() // per_bucket)
+    shared = scratch(shared_addresses(docs, n, tiles, text, buckets), "jaccard-shared")
+    may = bitmap_links(shared, classes, tiles, buckets)
+    may = scratch(may, "jaccard-may")
+    clusters = components(may.select(F.col("class").alias("a"), F.col("other").alias("b")), "jaccard-clusters")
+    weight = may.groupBy(F.col("class").alias("node")).agg(F.sum("weight").alias("weight"))
+    sizes = clusters.groupBy("component").agg(F.count("*").alias("in_cluster"))
+    members = clusters.join(weight, "node", "left").join(sizes, "component").join(classes.select(F.col("class").alias("node"), "copies"), "node")
+    members = scratch(
+        members.select(F.col("node").alias("class"), F.col("component").alias("cluster"), F.coalesce("weight", F.lit(0)).alias("weight"), "in_cluster", "copies"),
+        "jaccard-members",
+    )
+    return classes, scratch(exact_links(docs, n, text, doc_id, members, classes, tiles, buckets, small, every, pairs), "jaccard-links")
+
 
-    return rows.groupBy("bucket").applyInArrow(compare, "a long, b long")
+def jaccard_links(
+    docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, text: str = "text", doc_id: str = "doc_id", per_bucket: int = 2000, small: int = 2_000_000
+) -> DataFrame:
+    """(class, other, id, other_id, copies, other_copies): each pair of different shingle sets of Jaccard >= num / den
+    once, with the least ids of their documents and how many documents have them. Equal sets are one class."""
+    tiles = Tiles(num, den)
+    rows = docs.select(F.col(f"`{doc_id}`").alias("__doc"), F.col(f"`{text}`").alias("__body"))
+    rows = scratch(described(rows, n, "__body", ["__doc"]), "jaccard-rows")
+    classes, links = class_links(docs, n, tiles, text, doc_id, rows, per_bucket, small, True, True)
+    found = links.select(F.col("a"), F.explode("others").alias("b")).select(F.least("a", "b").alias("class"), F.greatest("a", "b").alias("other"))
+    one = classes.select("class", F.col("rep").alias("id"), "copies")
+    two = classes.select(F.col("class").alias("other"), F.col("rep").alias("other_id"), F.col("copies").alias("other_copies"))
+    return found.join(one, "class").join(two, "other").select("class", "other", "id", "other_id", "copies", "other_copies")
 
 
 def jaccard_join(
@@ -426,8 +497,12 @@ def jaccard_join(
     keep: list[str] | None = None,
     per_bucket: int = 2000,
     small: int = 2_000_000,
+    count_links: bool = True,
 ) -> DataFrame:
-    """The kept columns with n_shingles and component_id, the least id reachable over links of Jaccard >= num / den.
+    """The kept columns with n_shingles, component_id, the least id reachable over links of Jaccard >= num / den, and
+    n_links, the number of other documents (copies of its own text among them) to which the document has a link.
+
+    Without count_links there is no n_links, and pairs that are in one component already are not compared.
 
     Shingles are n words (A-Z lower-cased, parted by whitespace); a text of fewer words is one shingle. Null texts and
     texts without words have none, and are components of their own. Ids may be repeated: each row is a document, and
@@ -435,31 +510,25 @@ def jaccard_join(
     their component. No rows give no rows. Of the kept columns (default: the id) those that clash are replaced.
     """
     tiles = Tiles(num, den)
-    new = ("n_shingles", "component_id")
+    new = ("n_shingles", "component_id", "n_links") if count_links else ("n_shingles", "component_id")
     carried = [c for c in dict.fromkeys(keep if keep is not None else [doc_id]) if c.lower() not in new]
     inner = [f"__k{i}" for i in range(len(carried))]
     renamed = docs.select(*(F.col(f"`{c}`").alias(i) for c, i in zip(carried, inner)), F.col(f"`{doc_id}`").alias("__doc"), F.col(f"`{text}`").alias("__body"))
     rows = scratch(described(renamed, n, "__body", [*inner, "__doc"]), "jaccard-rows")
-    classes = scratch(
-        rows.filter("class IS NOT NULL").groupBy("class").agg(F.min("__doc").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bitmap").alias("bitmap")), "jaccard-classes"
-    )
-    buckets = max(128, classes.count() // per_bucket)
-    shared = scratch(shared_addresses(docs, n, tiles, text, buckets), "jaccard-shared")
-    may = bitmap_links(shared, classes, tiles, buckets)
-    may = scratch(may, "jaccard-may")
-    clusters = components(may.select(F.col("class").alias("a"), F.col("other").alias("b")), "jaccard-clusters")
-    weight = may.groupBy(F.col("class").alias("node")).agg(F.sum("weight").alias("weight"))
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("in_cluster"))
-    members = clusters.join(weight, "node", "left").join(sizes, "component")
-    members = scratch(
-        members.select(F.col("node").alias("class"), F.col("component").alias("cluster"), F.coalesce("weight", F.lit(0)).alias("weight"), "in_cluster"), "jaccard-members"
-    )
-    links = exact_links(docs, n, text, doc_id, members, classes, tiles, buckets, small)
+    classes, links = class_links(docs, n, tiles, text, doc_id, rows, per_bucket, small, count_links, False)
     parts = components(links, "jaccard-components")
-    named = classes.select("class", "rep").join(parts, F.col("class") == F.col("node"), "left").withColumn("part", F.coalesce("component", "class"))
+    named = classes.select("class", "rep", "copies").join(parts, F.col("class") == F.col("node"), "left").withColumn("part", F.coalesce("component", "class"))
     least = named.groupBy("part").agg(F.min("rep").alias("component_id"))
-    named = scratch(named.select("class", "part").join(least, "part").select(F.col("class").alias("_c"), "component_id"), "jaccard-names")
+    named = named.select("class", "part", "copies").join(least, "part")
+    if count_links:
+        named = named.join(links.groupBy(F.col("a").alias("class")).agg(F.sum("linked").alias("linked")), "class", "left")
+        named = named.withColumn("n_links", F.coalesce("linked", F.lit(0)) + F.col("copies") - 1)
+    counted = ["n_links"] if count_links else []
+    named = scratch(named.select(F.col("class").alias("_c"), "component_id", *counted), "jaccard-names")
     out = rows.join(named, F.col("class") == F.col("_c"), "left")
     return out.select(
-        *(F.col(i).alias(c) for c, i in zip(carried, inner)), "n_shingles", F.when(F.col("class").isNull(), F.col("__doc")).otherwise(F.col("component_id")).alias("component_id")
+        *(F.col(i).alias(c) for c, i in zip(carried, inner)),
+        "n_shingles",
+        F.when(F.col("class").isNull(), F.col("__doc")).otherwise(F.col("component_id")).alias("component_id"),
+        *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counted),
     )

@@ -233,6 +233,30 @@ def test_jaccard_random_edits(spark, monkeypatch, n, num, block):
     assert got == brute_components(rows, n, num, 100)
 
 
+@pytest.mark.parametrize("block", [1024, 4])
+def test_jaccard_counts_every_link(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    words, rows = text_of(71, 120).split(), list(ROWS)
+    for k in range(30):
+        own = list(words)
+        for j in range(k % 4):
+            own[(k * 7 + j * 31) % 120] = f"new{k}x{j}"
+        rows.append((100 + k, " ".join(own)))
+    shingles = lambda t: {tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if (w := (t or "").lower().split()) else set()
+    sets = [shingles(t) for _, t in rows]
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if sets[i] and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j])]
+    count = Counter(x for p in pairs for x in p)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = table(jaccard.jaccard_join(docs, n=3, num=90), "doc_id", "n_shingles", "component_id", "n_links")
+    assert [g[:3] for g in got] == brute_components(rows, 3, 90, 100)
+    assert sorted(((g[0], g[3]) for g in got), key=str) == sorted(((d, count[i]) for i, (d, _) in enumerate(rows)), key=str)
+    found = jaccard.jaccard_links(docs, n=3, num=90).collect()
+    different = {frozenset((frozenset(sets[i]), frozenset(sets[j]))) for i, j in pairs if sets[i] != sets[j]}
+    assert len(found) == len(different) == len({(r["class"], r["other"]) for r in found})
+    assert sum(r["copies"] * r["other_copies"] for r in found) == sum(sets[i] != sets[j] for i, j in pairs)
+    assert "n_links" not in jaccard.jaccard_join(docs, count_links=False).columns
+
+
 def test_addresses_meet_for_every_similar_pair():
     rng = np.random.default_rng(3)
     for num in (80, 90):
