@@ -24,13 +24,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document (the least id) of each component of five-word Jaccard similarity 0.8 or more.
 
-    Rows that repeat an id are told apart by a row number, taken after the table is read.
+    Rows that repeat an id are told apart by a row number that is stored with them, as one taken anew in each plan
+    depends on how the files are split.
     """
-    uid = free_name(docs, "_uid")
-    numbered = docs.withColumn(uid, F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.monotonically_increasing_id().alias("i")))
-    linked = jaccard.jaccard_join(numbered, n=5, num=80, den=100, doc_id=uid, keep=[uid], count_links=False)
+    number, uid = free_name(docs, "_row"), free_name(docs, "_uid")
+    numbered = scratch(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    named = numbered.withColumn(uid, F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col(number).alias("i")))
+    linked = jaccard.jaccard_join(named, n=5, num=80, den=100, doc_id=uid, keep=[uid], count_links=False)
     kept = linked.filter(F.col(uid) == F.col("component_id")).select(F.col(f"{uid}.i").alias("_i"))
-    return _like(docs.withColumn(uid, F.monotonically_increasing_id()).join(kept, F.col(uid) == F.col("_i"), "left_semi"), docs)
+    return _like(numbered.join(kept, F.col(number) == F.col("_i"), "left_semi"), docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,3 +71,21 @@ def test_repeated_ids_lose_no_document(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g"), (1, "q r s t u v w"), (None, "x y"), (None, "x y"), (2, None)], "doc_id long, text string")
     kept = cp.drop_near_duplicates(spark, docs.repartition(2).transform(lambda d: cp.scratch(d, "test-docs")), SMALL)
     assert sorted((r["text"] or "") for r in kept.collect()) == ["", "a b c d e f g", "q r s t u v w", "x y"]
+
+
+def test_other_file_splits_keep_the_same_rows(spark, monkeypatch):
+    docs = cp.scratch(spark.createDataFrame([(i, f"word{i} a{i} b{i} c{i} d{i} e{i}") for i in range(50)], "doc_id long, text string").coalesce(1), "test-docs")
+    join, before = cp.jaccard.jaccard_join, {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+
+    def split_anew(*a, **b):
+        out = join(*a, **b)
+        for k in before:
+            spark.conf.set(k, "200")
+        return out
+
+    monkeypatch.setattr(cp.jaccard, "jaccard_join", split_anew)
+    try:
+        assert sorted(r["doc_id"] for r in cp.drop_near_duplicates(spark, docs, SMALL).collect()) == list(range(50))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
