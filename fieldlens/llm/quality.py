@@ -15,7 +15,9 @@ from pyspark.sql import types as T
 from .common import LOWER, NOT_SPACE, concat_rows, runs, slices, span_hashes
 from .langid import fold
 
-PASSAGE_BYTES, MOST_PASSAGES = 400, 64
+PASSAGE_BYTES = 400
+#: Passages that are encoded at once, and the most of one text that the fit looks at.
+BLOCK_PASSAGES, FIT_PASSAGES = 4096, 64
 _CLASS = np.full(256, 9, np.int64)
 for _k, _signs in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\n\r", "|", "%&*$#@^~<>{}[]\\=+_", "!", ".,;:?")):
     _CLASS[list(_signs.encode())] = _k
@@ -25,24 +27,27 @@ FEATURES = CLASSES + 7
 
 
 def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of all passages and the first passage of each row. A long text has longer passages, not more than
-    MOST_PASSAGES; all of it is read."""
-    length = np.diff(offsets) - 1
-    step = np.maximum(PASSAGE_BYTES, -(-length // MOST_PASSAGES))
-    many = np.maximum(1, -(-length // step))
+    """Starts of all passages, of PASSAGE_BYTES whatever the text's length, and the first passage of each row."""
+    many = np.maximum(1, -(-(np.diff(offsets) - 1) // PASSAGE_BYTES))
     first = np.concatenate(([0], np.cumsum(many)))
     row = np.repeat(np.arange(len(many)), many)
-    return offsets[row] + (np.arange(first[-1]) - first[row]) * step[row], first
+    return offsets[row] + (np.arange(first[-1]) - first[row]) * PASSAGE_BYTES, first
 
 
-def encode(data: np.ndarray, starts: np.ndarray, offsets: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Features of each passage: shares of sign classes, and how long, how varied and how repetitive its words are."""
+def encode(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, stop: int, inside: bool) -> np.ndarray:
+    """Features of each passage: shares of sign classes, and how long, how varied and how repetitive its words are.
+
+    lengths: of the passages' texts. The last passage ends at stop; what follows is the rest of its last word. inside:
+    data starts within a word of an earlier passage.
+    """
     n = len(starts)
-    ends = np.append(starts[1:], len(data))
+    ends = np.append(starts[1:], stop)
     owner = np.repeat(np.arange(n), ends - starts)
-    signs = np.bincount(owner * CLASSES + _CLASS[data], minlength=n * CLASSES).reshape(n, CLASSES).astype(np.float64)
+    signs = np.bincount(owner * CLASSES + _CLASS[data[:stop]], minlength=n * CLASSES).reshape(n, CLASSES).astype(np.float64)
     size = np.maximum(signs.sum(axis=1), 1)
     ws, we = runs(NOT_SPACE[data])
+    own = slice(int(inside), int(np.searchsorted(ws, stop)))
+    ws, we = ws[own], we[own]
     low = LOWER[data]
     words = span_hashes(low, ws, we)
     mine = owner[ws] if len(ws) else np.zeros(0, np.int64)
@@ -56,11 +61,10 @@ def encode(data: np.ndarray, starts: np.ndarray, offsets: np.ndarray, first: np.
     last = symbol[we - 1] if len(ws) else np.zeros(0, np.int64)
     marked = np.bincount(mine[(last == 6) | (last == 7)], minlength=n)
     capital = np.bincount(mine[symbol[ws] == 1], minlength=n) if len(ws) else np.zeros(n)
-    row = np.searchsorted(first, np.arange(n), side="right") - 1
     out = np.empty((n, FEATURES))
     out[:, :CLASSES] = signs / size[:, None]
     out[:, CLASSES:] = np.stack(
-        [repeats / some, distinct / some, np.log1p(letters / some), marked / some, capital / some, np.log1p(count), np.log1p(np.diff(offsets)[row])], axis=1
+        [repeats / some, distinct / some, np.log1p(letters / some), marked / some, capital / some, np.log1p(count), np.log1p(lengths)], axis=1
     )
     return out.astype(np.float32)
 
@@ -93,8 +97,23 @@ class Net:
         y = 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["c0"], -40, 40)))
         return {"e": e, "t": t, "g": g, "a": a, "z": z, "y": y, "bag": bag}
 
-    def score(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
-        return self.forward((x - self.mean) / self.scale, first)["y"]
+    def score(self, blocks: Iterator[tuple[np.ndarray, np.ndarray]], rows: int) -> np.ndarray:
+        """Scores of rows whose passages come in blocks (features, row of each): attention is a running weighted sum,
+        rescaled when a block has a larger logit."""
+        p = self.weights
+        top, total, z = np.full(rows, -np.inf), np.zeros(rows), np.zeros((rows, len(p["c"])))
+        for x, row in blocks:
+            e = np.tanh((x - self.mean) / self.scale @ p["W"] + p["b"])
+            s = (np.tanh(e @ p["V"]) / (1 + np.exp(-(e @ p["U"])))) @ p["w"]
+            cut = np.flatnonzero(np.diff(row, prepend=-1))
+            r = row[cut]
+            new = np.maximum(top[r], np.maximum.reduceat(s, cut))
+            less = np.exp(top[r] - new)
+            s = np.exp(s - np.repeat(new, np.diff(np.append(cut, len(row)))))
+            total[r] = total[r] * less + np.add.reduceat(s, cut)
+            z[r] = z[r] * less[:, None] + np.add.reduceat(s[:, None] * e, cut, axis=0)
+            top[r] = new
+        return 1 / (1 + np.exp(-np.clip(z / total[:, None] @ p["c"] + p["c0"], -40, 40)))
 
     def gradient(self, x: np.ndarray, first: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
         p, f = self.weights, self.forward(x, first)
@@ -140,10 +159,39 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, width: int = 16, gates: int
     return net
 
 
-def _bags(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _blocks(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Features of the passages and the row of each, a block of passages at a time."""
+    length = np.diff(offsets)
+    for a in range(0, len(starts), BLOCK_PASSAGES):
+        b = min(a + BLOCK_PASSAGES, len(starts))
+        row = np.searchsorted(first, np.arange(a, b), side="right") - 1
+        begin, stop = int(starts[a]), int(starts[b]) if b < len(starts) else len(data)
+        solid = NOT_SPACE[data[begin:stop]]
+        inside = bool(begin and NOT_SPACE[data[begin - 1]] and solid[0])
+        end = stop
+        # the last word is read to its end, unless an earlier block has it
+        if solid[-1] and not (inside and solid.all()):
+            while end < len(data) and (more := NOT_SPACE[data[end : end + PASSAGE_BYTES]]).all():
+                end += len(more)
+            end += int(np.argmin(more)) if end < len(data) else 0
+        yield encode(data[begin:end], starts[a:b] - begin, length[row], stop - begin, inside), row
+
+
+def _fit_bags(column: pa.Array) -> Iterator[bytes]:
+    """Features of each text's passages, of a long text of FIT_PASSAGES evenly spaced ones."""
     for _, _, data, offsets in slices(column):
         starts, first = passages(data, offsets)
-        yield encode(data, starts, offsets, first), first
+        many = np.diff(first)
+        few = np.minimum(many, FIT_PASSAGES)
+        cut = np.concatenate(([0], np.cumsum(few)))
+        row = np.repeat(np.arange(len(few)), few)
+        chosen = first[row] + (np.arange(cut[-1]) - cut[row]) * many[row] // few[row]
+        x, at = [], 0
+        for block, _ in _blocks(data, offsets, starts, first):
+            x.append(block[chosen[(chosen >= at) & (chosen < at + len(block))] - at])
+            at += len(block)
+        x = np.concatenate(x)
+        yield from (x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:]))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, folds: int, text: str, doc_id: str) -> DataFrame:
@@ -164,14 +212,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 def train(
     docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1500, folds: int = 5, text: str = "text", doc_id: str = "doc_id"
 ) -> Net:
-    """Fits the net on at most 2 * per_class labelled documents (their passages are encoded by Spark's tasks)."""
+    """Fits the net on at most 2 * per_class labelled documents (their passages, at most
+    FIT_PASSAGES of each, are encoded by Spark's tasks)."""
     sample = labelled_sample(docs, labels, label, per_class, folds, text, doc_id)
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for x, first in _bags(batch.column(1)):
-                rows += [x[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
+            rows = list(_fit_bags(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), batch.column(2)], names=["_id", "bag", "_y"])
 
     schema = T.StructType([sample.schema["_id"], T.StructField("bag", T.BinaryType()), T.StructField("_y", T.IntegerType())])
@@ -198,7 +245,8 @@ def score_quality(docs: DataFrame, net: Net, threshold: float = 0.3, text: str =
             if not batch.num_rows:
                 continue
             column = batch.column(batch.schema.names.index(text))
-            y = np.concatenate([sent.value.score(x, first) for x, first in _bags(column)])
+            cut = ((data, offsets, *passages(data, offsets)) for _, _, data, offsets in slices(column))
+            y = np.concatenate([sent.value.score(_blocks(*c), len(c[1]) - 1) for c in cut])
             yield concat_rows(
                 batch, [text] if extra else [], {"score": pa.array(y, pa.float64()), "predicted": pa.array((y >= threshold).astype(np.int32), pa.int32())}
             )

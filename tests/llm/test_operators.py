@@ -387,6 +387,20 @@ def test_quality_held_out(spark, docs, empty):
     assert quality.score_quality(empty, quality.train(docs, labels.filter("false"))).count() == 0
 
 
+def test_passages_do_not_grow_and_blocks_change_nothing(monkeypatch):
+    texts = [text_of(5, 9000), "", "x" * 5000 + " Tail! end", text_of(6, 30), "A!" * 3000]
+    ((_, _, data, offsets),) = quality.slices(quality.pa.array(texts))
+    starts, first = quality.passages(data, offsets)
+    assert np.diff(first).tolist() == [max(1, math.ceil(len(t) / 400)) for t in texts]
+    whole = np.concatenate([x for x, _ in quality._blocks(data, offsets, starts, first)])
+    net = quality.fit([whole[a:b].astype(np.float64) for a, b in zip(first, first[1:])], np.array([0.0, 1.0, 0.0, 1.0, 0.0]), steps=20)
+    want = net.forward((whole - net.mean) / net.scale, first)["y"]
+    for block in (1, 7, 64):
+        monkeypatch.setattr(quality, "BLOCK_PASSAGES", block)
+        assert np.array_equal(np.concatenate([x for x, _ in quality._blocks(data, offsets, starts, first)]), whole)
+        assert np.allclose(net.score(quality._blocks(data, offsets, starts, first), len(texts)), want)
+
+
 # ---- mixing
 
 
