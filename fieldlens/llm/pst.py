@@ -24,8 +24,8 @@ SYMBOLS = 1 << BITS
 END, FREQUENT, CLASSES = 0, 127, 128
 DEPTH = 2
 CODES = SYMBOLS ** (DEPTH + 1)
-#: Most frequent words that one slice of text names as candidates.
-NAMED = 512
+#: Words that a task counts before it sends them.
+HELD_WORDS = 1 << 19
 
 
 class Alphabet:
@@ -131,37 +131,57 @@ class SuffixTree:
         return np.add.reduceat(self.table()[code].astype(np.float64), rows[:-1])
 
 
-def _frequent(docs: DataFrame, held: Column, text: str) -> tuple[np.ndarray, int, int]:
+def _added(words: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words, sorted, with their counts added up."""
+    distinct, index = np.unique(np.concatenate(words), return_inverse=True)
+    return distinct, np.bincount(index, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
+
+
+def _frequent(docs: DataFrame, held: Column, text: str, bucket_bytes: int = 64 << 20) -> tuple[np.ndarray, int, int]:
     """The most frequent training words' hashes, the number of training rows, and the bytes of all texts.
 
-    Every slice of text names its NAMED most frequent words with their counts; the counts named are added up.
+    Every word is counted: tasks send packed arrays of words and counts to the bucket of the word, and each bucket
+    names its most frequent words by its totals, among which are those of the corpus.
     """
-    source = docs.select(F.col(f"`{text}`").alias("text"), held.alias("held"))
+    source = docs.select(F.col(f"`{text}`").alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
+    rows, size = source.agg(F.count_if(~F.col("held")), F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()
+    buckets = max(64, -(-size // bucket_bytes))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, int] = {}
-        rows, size = 0, 0
-        for batch in batches:
-            train = ~np.array(batch.column(1).to_pylist(), bool)
-            for a, b, data, offsets in slices(batch.column(0)):
-                _, _, _, hashes, at = words_of(data, offsets)
-                mine = np.repeat(train[a:b], np.diff(at))
-                found, many = np.unique(hashes[mine], return_counts=True)
-                for k in np.argsort(-many, kind="stable")[:NAMED]:
-                    w = int(found[k].view(np.int64))
-                    total[w] = total.get(w, 0) + int(many[k])
-                size += len(data)
-            rows += int(train.sum())
-        names = ["kind", "w", "n"]
-        yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([0, 0], pa.int64()), pa.array([rows, size], pa.int64())], names=names)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([2] * len(total), pa.int32()), pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=names
+    def packed(words: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        cut = np.searchsorted(((words >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1))
+        some = [b for b in range(buckets) if cut[b] < cut[b + 1]]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(some, pa.int32())] + [pa.array([x[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary()) for x in (words, counts)],
+            names=["bucket", "words", "counts"],
         )
 
-    summed = scratch(source.mapInArrow(count, "kind int, w long, n long").groupBy("kind", "w").agg(F.sum("n").alias("n")), "pst-frequent")
-    scalars = {r["kind"]: r["n"] for r in summed.filter("kind < 2").collect()}
-    top = summed.filter("kind = 2").orderBy(F.desc("n"), "w").limit(FREQUENT).collect()
-    return np.array([r["w"] for r in top], np.int64).view(np.uint64), scalars.get(0, 0), scalars.get(1, 0)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counts, waiting = [], [], 0
+        for batch in batches:
+            for _, _, data, offsets in slices(batch.column(0)):
+                found, n = np.unique(words_of(data, offsets)[3], return_counts=True)
+                words.append(found)
+                counts.append(n)
+                waiting += len(found)
+                if waiting > HELD_WORDS:
+                    one, two = _added(words, counts)
+                    words, counts, waiting = [one], [two], 0
+                    if len(one) > HELD_WORDS:
+                        yield packed(one, two)
+                        words, counts = [], []
+        if words:
+            yield packed(*_added(words, counts))
+
+    def most(key: tuple, table: pa.Table) -> pa.Table:
+        words = [np.frombuffer(b, "<u8") for b in table.column("words").to_pylist()]
+        word, n = _added(words, [np.frombuffer(b, "<i8") for b in table.column("counts").to_pylist()])
+        word = word.view(np.int64)
+        top = np.lexsort((word, -n))[:FREQUENT]
+        return pa.Table.from_arrays([pa.array(word[top], pa.int64()), pa.array(n[top], pa.int64())], names=["w", "n"])
+
+    sent = source.filter(~F.col("held")).select("text").mapInArrow(count, "bucket int, words binary, counts binary")
+    top = sent.groupBy("bucket").applyInArrow(most, "w long, n long").orderBy(F.desc("n"), "w").limit(FREQUENT).collect()
+    return np.array([r["w"] for r in top], np.int64).view(np.uint64), rows, size
 
 
 def learn(docs: DataFrame, held: Column, text: str = "text") -> tuple[SuffixTree, int, int]:

@@ -153,6 +153,17 @@ def test_lm_beats_base_on_held_out(spark):
     assert row["s"] > row["b"]
 
 
+def test_frequent_words_are_counted_whole(spark):
+    # in each text, a slice of its own, 600 other words come before the common ones, which lead in all texts together
+    common = [f"common{k}" for k in range(pst.FREQUENT)]
+    texts = [" ".join([f"own{d}x{k}" for k in range(600) for _ in range(300)] + common * 200) for d in range(4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for parts in (1, 4):
+        got, rows, _ = pst._frequent(docs.repartition(parts, "doc_id"), F.lit(False), "text")
+        data = np.frombuffer(" ".join(common).encode(), np.uint8)
+        assert set(got.tolist()) == set(pst.words_of(data, np.array([0, len(data)]))[3].tolist()) and rows == 4
+
+
 def test_tree_states_are_distributions():
     codes = np.repeat(np.array([1 << 16 | 2 << 8 | 3, 5 << 16 | 2 << 8 | 4, 2 << 8 | 9], np.int64), [1, 1, 1])
     states = pst._grow(2, codes, np.array([500.0, 400.0, 2.0]), np.ones(256))
