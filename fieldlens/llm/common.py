@@ -21,10 +21,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share; a local one is set only where the session names none."""
+    """Folder that driver and executors share. A session that names none gets a local one in local mode, as in tests; on
+    a cluster that is an error, since other machines could not read it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="fieldlens-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -37,6 +40,17 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Deletes the files of a scratch table that no later step reads. Only folders in the shared one are touched."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    inside = path(shared_dir(spark)).toUri().getPath() + "/"
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        at = path(folder)
+        if at.toUri().getPath().startswith(inside):
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that df does not have, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}
@@ -58,35 +72,52 @@ def table_of(seed: int, n: int = 256) -> np.ndarray:
 
 
 _BYTE = table_of(7)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _BASE = 0xD1342543DE82EF95
+#: Bytes that are hashed at once; the tables of powers are as long.
+HASH_BYTES = 1 << 20
+_POWERS: list[np.ndarray] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers() -> list[np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64."""
-    size = 1 << max(12, int(n).bit_length())
-    if size not in _POWERS:
-        _POWERS.clear()
-        out = []
+    if not _POWERS:
         for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            powers = np.full(size, base, dtype=np.uint64)
+            powers = np.full(HASH_BYTES + 1, base, dtype=np.uint64)
             powers[0] = 1
-            out.append(np.cumprod(powers, dtype=np.uint64))
-        _POWERS[size] = (out[0], out[1])
-    return _POWERS[size]
+            _POWERS.append(np.cumprod(powers, dtype=np.uint64))
+    return _POWERS
+
+
+def _sum_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sum over each span of its bytes' numbers times powers of the base, for spans within HASH_BYTES."""
+    powers, inverse = _powers()
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * powers[: len(data)], out=sums[1:])
+    return (sums[ends] - sums[starts]) * inverse[starts]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end] for many spans, from one running sum over the bytes.
+    """64-bit hashes of data[start:end] for many spans in order, from running sums over stretches of the bytes.
 
-    Two different spans agree with a chance of about 2**-64.
+    Two different spans agree with a chance of about 2**-64. Beside the result, memory is that of one stretch, however
+    long the data; a span longer than a stretch is summed piece by piece.
     """
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    powers, inverse = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers[: len(data)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _ODD)
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        begin = int(starts[at])
+        to = int(np.searchsorted(ends, begin + HASH_BYTES, side="right"))
+        if to > at:
+            out[at:to] = _sum_hashes(data[begin : int(ends[to - 1])], starts[at:to] - begin, ends[at:to] - begin)
+        else:
+            total, to = 0, at + 1
+            for piece in range(begin, int(ends[at]), HASH_BYTES):
+                part = data[piece : min(piece + HASH_BYTES, int(ends[at]))]
+                one = int(_sum_hashes(part, np.zeros(1, np.int64), np.array([len(part)]))[0])
+                total += one * pow(_BASE, piece - begin, 1 << 64)
+            out[at] = total % (1 << 64)
+        at = to
+    return mix64(out + (ends - starts).astype(np.uint64) * _ODD)
 
 
 def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,255 +1,269 @@
 """Language-model scoring by a probabilistic suffix tree over a text's tokens.
 
-Tokens are the lower-cased words and one end. Every token has one of 256 symbols: the end, each of the most frequent
-words, and classes of the other words by their last two bytes. Contexts of up to two symbols are kept where a
-divergence test tells their next-symbol distribution from that of their longest kept suffix; a token is scored by its
-symbol's probability in the state of the longest kept suffix before it, times its add-one probability among the words
-of its symbol. Word counts are exchanged as packed arrays, so that no task sees a row for each token.
+Tokens are the lower-cased words and one end. A context is the word before a token, told apart exactly, and up to three
+symbols before that word; a symbol is a frequent word, a class of other words by their last two bytes, or the start. So
+contexts grow with the vocabulary and with the corpus. A context is kept where a divergence test tells its next-symbol
+distribution from that of its suffix, or where a longer kept one needs it. Each distribution is smoothed by its
+suffix's. A token has its symbol's probability in the state of its longest kept context, times its add-one probability
+among the words of its symbol.
+
+The tree is never gathered: its branches (first word of the context) are dealt over tasks, each of which counts, tests
+and scores its own branches, and answers with sums for the rows that asked.
 """
 
 from __future__ import annotations
 
-import uuid
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, mix64, runs, scratch, slices, span_hashes
+from .common import LOWER, NOT_SPACE, discard, mix64, runs, scratch, slices, span_hashes
 
-BITS = 8
-SYMBOLS = 1 << BITS
-END, FREQUENT, CLASSES = 0, 127, 128
-DEPTH = 2
-CODES = SYMBOLS ** (DEPTH + 1)
+SYMBOLS, END, FREQUENT = 256, 0, 127
+#: Symbols of a context beyond its word.
+FARTHER = 3
+DEPTH = 1 + FARTHER
 #: Words that a task counts before it sends them.
 HELD_WORDS = 1 << 19
+#: The branch of first tokens.
+START = np.uint64(0)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_CLASS_OF_END = (FREQUENT + 1 + (mix64(np.arange(1, (1 << 16) + 1, dtype=np.uint64)) >> np.uint64(57)).astype(np.int64)).astype(np.uint8)
 
 
-class Alphabet:
-    """Symbols of words: 1 to 127 for the frequent ones, else 128 and on by the last two bytes."""
-
-    def __init__(self, frequent: np.ndarray):
-        self.words = np.sort(frequent.astype(np.uint64)[:FREQUENT])
-        ends = np.arange(1 << 16, dtype=np.uint64)
-        self.by_end = (FREQUENT + 1 + (mix64(ends + np.uint64(1)) >> np.uint64(57)).astype(np.int64)).astype(np.uint8)
-        self.root = np.zeros(SYMBOLS)
-
-    def symbols(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        last = data[ends - 1].astype(np.int64)
-        before = np.where(ends - starts > 1, data[np.maximum(ends - 2, 0)], 0).astype(np.int64)
-        found = self.by_end[before << 8 | last]
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-            found = np.where(self.words[at] == hashes, at + 1, found)
-        return found.astype(np.uint8)
-
-
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased bytes, starts, ends and hashes of all words, and the offsets of the rows in them."""
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and classes of all words, and the offsets of the rows in them."""
     starts, ends = runs(NOT_SPACE[data])
     low = LOWER[data]
-    return low, starts, ends, span_hashes(low, starts, ends), np.searchsorted(starts, offsets)
+    before = np.where(ends - starts > 1, low[np.maximum(ends - 2, 0)], 0).astype(np.int64)
+    classes = _CLASS_OF_END[before << 8 | low[ends - 1]] if len(ends) else np.zeros(0, np.uint8)
+    return np.maximum(span_hashes(low, starts, ends), np.uint64(1)), classes, np.searchsorted(starts, offsets)
 
 
-def coded(symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each token (words and end, row by row) the code of its context and itself; row offsets."""
-    rows = len(offsets) - 1
-    row = np.repeat(np.arange(rows), np.diff(offsets))
-    stream = np.full(len(symbols) + DEPTH * (rows + 1), END, np.int32)
-    at = np.arange(len(symbols)) + DEPTH * (row + 1)
-    stream[at] = symbols
-    code = stream[DEPTH:].copy()
-    for k in range(1, DEPTH + 1):
-        code += stream[DEPTH - k : len(stream) - k] << (BITS * k)
-    scored = np.zeros(len(stream), bool)
-    scored[at] = True
-    scored[offsets[1:] + DEPTH * np.arange(1, rows + 1)] = True
-    return code[scored[DEPTH:]], offsets + np.arange(rows + 1)
-
-
-def _test(counts: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For contexts (rows): does the distribution diverge from the parent's, and the smoothed distribution.
-
-    The test is that of likelihood ratios against a high quantile of chi-squared; smoothing gives the parent the
-    weight of the number of distinct next signs.
+def dealt(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket that occurs with the places of its entries."""
+    order = np.argsort(bucket, kind="stable")
+    cut = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        yield int(bucket[order[a]]), order[a:b]
+
+
+def _slot(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return (((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+@dataclass
+class Alphabet:
+    """What all tasks know: the frequent words, sorted, with their counts, totals, and the first level of the tree.
+
+    seen[x] and kinds[x] are the training tokens and distinct words of each symbol; first[s] is the smoothed next-symbol
+    distribution after the start (0) and each frequent word (1 and on).
     """
-    n = counts.sum(axis=-1, keepdims=True)
-    kinds = (counts > 0).sum(axis=-1, keepdims=True)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = np.where(counts > 0, counts * np.log(counts / np.maximum(n, 1) / parent), 0.0)
-    free = np.maximum(kinds[..., 0] - 1, 1)
-    passes = 2 * ratio.sum(axis=-1) > free + 3 * np.sqrt(2 * free) + 10
-    weight = np.maximum(kinds, 1)
-    return passes & (n[..., 0] > 0), (counts + weight * parent) / (n + weight)
-
-
-def _grow(last: int, codes: np.ndarray, counts: np.ndarray, root: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """The kept contexts that end with the symbol `last`: (length, code, distribution)."""
-    table = np.zeros((SYMBOLS, SYMBOLS))
-    np.add.at(table, (codes >> (2 * BITS), codes & (SYMBOLS - 1)), counts)
-    top = (root + 1) / (root + 1).sum()
-    keep1, p1 = _test(table.sum(axis=0), top)
-    keep2, p2 = _test(table, p1 if keep1 else top)
-    # a kept context's suffix is a state as well
-    out = [(1, last, p1)] if keep1 or keep2.any() else []
-    out += [(2, int(i) << BITS | last, p2[i]) for i in np.flatnonzero(keep2)]
-    return [(n, c, p.astype("<f4").tobytes()) for n, c, p in out]
-
-
-class SuffixTree:
-    """Kept contexts with their distributions; at most 256 + 256**2, whatever the corpus."""
-
-    def __init__(self, alphabet: Alphabet, states: list[tuple[int, int, bytes]]):
-        self.alphabet = alphabet
-        self.states = sorted(states, key=lambda s: s[:2])
-        self._table: np.ndarray | None = None
-
-    def __getstate__(self):
-        return {"alphabet": self.alphabet, "states": self.states, "_table": None}
-
-    def table(self) -> np.ndarray:
-        """log10 probability by code of context and symbol, each context standing for its longest kept suffix."""
-        if self._table is None:
-            root = self.alphabet.root + 1
-            t = np.empty((SYMBOLS, SYMBOLS, SYMBOLS), np.float32)
-            t[:] = root / root.sum()
-            for n, code, body in self.states:
-                if n == 1:
-                    t[:, code] = np.frombuffer(body, "<f4")
-                else:
-                    t[code >> BITS, code & (SYMBOLS - 1)] = np.frombuffer(body, "<f4")
-            np.log10(t, out=t)
-            self._table = t.reshape(-1)
-        return self._table
-
-    def score(self, symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """log10 probability of each row's symbols."""
-        code, rows = coded(symbols, offsets)
-        return np.add.reduceat(self.table()[code].astype(np.float64), rows[:-1])
-
-
-def _added(words: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct words, sorted, with their counts added up."""
-    distinct, index = np.unique(np.concatenate(words), return_inverse=True)
-    return distinct, np.bincount(index, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
-
-
-def _frequent(docs: DataFrame, held: Column, text: str, bucket_bytes: int = 64 << 20) -> tuple[np.ndarray, int, int]:
-    """The most frequent training words' hashes, the number of training rows, and the bytes of all texts.
-
-    Every word is counted: tasks send packed arrays of words and counts to the bucket of the word, and each bucket
-    names its most frequent words by its totals, among which are those of the corpus.
+
+    words: np.ndarray
+    counts: np.ndarray
+    seen: np.ndarray
+    kinds: np.ndarray
+    rows: int
+    first: np.ndarray
+
+    @property
+    def root(self) -> np.ndarray:
+        whole = self.seen + 1.0
+        return whole / whole.sum()
+
+    def symbols(self, hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return classes
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        return np.where(self.words[at] == hashes, at + 1, classes).astype(np.uint8)
+
+
+def count_words(docs: DataFrame, held: Column, text: str, bucket_bytes: int) -> tuple[Alphabet, int]:
+    """The alphabet without its first level, and the bytes of all texts.
+
+    Every training word is counted: tasks add up and send packed arrays to the word's bucket; a bucket answers with the
+    totals of each class and its most frequent words, among which are those of the corpus.
     """
     source = docs.select(F.col(f"`{text}`").alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
     rows, size = source.agg(F.count_if(~F.col("held")), F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()
     buckets = max(64, -(-size // bucket_bytes))
 
-    def packed(words: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        cut = np.searchsorted(((words >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1))
-        some = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(some, pa.int32())] + [pa.array([x[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary()) for x in (words, counts)],
-            names=["bucket", "words", "counts"],
-        )
+    def packed(words: np.ndarray, classes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        each = [(b, words[i].tobytes(), classes[i].astype(np.uint8).tobytes(), counts[i].astype("<u4").tobytes()) for b, i in dealt(_slot(words, buckets))]
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*each), kinds)], names=["bucket", "words", "classes", "counts"])
+
+    def merged(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        words, classes, counts = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        distinct, at, index = np.unique(words, return_index=True, return_inverse=True)
+        return distinct, classes[at], np.bincount(index, weights=counts, minlength=len(distinct)).astype(np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts, waiting = [], [], 0
+        parts, waiting = [], 0
         for batch in batches:
             for _, _, data, offsets in slices(batch.column(0)):
-                found, n = np.unique(words_of(data, offsets)[3], return_counts=True)
-                words.append(found)
-                counts.append(n)
-                waiting += len(found)
+                hashes, classes, _ = words_of(data, offsets)
+                parts.append(merged([(hashes, classes, np.ones(len(hashes)))]))
+                waiting += len(parts[-1][0])
                 if waiting > HELD_WORDS:
-                    one, two = _added(words, counts)
-                    words, counts, waiting = [one], [two], 0
-                    if len(one) > HELD_WORDS:
-                        yield packed(one, two)
-                        words, counts = [], []
-        if words:
-            yield packed(*_added(words, counts))
+                    parts = [merged(parts)]
+                    waiting = 0
+                    if len(parts[0][0]) > HELD_WORDS:
+                        yield packed(*parts[0])
+                        parts = []
+        if parts and len((one := merged(parts))[0]):
+            yield packed(*one)
 
     def most(key: tuple, table: pa.Table) -> pa.Table:
-        words = [np.frombuffer(b, "<u8") for b in table.column("words").to_pylist()]
-        word, n = _added(words, [np.frombuffer(b, "<i8") for b in table.column("counts").to_pylist()])
-        word = word.view(np.int64)
-        top = np.lexsort((word, -n))[:FREQUENT]
-        return pa.Table.from_arrays([pa.array(word[top], pa.int64()), pa.array(n[top], pa.int64())], names=["w", "n"])
-
-    sent = source.filter(~F.col("held")).select("text").mapInArrow(count, "bucket int, words binary, counts binary")
-    top = sent.groupBy("bucket").applyInArrow(most, "w long, n long").orderBy(F.desc("n"), "w").limit(FREQUENT).collect()
-    return np.array([r["w"] for r in top], np.int64).view(np.uint64), rows, size
-
-
-def learn(docs: DataFrame, held: Column, text: str = "text") -> tuple[SuffixTree, int, int]:
-    """The tree learned from all rows that are not held out, the number of these rows, and the bytes of all texts.
-
-    Each task counts contexts in one table of 256**3 numbers and sends what is not zero, dealt by the last symbol of
-    the context, so every suffix of a context is tested in the task that has it.
-    """
-    frequent, rows, size = _frequent(docs, held, text)
-    alphabet = Alphabet(frequent)
-    source = docs.select(F.col(f"`{text}`").alias("text"), held.alias("held")).filter(~F.col("held"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CODES, np.uint32)
-        for batch in batches:
-            for _, _, data, offsets in slices(batch.column(0)):
-                low, ws, we, hashes, at = words_of(data, offsets)
-                np.add.at(total, coded(alphabet.symbols(low, ws, we, hashes), at)[0], np.uint32(1))
-        code = np.flatnonzero(total)
-        last = (code >> BITS) & (SYMBOLS - 1)
-        order = np.argsort(last, kind="stable")
-        code, last = code[order].astype("<i4"), last[order]
-        cut = np.searchsorted(last, np.arange(SYMBOLS + 1))
-        some = [k for k in range(SYMBOLS) if cut[k] < cut[k + 1]]
-        yield pa.RecordBatch.from_arrays(
+        body = [[np.frombuffer(b, kind) for b in table.column(c).to_pylist()] for c, kind in (("words", "<u8"), ("classes", "u1"), ("counts", "<u4"))]
+        word, cls, n = merged(list(zip(*body)))
+        top = np.lexsort((word.view(np.int64), -n))[:FREQUENT]
+        some = np.flatnonzero(np.bincount(cls, minlength=SYMBOLS))
+        seen, kinds = np.bincount(cls, weights=n, minlength=SYMBOLS), np.bincount(cls, minlength=SYMBOLS)
+        return pa.Table.from_arrays(
             [
-                pa.array(some, pa.int32()),
-                pa.array([code[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary()),
-                pa.array([total[code[cut[k] : cut[k + 1]]].astype("<u4").tobytes() for k in some], pa.binary()),
+                pa.array(np.concatenate([word[top].view(np.int64), np.full(len(some), 0)]), pa.int64()),
+                pa.array(np.concatenate([cls[top], some]), pa.int32()),
+                pa.array(np.concatenate([n[top], seen[some].astype(np.int64)]), pa.int64()),
+                pa.array(np.concatenate([np.full(len(top), 0), kinds[some]]), pa.int64()),
             ],
-            names=["last", "codes", "counts"],
+            names=["word", "class", "n", "kinds"],
         )
 
-    sent = scratch(source.mapInArrow(count, "last int, codes binary, counts binary"), "pst-contexts")
+    sent = source.filter(~F.col("held")).select("text").mapInArrow(count, "bucket int, words binary, classes binary, counts binary")
+    # one answer for each bucket: at most FREQUENT words and 128 classes, added up before they reach the driver
+    answers = scratch(sent.groupBy("bucket").applyInArrow(most, "word long, class int, n long, kinds long"), "pst-words")
+    top = answers.filter("word <> 0").orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    totals = answers.filter("word = 0").groupBy("class").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).collect()
+    discard(answers)
+    words = np.array([r["word"] for r in top], np.int64).view(np.uint64)
+    order = np.argsort(words)
+    counts = np.array([r["n"] for r in top], np.int64)
+    seen, kinds = np.zeros(SYMBOLS, np.int64), np.zeros(SYMBOLS, np.int64)
+    for r in totals:
+        seen[r["class"]], kinds[r["class"]] = r["n"], r["kinds"]
+    for r in top:
+        seen[r["class"]] -= r["n"]
+        kinds[r["class"]] -= 1
+    seen[1 : len(top) + 1], kinds[1 : len(top) + 1] = counts[order], 1
+    seen[END], kinds[END] = rows, int(rows > 0)
+    return Alphabet(words[order], counts[order], seen, kinds, rows, np.zeros((FREQUENT + 1, SYMBOLS))), size
+
+
+def streams(symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each token (words and end, row by row): row, code of farther symbols and next symbol, and the word before it
+    (its place, -1 at the start). A code has the nearer symbols in the higher bytes; beyond the start they are 0."""
+    rows = len(offsets) - 1
+    many = np.diff(offsets) + 1
+    row = np.repeat(np.arange(rows), many)
+    place = np.arange(len(row)) - row
+    first = (np.cumsum(many) - many)[row]
+    nth = np.arange(len(row)) - first
+    last = nth == many[row] - 1
+    padded = np.append(symbols, np.uint8(END))
+    code = np.where(last, END, padded[np.minimum(place, len(symbols))]).astype(np.uint32)
+    for k in range(2, DEPTH + 1):
+        far = np.where(nth >= k, padded[np.maximum(place - k, 0)], END).astype(np.uint32)
+        code |= far << np.uint32(8 * (DEPTH - k + 1))
+    return row, code, np.where(nth > 0, place - 1, -1)
+
+
+def first_level(docs: DataFrame, held: Column, text: str, alphabet: Alphabet) -> np.ndarray:
+    """Smoothed next-symbol distributions after the start and each frequent word, from all training tokens."""
+    sent = docs.sparkSession.sparkContext.broadcast(alphabet)
+    source = docs.select(F.col(f"`{text}`").alias("text"), F.coalesce(held, F.lit(False)).alias("held")).filter(~F.col("held")).select("text")
 
-    def nexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SYMBOLS)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((FREQUENT + 1) * SYMBOLS, np.int64)
         for batch in batches:
-            for codes, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total += np.bincount(np.frombuffer(codes, "<i4") & (SYMBOLS - 1), weights=np.frombuffer(counts, "<u4"), minlength=SYMBOLS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(SYMBOLS), pa.int32()), pa.array(total, pa.float64())], names=["x", "n"])
-
-    for r in sent.select("codes", "counts").mapInArrow(nexts, "x int, n double").groupBy("x").agg(F.sum("n").alias("n")).collect():
-        alphabet.root[r["x"]] = r["n"]
-    root = alphabet.root.copy()
-
-    def grow(key: tuple, table: pa.Table) -> pa.Table:
-        codes = np.concatenate([np.frombuffer(b, "<i4") for b in table.column("codes").to_pylist()])
-        counts = np.concatenate([np.frombuffer(b, "<u4") for b in table.column("counts").to_pylist()])
-        kept = _grow(key[0].as_py(), codes, counts.astype(np.float64), root)
-        return pa.Table.from_arrays(
-            [pa.array([s[0] for s in kept], pa.int32()), pa.array([s[1] for s in kept], pa.int32()), pa.array([s[2] for s in kept], pa.binary())],
-            names=["length", "code", "p"],
-        )
-
-    states = sent.groupBy("last").applyInArrow(grow, "length int, code int, p binary").collect()
-    return SuffixTree(alphabet, [(s["length"], s["code"], bytes(s["p"])) for s in states]), rows, size
-
-
-def _ipc(table: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as w:
-        w.write_table(table)
-    return sink.getvalue().to_pybytes()
+            for _, _, data, offsets in slices(batch.column(0)):
+                hashes, classes, at = words_of(data, offsets)
+                symbols = sent.value.symbols(hashes, classes)
+                _, code, word = streams(symbols, at)
+                before = np.where(word >= 0, np.append(symbols, np.uint8(END))[word], END).astype(np.int64)
+                own = before <= FREQUENT
+                total += np.bincount(before[own] << 8 | (code[own] & np.uint32(255)).astype(np.int64), minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], names=["cell", "n"])
+
+    counts = np.zeros((FREQUENT + 1) * SYMBOLS)
+    for r in source.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        counts[r["cell"]] = r["n"]
+    counts = counts.reshape(-1, SYMBOLS)
+    kinds = np.maximum((counts > 0).sum(axis=1, keepdims=True), 1)
+    return (counts + kinds * alphabet.root) / (counts.sum(axis=1, keepdims=True) + kinds)
+
+
+def passes(ratio: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """The divergence test: does twice the log-likelihood ratio exceed a high quantile of chi-squared."""
+    free = np.maximum(kinds - 1, 1)
+    return 2 * ratio > free + 3 * np.sqrt(2 * free) + 6
+
+
+def branch_scores(branch: np.ndarray, code: np.ndarray, n: np.ndarray, named: np.ndarray, alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray]:
+    """For distinct (branch, code), sorted: log10 probability of the next symbol in the longest kept context; and the
+    training tokens of each branch.
+
+    n: training counts of the entries. named: for each branch the symbol of a frequent word or the start (0), whose first
+    level is known, or -1. Level by level, entries that agree in their nearer symbols are added up; a context's
+    distribution is (count + kinds * suffix's) / (total + kinds). A context is kept if it diverges from its suffix or
+    one of its extensions is kept.
+    """
+    nxt = (code & np.uint32(255)).astype(np.int64)
+    total = np.bincount(branch, weights=n, minlength=len(named))
+    key = branch.astype(np.uint64) << np.uint64(32) | code.astype(np.uint64)
+    # from the longest contexts to the branch alone: each entry's context, count, symbol and entry of the next level
+    levels = []
+    for level in range(DEPTH, 0, -1):
+        context, own = np.unique(key >> np.uint64(8), return_inverse=True)
+        levels.append({"own": own, "contexts": context, "n": n, "next": nxt})
+        if level > 1:
+            shorter = (key >> np.uint64(16)) << np.uint64(8) | nxt.astype(np.uint64)
+            key, up = np.unique(shorter, return_inverse=True)
+            n = np.bincount(up, weights=n, minlength=len(key))
+            nxt = (key & np.uint64(255)).astype(np.int64)
+            levels[-1]["up"] = up
+    root = alphabet.root
+    for k in range(DEPTH - 1, -1, -1):
+        a = levels[k]
+        parent = root[a["next"]] if k == DEPTH - 1 else levels[k + 1]["q"][a["up"]]
+        size = len(a["contexts"])
+        whole = np.bincount(a["own"], weights=a["n"], minlength=size)
+        kinds = np.bincount(a["own"], weights=a["n"] > 0, minlength=size)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            each = np.where(a["n"] > 0, a["n"] * np.log(a["n"] / whole[a["own"]] / parent), 0.0)
+        a["kept"] = passes(np.bincount(a["own"], weights=each, minlength=size), kinds) & (whole > 0)
+        w, z = whole[a["own"]], kinds[a["own"]]
+        a["q"] = np.where(w > 0, (a["n"] + z * parent) / np.maximum(w + z, 1), parent)
+        if k == DEPTH - 1:
+            sign = named[a["contexts"].astype(np.int64)]
+            a["q"] = np.where(sign[a["own"]] >= 0, alphabet.first[np.maximum(sign, 0)[a["own"]], a["next"]], a["q"])
+            a["kept"] |= sign >= 0
+    # contexts of this level that a kept longer one needs
+    for k in range(DEPTH - 1):
+        longer, a = levels[k], levels[k + 1]
+        needs = np.zeros(len(a["contexts"]), bool)
+        needs[a["own"][longer["up"]][longer["kept"][longer["own"]]]] = True
+        a["kept"] |= needs
+    # from the branch outwards: the longest kept context decides
+    best = None
+    for k in range(DEPTH - 1, -1, -1):
+        a = levels[k]
+        shorter = root[a["next"]] if best is None else best[a["up"]]
+        best = np.where(a["kept"][a["own"]], a["q"], shorter)
+    return np.log10(best), total
 
 
 def score_texts(
-    docs: DataFrame, held: Column, text: str = "text", keep: list[str] | None = None, block_bytes: int = 8 << 20, bucket_bytes: int = 64 << 20
+    docs: DataFrame, held: Column, text: str = "text", keep: list[str] | None = None, block_bytes: int = 8 << 20, bucket_bytes: int = 24 << 20
 ) -> DataFrame:
     """The kept columns with n_tokens, n_known, train_tokens, base_score and score.
 
@@ -257,93 +271,117 @@ def score_texts(
     counts tokens seen in training; base_score is the add-one unigram model's log10 probability of the tokens, score
     the tree's. Repeated rows count and are scored each; no rows give no rows; where nothing is
     learned, probabilities come from smoothing alone. `keep` (default: all but the text) names the columns to carry;
-    those that clash with new ones are replaced.
+    those that clash with new ones are replaced. docs should be a table that is read, whose rows come in the same order
+    if a lost task runs again.
 
-    Words are told apart by 64-bit hashes. A block of about block_bytes of text asks each bucket of words once, by a
-    sorted array of its distinct words and their counts; a bucket adds up the blocks' counts and answers in the same
-    order. So a frequent word costs each block one entry, and neither counts nor words pass through the driver.
+    Words are told apart by 64-bit hashes. Blocks of about block_bytes of text send each branch's bucket their distinct
+    (row, word, code) with the number of times; a frequent word's branch is dealt by its next farther symbol as well,
+    and the first level of such a branch is the same for all tasks. A bucket sends each block back the sums for its
+    rows. A window that is repeated, even a third of all, is one entry a row.
     """
-    spark = docs.sparkSession
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     carried = [c for c in (keep if keep is not None else [c for c in docs.columns if c != text]) if c.lower() not in new]
-    tree, train_rows, size = learn(docs, held, text)
-    sent = spark.sparkContext.broadcast(tree)
+    alphabet, size = count_words(docs, held, text, 64 << 20)
+    alphabet.first = first_level(docs, held, text, alphabet)
+    sent = docs.sparkSession.sparkContext.broadcast(alphabet)
     buckets = max(64, -(-size // bucket_bytes))
-    source = docs.select(F.col(f"`{text}`").alias("__text"), held.alias("__held"), *(F.col(f"`{c}`") for c in carried))
-    spool = "kind int, bucket int, block string, first binary, second binary, third binary, fourth binary"
-    names = [f.split()[0] for f in spool.split(", ")]
-    kinds = [pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-
-    def block_rows(words: list[np.ndarray], symbols: list[np.ndarray], per_row: list[np.ndarray], train: list[np.ndarray], scores: list[np.ndarray], rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        block = uuid.uuid4().hex
-        all_words, tokens = np.concatenate(words), np.concatenate(per_row)
-        distinct, at, index = np.unique(all_words, return_index=True, return_inverse=True)
-        symbol = np.concatenate(symbols)[at]
-        learned = np.bincount(index[np.repeat(np.concatenate(train), tokens)], minlength=len(distinct))
-        bucket = ((distinct >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-        cut = np.searchsorted(bucket, np.arange(buckets + 1))
-        packed = _ipc(pa.Table.from_batches(rows)) if carried else None
-        out = [(1, -1, block, index.astype("<i4").tobytes(), np.stack([tokens, np.concatenate(scores).view(np.int64)]).astype("<i8").tobytes(), packed, symbol.tobytes())]
-        out += [
-            (0, b, block, distinct[cut[b] : cut[b + 1]].astype("<u8").tobytes(), learned[cut[b] : cut[b + 1]].astype("<u4").tobytes(), symbol[cut[b] : cut[b + 1]].tobytes(), None)
-            for b in range(buckets)
-            if cut[b] < cut[b + 1]
-        ]
-        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=names)
+    vocabulary, n_all = int(alphabet.kinds.sum()), int(alphabet.seen.sum())
+    within = np.log10(alphabet.seen + alphabet.kinds + 1.0)
+    source = docs.select(F.col(f"`{text}`").alias("__text"), F.coalesce(held, F.lit(False)).alias("__held"), *(F.col(f"`{c}`") for c in carried))
+    spool = "bucket int, block string, row binary, branch binary, code binary, times binary, train binary, own binary, carried binary"
+    fields = [f.split()[0] for f in spool.split(", ")]
+    kinds = [pa.int32(), pa.string()] + [pa.binary()] * 7
+
+    def block_rows(block: str, parts: list[tuple], batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        model = sent.value
+        shift = np.cumsum([0] + [len(p[3]) for p in parts])
+        row, word, code, train, own = (np.concatenate([p[k] for p in parts]) for k in range(5))
+        row = row + np.repeat(shift[:-1], [len(p[0]) for p in parts])
+        # one entry for each distinct (row, word, code)
+        order = np.lexsort((code, word, row))
+        row, word, code = row[order], word[order], code[order]
+        fresh = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(word, prepend=np.uint64(0)) != 0) | (np.diff(code.astype(np.int64), prepend=-1) != 0))
+        times = np.minimum(np.diff(np.append(fresh, len(row))), (1 << 32) - 1)
+        row, word, code = row[fresh], word[fresh], code[fresh]
+        symbol = model.symbols(word, np.full(len(word), 255, np.uint8))
+        frequent = (symbol <= FREQUENT) | (word == START)
+        far = np.where(frequent, mix64(word + (code >> np.uint32(24)).astype(np.uint64) * _ODD), word)
+        home = zlib.crc32(block.encode()) % buckets
+        out = []
+        for b, at in dealt(_slot(mix64(far), buckets)):
+            distinct, index = np.unique(word[at], return_inverse=True)
+            some, mine = np.unique(row[at], return_counts=True)
+            head = np.stack([some, mine]).astype("<u4")
+            out.append([b, block, head.tobytes(), distinct.tobytes() + index.astype("<u4").tobytes(), code[at].astype("<u4").tobytes(), times[at].astype("<u4").tobytes(), train[some].tobytes(), None, None])
+        table = pa.Table.from_batches(batches)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as w:
+            w.write_table(table)
+        out.append([home, block, None, None, None, None, None, own.astype("<f8").tobytes(), sink.getvalue().to_pybytes()])
+        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=fields)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        kept: list[list] = [[] for _ in range(6)]
-        size = 0
+        model, context = sent.value, TaskContext.get()
+        task = context.partitionId() if context else 0
+        parts, rows, size, nth = [], [], 0, 0
         for batch in batches:
             train = ~np.array(batch.column(1).to_pylist(), bool)
-            extra = batch.select(range(2, batch.num_columns))
+            extra = batch.select(range(2, batch.num_columns)) if carried else batch.select([1])
             for a, b, data, offsets in slices(batch.column(0)):
-                low, ws, we, hashes, at = words_of(data, offsets)
-                symbols = model.alphabet.symbols(low, ws, we, hashes)
-                for to, what in zip(kept, (hashes, symbols, np.diff(at), train[a:b], model.score(symbols, at), extra.slice(a, b - a))):
-                    to.append(what)
+                hashes, classes, at = words_of(data, offsets)
+                symbols = model.symbols(hashes, classes)
+                row, code, word = streams(symbols, at)
+                branch = np.where(word >= 0, np.append(hashes, START)[word], START)
+                # what this task knows of a row: tokens, sums over its words within their symbols, and over frequent words
+                owner = np.repeat(np.arange(b - a), np.diff(at))
+                named = symbols <= FREQUENT
+                count = np.append(0, model.counts)[np.where(named, symbols, 0)]
+                logs = np.bincount(owner[named], weights=np.log10(count[named] + 1.0), minlength=b - a)
+                own = np.stack([np.diff(at) + 1.0, np.bincount(owner, weights=within[symbols], minlength=b - a), logs, np.bincount(owner[named], weights=count[named] > 0, minlength=b - a)], axis=1)
+                parts.append((row, branch, code, train[a:b], own))
+                rows.append(extra.slice(a, b - a))
                 size += len(data)
                 if size >= block_bytes:
-                    yield block_rows(*kept)
-                    kept, size = [[] for _ in range(6)], 0
+                    yield block_rows(f"{task}.{nth}", parts, rows)
+                    parts, rows, size, nth = [], [], 0, nth + 1
         if size:
-            yield block_rows(*kept)
-
-    asked = scratch(source.mapInArrow(ask, spool), "pst-blocks")
+            yield block_rows(f"{task}.{nth}", parts, rows)
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
-        blocks = table.column("block").to_pylist()
-        words = [np.frombuffer(b, "<u8") for b in table.column("first").to_pylist()]
-        counts = np.concatenate([np.frombuffer(b, "<u4") for b in table.column("second").to_pylist()])
-        _, at, index = np.unique(np.concatenate(words), return_index=True, return_inverse=True)
-        symbol = np.concatenate([np.frombuffer(b, np.uint8) for b in table.column("third").to_pylist()])[at]
-        total = np.bincount(index, weights=counts).astype(np.int64)
-        given = total[index].astype("<i8")
-        cut = np.concatenate(([0], np.cumsum([len(w) for w in words])))
-        n = len(blocks)
-        stats = np.stack([np.bincount(symbol[total > 0], minlength=SYMBOLS), np.bincount(symbol, weights=total, minlength=SYMBOLS)]).astype("<i8")
-        return pa.Table.from_arrays(
-            [
-                pa.array([key[0].as_py()] * n, pa.int32()),
-                pa.array(blocks, pa.string()),
-                pa.array([given[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
-                pa.array([stats[0].tolist()] + [None] * (n - 1), pa.list_(pa.int64())),
-                pa.array([stats[1].tolist()] + [None] * (n - 1), pa.list_(pa.int64())),
-            ],
-            names=["bucket", "block", "totals", "known", "tokens"],
-        )
-
-    asks = asked.filter("kind = 0").select("bucket", "block", "first", "second", "third")
-    answers = scratch(asks.groupBy("bucket").applyInArrow(answer, "bucket int, block string, totals binary, known array<long>, tokens array<long>"), "pst-answers")
-    each = answers.select(F.posexplode(F.arrays_zip("known", "tokens"))).groupBy("pos").agg(F.sum("col.known").alias("v"), F.sum("col.tokens").alias("n")).collect()
-    kinds_of, tokens_of = np.zeros(SYMBOLS), np.zeros(SYMBOLS)
-    for r in each:
-        kinds_of[r["pos"]], tokens_of[r["pos"]] = r["v"], r["n"]
-    # the end is a token of its own, seen once in each training row
-    vocabulary = int(kinds_of.sum()) + (train_rows > 0)
-    n_all = int(tokens_of.sum()) + train_rows
-    within = np.log10(tokens_of + kinds_of + 1)
+        model = sent.value
+        asks = table.filter(pc.is_valid(table.column("row")))
+        homes = table.filter(pc.is_valid(table.column("own")))
+        blocks = asks.column("block").to_pylist()
+        heads = [np.frombuffer(x, "<u4").reshape(2, -1) for x in asks.column("row").to_pylist()]
+        codes = [np.frombuffer(x, "<u4") for x in asks.column("code").to_pylist()]
+        times = np.concatenate([np.zeros(0, np.uint32)] + [np.frombuffer(x, "<u4") for x in asks.column("times").to_pylist()]).astype(np.float64)
+        train = np.concatenate([np.zeros(0, bool)] + [np.repeat(np.frombuffer(t, bool), h[1]) for t, h in zip(asks.column("train").to_pylist(), heads)])
+        words, at, base = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+        for body, c in zip(asks.column("branch").to_pylist(), codes):
+            words.append(np.frombuffer(body, "<u8", (len(body) - 4 * len(c)) // 8))
+            at.append(np.frombuffer(body, "<u4", len(c), 8 * len(words[-1])).astype(np.int64) + base)
+            base += len(words[-1])
+        branch, of = np.unique(np.concatenate(words), return_inverse=True)
+        place = of[np.concatenate(at)] if len(of) else np.zeros(0, np.int64)
+        keys, index = np.unique(place.astype(np.uint64) << np.uint64(32) | np.concatenate([np.zeros(0, np.uint32), *codes]).astype(np.uint64), return_inverse=True)
+        del place, codes
+        n = np.bincount(index, weights=times * train, minlength=len(keys))
+        symbol = model.symbols(branch, np.full(len(branch), 255, np.uint8)).astype(np.int64)
+        named = np.where(branch == START, 0, np.where(symbol <= FREQUENT, symbol, -1))
+        own = (keys >> np.uint64(32)).astype(np.int64)
+        logs, total = branch_scores(own, (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), n, named, model)
+        rare = named[own] < 0
+        base_logs = np.where(rare, np.log10(total[own] + 1.0), 0.0)
+        known = rare & (total[own] > 0)
+        cut = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64)] + [h[1].astype(np.int64) for h in heads]))])
+        sums = [np.add.reduceat(np.append(times * v[index], 0.0), cut[:-1]) if len(cut) > 1 else np.zeros(0) for v in (logs, base_logs, known)]
+        each = np.cumsum([0] + [h.shape[1] for h in heads])
+        out = [[name, h[0].tobytes(), np.stack([s[a:b] for s in sums]).astype("<f8").tobytes(), None, None] for name, h, a, b in zip(blocks, heads, each[:-1], each[1:])]
+        out += [[r["block"], None, None, r["own"], r["carried"]] for r in homes.select(["block", "own", "carried"]).to_pylist()]
+        return pa.Table.from_arrays([pa.array([o[i] for o in out], pa.string() if i == 0 else pa.binary()) for i in range(5)], names=["block", "row", "sums", "own", "carried"])
+
+    asked = source.mapInArrow(ask, spool)
+    answers = asked.groupBy("bucket").applyInArrow(answer, "block string, row binary, sums binary, own binary, carried binary")
     schema = docs.select(*(F.col(f"`{c}`") for c in carried)).schema
     result = schema.fromDDL("n_tokens long, n_known long, train_tokens long, base_score double, score double")
     for f in reversed(schema.fields):
@@ -352,32 +390,27 @@ def score_texts(
     n_carried = len(carried)
 
     def finish(key: tuple, table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket").to_pylist()
-        first, second, third, fourth = (table.column(c).to_pylist() for c in ("first", "second", "third", "fourth"))
-        own = next(i for i, b in enumerate(bucket) if b < 0)
-        replies = [np.frombuffer(first[i], "<i8") for i in sorted((i for i in range(len(bucket)) if i != own), key=lambda i: bucket[i])]
-        totals = np.concatenate([np.zeros(0, np.int64), *replies])
-        index = np.frombuffer(first[own], "<i4")
-        tokens, score = np.frombuffer(second[own], "<i8").reshape(2, -1)
-        seen = totals[index]
-        row = np.repeat(np.arange(len(tokens)), tokens)
-        counted = np.bincount(row, weights=np.log10(seen + 1.0), minlength=len(tokens))
-        logs = counted + np.log10(train_rows + 1.0)
-        among = np.bincount(row, weights=within[np.frombuffer(fourth[own], np.uint8)][index], minlength=len(tokens))
-        known = np.bincount(row[seen > 0], minlength=len(tokens)) + int(train_rows > 0)
-        extra = pa.ipc.open_stream(third[own]).read_all() if n_carried else None
+        rows = table.to_pylist()
+        home = next(r for r in rows if r["own"] is not None)
+        tokens, among, named_logs, named_known = np.frombuffer(home["own"], "<f8").reshape(-1, 4).T
+        symbols, logs, known = np.zeros(len(tokens)), named_logs.copy(), named_known.copy()
+        # always in the same order, so that a rerun adds up alike
+        for r in sorted((r for r in rows if r["row"] is not None), key=lambda r: r["row"] + r["sums"]):
+            at = np.frombuffer(r["row"], "<u4")
+            for to, what in zip((symbols, logs, known), np.frombuffer(r["sums"], "<f8").reshape(3, -1)):
+                to[at] += what
+        end = np.log10(alphabet.rows + 1.0)
+        extra = pa.ipc.open_stream(home["carried"]).read_all() if n_carried else None
         return pa.Table.from_arrays(
             [extra.column(i) for i in range(n_carried)]
             + [
-                pa.array(tokens + 1, pa.int64()),
-                pa.array(known, pa.int64()),
+                pa.array(tokens.astype(np.int64), pa.int64()),
+                pa.array(known.astype(np.int64) + int(alphabet.rows > 0), pa.int64()),
                 pa.array(np.full(len(tokens), n_all), pa.int64()),
-                pa.array(logs - (tokens + 1) * np.log10(n_all + 1.0 * (vocabulary + 1)), pa.float64()),
-                pa.array(score.view(np.float64) + counted - among, pa.float64()),
+                pa.array(logs + end - tokens * np.log10(n_all + 1.0 * (vocabulary + 1)), pa.float64()),
+                pa.array(symbols + logs - among, pa.float64()),
             ],
             names=[f.name for f in result.fields],
         )
 
-    both = asked.filter("kind = 1").select("block", "bucket", "first", "second", "third", "fourth")
-    both = both.unionByName(answers.select("block", "bucket", F.col("totals").alias("first")), allowMissingColumns=True)
-    return both.groupBy("block").applyInArrow(finish, result)
+    return answers.groupBy("block").applyInArrow(finish, result)

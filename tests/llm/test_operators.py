@@ -159,17 +159,102 @@ def test_frequent_words_are_counted_whole(spark):
     texts = [" ".join([f"own{d}x{k}" for k in range(600) for _ in range(300)] + common * 200) for d in range(4)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for parts in (1, 4):
-        got, rows, _ = pst._frequent(docs.repartition(parts, "doc_id"), F.lit(False), "text")
+        got, _ = pst.count_words(docs.repartition(parts, "doc_id"), F.lit(False), "text", 1 << 20)
         data = np.frombuffer(" ".join(common).encode(), np.uint8)
-        assert set(got.tolist()) == set(pst.words_of(data, np.array([0, len(data)]))[3].tolist()) and rows == 4
+        assert set(got.words.tolist()) == set(pst.words_of(data, np.array([0, len(data)]))[0].tolist()) and got.rows == 4
+        assert set(got.counts.tolist()) == {800} and got.kinds.sum() == 4 * 600 + 127 + 1 and got.seen.sum() == 4 * 600 * 300 + 127 * 800 + 4
 
 
-def test_tree_states_are_distributions():
-    codes = np.repeat(np.array([1 << 16 | 2 << 8 | 3, 5 << 16 | 2 << 8 | 4, 2 << 8 | 9], np.int64), [1, 1, 1])
-    states = pst._grow(2, codes, np.array([500.0, 400.0, 2.0]), np.ones(256))
-    assert {s[0] for s in states} >= {1, 2}
-    for _, _, body in states:
-        assert abs(np.frombuffer(body, "<f4").sum() - 1) < 1e-4
+def remembering(seed, n):
+    """A word mostly is that which stands four before it."""
+    rng = np.random.default_rng(seed)
+    out = list(WORDS[:4])
+    for _ in range(n):
+        out.append(out[-4] if rng.random() < 0.9 else WORDS[rng.integers(5)])
+    return " ".join(out)
+
+
+class BruteTree:
+    """The suffix tree of all training texts in one dictionary, written from its definition."""
+
+    def __init__(self, rows, fold):
+        self.words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        train = [self.words(t) for i, t in rows if not fold(i)]
+        self.count = Counter(w for t in train for w in t)
+        key = {w: int(pst.words_of(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[0][0]) for w in self.count}
+        signed = lambda w: key[w] - (1 << 64) * (key[w] >= 1 << 63)
+        top = sorted(self.count, key=lambda w: (-self.count[w], signed(w)))[: pst.FREQUENT]
+        self.symbol_of = {w: k + 1 for k, w in enumerate(sorted(top, key=key.get))}
+        self.seen = Counter(self.symbol(w) for t in train for w in t) + Counter({0: len(train)})
+        self.kinds = Counter(self.symbol(w) for w in self.count)
+        whole = sum(self.seen.values()) + pst.SYMBOLS
+        self.root = [(self.seen[x] + 1) / whole for x in range(pst.SYMBOLS)]
+        self.next = {}
+        for t in train:
+            for context, x in self.windows(t):
+                for k in range(1, len(context) + 1):
+                    self.next.setdefault(context[:k], Counter())[x] += 1
+        self.kept = {c for c in self.next if len(c) == 1 and self.symbol_of.get(c[0], 0 if c[0] is None else 1000) <= pst.FREQUENT}
+        self.kept |= {c[:k] for c in self.next if self.diverges(c) for k in range(1, len(c) + 1)}
+
+    def symbol(self, w):
+        raw = w.encode()
+        return self.symbol_of.get(w) or int(pst._CLASS_OF_END[(raw[-2] << 8 | raw[-1]) if len(raw) > 1 else raw[-1]])
+
+    def windows(self, words):
+        """(word before, nearer to farther symbols) and the next symbol, for each word and the end."""
+        for j in range(len(words) + 1):
+            far = tuple(self.symbol(words[j - k]) if j >= k else 0 for k in range(2, pst.DEPTH + 1))
+            yield (words[j - 1] if j else None,) + far, self.symbol(words[j]) if j < len(words) else 0
+
+    def q(self, context, x):
+        parent = self.root[x] if len(context) == 1 else self.q(context[:-1], x)
+        c = self.next.get(context)
+        return parent if not c else (c[x] + len(c) * parent) / (c.total() + len(c))
+
+    def diverges(self, context):
+        c = self.next[context]
+        ratio = sum(n * math.log(n / c.total() / (self.root[x] if len(context) == 1 else self.q(context[:-1], x))) for x, n in c.items())
+        return bool(pst.passes(np.array(ratio), np.array(len(c))))
+
+    def score(self, text):
+        words = self.words(text)
+        out = 0.0
+        for j, (context, x) in enumerate(self.windows(words)):
+            longest = max((k for k in range(1, len(context) + 1) if context[:k] in self.kept), default=0)
+            if longest == 0 and self.symbol_of.get(context[0], 0 if context[0] is None else 1000) <= pst.FREQUENT:
+                longest = 1
+            out += math.log10(self.q(context[:longest], x) if longest else self.root[x])
+            if j < len(words):
+                out += math.log10((self.count[words[j]] + 1) / (self.seen[x] + self.kinds[x] + 1))
+        return out
+
+
+def test_lm_scores_are_those_of_the_tree(spark):
+    rows = [(k, text_of(k % 9 + 300, 60) + f" {text_of(k, 8)} end{k % 3}.") for k in range(60)] + ROWS + [(400, "the the the " * 900), (401, text_of(310, 700)), (402, remembering(1, 2500)), (403, remembering(2, 900))]
+    fold = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 7 == 2
+    tree = BruteTree(rows, fold)
+    assert max(len(c) for c in tree.kept) == pst.DEPTH
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id", "text")
+    for small in (1 << 12, 1 << 20):
+        got = pst.score_texts(docs, langid.fold(F.col("doc_id"), 7) == 2, keep=["doc_id", "text"], block_bytes=small, bucket_bytes=small).collect()
+        want = {(i, t): tree.score(t) for i, t in rows}
+        assert len(got) == len(rows)
+        for r in got:
+            assert abs(r["score"] - want[r["doc_id"], r["text"]]) < 1e-6 * max(1, abs(r["score"])), r
+
+
+def test_contexts_are_smoothed_distributions():
+    rng = np.random.default_rng(4)
+    first = rng.dirichlet(np.ones(pst.SYMBOLS), pst.FREQUENT + 1)
+    alphabet = pst.Alphabet(np.zeros(0, np.uint64), np.zeros(0, np.int64), rng.integers(0, 50, pst.SYMBOLS), np.ones(pst.SYMBOLS, np.int64), 9, first)
+    # one context asked for every next symbol: its probabilities add up to 1, whatever is kept
+    for context in (5 << 24 | 6 << 16 | 7 << 8, 0):
+        code = np.arange(pst.SYMBOLS, dtype=np.uint32) | np.uint32(context)
+        n = np.where(rng.random(pst.SYMBOLS) < 0.1, rng.integers(1, 90, pst.SYMBOLS), 0)
+        for named in (-1, 3):
+            logs, _ = pst.branch_scores(np.zeros(pst.SYMBOLS, np.int64), code, n, np.array([named]), alphabet)
+            assert abs((10**logs).sum() - 1) < 1e-9
 
 
 # ---- language ID
