@@ -32,6 +32,8 @@ FARTHER = 3
 DEPTH = 1 + FARTHER
 #: Words that a task counts before it sends them.
 HELD_WORDS = 1 << 19
+#: Entries of branches that a task scores at once (more only where one branch has them).
+HELD_ENTRIES = 1 << 18
 #: The branch of first tokens.
 START = np.uint64(0)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -49,8 +51,9 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def dealt(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each bucket that occurs with the places of its entries."""
+    bucket = bucket.astype(np.uint16 if len(bucket) and bucket.max() < 1 << 16 else np.int64)
     order = np.argsort(bucket, kind="stable")
-    cut = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+    cut = np.flatnonzero(np.diff(bucket[order].astype(np.int64), prepend=-1, append=-1))
     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
         yield int(bucket[order[a]]), order[a:b]
 
@@ -217,20 +220,20 @@ def branch_scores(branch: np.ndarray, code: np.ndarray, n: np.ndarray, named: np
     distribution is (count + kinds * suffix's) / (total + kinds). A context is kept if it diverges from its suffix or
     one of its extensions is kept.
     """
-    nxt = (code & np.uint32(255)).astype(np.int64)
+    nxt = code.astype(np.uint8)
     total = np.bincount(branch, weights=n, minlength=len(named))
     key = branch.astype(np.uint64) << np.uint64(32) | code.astype(np.uint64)
     # from the longest contexts to the branch alone: each entry's context, count, symbol and entry of the next level
     levels = []
     for level in range(DEPTH, 0, -1):
         context, own = np.unique(key >> np.uint64(8), return_inverse=True)
-        levels.append({"own": own, "contexts": context, "n": n, "next": nxt})
+        levels.append({"own": own.astype(np.int32), "contexts": context, "n": n, "next": nxt})
         if level > 1:
             shorter = (key >> np.uint64(16)) << np.uint64(8) | nxt.astype(np.uint64)
             key, up = np.unique(shorter, return_inverse=True)
             n = np.bincount(up, weights=n, minlength=len(key))
-            nxt = (key & np.uint64(255)).astype(np.int64)
-            levels[-1]["up"] = up
+            nxt = key.astype(np.uint8)
+            levels[-1]["up"] = up.astype(np.int32)
     root = alphabet.root
     for k in range(DEPTH - 1, -1, -1):
         a = levels[k]
@@ -297,12 +300,11 @@ def score_texts(
         shift = np.cumsum([0] + [len(p[3]) for p in parts])
         row, word, code, train, own = (np.concatenate([p[k] for p in parts]) for k in range(5))
         row = row + np.repeat(shift[:-1], [len(p[0]) for p in parts])
-        # one entry for each distinct (row, word, code)
-        order = np.lexsort((code, word, row))
-        row, word, code = row[order], word[order], code[order]
-        fresh = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(word, prepend=np.uint64(0)) != 0) | (np.diff(code.astype(np.int64), prepend=-1) != 0))
-        times = np.minimum(np.diff(np.append(fresh, len(row))), (1 << 32) - 1)
-        row, word, code = row[fresh], word[fresh], code[fresh]
+        # one entry for each distinct (row, word, code), in the order of the rows
+        _, at, times = np.unique(mix64(mix64(word + row.astype(np.uint64) * _ODD) + code.astype(np.uint64) * _ODD), return_index=True, return_counts=True)
+        order = np.argsort(at)
+        at, times = at[order], times[order]
+        row, word, code = row[at], word[at], code[at]
         symbol = model.symbols(word, np.full(len(word), 255, np.uint8))
         frequent = (symbol <= FREQUENT) | (word == START)
         far = np.where(frequent, mix64(word + (code >> np.uint32(24)).astype(np.uint64) * _ODD), word)
@@ -354,7 +356,7 @@ def score_texts(
         blocks = asks.column("block").to_pylist()
         heads = [np.frombuffer(x, "<u4").reshape(2, -1) for x in asks.column("row").to_pylist()]
         codes = [np.frombuffer(x, "<u4") for x in asks.column("code").to_pylist()]
-        times = np.concatenate([np.zeros(0, np.uint32)] + [np.frombuffer(x, "<u4") for x in asks.column("times").to_pylist()]).astype(np.float64)
+        times = np.concatenate([np.zeros(0, np.uint32)] + [np.frombuffer(x, "<u4") for x in asks.column("times").to_pylist()])
         train = np.concatenate([np.zeros(0, bool)] + [np.repeat(np.frombuffer(t, bool), h[1]) for t, h in zip(asks.column("train").to_pylist(), heads)])
         words, at, base = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
         for body, c in zip(asks.column("branch").to_pylist(), codes):
@@ -362,19 +364,27 @@ def score_texts(
             at.append(np.frombuffer(body, "<u4", len(c), 8 * len(words[-1])).astype(np.int64) + base)
             base += len(words[-1])
         branch, of = np.unique(np.concatenate(words), return_inverse=True)
-        place = of[np.concatenate(at)] if len(of) else np.zeros(0, np.int64)
-        keys, index = np.unique(place.astype(np.uint64) << np.uint64(32) | np.concatenate([np.zeros(0, np.uint32), *codes]).astype(np.uint64), return_inverse=True)
-        del place, codes
-        n = np.bincount(index, weights=times * train, minlength=len(keys))
+        place = of[np.concatenate(at)].astype(np.int32) if len(of) else np.zeros(0, np.int32)
+        code = np.concatenate([np.zeros(0, np.uint32), *codes])
+        del at, codes
         symbol = model.symbols(branch, np.full(len(branch), 255, np.uint8)).astype(np.int64)
         named = np.where(branch == START, 0, np.where(symbol <= FREQUENT, symbol, -1))
-        own = (keys >> np.uint64(32)).astype(np.int64)
-        logs, total = branch_scores(own, (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), n, named, model)
-        rare = named[own] < 0
-        base_logs = np.where(rare, np.log10(total[own] + 1.0), 0.0)
-        known = rare & (total[own] > 0)
+        logs, base_logs, known = np.zeros(len(code)), np.zeros(len(code)), np.zeros(len(code), bool)
+        # branches know nothing of each other: a few at a time are held
+        many = np.cumsum(np.bincount(place, minlength=len(branch)))
+        for _, some in dealt((many // HELD_ENTRIES)[place]) if len(code) else ():
+            low = int(place[some].min())
+            keys, index = np.unique((place[some] - low).astype(np.uint64) << np.uint64(32) | code[some], return_inverse=True)
+            own = (keys >> np.uint64(32)).astype(np.int32)
+            n = np.bincount(index, weights=np.where(train[some], times[some], 0), minlength=len(keys))
+            sign = named[low : low + int(own.max()) + 1]
+            found, total = branch_scores(own, keys.astype(np.uint32), n, sign, model)
+            rare = sign < 0
+            logs[some] = found[index]
+            base_logs[some] = np.where(rare, np.log10(total + 1.0), 0.0)[own[index]]
+            known[some] = (rare & (total > 0))[own[index]]
         cut = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64)] + [h[1].astype(np.int64) for h in heads]))])
-        sums = [np.add.reduceat(np.append(times * v[index], 0.0), cut[:-1]) if len(cut) > 1 else np.zeros(0) for v in (logs, base_logs, known)]
+        sums = [np.add.reduceat(np.append(times * v, 0.0), cut[:-1]) if len(cut) > 1 else np.zeros(0) for v in (logs, base_logs, known)]
         each = np.cumsum([0] + [h.shape[1] for h in heads])
         out = [[name, h[0].tobytes(), np.stack([s[a:b] for s in sums]).astype("<f8").tobytes(), None, None] for name, h, a, b in zip(blocks, heads, each[:-1], each[1:])]
         out += [[r["block"], None, None, r["own"], r["carried"]] for r in homes.select(["block", "own", "carried"]).to_pylist()]
