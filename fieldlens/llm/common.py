@@ -162,6 +162,20 @@ def _joined(part: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"\n".join(part) + b"\n", np.uint8), offsets
 
 
+def dealt(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket (a number from 0) that occurs, with the places of its entries."""
+    bucket = bucket.astype(np.uint16 if len(bucket) and bucket.max() < 1 << 16 else np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cut = np.flatnonzero(np.diff(bucket[order].astype(np.int64), prepend=-1, append=-1))
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        yield int(bucket[order[a]]), order[a:b]
+
+
+def slot(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each hash, by its higher half."""
+    return (((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
 def concat_rows(batch: pa.RecordBatch, drop: Iterable[str], new: dict[str, pa.Array]) -> pa.RecordBatch:
     """The batch without the columns in drop, followed by the new ones."""
     gone = set(drop)

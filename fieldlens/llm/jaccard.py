@@ -18,12 +18,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, free_name, mix64, runs, scratch, slices, span_hashes
+from .common import LOWER, NOT_SPACE, dealt, discard, free_name, mix64, runs, scratch, slices, slot, span_hashes
 
-BLOCK = 1024
+#: Classes of one address or cluster that a task compares with as many others: a group is cut into blocks of BLOCK at
+#: least, into no more than MOST_BLOCKS until these hold LARGE_BLOCK.
+BLOCK, MOST_BLOCKS, LARGE_BLOCK = 64, 24, 1024
+#: An address with so many classes in one task's part is taken out of its bucket.
+HEAVY = 64
 SMALL = 24
 MOST_BITS = 1 << 15
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -183,21 +187,25 @@ def described(docs: DataFrame, n: int, text: str, carry: list[str]) -> DataFrame
 
 
 def shared_addresses(docs: DataFrame, n: int, tiles: Tiles, text: str, buckets: int) -> DataFrame:
-    """(address, tile, class, others): the addresses that several classes share.
+    """(address, tile, class, others): the addresses that several classes share; others is the number of these classes.
 
-    Tasks send their addresses, each class once, as packed arrays to the bucket of the address. An address that much
-    of the corpus has comes once from each task's block with all its classes.
+    Tasks send their addresses, each class once, as packed arrays to the bucket of the address. An address that many
+    classes of a task's part have is known to be shared: two of the classes go to the bucket, where they meet those of
+    other parts, and the rest are rows of their own, so no bucket grows with a hot address.
     """
     source = docs.select(F.col(f"`{text}`").alias("text"))
-    spool = "bucket int, addresses binary, tiles binary, classes binary"
 
     def packed(address: np.ndarray, tile: np.ndarray, name: np.ndarray) -> pa.RecordBatch:
-        bucket = (((address >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        spans = [(b, order[cut[b] : cut[b + 1]]) for b in range(buckets) if cut[b] < cut[b + 1]]
+        order = np.argsort(address, kind="stable")
+        address, tile, name = address[order], tile[order], name[order]
+        first = np.flatnonzero(np.diff(address, prepend=~address[:1]))
+        nth = np.arange(len(address)) - np.repeat(first, np.diff(np.append(first, len(address))))
+        many = np.repeat(np.diff(np.append(first, len(address))), np.diff(np.append(first, len(address))))
+        # bucket 0 holds what is known to be shared
+        bucket = np.where((many >= HEAVY) & (nth > 1), 0, 1 + slot(address, buckets))
+        spans = list(dealt(bucket))
         return pa.RecordBatch.from_arrays(
-            [pa.array([b for b, _ in spans], pa.int32())] + [pa.array([x[i].tobytes() for _, i in spans], pa.binary()) for x in (address, tile, name)],
+            [pa.array([b - 1 for b, _ in spans], pa.int32())] + [pa.array([x[i].tobytes() for _, i in spans], pa.binary()) for x in (address, tile, name)],
             names=["bucket", "addresses", "tiles", "classes"],
         )
 
@@ -221,10 +229,14 @@ def shared_addresses(docs: DataFrame, n: int, tiles: Tiles, text: str, buckets:
         if size:
             yield packed(*(np.concatenate(k) for k in kept))
 
+    def unpacked(columns: list[list[bytes]]) -> list[np.ndarray]:
+        return [np.concatenate([np.zeros(0, kind), *(np.frombuffer(b, kind) for b in c)]) for c, kind in zip(columns, ("<u8", "<i4", "<i8"))]
+
+    def rows_of(address: np.ndarray, tile: np.ndarray, name: np.ndarray) -> dict[str, pa.Array]:
+        return {"address": pa.array(address.view(np.int64), pa.int64()), "tile": pa.array(tile, pa.int32()), "class": pa.array(name, pa.int64())}
+
     def meet(key: tuple, table: pa.Table) -> pa.Table:
-        address, tile, name = (
-            np.concatenate([np.frombuffer(b, kind) for b in table.column(c).to_pylist()]) for c, kind in (("addresses", "<u8"), ("tiles", "<i4"), ("classes", "<i8"))
-        )
+        address, tile, name = unpacked([table.column(c).to_pylist() for c in ("addresses", "tiles", "classes")])
         _, own, count = np.unique(address, return_inverse=True, return_counts=True)
         several = np.flatnonzero(count[own] > 1)
         address, tile, name = address[several], tile[several], name[several]
@@ -235,24 +247,38 @@ def shared_addresses(docs: DataFrame, n: int, tiles: Tiles, text: str, buckets:
         address, tile, name = address[fresh], tile[fresh], name[fresh]
         _, own, count = np.unique(address, return_inverse=True, return_counts=True)
         several = count[own] > 1
-        return pa.Table.from_arrays(
-            [
-                pa.array(address[several].view(np.int64), pa.int64()),
-                pa.array(tile[several], pa.int32()),
-                pa.array(name[several], pa.int64()),
-                pa.array(count[own][several], pa.int64()),
-            ],
-            names=["address", "tile", "class", "others"],
-        )
+        return pa.table(rows_of(address[several], tile[several], name[several]))
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict(rows_of(*unpacked([c.to_pylist() for c in batch.columns])))
+
+    sent = scratch(source.mapInArrow(send, "bucket int, addresses binary, tiles binary, classes binary"), "jaccard-addresses")
+    row = "address long, tile int, class long"
+    met = sent.filter("bucket >= 0").groupBy("bucket").applyInArrow(meet, row)
+    hot = sent.filter("bucket < 0").select("addresses", "tiles", "classes").mapInArrow(known, row)
+    met = scratch(met.unionByName(hot).groupBy("address", "class").agg(F.first("tile").alias("tile")), "jaccard-met")
+    discard(sent)
+    sizes = met.groupBy("address").agg(F.count("*").alias("others"))
+    return met.join(sizes, "address")
+
+
+def blocks_of(size: Column) -> Column:
+    """The number of blocks of a group: many for a group of medium size, which then is work for many tasks, while each
+    block of a large one holds LARGE_BLOCK, as every row goes to every block of its group."""
+    at_least = lambda n: F.ceil(size / F.lit(n)).cast("int")
+    return F.greatest(F.least(at_least(BLOCK), F.lit(MOST_BLOCKS)), at_least(LARGE_BLOCK), F.lit(1))
 
-    return source.mapInArrow(send, spool).groupBy("bucket").applyInArrow(meet, "address long, tile int, class long, others long")
 
+def own_block(item: str, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(item), blocks).cast("int")
 
-def in_blocks(rows: DataFrame, group: str, size: str, item: str, most: int) -> DataFrame:
-    """rows with `block_a` and `block_b`: a group of over `most` rows is cut into blocks, each pair of which is a task
-    of its own, so that no task holds a whole large group and yet all its pairs meet."""
-    blocks = F.ceil(F.col(size) / F.lit(most)).cast("int")
-    own = F.pmod(F.xxhash64(item), blocks).cast("int")
+
+def in_blocks(rows: DataFrame, size: str, item: str) -> DataFrame:
+    """rows with `block_a` and `block_b`: each pair of blocks of a group is a task of its own, so that no task holds a
+    whole large group and yet all its pairs meet."""
+    blocks = blocks_of(F.col(size))
+    own = own_block(item, blocks)
     pairs = F.when(blocks <= 1, F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))).otherwise(
         F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(own, o).alias("a"), F.greatest(own, o).alias("b")))
     )
@@ -262,7 +288,7 @@ def in_blocks(rows: DataFrame, group: str, size: str, item: str, most: int) -> D
 def bitmap_links(shared: DataFrame, classes: DataFrame, tiles: Tiles, buckets: int) -> DataFrame:
     """(class, other, weight): links that join all classes whose bitmaps leave them similar at a shared address."""
     rows = shared.join(classes.select("class", "n_shingles", "bitmap"), "class")
-    rows = in_blocks(rows, "address", "others", "class", 4 * BLOCK)
+    rows = in_blocks(rows, "others", "class")
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("address", "block_a", "block_b"), F.lit(buckets)).cast("int"))
     rows = rows.select("bucket", "address", "block_a", "block_b", "tile", "class", "n_shingles", "bitmap")
 
@@ -332,11 +358,54 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         up = labels.select(F.col("node").alias("low"), F.col("component").alias("further"))
         new = new.join(up, "low", "left").select("node", "was", F.least("low", F.coalesce("further", "low")).alias("component"))
         new = scratch(new, name)
+        discard(labels)
         if new.filter("was <> component").isEmpty():
+            discard(both)
             return new.select("node", "component")
         labels = new.select("node", "component")
 
 
+def by_pivot(body: DataFrame, tiles: Tiles) -> tuple[DataFrame, DataFrame]:
+    """(class, near, left) of the classes of clusters of more than one block, and the exact links (a, b) of their pivots.
+
+    A cluster's pivot is its most central class. `near` classes are similar to it; `left` is the number of the others
+    in the cluster, which alone are still to be compared with all.
+    """
+    large = body.filter(F.col("in_cluster") > BLOCK).select("cluster", "class", "weight", "shingles")
+    heads = large.groupBy("cluster").agg(F.max_by(F.struct("class", "shingles"), F.struct("weight", "class")).alias("p"))
+    heads = heads.select("cluster", F.col("p.class").alias("pivot"), F.col("p.shingles").alias("other"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for one, two in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                x, y = np.frombuffer(one, "<u8"), np.frombuffer(two, "<u8")
+                near.append(bool(tiles.similar(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(near, pa.bool_())], names=["cluster", "class", "pivot", "near"])
+
+    met = large.join(heads, "cluster").select("cluster", "class", "pivot", "shingles", "other")
+    met = scratch(met.mapInArrow(compare, "cluster long, class long, pivot long, near boolean"), "jaccard-pivots")
+    left = met.groupBy("cluster").agg(F.count_if(~F.col("near")).alias("left"))
+    links = met.filter("near AND class <> pivot").select(F.col("class").alias("a"), F.col("pivot").alias("b"))
+    return met.join(left, "cluster").select("class", "near", "left"), links
+
+
+def beside_pivot(body: DataFrame, flagged: DataFrame) -> DataFrame:
+    """body in blocks, where `block_own` is 1 for classes that are to be compared with all of their cluster, else 0.
+
+    A small cluster is one block. In a large one the classes that are not near the pivot are in blocks of their own,
+    each of which meets every block of the cluster; a near class goes to as many tasks as there are such blocks.
+    """
+    rows = body.join(flagged, "class", "left").withColumn("block_own", F.coalesce((~F.col("near")).cast("int"), F.lit(1)))
+    every, others = blocks_of(F.col("in_cluster")), F.when(F.col("left") > 0, blocks_of(F.col("left"))).otherwise(0)
+    task = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
+    span = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    as_one = F.transform(span(others), lambda i: task(i, own_block("class", every)))
+    as_other = F.when(F.col("block_own") == 1, F.transform(span(every), lambda j: task(own_block("class", others), j))).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
+    tasks = F.when(F.col("near").isNull(), F.array(task(F.lit(0), F.lit(0)))).otherwise(F.array_distinct(F.concat(as_one, as_other)))
+    return rows.withColumn("_p", F.explode(tasks)).withColumns({"block_a": F.col("_p.a"), "block_b": F.col("_p.b")}).drop("_p", "near", "left")
+
+
 def exact_links(
     docs: DataFrame, n: int, text: str, doc_id: str, members: DataFrame, classes: DataFrame, tiles: Tiles, buckets: int, small: int, every: bool, pairs: bool
 ) -> DataFrame:
@@ -363,14 +432,12 @@ def exact_links(
     body = ids.mapInArrow(sets, "class long, shingles binary")
     body = body.join(F.broadcast(members) if few else members, "class").dropDuplicates(["class"])
     body = scratch(body, "jaccard-sets")
-    rows = in_blocks(body, "cluster", "in_cluster", "class", BLOCK)
-    if not every:
-        # the most central class of a large cluster goes to all its blocks, as it joins most of it
-        heads = body.filter(F.col("in_cluster") > BLOCK).groupBy("cluster").agg(F.max(F.struct("weight", "class")).alias("lead"))
-        blocks = F.ceil(F.col("in_cluster") / F.lit(BLOCK)).cast("int")
-        chosen = body.join(heads, "cluster").filter(F.col("class") == F.col("lead.class")).drop("lead")
-        spread = chosen.withColumn("block_a", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("block_b", F.explode(F.sequence(F.col("block_a"), blocks - 1)))
-        rows = rows.unionByName(spread.withColumn("block_own", F.lit(-1)))
+    pivots = None
+    if every:
+        rows = in_blocks(body, "in_cluster", "class")
+    else:
+        flagged, pivots = by_pivot(body, tiles)
+        rows = beside_pivot(body, flagged)
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("cluster", "block_a", "block_b"), F.lit(buckets)).cast("int"))
     rows = rows.select("bucket", "cluster", "block_a", "block_b", "class", "weight", "block_own", "copies", "shingles")
     none = np.zeros(0, np.int64)
@@ -424,12 +491,15 @@ def exact_links(
         maps = np.stack([bitmap(s, bits) for s in sets_])
         mark = np.zeros(int(code.max()) + 1, bool)
         forest = Forest(len(at))
+        if not every and (side[at] == 0).any():
+            # these have met their cluster's pivot
+            forest.label[side[at] == 0] = np.flatnonzero(side[at] == 0)[0]
         one, two = [none], [none]
         for p in range(len(at)):
             if every:
                 open_ = p + 1 + np.flatnonzero(side[at[p + 1 :]] != side[at[p]]) if cross else np.arange(p + 1, len(at))
             else:
-                open_ = p + 1 + np.flatnonzero(forest.label[p + 1 :] != forest.label[p])
+                open_ = p + 1 + np.flatnonzero((forest.label[p + 1 :] != forest.label[p]) & ((side[at[p + 1 :]] | side[at[p]]) == 1))
             most = tiles.may_differ(size[p], size[open_])
             near = np.abs(size[open_] - size[p]) <= most
             open_, most = open_[near], most[near]
@@ -447,7 +517,8 @@ def exact_links(
                 two.append(hit)
         return at, np.concatenate(one), np.concatenate(two)
 
-    return rows.groupBy("bucket").applyInArrow(compare, "a long, b long, linked long, others array<long>")
+    found = rows.groupBy("bucket").applyInArrow(compare, "a long, b long, linked long, others array<long>")
+    return found if pivots is None else found.unionByName(pivots, allowMissingColumns=True)
 
 
 def class_links(
@@ -525,7 +596,9 @@ def jaccard_join(
         named = named.withColumn("n_links", F.coalesce("linked", F.lit(0)) + F.col("copies") - 1)
     counted = ["n_links"] if count_links else []
     named = scratch(named.select(F.col("class").alias("_c"), "component_id", *counted), "jaccard-names")
-    out = rows.join(named, F.col("class") == F.col("_c"), "left")
+    # rows without a class meet nothing, so they are not dealt by it; copies of one text are split by adaptive execution
+    some = rows.filter("class IS NOT NULL").join(named, F.col("class") == F.col("_c"))
+    out = some.unionByName(rows.filter("class IS NULL"), allowMissingColumns=True)
     return out.select(
         *(F.col(i).alias(c) for c, i in zip(carried, inner)),
         "n_shingles",

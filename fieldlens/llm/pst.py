@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, discard, mix64, runs, scratch, slices, span_hashes
+from .common import LOWER, NOT_SPACE, dealt, discard, mix64, runs, scratch, slices, slot, span_hashes
 
 SYMBOLS, END, FREQUENT = 256, 0, 127
 #: Symbols of a context beyond its word.
@@ -49,19 +49,6 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.maximum(span_hashes(low, starts, ends), np.uint64(1)), classes, np.searchsorted(starts, offsets)
 
 
-def dealt(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each bucket that occurs with the places of its entries."""
-    bucket = bucket.astype(np.uint16 if len(bucket) and bucket.max() < 1 << 16 else np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cut = np.flatnonzero(np.diff(bucket[order].astype(np.int64), prepend=-1, append=-1))
-    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-        yield int(bucket[order[a]]), order[a:b]
-
-
-def _slot(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return (((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
-
-
 @dataclass
 class Alphabet:
     """What all tasks know: the frequent words, sorted, with their counts, totals, and the first level of the tree.
@@ -100,7 +87,7 @@ def count_words(docs: DataFrame, held: Column, text: str, bucket_bytes: int) ->
     buckets = max(64, -(-size // bucket_bytes))
 
     def packed(words: np.ndarray, classes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        each = [(b, words[i].tobytes(), classes[i].astype(np.uint8).tobytes(), counts[i].astype("<u4").tobytes()) for b, i in dealt(_slot(words, buckets))]
+        each = [(b, words[i].tobytes(), classes[i].astype(np.uint8).tobytes(), counts[i].astype("<u4").tobytes()) for b, i in dealt(slot(words, buckets))]
         kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*each), kinds)], names=["bucket", "words", "classes", "counts"])
 
@@ -310,7 +297,7 @@ def score_texts(
         far = np.where(frequent, mix64(word + (code >> np.uint32(24)).astype(np.uint64) * _ODD), word)
         home = zlib.crc32(block.encode()) % buckets
         out = []
-        for b, at in dealt(_slot(mix64(far), buckets)):
+        for b, at in dealt(slot(mix64(far), buckets)):
             distinct, index = np.unique(word[at], return_inverse=True)
             some, mine = np.unique(row[at], return_counts=True)
             head = np.stack([some, mine]).astype("<u4")

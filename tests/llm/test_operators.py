@@ -316,6 +316,8 @@ def test_jaccard_fixture(spark, docs, empty, n, num):
 @pytest.mark.parametrize("n,num,block", [(3, 90, 1024), (5, 80, 1024), (3, 90, 8)])
 def test_jaccard_random_edits(spark, monkeypatch, n, num, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "LARGE_BLOCK", 4 * block)
+    monkeypatch.setattr(jaccard, "HEAVY", 3)
     rng = np.random.default_rng(n)
     rows, i = [], 0
     for family in range(25):
@@ -325,13 +327,27 @@ def test_jaccard_random_edits(spark, monkeypatch, n, num, block):
             for _ in range(int(rng.integers(0, max(1, len(own) // 25) + 1))):
                 own[int(rng.integers(len(own)))] = f"new{rng.integers(10**6)}"
             rows.append((i := i + 1, " ".join(own)))
-    got = table(jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), n=n, num=num), "doc_id", "n_shingles", "component_id")
-    assert got == brute_components(rows, n, num, 100)
+    for links in (True, False):
+        got = table(jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), n=n, num=num, count_links=links), "doc_id", "n_shingles", "component_id")
+        assert got == brute_components(rows, n, num, 100)
+
+
+@pytest.mark.parametrize("count_links", [True, False])
+def test_a_chain_of_near_copies_is_one_component(spark, monkeypatch, count_links):
+    # each copy has one more word changed, so few are similar to any pivot, and all are linked through their neighbours
+    for name, value in (("BLOCK", 4), ("MOST_BLOCKS", 3), ("LARGE_BLOCK", 8), ("HEAVY", 2)):
+        monkeypatch.setattr(jaccard, name, value)
+    words = text_of(77, 150).split()
+    rows = [(200 - k, " ".join([f"new{j}" if j * 7 < k * 7 else w for j, w in enumerate(words)])) for k in range(0, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = table(jaccard.jaccard_join(docs, count_links=count_links), "doc_id", "n_shingles", "component_id")
+    assert got == brute_components(rows, 3, 90, 100) and {g[2] for g in got} == {141}
 
 
 @pytest.mark.parametrize("block", [1024, 4])
 def test_jaccard_counts_every_link(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "LARGE_BLOCK", 2 * block)
     words, rows = text_of(71, 120).split(), list(ROWS)
     for k in range(30):
         own = list(words)
