@@ -3,13 +3,14 @@ boundaries refined until they meet a tolerance, and then the rows are exchanged
 
 from __future__ import annotations
 
+import bisect
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import free_name, scratch
+from .common import discard, free_name, scratch
 
 ROW_BYTES = 16
 LOWEST = -(1 << 63)
@@ -43,19 +44,20 @@ def _keyed(docs: DataFrame, text: str, doc_id: str, names: dict[str, str]) -> Da
 
 
 def _table(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
-    """A small table of longs as a VALUES clause (LOWEST has no literal of its own)."""
-    text = ", ".join("(" + ", ".join(f"CAST('{v}' AS BIGINT)" for v in r) + ")" for r in rows)
-    return spark.sql(f"SELECT * FROM VALUES {text} AS t({', '.join(names)})")
+    """A small table of longs from the driver."""
+    return spark.createDataFrame(rows, ", ".join(f"`{n}` long" for n in names)).coalesce(1)
 
 
-def find_splitters(keys: DataFrame, pieces: int, tolerance: float, cells_per_piece: int = 64, most_rounds: int = 48) -> tuple[list[Splitter], int]:
+def find_splitters(keys: DataFrame, pieces: int, tolerance: float, cells_per_piece: int = 64) -> tuple[list[Splitter], int]:
     """The splitters that cut keys (k0, k1, k2, size) into pieces of near equal bytes, and the rows.
 
-    Every round lays a grid of cells over each interval that still holds a target, counts the bytes and rows of each
+    Every round lays a grid of cells over each interval that still holds a target, counts the bytes of each
     cell exactly and notes its least and greatest key. A target is met when a cell's edge lies within
     tolerance * (bytes of a piece), or when its cell holds one key only. An interval whose rows all share the text
     hash is cut by id, and one whose rows share that as well by row number, so that a hot text is split like any other.
-    The driver sees at most cells_per_piece + 1 counts for each piece and round.
+    Intervals shrink by their number of cells, so the rounds end. A round writes the keys that are still in an open
+    interval, so that none repeats the work of those before it. The driver sees, each round, at most cells_per_piece
+    counts for each target and open interval: 128 times the pieces.
     """
     spark = keys.sparkSession
     whole = keys.agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.min(F.struct(*KEY)).alias("lo"), F.max(F.struct(*KEY)).alias("hi")).first()
@@ -64,53 +66,46 @@ def find_splitters(keys: DataFrame, pieces: int, tolerance: float, cells_per_pie
         return [], rows
     open_cells = {0: (0, tuple(whole["lo"]), tuple(whole["hi"]), [total * j / pieces for j in range(1, pieces)])}
     met: dict[float, tuple] = {}
-    at = keys.withColumn("cell", F.lit(0).cast("long"))
-    n = max(cells_per_piece * min(pieces, 64), 256)
-    for _ in range(most_rounds):
-        if not open_cells:
-            break
-        plan, level = [], {}
-        for cell, (before, lo, hi, targets) in open_cells.items():
-            d = next((i for i in range(3) if lo[i] != hi[i]), 2)
+    at, written = keys.withColumn("interval", F.lit(0).cast("long")), None
+    while open_cells:
+        plan = []
+        for i, (_, lo, hi, targets) in open_cells.items():
+            d = next((k for k in range(3) if lo[k] != hi[k]), 2)
             width = hi[d] - lo[d] + 1
-            plan.append((cell, d, lo[d], -(-width // n)))
-            level[cell] = (before, targets)
-        grid = F.broadcast(_table(spark, plan, ["cell", "d", "low", "step"]))
+            plan.append((i, d, lo[d], -(-width // (cells_per_piece * (len(targets) + 1)))))
+        grid = F.broadcast(_table(spark, plan, ["interval", "d", "low", "step"]))
         on = F.when(F.col("d") == 0, F.col("k0")).when(F.col("d") == 1, F.col("k1")).otherwise(F.col("k2"))
         # decimals, as the difference of two longs need not fit one
         index = F.floor((on.cast("decimal(20,0)") - F.col("low").cast("decimal(20,0)")) / F.col("step").cast("decimal(20,0)")).cast("long")
-        at = at.join(grid, "cell").withColumn("cell", F.col("cell") * (n + 1) + index).select(*KEY, "size", "cell")
-        counts = at.groupBy("cell").agg(F.sum("size").alias("b"), F.min(F.struct(*KEY)).alias("lo"), F.max(F.struct(*KEY)).alias("hi")).collect()
+        at = at.join(grid, "interval").withColumn("cell", index).select(*KEY, "size", "interval", "cell")
+        counts = at.groupBy("interval", "cell").agg(F.sum("size").alias("b"), F.min(F.struct(*KEY)).alias("lo"), F.max(F.struct(*KEY)).alias("hi")).collect()
         found: dict[int, list] = {}
         for r in counts:
-            found.setdefault(r["cell"] // (n + 1), []).append((r["cell"], int(r["b"]), tuple(r["lo"]), tuple(r["hi"])))
-        nxt: dict[int, tuple] = {}
-        for parent, (before, targets) in level.items():
-            acc, cells = before, sorted(found[parent])
-            spans = []
-            for cell, size, lo, hi in cells:
+            found.setdefault(r["interval"], []).append((r["cell"], int(r["b"]), tuple(r["lo"]), tuple(r["hi"])))
+        nxt: dict[tuple, tuple] = {}
+        for i, (before, _, _, targets) in open_cells.items():
+            acc, spans = before, []
+            for cell, size, lo, hi in sorted(found[i]):
                 spans.append((acc, acc + size, cell, lo, hi))
                 acc += size
+            ends = [s[1] for s in spans]
             for t in targets:
-                i = next(k for k, s in enumerate(spans) if t <= s[1] or k == len(spans) - 1)
-                start, end, cell, lo, hi = spans[i]
-                edges = [(abs(start - t), lo), (abs(end - t), spans[i + 1][3] if i + 1 < len(spans) else None)]
-                gap, key = min(edges, key=lambda e: e[0])
-                single = lo == hi
-                if key is None and (single or gap <= tolerance * total / pieces):
-                    key = _after(hi)
-                if single or gap <= tolerance * total / pieces:
+                k = min(bisect.bisect_left(ends, t), len(spans) - 1)
+                start, end, cell, lo, hi = spans[k]
+                edges = [(abs(start - t), lo), (abs(end - t), spans[k + 1][3] if k + 1 < len(spans) else _after(hi))]
+                gap, key = min(edges)
+                if lo == hi or gap <= tolerance * total / pieces:
                     met[t] = key
                 else:
-                    nxt.setdefault(cell, (start, lo, hi, []))[3].append(t)
-        # ids stay small: the open cells are numbered anew
-        order = sorted(nxt)
-        open_cells = {i: nxt[c] for i, c in enumerate(order)}
-        if order:
-            renamed = F.broadcast(_table(spark, [(c, i) for i, c in enumerate(order)], ["cell", "as"]))
-            at = at.join(renamed, "cell").select(*KEY, "size", F.col("as").alias("cell"))
-    for _, (start, lo, _hi, targets) in open_cells.items():
-        met |= {t: lo for t in targets}
+                    nxt.setdefault((i, cell), (start, lo, hi, []))[3].append(t)
+        numbered = sorted(nxt)
+        open_cells = {k: nxt[c] for k, c in enumerate(numbered)}
+        if numbered:
+            renamed = F.broadcast(_table(spark, [(*c, k) for k, c in enumerate(numbered)], ["interval", "cell", "as"]))
+            at = scratch(at.join(renamed, ["interval", "cell"]).select(*KEY, "size", F.col("as").alias("interval")), "shard-round")
+        if written is not None:
+            discard(written)
+        written = at if numbered else None
     return [Splitter(*met[t]) for t in sorted(met)], rows
 
 
@@ -118,6 +113,27 @@ def _after(key: tuple) -> tuple:
     return (key[0], key[1], key[2] + 1)
 
 
+def with_piece(rows: DataFrame, splitters: list[Splitter], key: list[str], name: str) -> DataFrame:
+    """rows with the number of splitters at or below their key: a binary search of the sorted splitters, which are one
+    broadcast row (24 bytes each, as many as pieces)."""
+    if not splitters:
+        return rows.withColumn(name, F.lit(0))
+    cuts = free_name(rows, "_cuts")
+    table = _table(rows.sparkSession, [(i, s.k0, s.k1, s.k2) for i, s in enumerate(splitters)], ["i", *KEY])
+    one = table.agg(F.array_sort(F.collect_list(F.struct(*KEY))).alias(cuts))
+    own = F.struct(*(F.col(k).alias(n) for k, n in zip(key, KEY)))
+    span = F.struct(F.lit(0).alias("low"), F.lit(len(splitters)).alias("high"))
+
+    def halved(s, _):
+        mid = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        left = F.get(F.col(cuts), mid) <= own
+        return F.struct(F.when(left, mid + 1).otherwise(s["low"]).alias("low"), F.when(left, s["high"]).otherwise(mid).alias("high"))
+
+    steps = F.sequence(F.lit(1), F.lit(len(splitters).bit_length()))
+    found = F.aggregate(steps, span, lambda s, i: F.when(s["low"] < s["high"], halved(s, i)).otherwise(s), lambda s: s["low"])
+    return rows.join(F.broadcast(one), F.lit(True)).withColumn(name, found).drop(cuts)
+
+
 def shard_by_bytes(
     docs: DataFrame,
     shards: int = 40,
@@ -130,8 +146,9 @@ def shard_by_bytes(
 
     A row counts its UTF-8 bytes (null: none) plus 16. Rows are ordered by text hash, id and row number, so rows of
     equal texts stand together and only a shard's edge parts them; a text with a third of the rows fills several
-    shards. A shard misses its target by at most tolerance * (bytes of a shard) or half a row at either edge. slot
-    numbers a shard's rows from 0 without gaps in that order. Large shards are sorted in several pieces of about
+    shards. Row numbers are stored with the rows before any of them is counted, as ones taken anew depend on how the
+    files are split. A shard misses its target by at most tolerance * (bytes of a shard) or half a row at either edge.
+    slot numbers a shard's rows from 0 without gaps in that order. Large shards are sorted in several pieces of about
     rows_per_piece rows, whose exact counts give the offsets. text_crc32 of a null text is null; null ids come first.
     grown_shard is null, as only law `key` has it. Repeated rows stay; no rows give no rows; columns of docs that
     clash with new ones are replaced.
@@ -139,20 +156,16 @@ def shard_by_bytes(
     new = {"size", "text_crc32", "law", "shard", "slot", "grown_shard"}
     docs = docs.drop(*[c for c in docs.columns if c.lower() in new])
     names = {k: free_name(docs, f"_{k}") for k in (*KEY, "size", "piece", "off")}
-    keyed = _keyed(docs, text, doc_id, names)
-    keys = scratch(keyed.select(*(F.col(names[k]).alias(k) for k in (*KEY, "size"))), "shard-keys")
+    keyed = scratch(_keyed(docs, text, doc_id, names), "shard-rows")
+    own = [names[k] for k in KEY]
+    keys = keyed.select(*(F.col(names[k]).alias(k) for k in (*KEY, "size")))
     per = max(1, -(-keys.count() // (shards * rows_per_piece)))
-    splitters, _ = find_splitters(keys, shards * per, tolerance / 1.0)
-    key = F.struct(*(F.col(names[k]).alias(k) for k in KEY))
-    cuts = [F.struct(F.lit(s.k0).alias("k0"), F.lit(s.k1).alias("k1"), F.lit(s.k2).alias("k2")) for s in splitters]
-    piece = F.size(F.filter(F.array(*cuts), lambda s: s <= key)) if cuts else F.lit(0)
-    dealt = keyed.withColumn(names["piece"], piece.cast("int"))
-    dealt = dealt.repartitionById(shards * per, F.col(names["piece"]))
-    order = Window.partitionBy(names["piece"]).orderBy(*(names[k] for k in KEY))
+    splitters, _ = find_splitters(keys, shards * per, tolerance)
+    dealt = with_piece(keyed, splitters, own, names["piece"]).repartitionById(shards * per, F.col(names["piece"]))
+    order = Window.partitionBy(names["piece"]).orderBy(*own)
     slot = F.row_number().over(order).cast("long") - 1
     if per > 1:
-        flat = keys.select(F.size(F.filter(F.array(*cuts), lambda s: s <= F.struct(*KEY))).alias("p"))
-        counts = {r["p"]: r["count"] for r in flat.groupBy("p").count().collect()}
+        counts = {r["p"]: r["count"] for r in with_piece(keys, splitters, list(KEY), "p").groupBy("p").count().collect()}
         offsets, acc = [], 0
         for p in range(shards * per):
             acc = 0 if p % per == 0 else acc

@@ -86,6 +86,39 @@ def test_sharding_identical_rows_and_empty(spark, empty):
     assert sharding.shard_by_bytes(empty, shards=4).count() == 0
 
 
+def test_thousands_of_pieces(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("t"), F.col("id") * 7919)).alias("text"))
+    rows = sharding.shard_by_bytes(docs, shards=5000).select("shard", "slot", "size").collect()
+    size, slots = Counter(), {}
+    for r in rows:
+        size[r["shard"]] += r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    mean = sum(size.values()) / 5000
+    assert len(rows) == 20_000 and len(size) == 5000 and all(abs(v - mean) <= 40 for v in size.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_other_file_splits_deal_the_same_shards(spark, monkeypatch):
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {k: spark.conf.get(k) for k in names}
+    docs = sharding.scratch(spark.range(300).select(F.lit(1).alias("doc_id"), F.lit("same").alias("text"), "id").coalesce(1), "test-docs")
+    find = sharding.find_splitters
+
+    def then_split_anew(*a):
+        out = find(*a)
+        for k in names:
+            spark.conf.set(k, "300")
+        return out
+
+    monkeypatch.setattr(sharding, "find_splitters", then_split_anew)
+    try:
+        counts = Counter(r["shard"] for r in sharding.shard_by_bytes(docs, shards=4).collect())
+        assert sum(counts.values()) == 300 and max(counts.values()) - min(counts.values()) <= 2
+    finally:
+        for k in names:
+            spark.conf.set(k, before[k])
+
+
 # ---- decontamination
 
 
