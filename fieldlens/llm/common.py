@@ -8,7 +8,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WHITESPACE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -51,6 +52,17 @@ def discard(table: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def places_up_to(sorted_: Column, size: int, key: Column) -> Column:
+    """How many elements of a sorted array column of that size are at most key: a binary search."""
+    def halved(s):
+        mid = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        left = F.get(sorted_, mid) <= key
+        return F.struct(F.when(left, mid + 1).otherwise(s["low"]).alias("low"), F.when(left, s["high"]).otherwise(mid).alias("high"))
+
+    steps, span = F.sequence(F.lit(1), F.lit(max(1, size.bit_length()))), F.struct(F.lit(0).alias("low"), F.lit(size).alias("high"))
+    return F.aggregate(steps, span, lambda s, _: F.when(s["low"] < s["high"], halved(s)).otherwise(s), lambda s: s["low"])
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that df does not have, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}
@@ -186,6 +198,4 @@ def concat_rows(batch: pa.RecordBatch, drop: Iterable[str], new: dict[str, pa.Ar
 
 def crc32_of_id(spark_column):
     """crc32 of the id as text; a null id counts as the empty text."""
-    from pyspark.sql import functions as F
-
     return F.crc32(F.coalesce(spark_column.cast("string"), F.lit("")))

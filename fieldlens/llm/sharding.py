@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, free_name, scratch
+from .common import discard, free_name, places_up_to, scratch
 
 ROW_BYTES = 16
 LOWEST = -(1 << 63)
@@ -122,15 +122,7 @@ def with_piece(rows: DataFrame, splitters: list[Splitter], key: list[str], name:
     table = _table(rows.sparkSession, [(i, s.k0, s.k1, s.k2) for i, s in enumerate(splitters)], ["i", *KEY])
     one = table.agg(F.array_sort(F.collect_list(F.struct(*KEY))).alias(cuts))
     own = F.struct(*(F.col(k).alias(n) for k, n in zip(key, KEY)))
-    span = F.struct(F.lit(0).alias("low"), F.lit(len(splitters)).alias("high"))
-
-    def halved(s, _):
-        mid = F.floor((s["low"] + s["high"]) / 2).cast("int")
-        left = F.get(F.col(cuts), mid) <= own
-        return F.struct(F.when(left, mid + 1).otherwise(s["low"]).alias("low"), F.when(left, s["high"]).otherwise(mid).alias("high"))
-
-    steps = F.sequence(F.lit(1), F.lit(len(splitters).bit_length()))
-    found = F.aggregate(steps, span, lambda s, i: F.when(s["low"] < s["high"], halved(s, i)).otherwise(s), lambda s: s["low"])
+    found = places_up_to(F.col(cuts), len(splitters), own)
     return rows.join(F.broadcast(one), F.lit(True)).withColumn(name, found).drop(cuts)
 
 

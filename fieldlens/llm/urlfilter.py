@@ -8,7 +8,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import free_name, places_up_to, scratch
 
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 
@@ -21,14 +21,20 @@ DOMAIN_RULES = [
     ("net", "/fr/", "block"),
 ]
 
-#: Patterns on the lower-cased URL, each with a literal text that every match contains.
+#: Patterns on the lower-cased URL, each with a literal text that every match contains. The literal's edges are edges of
+#: words in the URL, but for a last word with a star, which begins a word.
 BLOCK_PATTERNS = [
     (r"(^|[/.-])free-bets[./-]", "free-bets"),
     (r"(^|[/.-])casino[./-]", "casino"),
-    (r"(^|[/.-])(xxx|porn)[a-z0-9]*[./-]", ""),
+    (r"(^|[/.-])xxx[a-z0-9]*[./-]", "xxx*"),
+    (r"(^|[/.-])porn[a-z0-9]*[./-]", "porn*"),
     (r"[?&]utm_source=spam(&|#|\z)", "utm_source=spam"),
-    (r"\.(exe|apk|msi)([?#]|\z)", ""),
+    (r"\.exe([?#]|\z)", "exe"),
+    (r"\.apk([?#]|\z)", "apk"),
+    (r"\.msi([?#]|\z)", "msi"),
 ]
+#: Letters of a word by which rules for beginnings of words are found.
+BEGINNING = 3
 
 
 def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -63,68 +69,88 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def tokens(text: Column) -> Column:
-    """Distinct runs of ASCII letters and digits, lower-cased, and the empty token that every text has."""
-    words = F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), "[^a-z0-9]+")
-    return F.array_distinct(F.concat(words, F.array(F.lit(""))))
+def _words(text: Column) -> Column:
+    low = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    return F.array_distinct(F.filter(F.split(low, "[^a-z0-9*]+"), lambda w: w != ""))
 
 
-def rule_index(rules: DataFrame, url_tokens: DataFrame, broadcast_rules: int = 50_000) -> DataFrame:
-    """Each rule with the token of its literal that the fewest URLs hold; a rule without a literal gets the empty token.
+def tokens(url: Column) -> Column:
+    """The distinct words of a URL (runs of ASCII letters and digits, lower-cased), and their beginnings with a star."""
+    words = _words(F.translate(url, "*", " "))
+    return F.array_distinct(F.concat(words, F.transform(words, lambda w: F.concat(F.substring(w, 1, BEGINNING), F.lit("*")))))
 
-    url_tokens: (token) over all URLs. A token of a literal that is cut at the literal's ends might go on in a URL
-    (`bets` in `betstime`), so only whole tokens of the literal count: patterns bound their literals by
-    non-alphanumeric signs, and rules whose literals are not so bounded pass none.
+
+def literal_tokens(literal: Column) -> Column:
+    """The tokens of which every URL with the literal has all; a rule without any has the empty one."""
+    begins = lambda w: F.concat(F.substring(F.translate(w, "*", ""), 1, BEGINNING), F.lit("*"))
+    words = F.transform(_words(literal), lambda w: F.when(w.endswith("*"), begins(w)).otherwise(w))
+    # a beginning that is too short finds nothing
+    words = F.filter(words, lambda w: ~w.endswith("*") | (F.length(w) > BEGINNING))
+    return F.when(F.size(words) > 0, words).otherwise(F.array(F.lit("")))
+
+
+def rule_index(rules: DataFrame, urls: DataFrame, url: str, broadcast_rules: int) -> DataFrame:
+    """Each rule with the token of its literal that the fewest URLs hold.
+
+    Only the words of the rules' literals are counted over the URLs.
     """
-    spread = rules.withColumn("token", F.explode(tokens(F.col("literal"))))
+    spread = rules.withColumn("token", F.explode(literal_tokens(F.col("literal"))))
     wanted = spread.select("token").distinct()
     small = rules.count() <= broadcast_rules
-    seen = url_tokens.join(F.broadcast(wanted) if small else wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
-    ranked = spread.join(seen, "token", "left").withColumn(
-        "order", F.struct((F.col("token") == "").alias("last"), F.coalesce("n", F.lit(0)).alias("n"), "token")
-    )
+    each = urls.select(F.explode(tokens(F.col(f"`{url}`"))).alias("token"))
+    seen = each.join(F.broadcast(wanted) if small else wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    ranked = spread.join(seen, "token", "left").withColumn("order", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))
     keys = ["rule", "literal", "regex", "verdict", "rank"]
-    index = ranked.groupBy(*keys).agg(F.min_by("token", "order").alias("token"))
-    return F.broadcast(index) if small else index
+    return ranked.groupBy(*keys).agg(F.min_by("token", "order").alias("token"))
 
 
-def filter_urls(pages: DataFrame, domain: DataFrame, patterns: DataFrame, url: str = "url") -> DataFrame:
+def filter_urls(pages: DataFrame, domain: DataFrame, patterns: DataFrame, url: str = "url", broadcast_rules: int = 50_000) -> DataFrame:
     """pages with host, path, rule and verdict.
 
     The longest domain rule that fits decides; ties go to the smaller rule text, then to `allow`. Without one,
     `block` if a pattern matches the lower-cased URL, else `allow`. A null URL or one without `://` has an empty host
     and path and no rule; patterns still see a URL without `://`. Repeated rows stay. Columns of pages that clash with
     the new ones are replaced. No rows give no rows.
+
+    Up to broadcast_rules rules (a few MB), the index is one broadcast row, an array sorted by token, which each URL
+    searches for its tokens in place. More are joined with the URLs' tokens by shuffle.
     """
     new = {"host", "path", "rule", "verdict"}
-    uid, key, cand = (free_name(pages, n) for n in ("_uid", "_key", "_token"))
-    r, ok = free_name(pages, "_r"), free_name(pages, "_ok")
     kept = [c for c in pages.columns if c.lower() not in new]
-    base = pages.select(*(F.col(f"`{c}`") for c in kept), F.monotonically_increasing_id().alias(uid)).withColumns(
-        {"host": url_host(F.col(f"`{url}`")), "path": url_path(F.col(f"`{url}`"))}
-    )
-    low = F.translate(F.coalesce(F.col(f"`{url}`"), F.lit("")), UPPER, LOWER)
-    rules = domain.withColumn("on_key", F.lit(True)).unionByName(patterns.withColumn("on_key", F.lit(False)))
-    index = rule_index(rules.drop("on_key"), pages.select(F.explode(tokens(F.col(f"`{url}`"))).alias("token")))
-    index = index.withColumns({"on_key": F.col("rule").isNotNull()})
-    index = index.select(F.struct("on_key", "rank", "rule", "verdict", "regex").alias(r), F.col("token").alias(cand))
-    met = base.withColumn(key, F.concat("host", "path")).withColumn(cand, F.explode(tokens(F.col(f"`{url}`"))))
-    met = met.join(index, cand, "left").filter(F.col(r).isNotNull() | (F.col(cand) == ""))
-    pattern = F.col(f"{r}.regex")
-    hit = F.when(F.col(f"{r}.on_key"), (F.col("host") != "") & F.rlike(F.col(key), pattern)).otherwise(F.rlike(low, pattern))
-    met = met.withColumn(ok, F.coalesce(F.col(f"{r}.regex").isNotNull() & hit, F.lit(False)))
-    best = F.max_by(F.col(r), F.when(F.col(ok) & F.col(f"{r}.on_key"), F.struct(F.col(f"{r}.rank"), (F.col(f"{r}.verdict") == "allow").cast("int"), F.col(f"{r}.rule"))))
-    out = met.groupBy(uid).agg(
-        *(F.first(F.col(f"`{c}`")).alias(c) for c in kept),
-        F.first("host").alias("host"),
-        F.first("path").alias("path"),
-        best.alias("_best"),
-        F.coalesce(F.max(F.col(ok) & ~F.col(f"{r}.on_key")), F.lit(False)).alias("_blocked"),
-    )
-    return out.select(
+    names = {n: free_name(pages, n) for n in ("_uid", "_token", "_rules", "_index", "_best", "_blocked")}
+    base = pages.select(*(F.col(f"`{c}`") for c in kept), url_host(F.col(f"`{url}`")).alias("host"), url_path(F.col(f"`{url}`")).alias("path"))
+    rule = F.struct((F.col("rule").isNotNull()).alias("on_key"), "rank", "rule", "verdict", "regex").alias("r")
+    index = rule_index(domain.unionByName(patterns), pages, url, broadcast_rules).select("token", rule)
+    index = index.groupBy("token").agg(F.array_sort(F.collect_list("r")).alias("rules"))
+    if (n := domain.count() + patterns.count()) <= broadcast_rules:
+        size = index.count()
+        whole = index.agg(F.array_sort(F.collect_list(F.struct("token", "rules"))).alias(names["_index"]))
+        found = base.join(F.broadcast(whole), F.lit(True))
+        order = F.transform(names["_index"], lambda e: e["token"])
+
+        def rules_of(token):
+            entry = F.get(F.col(names["_index"]), places_up_to(order, size, token) - 1)
+            return F.when(entry["token"] == token, entry["rules"])
+
+        sought = F.concat(tokens(F.col(f"`{url}`")), F.array(F.lit("")))
+        found = found.withColumn(names["_rules"], F.flatten(F.filter(F.transform(sought, rules_of), lambda e: e.isNotNull()))).drop(names["_index"])
+    else:
+        # the URLs' rows are stored, so that a row has the same number wherever it is read
+        base = scratch(base.withColumn(names["_uid"], F.monotonically_increasing_id()), f"url-rows-{n}")
+        each = base.select(names["_uid"], F.explode(F.concat(tokens(F.col(f"`{url}`")), F.array(F.lit("")))).alias("token"))
+        per = each.join(index, "token").groupBy(names["_uid"]).agg(F.flatten(F.collect_list("rules")).alias(names["_rules"]))
+        found = base.join(per, names["_uid"], "left").drop(names["_uid"])
+    key, low = F.concat("host", "path"), F.translate(F.coalesce(F.col(f"`{url}`"), F.lit("")), UPPER, LOWER)
+    fits = lambda r: F.when(r["on_key"], (F.col("host") != "") & F.rlike(key, r["regex"])).otherwise(F.rlike(low, r["regex"]))
+    met = F.filter(F.coalesce(F.col(names["_rules"]), F.array()), fits)
+    longest = lambda r: F.struct(r["rank"].alias("rank"), (r["verdict"] == "allow").alias("allow"), r["rule"].alias("rule"), r["verdict"].alias("verdict"))
+    found = found.withColumn(names["_rules"], met)
+    best = F.array_max(F.transform(F.filter(names["_rules"], lambda r: r["on_key"]), longest))
+    found = found.withColumn(names["_best"], best).withColumn(names["_blocked"], F.exists(names["_rules"], lambda r: ~r["on_key"]))
+    return found.select(
         *(F.col(f"`{c}`") for c in kept),
         "host",
         "path",
-        F.col("_best.rule").alias("rule"),
-        F.coalesce(F.col("_best.verdict"), F.when(F.col("_blocked"), "block").otherwise("allow")).alias("verdict"),
+        F.col(names["_best"])["rule"].alias("rule"),
+        F.coalesce(F.col(names["_best"])["verdict"], F.when(F.col(names["_blocked"]), "block").otherwise("allow")).alias("verdict"),
     )

@@ -598,9 +598,10 @@ def test_url_filter(spark):
         "http://x.org/setup.exec", "ftp://u@h.net:80/es/", "http://a://b.com/", "http://casino.org/", "http://xxxcam.org/", "http://m.net/english", "http://com/", "HTTP://FREE-BETS.ORG/",
     ]
     pages = spark.createDataFrame([(i % 20, u, "h", "r", 1) for i, u in enumerate(urls)], "page_id long, url string, Host string, _r string, _uid int")
-    out = urlfilter.filter_urls(pages, urlfilter.domain_rules(spark), urlfilter.pattern_rules(spark))
-    got = table(out, "page_id", "host", "path", "rule", "verdict")
-    assert got == sorted(((i % 20, *brute_url(u)) for i, u in enumerate(urls)), key=str)
+    for most in (50_000, 3):
+        out = urlfilter.filter_urls(pages, urlfilter.domain_rules(spark), urlfilter.pattern_rules(spark), broadcast_rules=most)
+        got = table(out, "page_id", "host", "path", "rule", "verdict")
+        assert got == sorted(((i % 20, *brute_url(u)) for i, u in enumerate(urls)), key=str)
     assert urlfilter.filter_urls(pages.filter("false"), urlfilter.domain_rules(spark), urlfilter.pattern_rules(spark)).count() == 0
 
 
