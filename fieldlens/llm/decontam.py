@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
+import functools
 import re
 from collections.abc import Iterator
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import concat_rows, slices
+from .common import concat_rows, free_name, runs, scratch, slices
 
 WORD = np.zeros(256, bool)
 WORD[0x30:0x3A] = WORD[0x61:0x7B] = WORD[0x80:] = True
@@ -122,8 +122,9 @@ class Benchmark:
         groups = [[k for k, w in enumerate(self.windows) if (len(w) < SHORT) == short] for short in (True, False)]
         self.tables = [(np.array(g), WuManber([self.windows[k] for k in g])) for g in groups if g]
 
-    def scan(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
-        """For each row: words, words hit, items met."""
+    def scan(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[str]]]:
+        """Words of each row; then the stretches of words that windows cover, as rows, first words and ends, in order
+        and apart from each other; and the items that each row meets."""
         text = normalise(data, offsets)
         raw = np.frombuffer(text, np.uint8)
         word = WORD[raw]
@@ -142,9 +143,45 @@ class Benchmark:
             np.add.at(hit, number[at] - 1 + self.n_words[k], -1)
             for row, window in set(zip(np.searchsorted(ends, at).tolist(), k.tolist())):
                 items[row].update(self.owners[window])
-        covered = np.concatenate(([0], np.cumsum(np.cumsum(hit)[:-1] > 0)))
-        n_hit = np.diff(covered[upto], prepend=0)
-        return n_words, n_hit, [sorted(s) for s in items]
+        starts, stops = runs(np.cumsum(hit)[:-1] > 0) if len(hit) > 1 else (np.zeros(0, np.int64),) * 2
+        row = np.searchsorted(upto, starts, side="right")
+        # a stretch that goes on from one row's last word into the next row is parted
+        last = np.searchsorted(upto, stops - 1, side="right")
+        many = last - row + 1
+        owner = np.repeat(row, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        begin = np.maximum(np.repeat(starts, many), upto[owner] - n_words[owner])
+        end = np.minimum(np.repeat(stops, many), upto[owner])
+        base = upto[owner] - n_words[owner]
+        return n_words, owner, begin - base, end - base, [sorted(s) for s in items]
+
+
+SPANS = "array<struct<a:int,b:int>>"
+
+
+def _searched(rows: DataFrame, bench: Benchmark, text: str, every: bool) -> DataFrame:
+    """rows, without the text, with n_words, spans of hit words and items; with `every`, also rows that meet nothing."""
+    sent = rows.sparkSession.sparkContext.broadcast(bench)
+    kept = [f for f in rows.schema if f.name != text]
+    schema = T.StructType(kept + list(T.StructType.fromDDL(f"n_words long, spans {SPANS}, items array<string>").fields))
+    pair = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, spans, met = [], [], []
+            for _, _, data, offsets in slices(batch.column(batch.schema.names.index(text))):
+                n, owner, a, b, items = sent.value.scan(data, offsets)
+                words.append(n)
+                met += items
+                cut = np.searchsorted(owner, np.arange(len(n) + 1))
+                a, b = a.tolist(), b.tolist()
+                spans += [[{"a": a[k], "b": b[k]} for k in range(x, y)] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist())]
+            if not met:
+                continue
+            new = {"n_words": pa.array(np.concatenate(words), pa.int64()), "spans": pa.array(spans, pair), "items": pa.array(met, pa.list_(pa.string()))}
+            out = concat_rows(batch, [text], new)
+            yield out if every else out.filter(pa.array([bool(m) for m in met], pa.bool_()))
+
+    return rows.mapInArrow(search, schema)
 
 
 def decontaminate(
@@ -155,7 +192,7 @@ def decontaminate(
     item_id: str = "item_id",
     item_text: str = "text",
     keep: list[str] | None = None,
-    max_benchmark_bytes: int = 64 << 20,
+    part_bytes: int = 4 << 20,
 ) -> DataFrame:
     """docs with n_words, n_hit, n_items, items (sorted ids), items_sha256 and contaminated.
 
@@ -163,43 +200,42 @@ def decontaminate(
     occurrence of a window of n consecutive words of an item. Null and empty texts have no words; items without words
     or without an id have no window; an item that is repeated counts once. Repeated documents are each judged; no rows
     give no rows; an empty benchmark hits nothing. `keep` names the columns to carry (all without it); those that clash
-    with new ones are replaced. The benchmark's windows are sent to every task: a benchmark of over
-    max_benchmark_bytes of text is refused, and is to be searched in parts.
+    with new ones are replaced.
+
+    The windows of up to part_bytes of benchmark text are sent to every task. A larger benchmark is searched in parts of
+    about that size, dealt by item: each part's hits are written, and a row's stretches and items of all parts are put
+    together. One item's text is never parted.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{item_text}`").alias("t")).filter("i IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    if size > max_benchmark_bytes:
-        raise ValueError(f"the benchmark holds {size} bytes, more than max_benchmark_bytes = {max_benchmark_bytes}")
-    sent = spark.sparkContext.broadcast(Benchmark([(r["i"], r["t"]) for r in items.collect()], n))
-    new = T.StructType.fromDDL("n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean")
-    carried = [c for c in (keep if keep is not None else docs.columns) if c.lower() not in {f.name for f in new}]
-    drop_text = text not in carried
-    source = docs.select(*(F.col(f"`{c}`") for c in carried), *([F.col(f"`{text}`")] if drop_text else []))
-    schema = T.StructType([source.schema[c] for c in carried] + list(new.fields))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench = sent.value
-        for batch in batches:
-            words, hits, met = [], [], []
-            for _, _, data, offsets in slices(batch.column(batch.schema.names.index(text))):
-                w, h, m = bench.scan(data, offsets)
-                words.append(w)
-                hits.append(h)
-                met += m
-            if not met:
-                continue
-            yield concat_rows(
-                batch,
-                [text] if drop_text else [],
-                {
-                    "n_words": pa.array(np.concatenate(words), pa.int64()),
-                    "n_hit": pa.array(h := np.concatenate(hits), pa.int64()),
-                    "n_items": pa.array([len(m) for m in met], pa.int64()),
-                    "items": pa.array(met, pa.list_(pa.string())),
-                    "items_sha256": pa.array([hashlib.sha256(",".join(m).encode()).hexdigest() for m in met], pa.string()),
-                    "contaminated": pa.array(h > 0, pa.bool_()),
-                },
-            )
-
-    return source.mapInArrow(search, schema)
+    parts = max(1, -(-size // part_bytes))
+    part = lambda k: Benchmark([(r["i"], r["t"]) for r in items.filter(F.pmod(F.xxhash64("i"), F.lit(parts)) == k).toLocalIterator()], n)
+    new = ("n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated")
+    carried = [c for c in (keep if keep is not None else docs.columns) if c.lower() not in new]
+    # names that no column of docs has
+    body, spans, uid = (free_name(docs, c) for c in ("_body", "spans", "_uid"))
+    inner = [f"_k{k}" for k in range(len(carried))]
+    source = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(carried, inner)), F.col(f"`{text}`").alias(body))
+    if parts == 1:
+        found = _searched(source, part(0), body, True)
+    else:
+        source = scratch(source.withColumn(uid, F.monotonically_increasing_id()), "decontam-rows")
+        found = scratch(_searched(source, part(0), body, True), "decontam-part")
+        others = [scratch(_searched(source.select(uid, body), part(k), body, False), "decontam-part") for k in range(1, parts)]
+        every = functools.reduce(DataFrame.unionByName, others).groupBy(uid).agg(F.flatten(F.collect_list("spans")).alias("_s"), F.flatten(F.collect_list("items")).alias("_i"))
+        found = found.join(every, uid, "left")
+        both = lambda a, b: F.array_distinct(F.array_sort(F.concat(a, F.coalesce(b, F.array()))))
+        found = found.withColumns({"spans": both("spans", F.col("_s")), "items": both("items", F.col("_i"))})
+    start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
+    step = lambda s, x: F.struct(F.greatest(s["end"], x["b"]).alias("end"), (s["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(s["end"], x["a"]))).alias("n"))
+    n_hit = F.aggregate("spans", start, step, lambda s: s["n"])
+    return found.select(
+        *(F.col(k).alias(c) for c, k in zip(carried, inner)),
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        "items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import concat_rows
+from .common import concat_rows, free_name, scratch
 
 ORDERS = (1, 2, 3)
 BITS = 16
 SLICES = 64
 UNKNOWN = "und"
+#: Languages that a task counts before it sends them, and tasks whose counts are added up in one group.
+HELD_LANGS, TASKS_ADDED = 64, 1024
 _MUL = np.uint32(0x9E3779B1)
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -55,119 +60,171 @@ def _runs(texts: list[str | None], most: int = 1 << 19) -> Iterator[tuple[int, l
 
 
 class Model:
-    """Languages and the matrix (feature, language) of log probabilities."""
+    """The log probabilities (feature, language) of some languages, with their priors among all."""
 
-    def __init__(self, langs: list[str], counts: np.ndarray, docs: np.ndarray, alpha: float):
+    def __init__(self, langs: list[str], counts: np.ndarray, docs: np.ndarray, alpha: float, all_docs: float | None = None):
         self.langs = langs
-        smooth = counts.T.astype(np.float64) + alpha
-        self.matrix = np.log(smooth / smooth.sum(axis=0)).astype(np.float32)
-        self.prior = np.log((docs + 1) / (docs + 1).sum())
-
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        names, scores = [], []
-        for _, part in _runs(texts):
+        smooth = np.ascontiguousarray(counts.T, np.float32) + np.float32(alpha)
+        self.matrix = np.log(smooth / smooth.sum(axis=0, dtype=np.float64).astype(np.float32)).astype(np.float32)
+        self.prior = np.log((docs + 1) / ((docs + 1).sum() if all_docs is None else all_docs))
+
+    def logs(self, texts: list[str | None]) -> np.ndarray:
+        """(text, language): log of prior times likelihood. A text's distinct features times their numbers meet the
+        matrix a few at a time."""
+        out = np.tile(self.prior, (len(texts), 1))
+        step = max(1, (1 << 20) // max(1, len(self.langs)))
+        for at, part in _runs(texts):
             found, offsets = features(part)
-            logs = np.add.reduceat(self.matrix[found], offsets[:-1], axis=0, dtype=np.float64) + self.prior
-            logs -= logs.max(axis=1, keepdims=True)
-            p = np.exp(logs)
-            names += [self.langs[k] for k in logs.argmax(axis=1)]
-            scores.append(p.max(axis=1) / p.sum(axis=1))
-        return names, np.concatenate(scores) if scores else np.zeros(0)
-
-
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", alpha: float = 0.05, max_langs: int = 1000) -> Model:
-    """Counts the n-grams of every labelled text (text and language not null) and makes the model.
-
-    Tasks count per language in fixed tables of 2**BITS, sent on in slices that are added up apart from each other,
-    so a language with most of the rows burdens no task more than others. The model has at most max_langs columns
-    (more are refused), which bounds what is collected and broadcast.
+            row = np.repeat(np.arange(len(part), dtype=np.int64), np.diff(offsets))
+            pair, many = np.unique(row << BITS | found, return_counts=True)
+            row, found = pair >> BITS, pair & ((1 << BITS) - 1)
+            for a in range(0, len(pair), step):
+                r = row[a : a + step]
+                cut = np.flatnonzero(np.diff(r, prepend=-1))
+                each = self.matrix[found[a : a + step]] * many[a : a + step, None]
+                out[at + r[cut]] += np.add.reduceat(each, cut, axis=0, dtype=np.float64)
+        return out
+
+    def best(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Most likely language of each text, its log, and the log of the sum over the languages."""
+        logs = self.logs(texts)
+        top = logs.max(axis=1)
+        return [self.langs[k] for k in logs.argmax(axis=1)], top, top + np.log(np.exp(logs - top[:, None]).sum(axis=1))
+
+
+class Counts:
+    """Counted n-grams of each language in a table, and the languages (sorted) with their documents."""
+
+    def __init__(self, table: DataFrame, langs: list[str], docs: np.ndarray, alpha: float):
+        self.table, self.langs, self.docs, self.alpha = table, langs, docs, alpha
+
+    def model(self, first: int, last: int) -> Model:
+        """The model of langs[first:last]; its size is that of so many columns."""
+        some = self.langs[first:last]
+        counts = np.zeros((len(some), 1 << BITS), np.float32)
+        place, width = {x: k for k, x in enumerate(some)}, (1 << BITS) // SLICES
+        for r in self.table.filter(F.col("lang").isin(some)).select("slice", "lang", "counts").toLocalIterator():
+            counts[place[r["lang"]], r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["counts"], "<i8")
+        return Model(some, counts, self.docs[first:last], self.alpha, float((self.docs + 1).sum()))
+
+
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", alpha: float = 0.05) -> Counts:
+    """Counts the n-grams of every labelled text (text and language not null).
+
+    Tasks count per language in fixed tables of 2**BITS, for at most HELD_LANGS languages at a time, sent on in slices
+    that are added up apart from each other and in two steps, so neither a language with most of the rows nor the number
+    of tasks makes a large group.
     """
     rows = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
     width = (1 << BITS) // SLICES
+    names = ["part", "slice", "lang", "docs", "counts"]
+    schema = "part int, slice int, lang string, docs long, counts binary"
+
+    def sliced(part: int, total: dict[str, np.ndarray], seen: dict[str, int]) -> Iterator[pa.RecordBatch]:
+        for s in range(SLICES):
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "part": pa.array([part] * len(total), pa.int32()),
+                    "slice": pa.array([s] * len(total), pa.int32()),
+                    "lang": pa.array(list(total), pa.string()),
+                    "docs": pa.array([seen[x] for x in total], pa.int64()),
+                    "counts": pa.array([v[s * width : (s + 1) * width].astype("<i8").tobytes() for v in total.values()], pa.binary()),
+                }
+            )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        part = (context.partitionId() if context else 0) // TASKS_ADDED
         total: dict[str, np.ndarray] = {}
         seen: dict[str, int] = {}
         for batch in batches:
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at, part in _runs(texts):
-                found, offsets = features(part)
-                own = langs[at : at + len(part)]
-                for name in sorted(set(own)):
-                    mine = np.array([x == name for x in own])
-                    chosen = found[np.repeat(mine, np.diff(offsets))]
+            for at, some in _runs(texts):
+                found, offsets = features(some)
+                own = langs[at : at + len(some)]
+                order = sorted(range(len(some)), key=lambda i: own[i])
+                for name, mine in itertools.groupby(order, key=lambda i: own[i]):
+                    mine = list(mine)
+                    chosen = np.concatenate([found[offsets[i] : offsets[i + 1]] for i in mine])
                     total[name] = total.get(name, 0) + np.bincount(chosen, minlength=1 << BITS)
-                    seen[name] = seen.get(name, 0) + int(mine.sum())
-        for s in range(SLICES):
-            names = sorted(total)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([s] * len(names), pa.int32()),
-                    pa.array(names, pa.string()),
-                    pa.array([seen[x] for x in names], pa.int64()),
-                    pa.array([total[x][s * width : (s + 1) * width].astype("<i8").tobytes() for x in names], pa.binary()),
-                ],
-                names=["slice", "lang", "docs", "counts"],
-            )
+                    seen[name] = seen.get(name, 0) + len(mine)
+                    if len(total) >= HELD_LANGS:
+                        yield from sliced(part, total, seen)
+                        total, seen = {}, {}
+        if total:
+            yield from sliced(part, total, seen)
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
         total, seen = {}, {}
-        for name, n, body in zip(*(table.column(c).to_pylist() for c in ("lang", "docs", "counts"))):
-            total[name] = total.get(name, 0) + np.frombuffer(body, "<i8")
-            seen[name] = seen.get(name, 0) + n
-        names = sorted(total)
+        for name, n, body in zip(*(table.column(c) for c in ("lang", "docs", "counts"))):
+            name = name.as_py()
+            total[name] = total.get(name, 0) + np.frombuffer(body.as_buffer(), "<i8")
+            seen[name] = seen.get(name, 0) + n.as_py()
+        fixed = [pa.array([k.as_py()] * len(total), pa.int32()) for k in key]
+        if len(fixed) == 1:
+            fixed = [pa.array([0] * len(total), pa.int32()), *fixed]
         return pa.Table.from_arrays(
-            [
-                pa.array([key[0].as_py()] * len(names), pa.int32()),
-                pa.array(names, pa.string()),
-                pa.array([seen[x] for x in names], pa.int64()),
-                pa.array([total[x].astype("<i8").tobytes() for x in names], pa.binary()),
-            ],
-            names=["slice", "lang", "docs", "counts"],
+            [*fixed, pa.array(list(total), pa.string()), pa.array([seen[x] for x in total], pa.int64()), pa.array([v.astype("<i8").tobytes() for v in total.values()], pa.binary())],
+            names=names,
         )
 
-    schema = "slice int, lang string, docs long, counts binary"
-    summed = rows.mapInArrow(count, schema).groupBy("slice").applyInArrow(add, schema)
-    found = summed.collect()
-    langs = sorted({r["lang"] for r in found})
-    if len(langs) > max_langs:
-        raise ValueError(f"{len(langs)} languages, more than max_langs = {max_langs}")
-    counts, seen = np.zeros((len(langs), 1 << BITS), np.int64), np.zeros(len(langs))
-    for r in found:
-        k = langs.index(r["lang"])
-        counts[k, r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["counts"], "<i8")
-        seen[k] = r["docs"]
-    return Model(langs, counts, seen, alpha)
-
-
-def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    summed = rows.mapInArrow(count, schema).groupBy("part", "slice").applyInArrow(add, schema)
+    summed = scratch(summed.groupBy("slice").applyInArrow(add, schema).select("slice", "lang", "docs", "counts"), "language-counts")
+    found = sorted((r["lang"], r["docs"]) for r in summed.filter("slice = 0").select("lang", "docs").collect())
+    return Counts(summed, [x for x, _ in found], np.array([n for _, n in found], np.float64), alpha)
+
+
+def identify(docs: DataFrame, counts: Counts, text: str = "text", keep: list[str] | None = None, max_langs: int = 128) -> DataFrame:
     """docs with lang_pred and score, the posterior of the predicted language.
 
     A null text, one without any letter, and every text under a model that learned nothing are `und` with score 0.
     Whole texts count; ties go to the language that sorts first. `keep` names the columns to carry (all without it);
     those that clash with new ones are replaced.
+
+    The matrix of up to max_langs languages is broadcast (32 MB at most). With more, the texts are scored against one
+    such matrix after the other, and the best language and the sum over all are put together for each row.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
     new = T.StructType.fromDDL("lang_pred string, score double")
     carried = [c for c in (keep if keep is not None else docs.columns) if c.lower() not in ("lang_pred", "score")]
     extra = text not in carried
     source = docs.select(*(F.col(f"`{c}`") for c in carried), *([F.col(f"`{text}`")] if extra else []))
+    spans = [(a, min(a + max_langs, len(counts.langs))) for a in range(0, len(counts.langs), max_langs)] or [(0, 0)]
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        for batch in batches:
-            texts = batch.column(batch.schema.names.index(text)).to_pylist()
-            known = [bool(m.langs) and _has_letter(t) for t in texts]
-            names, scores = m.predict([t for t, k in zip(texts, known) if k])
-            both = iter(zip(names, scores.tolist()))
-            out = [next(both) if k else (UNKNOWN, 0.0) for k in known]
-            yield concat_rows(
-                batch,
-                [text] if extra else [],
-                {"lang_pred": pa.array([o[0] for o in out], pa.string()), "score": pa.array([o[1] for o in out], pa.float64())},
-            )
+    def scored(rows: DataFrame, span: tuple[int, int], drop: list[str], ddl: str, make) -> DataFrame:
+        sent = rows.sparkSession.sparkContext.broadcast(counts.model(*span))
+
+        def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = sent.value
+            for batch in batches:
+                texts = batch.column(batch.schema.names.index(text)).to_pylist()
+                known = [bool(m.langs) and _has_letter(t) for t in texts]
+                found = m.best([t for t, k in zip(texts, known) if k]) if any(known) else ([], [], [])
+                both = iter(zip(*found))
+                yield concat_rows(batch, drop, make([next(both) if k else None for k in known]))
+
+        kept = [f for f in rows.schema if f.name not in drop]
+        return rows.mapInArrow(predict, T.StructType(kept + list(T.StructType.fromDDL(ddl).fields)))
+
+    if len(spans) == 1:
+
+        def final(out: list) -> dict[str, pa.Array]:
+            return {"lang_pred": pa.array([o[0] if o else UNKNOWN for o in out], pa.string()), "score": pa.array([float(np.exp(o[1] - o[2])) if o else 0.0 for o in out], pa.float64())}
+
+        return scored(source, spans[0], [text] if extra else [], "lang_pred string, score double", final)
+
+    uid = free_name(docs, "_uid")
+    source = scratch(source.withColumn(uid, F.monotonically_increasing_id()), "language-rows")
+
+    def partial(out: list) -> dict[str, pa.Array]:
+        return {"l": pa.array([o[0] if o else None for o in out], pa.string()), "t": pa.array([float(o[1]) if o else None for o in out], pa.float64()), "w": pa.array([float(o[2]) if o else None for o in out], pa.float64())}
 
-    return source.mapInArrow(predict, T.StructType([source.schema[c] for c in carried] + list(new.fields)))
+    parts = [scratch(scored(source.select(uid, F.col(f"`{text}`")), s, [text], "l string, t double, w double", partial), "language-part") for s in spans]
+    every = functools.reduce(DataFrame.unionByName, parts).filter("t IS NOT NULL")
+    # logs are put together around their greatest; of languages with equal logs the first block's is the one that sorts first
+    top = every.groupBy(uid).agg(F.max("t").alias("_top"), F.min_by("l", F.struct(-F.col("t"), "l")).alias("_lang"), F.collect_list("w").alias("_w"))
+    top = top.select(F.col(uid), "_lang", F.expr("1 / aggregate(_w, 0D, (s, w) -> s + exp(w - _top))").alias("_score"))
+    out = source.join(top, uid, "left")
+    return out.select(*(F.col(f"`{c}`") for c in carried), F.coalesce("_lang", F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce("_score", F.lit(0.0)).alias("score"))
 
 
 def fold(doc_id: Column, parts: int) -> Column:

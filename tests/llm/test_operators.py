@@ -148,8 +148,9 @@ def test_decontamination(spark, docs, empty):
     assert sorted(got, key=str) == sorted(want, key=str)
     assert decontam.decontaminate(empty, bench).count() == 0
     assert not any(r["contaminated"] for r in decontam.decontaminate(docs, bench.filter("false")).collect())
-    with pytest.raises(ValueError):
-        decontam.decontaminate(docs, bench, max_benchmark_bytes=10)
+    # a benchmark in parts gives the same
+    parts = decontam.decontaminate(docs, bench, keep=["doc_id"], part_bytes=700)
+    assert sorted((tuple(r) for r in parts.select("doc_id", *DECONTAM).collect()), key=str) == sorted(want, key=str)
 
 
 def test_wu_manber_finds_all():
@@ -302,10 +303,34 @@ def test_language_id(spark, docs, empty):
     assert got[5]["lang_pred"] == got[6]["lang_pred"] == got[9]["lang_pred"] == "und" and got[6]["score"] == 0
     assert all(0 <= r["score"] <= 1 for r in got.values()) and got[11]["lang_pred"] in ("en", "fr")
     assert langid.train(empty).langs == []
+    one = {r["doc_id"]: (r["lang_pred"], round(r["score"], 6)) for r in langid.identify(docs.filter("doc_id < 30"), model, keep=["doc_id"]).collect()}
+    two = {r["doc_id"]: (r["lang_pred"], round(r["score"], 6)) for r in langid.identify(docs.filter("doc_id < 30"), model, keep=["doc_id"], max_langs=1).collect()}
+    assert one == two
     assert {r["lang_pred"] for r in langid.identify(docs, langid.train(empty)).collect()} == {"und"}
     assert langid.identify(empty, model).count() == 0
 
 
+def test_language_posteriors_against_plain_python(spark, monkeypatch):
+    monkeypatch.setattr(langid, "HELD_LANGS", 5)
+    monkeypatch.setattr(langid, "TASKS_ADDED", 2)
+    rows = [(k, text_of(k % 40 + 50, 30) + chr(97 + k % 20) * 9, f"l{k % 20:02d}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    grams = lambda t: langid.features([t])[0].tolist()
+    count, many = {}, Counter()
+    for _, t, lang in rows:
+        count.setdefault(lang, Counter()).update(grams(t))
+        many[lang] += 1
+    whole = sum(many.values()) + len(many)
+    counts = langid.train(docs)
+    assert counts.langs == sorted(count)
+    for most in (128, 7):
+        got = {r["doc_id"]: r for r in langid.identify(docs, counts, keep=["doc_id"], max_langs=most).collect()}
+        for k, t, _ in rows:
+            logs = {lang: math.log((many[lang] + 1) / whole) + sum(math.log((c[g] + 0.05) / (c.total() + 0.05 * 65536)) for g in grams(t)) for lang, c in count.items()}
+            best = max(sorted(logs), key=logs.get)
+            assert got[k]["lang_pred"] == best and abs(got[k]["score"] - 1 / sum(math.exp(v - logs[best]) for v in logs.values())) < 1e-3
+
+
 def test_language_counts_are_exact():
     found, offsets = langid.features(["ab", ""])
     assert len(found) == offsets[-1] and offsets.tolist() == [0, 15, 24]
