@@ -49,38 +49,40 @@ def encode_png(image: np.ndarray, level: int = 3) -> bytes:
 
 
 def _unfilter(rows: np.ndarray, bpp: int) -> np.ndarray:
-    """Undoes the five row filters of PNG."""
+    """Undoes the five row filters of PNG: running sums where filters look one way only, else diagonal by diagonal."""
     kind, raw = rows[:, 0], rows[:, 1:]
     if kind.max(initial=0) > 4:
         raise BadPng("unknown row filter")
     height, width = raw.shape
+    if kind.max(initial=0) > 2:
+        return _by_diagonals(kind, raw.reshape(height, width // bpp, bpp)).reshape(height, width)
     out = raw.copy()
     sub = np.flatnonzero(kind == 1)
     if len(sub):
         out[sub] = np.cumsum(raw[sub].reshape(len(sub), -1, bpp), axis=1, dtype=np.uint8).reshape(len(sub), width)
-    rest = np.flatnonzero(kind >= 2)
+    rest = np.flatnonzero(kind == 2)
     # runs of consecutive rows with filter `up` are one running sum
-    breaks = np.flatnonzero((np.diff(rest) != 1) | (np.diff(kind[rest]) != 0) | (kind[rest][1:] != 2)) + 1
-    for run in np.split(rest, breaks) if len(rest) else []:
-        y = run[0]
-        above = out[y - 1] if y else np.zeros(width, np.uint8)
-        if kind[y] == 2:
-            out[run] = np.cumsum(np.vstack([above, raw[run]]), axis=0, dtype=np.uint8)[1:]
-            continue
-        line = out[y]
-        for x in range(width):
-            a = int(line[x - bpp]) if x >= bpp else 0
-            b = int(above[x])
-            if kind[y] == 3:
-                guess = (a + b) >> 1
-            else:
-                c = int(above[x - bpp]) if x >= bpp else 0
-                p = a + b - c
-                guess = min((a, b, c), key=lambda v: abs(p - v))
-            line[x] = (int(raw[y, x]) + guess) & 0xFF
+    for run in np.split(rest, np.flatnonzero(np.diff(rest) != 1) + 1) if len(rest) else []:
+        above = out[run[0] - 1] if run[0] else np.zeros(width, np.uint8)
+        out[run] = np.cumsum(np.vstack([above, raw[run]]), axis=0, dtype=np.uint8)[1:]
     return out
 
 
+def _by_diagonals(kind: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Samples (row, pixel, channel) of any filters: a pixel needs its left, upper and upper left ones, so those of one
+    anti-diagonal are worked out together."""
+    height, pixels, channels = raw.shape
+    out = np.zeros((height + 1, pixels + 1, channels), np.int16)
+    for d in range(height + pixels - 1):
+        y = np.arange(max(0, d - pixels + 1), min(height, d + 1))
+        x = d - y
+        a, b, c, k = out[y + 1, x], out[y, x + 1], out[y, x], kind[y][:, None]
+        far_a, far_b, far_c = np.abs(b - c), np.abs(a - c), np.abs(a + b - 2 * c)
+        nearest = np.where((far_a <= far_b) & (far_a <= far_c), a, np.where(far_b <= far_c, b, c))
+        out[y + 1, x + 1] = (raw[y, x] + np.select([k == 1, k == 2, k == 3, k == 4], [a, b, (a + b) >> 1, nearest], 0)) & 0xFF
+    return out[1:, 1:].astype(np.uint8)
+
+
 def decode_png(data: bytes) -> np.ndarray:
     """Samples (height, width * channels) of an 8-bit PNG without interlacing; BadPng on any fault."""
     if data[:8] != SIGNATURE:
@@ -122,7 +124,10 @@ _DCT = _cosines(32, 8)
 
 
 def cosine_hash(image: np.ndarray) -> bytes:
-    """64 bits: which of the 8 x 8 lowest cosine frequencies of the 32 x 32 image exceed their median."""
+    """64 bits: which of the 8 x 8 lowest cosine frequencies of the 32 x 32 image exceed their median.
+
+    Frequencies are rounded to 1e-6 first, so that those which are nothing but rounding noise are equal.
+    """
     height, width = image.shape
     grid = image.astype(np.float64)
     for axis, n in ((0, height), (1, width)):
@@ -132,7 +137,7 @@ def cosine_hash(image: np.ndarray) -> bytes:
             grid = np.add.reduceat(grid, edges, axis=axis) / (counts[:, None] if axis == 0 else counts[None, :])
         else:
             grid = np.take(grid, edges, axis=axis)
-    low = (_DCT @ grid @ _DCT.T).ravel()
+    low = np.round((_DCT @ grid @ _DCT.T).ravel(), 6)
     return np.packbits(low > np.median(low[1:])).tobytes()
 
 

@@ -161,61 +161,79 @@ def posteriors(docs: DataFrame, model: DomainModel, text: str = "text", keep: li
     return source.mapInArrow(judge, T.StructType([source.schema[c] for c in carried] + list(new.fields)))
 
 
-def rate_of(moves: list[np.ndarray]) -> Column:
-    """The rate after all moves: each takes a step against the posteriors and projects onto rates >= 0."""
-    rate = F.lit(1.0)
+def rates_of(p: np.ndarray, moves: list[np.ndarray]) -> np.ndarray:
+    """The rates after all moves: each takes a step against the posteriors and projects onto rates >= 0."""
+    rate = np.ones(len(p))
     for v in moves:
-        step = sum((F.col(f"p_{d}") * float(v[k]) for k, d in enumerate(DOMAINS)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - step)
+        rate = np.maximum(0.0, rate - p @ v)
     return rate
 
 
-def fit_rates(judged: DataFrame, targets: dict[str, float], most_steps: int = 25, tolerance: float = 1e-6) -> tuple[list[np.ndarray], dict[str, float]]:
+def _posteriors_in(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([batch.column(f"p_{d}").to_numpy(zero_copy_only=False) for d in DOMAINS], axis=1).reshape(-1, len(DOMAINS))
+
+
+def _sums(judged: DataFrame, moves: list[np.ndarray]) -> tuple[float, np.ndarray, float, np.ndarray]:
+    """Over all documents: tokens, domain sums at the rates, what the last move changed, and the second moments."""
+    k = len(DOMAINS)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 + k + k * k)
+        for batch in batches:
+            n, p = batch.column("n_tokens").to_numpy().astype(np.float64), _posteriors_in(batch)
+            r, was = rates_of(p, moves), rates_of(p, moves[:-1])
+            total += np.concatenate([[n.sum(), (n * (r - was) ** 2).sum()], (r * n) @ p, (p.T @ (n[:, None] * p)).ravel()])
+        yield pa.RecordBatch.from_pydict({"i": pa.array(range(len(total)), pa.int32()), "v": pa.array(total, pa.float64())})
+
+    sums = judged.select("n_tokens", *(f"p_{d}" for d in DOMAINS)).mapInArrow(add, "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
+    found = np.zeros(2 + k + k * k)
+    for r in sums.collect():
+        found[r["i"]] = r["v"]
+    return found[0], found[2 : 2 + k], found[1], found[2 + k :].reshape(k, k)
+
+
+def fit_rates(judged: DataFrame, targets: dict[str, float], most_steps: int = 60, tolerance: float = 1e-6) -> tuple[list[np.ndarray], dict[str, float]]:
     """Moves that take the rates from 1 to the least-squares solution, and the expected share of each domain then.
 
-    Minimised is |sum of rate * tokens * posteriors - targets * (all tokens)|^2 over rates >= 0. A gradient step for a
-    document, divided by its tokens, is its posteriors times one vector; that vector is the residual through the
-    inverse of the domains' second moments over the documents that still have a rate, so a step without projection
-    would meet the targets at once. Each step is one aggregate over all documents; the driver sees K + K * K sums.
-    A step that makes the residual worse is halved. Targets beyond reach end at the best step found. A domain without
-    a target is left out of the fit; the named ones share in proportion to their targets what is not its own at first.
+    Minimised is the sum over domains of weight * (rate * tokens * posterior, added up, - target * all tokens)^2, over
+    rates >= 0. The weights are the inverse second moments of the domains, so that misses count in proportion to what a
+    domain holds. It is projected gradient in the metric of the tokens, which is diagonal: a step changes a document's
+    rate by its posteriors times one vector, the weighted misses, and then takes the positive part. The first step's
+    length is the inverse of the greatest curvature; later ones take the curvature along the last step, and fall back to
+    the first length after a step whose sum is worse than the last five. Where posteriors are nearly sure a few steps do. Each step is
+    one aggregate over all documents; the driver sees K + K * K sums. The best rates met are returned, so targets
+    beyond reach end near the least sum. A domain without a target keeps its present share, and the named ones
+    share the rest in proportion to their targets.
     """
     k = len(DOMAINS)
-    weights: np.ndarray | None = None
-    fit = [i for i, d in enumerate(DOMAINS) if d in targets]
     moves: list[np.ndarray] = []
     best: tuple[float, list[np.ndarray], np.ndarray] = (np.inf, [], np.zeros(k))
-    scale = 1.0
+    wanted, weights, safe, last, calm = None, None, 0.0, None, 0
+    lately: list[float] = []
     for _ in range(most_steps + 1):
-        r = F.col("_r")
-        n = F.col("n_tokens").cast("double")
-        sums = [F.sum(r * n * F.col(f"p_{d}")).alias(f"m{i}") for i, d in enumerate(DOMAINS)]
-        live = F.when(r > 0, n).otherwise(0.0)
-        sums += [F.sum(live * F.col(f"p_{a}") * F.col(f"p_{b}")).alias(f"g{i}_{j}") for i, a in enumerate(DOMAINS) for j, b in enumerate(DOMAINS) if i <= j]
-        row = judged.withColumn("_r", rate_of(moves)).agg(F.sum(n).alias("n"), *sums).first()
-        total = float(row["n"] or 0)
+        total, m, moved, g = _sums(judged, moves)
         if total == 0:
             return [], {d: 0.0 for d in DOMAINS}
-        m = np.array([row[f"m{i}"] for i in range(k)])
         if weights is None:
             free = sum(m[i] for i, d in enumerate(DOMAINS) if d not in targets) / total
-            named = sum(targets.values())
-            weights = np.array([targets[d] / named * (1 - free) if d in targets else m[i] / total for i, d in enumerate(DOMAINS)])
-        gap = (m - weights * total)[fit]
-        size = float(np.abs(gap).sum() / total)
-        if size < best[0]:
-            best, scale = (size, list(moves), m), min(1.0, scale * 2)
-            g = np.array([[row[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-            move = np.zeros(k)
-            move[fit] = np.linalg.solve((g + 1e-9 * total * np.eye(k))[np.ix_(fit, fit)], gap)
-        else:
-            scale /= 2
-            moves = list(best[1])
-        if size <= tolerance or scale < 1e-3:
+            named = sum(targets.values()) or 1.0
+            wanted = np.array([targets[d] / named * (1 - free) if d in targets else m[i] / total for i, d in enumerate(DOMAINS)]) * total
+            weights = 1 / np.maximum(g.diagonal(), 1e-12 * total)
+            safe = 1 / np.linalg.eigvalsh(g * np.sqrt(np.outer(weights, weights))).max()
+        gap = m - wanted
+        miss = float((weights * gap * gap).sum())
+        worse = bool(lately) and miss > max(lately[-5:])
+        lately.append(miss)
+        curved = float((weights * (m - last) ** 2).sum()) if last is not None else 0.0
+        step = moved / curved if curved > 0 and not worse else safe
+        calm = calm + 1 if miss > (1 - 1e-4) * best[0] else 0
+        if miss < best[0]:
+            best = (miss, list(moves), m)
+        if np.abs(gap).sum() <= tolerance * total or calm > 20:
             break
-        moves.append(scale * move)
-    share = best[2] / max(best[2].sum(), 1e-300)
-    return best[1], dict(zip(DOMAINS, share.tolist()))
+        last = m
+        moves.append(step * weights * gap)
+    return best[1], dict(zip(DOMAINS, (best[2] / max(best[2].sum(), 1e-300)).tolist()))
 
 
 def mix(
@@ -230,16 +248,23 @@ def mix(
     """docs with n_tokens, p_<domain>, rate and copies.
 
     copies is the rate rounded down or up by a draw from the hash of id and text, so its expectation is the rate and a
-    rerun draws alike; repeated rows draw alike too. Documents without tokens keep the rate of their posteriors. Null
+    rerun draws alike; repeated rows draw alike too. Documents without tokens keep the rate of their posteriors. Rates
+    have no upper bound: a domain of few documents is repeated as often as its target asks. Null
     ids and texts take part. No rows give no rows. Columns that clash with new ones are replaced.
+
+    Texts are read once: the kept columns are stored with posteriors and draw, which the fit and the result read.
     """
     model = model or train(docs, labels, text=text, doc_id=doc_id)
-    table = scratch(posteriors(docs, model, text, keep=[]), "mix-posteriors")
-    moves, _ = fit_rates(table, targets)
     drop = {"rate", "copies"}
     carried = [c for c in (keep if keep is not None else docs.columns) if c.lower() not in drop]
     draw = free_name(docs, "_draw")
     uniform = (F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`"), F.lit(17)).bitwiseAND(F.lit((1 << 52) - 1))).cast("double") / float(1 << 52)
-    judged = posteriors(docs.withColumn(draw, uniform), model, text, keep=[*carried, draw])
-    rated = judged.withColumn("rate", rate_of(moves))
+    judged = scratch(posteriors(docs.withColumn(draw, uniform), model, text, keep=[*carried, draw]), "mix-posteriors")
+    moves, _ = fit_rates(judged, targets)
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield concat_rows(batch, [], {"rate": pa.array(rates_of(_posteriors_in(batch), moves), pa.float64())})
+
+    rated = judged.mapInArrow(rate, T.StructType([*judged.schema.fields, T.StructField("rate", T.DoubleType())]))
     return rated.withColumn("copies", (F.floor("rate") + (F.col(draw) < F.col("rate") - F.floor("rate")).cast("int")).cast("int")).drop(draw)

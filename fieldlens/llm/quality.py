@@ -23,7 +23,11 @@ for _k, _signs in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRST
     _CLASS[list(_signs.encode())] = _k
 _CLASS[0x80:] = 10
 CLASSES = 11
-FEATURES = CLASSES + 7
+_PLAIN = (_CLASS == 0) | (_CLASS == 1) | (_CLASS == 2) | (_CLASS == 10)
+#: Signed buckets of hashed words.
+HASHED = 48
+SHAPES = CLASSES + 7
+FEATURES = SHAPES + HASHED
 
 
 def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -35,7 +39,8 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def encode(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, stop: int, inside: bool) -> np.ndarray:
-    """Features of each passage: shares of sign classes, and how long, how varied and how repetitive its words are.
+    """Features of each passage: shares of sign classes, how long, how varied and how repetitive its words are, and the
+    words themselves (without edge signs) in hashed buckets.
 
     lengths: of the passages' texts. The last passage ends at stop; what follows is the rest of its last word. inside:
     data starts within a word of an earlier passage.
@@ -63,12 +68,24 @@ def encode(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, stop: int,
     capital = np.bincount(mine[symbol[ws] == 1], minlength=n) if len(ws) else np.zeros(n)
     out = np.empty((n, FEATURES))
     out[:, :CLASSES] = signs / size[:, None]
-    out[:, CLASSES:] = np.stack(
+    out[:, CLASSES:SHAPES] = np.stack(
         [repeats / some, distinct / some, np.log1p(letters / some), marked / some, capital / some, np.log1p(count), np.log1p(lengths)], axis=1
     )
+    plain = span_hashes(low, *_inner(low, ws, we)) if len(ws) else words
+    at = mine * HASHED + (plain >> np.uint64(40)).astype(np.int64) % HASHED
+    sign = np.where(plain & np.uint64(1), 1.0, -1.0)
+    out[:, SHAPES:] = np.bincount(at, weights=sign, minlength=n * HASHED).reshape(n, HASHED) / np.sqrt(some)[:, None]
     return out.astype(np.float32)
 
 
+def _inner(low: np.ndarray, ws: np.ndarray, we: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words without one sign at either edge, where that leaves something."""
+    solid = _PLAIN[low]
+    begin, end = ws + ~solid[ws], we - ~solid[we - 1]
+    kept = begin < end
+    return np.where(kept, begin, ws), np.where(kept, end, we)
+
+
 def _owners(words: np.ndarray, mine: np.ndarray) -> np.ndarray:
     """Passage of each distinct (passage, word)."""
     mixed = words ^ (mine.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))

@@ -36,21 +36,38 @@ NEEDS = {"ident": [SECRET], "blob": [IDENTIFIER], "endpoint": [IDENTIFIER, SECRE
 SPANS = "array<struct<start:int,rank:int,end:int>>"
 
 
+#: Matches whose places are added up in one fold; a fold copies what it has found, so longer ones are cut.
+FOLDED = 128
+
+
 def _spans(text: Column, kind: str, pattern: str, may: Column, fits) -> Column:
-    """Spans of a pattern's matches in code points: lengths of the pieces between matches and of the matches add up."""
+    """Spans of a pattern's matches in code points: lengths of the pieces between matches and of the matches add up.
+
+    Sums run within stretches of FOLDED matches, and the stretches' own sums move them to their places.
+    """
     rank = KINDS.index(kind)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("len"), fits(h).alias("fits")))
+    empty = F.array().cast(SPANS)
 
     def step(acc, pair):
-        begin = acc["at"] + F.length(pair["gap"])
-        end = begin + F.length(pair["hit"])
+        begin = acc["at"] + pair["gap"]
+        end = begin + pair["len"]
         span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(fits(pair["hit"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return F.struct(end.alias("at"), F.when(pair["fits"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+
+    def stretch(k):
+        return F.aggregate(F.slice(pairs, k * FOLDED + 1, FOLDED), F.struct(F.lit(0).alias("at"), empty.alias("out")), step)
+
+    def move(acc, part):
+        moved = F.transform(part["out"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), s["rank"].alias("rank"), (s["end"] + acc["at"]).alias("end")))
+        return F.struct((acc["at"] + part["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
 
-    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.when(may, F.aggregate(pairs, start, step, lambda a: a["out"])).otherwise(F.array().cast(SPANS))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / FOLDED).cast("int")), stretch)
+    nested = F.array().cast(f"array<{SPANS}>")
+    whole = F.aggregate(parts, F.struct(F.lit(0).alias("at"), nested.alias("out")), move, lambda a: F.flatten(a["out"]))
+    return F.when(may & (F.size(found) > 0), whole).otherwise(empty)
 
 
 def base_spans(text: Column) -> Column:

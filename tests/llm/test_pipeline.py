@@ -55,6 +55,10 @@ def test_mixture_follows_rates(spark, stages):
     mixed = mixing.mix(stages[3], spark.read.parquet(f"{SMALL}/labels.parquet"), cp.MIXTURE).select("doc_id", "copies").collect()
     got = Counter(r["doc_id"] for r in stages[4].collect())
     assert got == Counter({r["doc_id"]: r["copies"] for r in mixed if r["copies"]})
+    judged = mixing.mix(stages[3], spark.read.parquet(f"{SMALL}/labels.parquet"), cp.MIXTURE)
+    n = F.col("n_tokens")
+    sums = judged.agg(*(F.sum(F.col("rate") * n * F.col(f"p_{d}")).alias(d) for d in mixing.DOMAINS), F.sum(n).alias("all")).first()
+    assert all(abs(sums[d] / sums["all"] - cp.MIXTURE[d]) < 1e-3 for d in mixing.DOMAINS)
     clean = spark.read.parquet(f"{SMALL}/labels.parquet").filter("quality = 1 AND toxic = 0").join(stages[3], "doc_id").select("doc_id").collect()
     assert sum(got[r["doc_id"]] > 0 for r in clean) >= 0.97 * len(clean)
 
