@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 SUBJECT_PATTERNS = (r"(?i)\bpot[_\s-]*tag\s*=\s*([a-z0-9_-]+)\b", r"(?i)\b([0-9]{1,3})\s*t\b", r"(?i)\btomato[_\s-]*([0-9]{1,3})\b")
 CLASS_PATTERNS = (r"(?i)\bpacket[_\s-]*tag\s*=\s*([a-z0-9_-]+)\b", r"(?i)\bpacket[_\s-]*([0-9]{1,3})\b")
 TRUTHY = ("1", "true", "yes", "y", "on")
+#: Words may be parted by _, - or white space; ids in a list need no word edges.
+EXCLUDES = r"(?i)\bexclude[_\s-]*row\b|\bduplicate[_\s-]*of[_\s-]*row\b"
+MISSING_LIST = r"(?i)\bmissing[_\s-]*pots?\s*[:=]\s*([^\n;]+)"
+MISSING_ID = r"(?i)[0-9]{1,3}\s*T?"
+MISSING_ONE = r"(?i)\bmissing\s+([0-9]{1,3}\s*T?)\b"
+NUMBERS = r"\b([0-9]{1,3})\b"
 
 
 def strip(c: Column) -> Column:
@@ -77,21 +83,21 @@ def first_class_number(*texts: Column) -> Column:
 
 def number_candidates(*texts: Column, most: int | None = None) -> Column:
     """Distinct numbers > 0 of one to three digits that stand alone, in order of appearance over the texts."""
-    each = [F.coalesce(F.regexp_extract_all(t, F.lit(r"\b([0-9]{1,3})\b"), F.lit(1)), F.array().cast("array<string>")) for t in texts]
+    each = [F.coalesce(F.regexp_extract_all(t, F.lit(NUMBERS), F.lit(1)), F.array().cast("array<string>")) for t in texts]
     numbers = F.transform(F.concat(*each), lambda x: x.cast("bigint"))
     return F.array_distinct(F.filter(numbers, lambda x: (x > 0) & (x <= most) if most else x > 0))
 
 
 def excludes_row(notes: Column) -> Column:
-    """A note asks to drop the row. The bare word counts even in `exclude_row=0`."""
-    return F.coalesce(notes.rlike(r"(?i)\bexclude_row\b|\bduplicate_of_row\b"), F.lit(False))
+    """A note asks to drop the row. The bare words count even in `exclude_row=0`."""
+    return F.coalesce(notes.rlike(EXCLUDES), F.lit(False))
 
 
 def declared_missing(notes: Column) -> Column:
     """Sorted distinct subject ids that a note declares missing."""
-    lists = F.regexp_extract_all(notes, F.lit(r"(?i)\bmissing_pots?\s*[:=]\s*([^;\n]+)"), F.lit(1))
-    inside = F.flatten(F.transform(lists, lambda x: F.regexp_extract_all(x, F.lit(r"(?i)\b([0-9]{1,3}\s*T?)\b"), F.lit(1))))
-    bare = F.regexp_extract_all(notes, F.lit(r"(?i)\bmissing\s+([0-9]{1,3}\s*T?)\b"), F.lit(1))
+    lists = F.regexp_extract_all(notes, F.lit(MISSING_LIST), F.lit(1))
+    inside = F.flatten(F.transform(lists, lambda x: F.regexp_extract_all(x, F.lit(MISSING_ID), F.lit(0))))
+    bare = F.regexp_extract_all(notes, F.lit(MISSING_ONE), F.lit(1))
     found = F.transform(F.concat(inside, bare), lambda x: subject_id(x))
     return F.coalesce(F.array_sort(F.array_distinct(F.array_compact(found))), F.array().cast("array<string>"))
 

@@ -42,6 +42,14 @@ def quality_flags_v1(blur: Column, brightness: Column, cov: Column) -> Column:
     return F.coalesce(F.nullif(F.array_join(F.array_compact(flags), "|"), F.lit("")), F.lit("ok"))
 
 
+def quality_flags_v2(fallback: Column, blur: Column, brightness: Column, inner: Column, cov: Column) -> Column:
+    flags = F.array(
+        F.when(fallback, "fallback_anchor"), F.when(blur < 45, "blur_low"), F.when(brightness < 40, "underexposed"), F.when(brightness > 225, "overexposed"),
+        F.when(inner > 0.32, "neighbor_spill"), F.when(cov < 0.01, "low_signal"),
+    )
+    return F.coalesce(F.nullif(F.array_join(F.array_compact(flags), "|"), F.lit("")), F.lit("ok"))
+
+
 def health_v2(cov: Column, g: Column, chl: Column, inner: Column, neighbor: Column, focus: Column, n: Column) -> Column:
     sure = clip(0.7 * focus + 0.3 * (1 - neighbor))
     grown = F.when(g.isNull(), 0.55).otherwise(clip((g + 0.30) / 1.10))

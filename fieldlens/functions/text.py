@@ -36,6 +36,14 @@ SPECIES_RULES = [
     (r"\bparsley\b", "Parsley", "Petroselinum crispum", 0.95),
 ]
 
+#: Words that name the target species or one of its varieties.
+TARGET_PATTERNS = [
+    r"\btomato(es)?\b", r"\bstupice\b", r"\bglacier\b", r"\bsiletz\b", r"\blegend\b", r"\bsungold\b", r"\bearly\s+girl\b", r"\bjuliet\b", r"\bblack\s+krim\b",
+    r"\bsan\s+marzano\b", r"\bbrandywine\b", r"\bcherokee\s+purple\b", r"\bsunset\b", r"\btomatofest\b", r"\bheinz\b", r"\btrifel+e\b", r"\bjapanese\s+black\b",
+    r"\bsan\s+francisco\s+fog\b", r"\bbes\s+yellow\s+latvian\b", r"\btaxi\b", r"\bnikolayev\s+yellow\s+cherry\b", r"\bsunset'?s\s+red\s+horizon\b",
+    r"\bwalmea\s+wild\s+cherry\b", r"\bsasha\s+altai\b", r"\bazoychka\b", r"\bgold\s+dust\b",
+]
+
 
 def alias(name: Column) -> Column:
     """The replacement of a name by its canonical key, else the trimmed name; null for nothing."""
@@ -53,9 +61,10 @@ def caption_parts(caption: Column) -> Column:
 
 
 def variety_name(explicit: Column, common: Column, caption: Column) -> Column:
-    """Explicit name, else common name, else the caption before its first pipe; `unknown` and `tomato` count for nothing."""
+    """Explicit name, else common name, of which `unknown` and `tomato` count for nothing, else the caption before its
+    first pipe, whatever it says."""
     real = lambda c: F.when(~F.lower(strip(c)).isin("unknown", "tomato"), strip(c))
-    return F.coalesce(real(explicit), real(common), real(F.when(caption.contains("|"), F.substring_index(caption, "|", 1))))
+    return F.coalesce(real(explicit), real(common), strip(F.when(caption.contains("|"), F.substring_index(caption, "|", 1))))
 
 
 def capture_date(explicit: Column, captured: Column, uploaded: Column) -> Column:
@@ -81,7 +90,7 @@ def record_hash(*parts: Column) -> Column:
     return F.sha1(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)).cast("binary"))
 
 
-def classify_text(text: Column, targets: str = r"\btomato(es)?\b", rules: list = SPECIES_RULES) -> Column:
+def classify_text(text: Column, targets: str = "|".join(TARGET_PATTERNS), rules: list = SPECIES_RULES) -> Column:
     """struct(label, common, scientific, confidence, method) of the first rule that matches; species before targets."""
     low = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
     make = lambda *v: F.struct(*(F.lit(x).cast(t).alias(n) for x, n, t in zip(v, ("label", "common", "scientific", "confidence", "method"), ("string",) * 3 + ("double", "string"))))
@@ -91,6 +100,7 @@ def classify_text(text: Column, targets: str = r"\btomato(es)?\b", rules: list =
     return out.when(low.rlike(targets), make("tomato", "Tomato", "Solanum lycopersicum", 0.9, "ocr_keyword")).otherwise(make("unknown", None, None, 0.4, "ocr_unresolved"))
 
 
+#: Patterns below are fixed values: how boxes and levels are described.
 def annotation_kind(description: Column) -> Column:
     """struct(kind, value) of a box's text. A class number keeps its text, a subject id drops zeros."""
     low = F.lower(F.trim(F.coalesce(description, F.lit(""))))
@@ -142,6 +152,26 @@ def clamp_domain(c: Column, domain: list[str], default: str) -> Column:
 
 
 def is_subject_of_interest(caption: Column, keys: list[str]) -> Column:
-    """The caption says `tomato`, or its first token or whole slug is a registry key."""
-    whole = slug(caption)
-    return F.coalesce(F.lower(caption).contains("tomato") | whole.isin(*keys) | slug(F.substring_index(F.trim(caption), " ", 1)).isin(*keys), F.lit(False))
+    """The caption says `tomato` as a word, or what stands before its first pipe, or the whole, has a registry key as slug."""
+    slugs = [F.when(caption.contains("|"), slug(F.trim(F.substring_index(caption, "|", 1)))), slug(F.trim(caption))]
+    known = [s.isin(*keys) & (s != "") for s in slugs] if keys else [F.lit(False)]
+    return reduce(lambda a, b: a | F.coalesce(b, F.lit(False)), known, F.coalesce(caption.rlike(r"(?i)\btomato(es)?\b"), F.lit(False)))
+
+
+def percent_text(c: Column, signed: bool = False) -> Column:
+    """A share as percent with one decimal; null is `n/a`, or null where signs are asked for."""
+    made = F.format_string("%.1f%%", c * 100)
+    return F.when(c > 0, F.concat(F.lit("+"), made)).when(c.isNotNull(), made) if signed else F.coalesce(F.when(c.isNotNull(), made), F.lit("n/a"))
+
+
+def low_domain(c: Column, domain: tuple[str, ...] = ("high", "moderate", "low"), default: str = "unknown") -> Column:
+    low = F.lower(strip(c))
+    return F.when(low.isin(*domain), low).otherwise(F.lit(default))
+
+
+def badge(status: Column) -> Column:
+    return F.when(F.startswith(F.trim(status), F.lit("ready_")), "ready").otherwise("review")
+
+
+def spoken(c: Column) -> Column:
+    return F.coalesce(F.replace(strip(c), F.lit("_"), F.lit(" ")), F.lit("unknown"))

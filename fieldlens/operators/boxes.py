@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import scores, text
 from ..functions.ids import class_number, subject_id
+from ..sources.shared import checked
 
 BOX = "struct<ord:int,class_number:bigint,x:double,y:double,w:double,h:double>"
 
@@ -118,3 +120,26 @@ def ingest_status(box_count, export, valid, mismatch, labels, required: list[str
         F.when(export.isNull() & (box_count == 0), "pending").when(box_count == 0, "started_empty").when(export.isNull(), "missing_export").when(~valid, "invalid_export")
         .when(mismatch, "identity_mismatch").when(lacks, "missing_required_labels").when(~image, "missing_image").otherwise("ready")
     )
+
+
+def annotation_status(exports, box_count, mismatch):
+    """struct(status, next_action) of a task: pending without an export, completed with boxes, else started_empty."""
+    status = F.when(F.coalesce(exports, F.lit(0)) == 0, "pending").when(F.coalesce(box_count, F.lit(0)) > 0, "completed").otherwise("started_empty")
+    action = F.when(F.coalesce(mismatch, F.lit(False)), "resolve_identity").when(status == "completed", "review_for_masks").when(status == "started_empty", "continue").otherwise("start")
+    return F.struct(status.alias("status"), action.alias("next_action"))
+
+
+def resolved_seeds(boxes: DataFrame, key: str, expected: DataFrame) -> DataFrame:
+    """Typed boxes (key, ord, kind, value, x, y, w, h) to verdicts with pair_index: subjects collapsed to one box each,
+    near class boxes of a class suppressed, pairs made and judged; pairs first, in the order of the subjects' boxes,
+    then class boxes left over.
+
+    expected: (subject_id, expected), the class of each subject, a dimension.
+    """
+    pots = boxes.filter("kind = 'pot'").select(key, "ord", subject_id(F.col("value")).alias("subject_id"), "x", "y", "w", "h").dropna(subset=["subject_id"])
+    kept = collapsed(pots, key).join(checked(expected), "subject_id", "left")
+    centre = lambda d, *more: d.select(key, "ord", (F.col("x") + F.col("w") / 2).alias("cx"), (F.col("y") + F.col("h") / 2).alias("cy"), *more)
+    classes = boxes.filter("kind = 'varietal'").select(key, "ord", class_number(F.col("value")).alias("class_number"), "x", "y", "w", "h")
+    found = verdicts(centre(kept, "expected"), centre(suppressed(classes, key), "class_number"), key)
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.col("subject_ord").isNull(), "subject_ord", "class_ord"))
+    return found.withColumn("pair_index", place)

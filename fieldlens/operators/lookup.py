@@ -84,6 +84,7 @@ def earliest(rows: DataFrame, key: str, values: list[str]) -> DataFrame:
     return rows.dropna(subset=[key, "capture_date"]).groupBy(key).agg(first.alias("b")).select(key, *(F.col(f"b.{v}").alias(f"base_{v}") for v in ["capture_date", *values]))
 
 
+#: Sources that carry a name on rather than see it.
 CONTINUITY = ("baseline_continuity", "historical_continuity", "series_map", "sequence_inference", "manual_override")
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text
+from ..sources import shared
 
 
 def phase_consistency(rows: DataFrame) -> DataFrame:
@@ -17,14 +19,24 @@ def phase_consistency(rows: DataFrame) -> DataFrame:
 
 
 def effective_end(phases: DataFrame, runs: DataFrame) -> DataFrame:
-    """(phase_id, effective_end): the latest run from a phase's start until the next one's."""
-    from pyspark.sql.window import Window
+    """(phase_id, effective_end, basis): where a phase ends for checks.
 
+    phases: (phase_id, start_date, end_date, priority, explicit_end). The configured end holds unless the next phase
+    begins on or before it; then it holds if a batch was named as the end, else the latest run from the phase's start
+    and before the next one's stands for it, if there is one. A phase without an end has none.
+    """
+    # phases are a small dimension: their window and this range join hold a row for each
     nxt = F.lead("start_date").over(Window.orderBy("start_date", "priority"))
-    p = phases.withColumn("_next", nxt)
-    inside = (F.col("run_date") >= F.col("start_date")) & (F.col("_next").isNull() | (F.col("run_date") < F.col("_next")))
-    found = runs.select("run_date").distinct().join(F.broadcast(p), inside).groupBy("phase_id").agg(F.max("run_date").alias("last_run"))
-    return phases.select("phase_id", "end_date").join(found, "phase_id", "left").select("phase_id", F.coalesce("last_run", "end_date").alias("effective_end"))
+    p = phases.select("phase_id", "start_date", "end_date", F.coalesce("explicit_end", F.lit(False)).alias("explicit"), nxt.alias("next"))
+    days = runs.select("run_date").distinct()
+    found = days.join(shared.checked(p), (F.col("run_date") >= F.col("start_date")) & (F.col("run_date") < F.col("next"))).groupBy("phase_id").agg(F.max("run_date").alias("last_run"))
+    overlap = F.coalesce((F.col("next") <= F.col("end_date")) & F.col("start_date").isNotNull(), F.lit(False))
+    basis = (
+        F.when(F.col("end_date").isNull(), "missing_phase_end").when(~overlap, "timeline_end").when(F.col("explicit"), "explicit_end_batch")
+        .when(F.col("last_run").isNull(), "no_run_before_next").otherwise("latest_run_before_next")
+    )
+    out = p.join(found, "phase_id", "left").withColumn("basis", basis)
+    return out.select("phase_id", F.when(F.col("basis") == "latest_run_before_next", F.col("last_run")).otherwise(F.col("end_date")).alias("effective_end"), "basis")
 
 
 def checked(rows: DataFrame, caption: str, registry_keys: DataFrame) -> DataFrame:

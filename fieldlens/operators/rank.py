@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import checked
+
 
 def latest(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """The row of each key that is greatest in order."""
@@ -24,19 +26,53 @@ def export_counts(rows: DataFrame, key: str, saved: str) -> DataFrame:
     return rows.dropna(subset=[key]).groupBy(key).agg(F.max(saved).alias("latest"), F.count("*").alias("exports"))
 
 
+def dealt_by_range(rows: DataFrame, key: Column, partitions: int, per_partition: int = 200) -> DataFrame:
+    """rows with `_o` (the key) and `_p`, the number of bounds below it.
+
+    The bounds come from a bounded sample, read once, and are part of the plan: whatever reads the result deals its rows
+    alike. They only decide how even the parts are.
+    """
+    keyed = rows.withColumn("_o", key)
+    some = keyed.select("_o").sample(min(1.0, partitions * per_partition / max(1, keyed.count())), seed=7)
+    sample = sorted_sample(some, 2 * partitions * per_partition)
+    bounds = [sample[len(sample) * i // partitions] for i in range(1, partitions)] if sample else []
+    if not bounds:
+        return keyed.withColumn("_p", F.lit(0))
+    table = rows.sparkSession.createDataFrame(bounds, some.schema).coalesce(1).agg(F.collect_list("_o").alias("_bounds"))
+    found = F.size(F.filter("_bounds", lambda b: b < F.col("_o")))
+    return keyed.join(F.broadcast(table), F.lit(True)).withColumn("_p", found).drop("_bounds")
+
+
+def sorted_sample(keys: DataFrame, most: int) -> list:
+    return keys.orderBy("_o").limit(most).collect()
+
+
 def global_rank(rows: DataFrame, order: list[Column], name: str = "rank", partitions: int = 64) -> DataFrame:
     """Rank from 1 over the whole table without one task that sorts all of it.
 
-    Rows are dealt by range of the order, numbered in their partition, and the partitions' counts give the offsets.
+    Rows are dealt by fixed bounds of the order, numbered in their part, and the parts' counts give the offsets.
     The order must be total for a stable rank.
     """
-    keyed = rows.withColumn("_o", F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order))))
-    sorted_ = keyed.repartitionByRange(partitions, "_o").withColumn("_p", F.spark_partition_id())
-    counts = sorted_.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_o").alias("_first"))
-    # at most `partitions` rows; a window over them is small
-    offsets = counts.select("_first", (F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_off"), "_p")
-    within = F.row_number().over(Window.partitionBy("_p").orderBy("_o"))
-    return sorted_.withColumn("_w", within).join(F.broadcast(offsets.select("_p", "_off")), "_p").withColumn(name, F.col("_w") + F.col("_off")).drop("_o", "_p", "_w", "_off")
+    return positions(rows, [], order, name, partitions)
+
+
+def positions(rows: DataFrame, groups: list[str], order: list[Column], name: str, partitions: int = 64) -> DataFrame:
+    """The place of each row, from 1, in its group by order; a group with most of the rows is sorted in many parts.
+
+    Null groups are a group. The counts of parts and groups are as many as groups and parts at most.
+    """
+    key = F.struct(*(F.col(g).alias(f"g{i}") for i, g in enumerate(groups)), *(c.alias(f"o{i}") for i, c in enumerate(order)))
+    dealt = dealt_by_range(rows, key, partitions)
+    mine = [F.col(g) for g in groups]
+    counts = dealt.groupBy("_p", *mine).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*groups).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("_p").alias("_q"), *(F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    same = F.col("_p") == F.col("_q")
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    within = F.row_number().over(Window.partitionBy("_p", *groups).orderBy("_o"))
+    out = dealt.withColumn("_w", within).join(checked(offsets), same)
+    return out.withColumn(name, F.col("_w") + F.col("_off")).drop("_o", "_p", "_q", "_w", "_off", *(f"_g{i}" for i in range(len(groups))))
 
 
 def label_queue_order(readiness: Column, focus: Column, spill: Column, neighbor: Column, cov: Column, number: Column, subject: Column) -> list[Column]:
@@ -60,3 +96,38 @@ def timeline(rows: DataFrame, n: int) -> DataFrame:
     arr = cells.groupBy("subject_number").agg(F.count("*").alias("runs"), F.array_sort(F.collect_list(F.struct("run_date", "variety_name"))).alias("cells"))
     spine = rows.sparkSession.range(1, n + 1).select(F.col("id").alias("subject_number"))
     return spine.join(arr, "subject_number", "left").select("subject_number", F.coalesce("runs", F.lit(0)).alias("runs"), "cells")
+
+
+STATUS_ORDER = ("risk", "drift", "info", "warn", "ok")
+TIER_ORDER = ("ocr_match", "weak_ocr", "no_signal")
+PRIORITY_ORDER = ("high", "medium", "low")
+INGEST_ORDER = ("ready", "missing_required_labels", "identity_mismatch", "missing_image", "missing_export", "invalid_export", "started_empty", "pending")
+
+
+def place_in(c: Column, order: tuple[str, ...], other: int = 99) -> Column:
+    """The place of a value in a list of words, `other` for any other."""
+    place = F.array_position(F.array(*(F.lit(v) for v in order)), F.trim(c))
+    return F.coalesce(F.nullif(place, F.lit(0)) - 1, F.lit(other))
+
+
+def card_order(status: Column, warnings: Column, subject: Column) -> list[Column]:
+    return [place_in(status, STATUS_ORDER), -F.coalesce(warnings, F.lit(0)), *natural(subject)]
+
+
+def reviewer_order(tier: Column, run_date: Column, row_index: Column) -> list[Column]:
+    return [place_in(tier, TIER_ORDER), run_date, row_index]
+
+
+def task_order(status: Column, rank: Column, subject: Column) -> list[Column]:
+    """Ready tasks first; tasks without a rank come last of their status."""
+    return [place_in(status, INGEST_ORDER), F.coalesce(rank, F.lit(10_000)), F.upper(F.trim(subject))]
+
+
+def watchlist_order(priority: Column, subject: Column) -> list[Column]:
+    return [place_in(priority, PRIORITY_ORDER, 3), *natural(subject)]
+
+
+def top_patterns(patterns: DataFrame, column: str, k: int = 10) -> DataFrame:
+    """The k most frequent texts with their counts; ties by text."""
+    counts = patterns.dropna(subset=[column]).groupBy(F.col(column).alias("pattern")).agg(F.count("*").alias("n"))
+    return counts.orderBy(F.desc("n"), "pattern").limit(k)

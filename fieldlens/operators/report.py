@@ -180,3 +180,74 @@ def ingest_summary(tasks: DataFrame) -> DataFrame:
     """tasks: (status). Counts of ready and pending tasks, and the advice that follows from them."""
     out = tasks.agg(F.count("*").alias("tasks"), F.count_if(F.col("status") == "ready").alias("ready"), F.count_if(F.col("status").isin("pending", "started_empty")).alias("pending"))
     return out.withColumn("advice", F.when(F.col("ready") >= 8, "benchmark").when(F.col("ready") >= 4, "baseline").when(F.col("pending") > 0, "annotate").otherwise("unblock"))
+
+
+def box_typing(boxes: DataFrame, key: str) -> DataFrame:
+    """Per photo, from typed boxes: boxes, those with a text, their share, and counts of kinds and of different values."""
+    kind = lambda k: F.count_if(F.col("kind") == k)
+    values = lambda k: F.count_distinct(F.when(F.col("kind") == k, F.col("value")))
+    return boxes.groupBy(key).agg(
+        F.count("*").alias("boxes"), F.round(F.avg((F.col("kind") != "unlabeled").cast("int")), 4).alias("typed_ratio"), kind("pot").alias("pots"), kind("varietal").alias("varietals"),
+        kind("other").alias("others"), values("pot").alias("pot_ids"), values("varietal").alias("varietal_numbers"),
+    )
+
+
+def pair_counts(verdicts: DataFrame, column: str) -> DataFrame:
+    """(value, n) of the reasons or kinds of evidence of all photos together; no reason is no value."""
+    return value_counts(verdicts.filter(F.col(column) != ""), column)
+
+
+def pair_summary(verdicts: DataFrame, key: str) -> DataFrame:
+    """Photos, rows, rows for review and rows settled without one."""
+    return verdicts.agg(
+        F.count_distinct(key).alias("photos"), F.count("*").alias("rows"), F.count_if("needs_review").alias("needs_review"), F.count_if(~F.col("needs_review")).alias("auto_resolved")
+    )
+
+
+def page_stats(subjects: DataFrame, metrics: DataFrame, start, end) -> DataFrame:
+    """One row. subjects: (subject_id, variety_name, bucket, batch_label); metrics: (subject_id, growth). A batch label
+    counts if all subjects that have one agree."""
+    bucket = lambda *b: F.count_if(F.col("bucket").isin(*b))
+    label = F.nullif(F.trim("batch_label"), F.lit(""))
+    one = F.when(F.min(label) == F.max(label), F.min(label))
+    found = subjects.agg(
+        F.count("*").alias("subjects"), F.count_distinct("variety_name").alias("varieties"), bucket("strong").alias("strong"), bucket("modest", "stalled").alias("watch"),
+        bucket("stalled").alias("stalled"), F.coalesce(one, F.lit("Canonical end-batch selection")).alias("batch_label"),
+    )
+    days = F.datediff(F.lit(end).cast("date"), F.lit(start).cast("date"))
+    m = metrics.agg(F.count("*").alias("metric_rows"), F.count("growth").alias("growth_rows"))
+    return found.join(F.broadcast(m), F.lit(True)).withColumns({"days_between": days, "inclusive_days": days + 1})
+
+
+def triage_summary(rows: DataFrame, expected) -> DataFrame:
+    """One row. rows: (subject_id, run_b_date, batch_id, row_index, missing). Whether all are there, and whether the
+    expected date is the only one."""
+    text = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    gone = F.lower(F.trim(F.coalesce("missing", F.lit("")))).isin("1", "true", "yes", "y")
+    out = rows.agg(
+        F.count("*").alias("rows"), F.count_distinct(text("subject_id")).alias("subjects"), F.count_distinct("run_b_date").alias("dates"), F.count_distinct(text("batch_id")).alias("batches"),
+        F.count_distinct(F.when(F.col("row_index") > 0, F.col("row_index"))).alias("row_indexes"), F.coalesce(F.bool_and(~gone), F.lit(True)).alias("all_rows_present"), F.max("run_b_date").alias("_last"),
+    )
+    matched = (F.col("dates") == 1) & (F.col("_last") == F.lit(expected))
+    return out.withColumn("expected_end_matched", F.coalesce(matched, F.lit(False))).drop("_last")
+
+
+def annotation_summary(manifest: DataFrame) -> DataFrame:
+    """One row. manifest: (annotation_status, mismatch)."""
+    status = lambda s: F.count_if(F.col("annotation_status") == s)
+    return manifest.agg(
+        F.count("*").alias("expected"), status("completed").alias("completed"), status("started_empty").alias("started_empty"), status("pending").alias("pending"), F.count_if("mismatch").alias("mismatches")
+    )
+
+
+def annotation_counts(manifest: DataFrame) -> DataFrame:
+    """(kind, value, n): reviewers, and the labels of the `|`-parted lists."""
+    labels = F.transform(F.split(F.coalesce("labels", F.lit("")), r"\|"), lambda v: F.struct(F.lit("label").alias("kind"), F.trim(v).alias("value")))
+    each = F.explode(F.concat(F.array(F.struct(F.lit("reviewer").alias("kind"), F.trim(F.coalesce("reviewer", F.lit(""))).alias("value"))), labels))
+    return manifest.select(each.alias("e")).filter(F.col("e.value") != "").groupBy("e.kind", "e.value").agg(F.count("*").alias("n"))
+
+
+def queue_summary(rows: DataFrame, columns: tuple[str, ...] = ("run_date", "matches", "signal")) -> DataFrame:
+    """(kind, value, n): the values of each column, as text."""
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("kind"), F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias("value")) for c in columns)))
+    return rows.select(each.alias("e")).groupBy("e.kind", "e.value").agg(F.count("*").alias("n"))

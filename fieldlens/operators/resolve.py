@@ -6,10 +6,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import ids, text
-from .lookup import last_before, last_wins, runs_of
+from ..sources.shared import checked, stored
+from .lookup import last_before, last_wins, phase_of, runs_of
+from .rank import positions
 
 
 @dataclass(frozen=True)
@@ -45,7 +46,8 @@ def resolve_identities(
     reverse = names.withColumn("key", ids.canonical_key(F.col("series_name"))).groupBy("key").agg(F.max("series_number").alias("baseline_class"))
     fixed = last_wins(subject_series, ["subject_id"], "row_index").select("subject_id", F.col("series_number").alias("fixed_class"))
     known = last_wins(baseline.withColumn("baseline_name", text.alias(F.col("baseline_name"))), ["subject_id"], "row_index").select("subject_id", "baseline_name")
-    known = known.withColumn("key", ids.canonical_key(F.col("baseline_name"))).join(F.broadcast(reverse), "key", "left").drop("key")
+    known = checked(known.withColumn("key", ids.canonical_key(F.col("baseline_name"))).join(reverse, "key", "left").drop("key"))
+    names, fixed = checked(names), checked(fixed)
     o = overrides.filter(ids.truthy(F.col("reviewed"), on=False)).select(
         "run_date", "row_index", "asset", F.lit(True).alias("o_found"), ids.subject_id(F.col("confirmed_subject")).alias("o_subject"),
         ids.class_number(F.col("confirmed_class")).alias("o_class"), ids.strip(F.col("notes")).alias("o_notes"),
@@ -54,7 +56,7 @@ def resolve_identities(
     o = last_wins(o, ["run_date", "row_index", "asset"], "o_order").drop("o_order")
 
     texts = [F.col("pot_tag"), F.col("notes"), F.col("caption"), F.col("ocr_excerpt")]
-    rows = intake.withColumn("run_position", F.row_number().over(Window.partitionBy("run_date").orderBy("row_index")))
+    rows = positions(intake, ["run_date"], [F.col("row_index")], "run_position")
     rows = rows.join(o, ["run_date", "row_index", "asset"], "left")
     rows = rows.withColumns(
         {
@@ -73,18 +75,18 @@ def resolve_identities(
     class_texts = [F.col("packet_tag"), F.col("notes"), F.col("caption"), F.col("ocr_excerpt")]
     guess = F.try_element_at(F.filter("numbers", lambda x: (x != F.coalesce(number, F.lit(-1))) & (x <= p.most_class)), F.lit(1))
     found = F.coalesce(ids.first_class_number(*class_texts), guess) if p.name_fallback else F.lit(None).cast("bigint")
-    rows = rows.withColumn("found_class", found).join(F.broadcast(fixed), "subject_id", "left").join(F.broadcast(known), "subject_id", "left")
+    rows = rows.withColumn("found_class", found).join(fixed, "subject_id", "left").join(known, "subject_id", "left")
     use_fixed = F.col("fixed_class").isNotNull()
     after_fixed = F.coalesce("fixed_class", "found_class")
     use_base = ~use_fixed & F.col("baseline_class").isNotNull() & (after_fixed.isNull() | (F.lit(p.baseline_reconcile) & (after_fixed != F.col("baseline_class"))))
     rows = rows.withColumns({"use_fixed": use_fixed, "use_base_class": F.coalesce(use_base, F.lit(False))})
     rows = rows.withColumn("class_number", F.when(F.col("use_base_class"), F.col("baseline_class")).otherwise(after_fixed).cast("bigint"))
-    named = lambda d, key, out: d.join(F.broadcast(names.select(F.col("series_number").alias(key), F.col("series_name").alias(out))), key, "left")
+    named = lambda d, key, out: d.join(names.select(F.col("series_number").alias(key), F.col("series_name").alias(out)), key, "left")
     rows = named(rows, "class_number", "class_name")
     derived = text.alias(text.variety_name(F.col("variety_name"), F.col("species_common_name"), F.col("caption"))) if p.name_fallback else F.lit(None).cast("string")
     told = intake.select(
         F.nullif(F.regexp_extract("caption", ids.SUBJECT_PATTERNS[2], 1), F.lit("")).try_cast("bigint").alias("number"), "run_date", "row_index", "label",
-        text.variety_name(F.col("variety_name"), F.col("species_common_name"), F.col("caption")).alias("told"),
+        text.alias(text.variety_name(F.col("variety_name"), F.col("species_common_name"), F.col("caption"))).alias("told"),
     )
     past = runs_of(told.filter("label = 'tomato' AND number IS NOT NULL AND told IS NOT NULL"), "number", "told")
     historical = lambda d, out: (
@@ -116,6 +118,7 @@ def resolve_identities(
     confirmed = seen(ids.subject_number(F.col("subject_id")))
     target = F.lit(p.target_only_run) | (F.col("label") == "tomato") | F.col("subject_id").isNotNull()
     rows = rows.withColumns({"ocr_confirmed": confirmed, "candidate": target})
+    # fixed values: codes of evidence, in their order
     codes = [
         (F.col("inferred"), "pot_id_inferred_from_run_sequence"),
         (F.lit(p.target_only_run) & (F.col("label") != "tomato"), "label_not_tomato_run_assumed_tomato"),
@@ -167,6 +170,8 @@ def violations(rows: DataFrame, overrides: DataFrame, expected: int) -> DataFram
 
     A run passes the gate if it has none. Declared missing ids of all overrides of a run lower its expected count.
     """
+    # five views of the same rows: they are resolved once
+    rows = stored(rows.select("run_date", "row_index", "subject_id", "class_number", "variety_name", "final_status", "dropped"), "resolved")
     kept = rows.filter(F.col("dropped").isNull())
     item = lambda d, code, c: d.select("run_date", F.lit(code).alias("code"), c.cast("string").alias("item"))
     each = kept.filter("subject_id IS NOT NULL").groupBy("run_date", "subject_id").agg(F.count("*").alias("n"), F.count_distinct("variety_name").alias("v"))
@@ -199,3 +204,21 @@ def run_report(rows: DataFrame, expected: int) -> DataFrame:
         n(kept & (F.col("final_status") == "ready_auto_resolved")).alias("ready_auto"), n(kept & F.col("final_status").startswith("review_needed")).alias("review_needed"),
         F.least(F.count("*"), F.lit(expected)).alias("expected_rows"),
     )
+
+
+def run_counts(rows: DataFrame) -> DataFrame:
+    """(run_date, kind, value, n): the kept rows of each run by label, final status, review stage and source."""
+    kinds = ("label", "final_status", "review_stage", "resolution_source")
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in kinds)))
+    return rows.filter("dropped IS NULL").select("run_date", each.alias("e")).groupBy("run_date", "e.kind", "e.value").agg(F.count("*").alias("n"))
+
+
+def bad_rows(rows: DataFrame) -> DataFrame:
+    """(run_date, row_index): kept rows whose mapping lacks a subject."""
+    lacks = (F.col("mapping_status") != "ok") & F.col("mapping_note").contains("missing_pot_id")
+    return rows.filter(F.col("dropped").isNull() & lacks).select("run_date", "row_index")
+
+
+def with_phases(rows: DataFrame, phases: DataFrame, stage: str) -> DataFrame:
+    """rows with lifecycle_stage and the phase that holds their run; a run without a phase has nulls."""
+    return phase_of(rows.withColumn("lifecycle_stage", F.lit(stage)), phases, F.col("lifecycle_stage"))

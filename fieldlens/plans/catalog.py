@@ -134,7 +134,7 @@ def caption_split(spark, sf_dir):
 
 @query("SELECT doc_id, CASE WHEN trim(lower(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) = '' THEN 'unknown' "
        + " ".join(f"WHEN regexp_matches(lower(regexp_replace(text, '\\s+', ' ', 'g')), '{p}') THEN 'non_tomato'" for p, *_ in text.SPECIES_RULES)
-       + " WHEN regexp_matches(lower(text), '\\btomato(es)?\\b') THEN 'tomato' ELSE 'unknown' END AS label FROM documents")
+       + " WHEN regexp_matches(lower(regexp_replace(text, '\\s+', ' ', 'g')), '" + "|".join(p.replace("'", "''") for p in text.TARGET_PATTERNS) + "') THEN 'tomato' ELSE 'unknown' END AS label FROM documents")
 def text_labels(spark, sf_dir):
     return ad.table(spark, sf_dir, "documents").select("doc_id", text.classify_text(F.col("text"))["label"].alias("label"))
 
@@ -397,14 +397,32 @@ def metric_scores(spark, sf_dir):
 # ---- annotation boxes
 
 
-@query()
+_BOXES = """b AS (SELECT l_orderkey AS photo, l_linenumber AS ord, l_returnflag = 'N' AS pot, l_suppkey % 12 + 1 AS c, l_discount * 10 AS cx, l_tax * 10 AS cy FROM lineitem)"""
+
+
+@query(f"""WITH RECURSIVE {_BOXES}, s AS (SELECT photo, ord AS s, cx AS sx, cy AS sy, CASE WHEN c < 11 THEN c END AS expected FROM b WHERE pot), v AS (SELECT photo, ord AS c, cx AS x, cy AS y, c AS class FROM b WHERE NOT pot),
+e AS (SELECT photo, s, v.c, CASE WHEN expected = class THEN 1 ELSE 2 END AS pass, sqrt(pow(sx - x, 2) + pow(sy - y, 2)) AS d FROM s JOIN v USING (photo)),
+o AS (SELECT *, row_number() OVER (PARTITION BY photo ORDER BY pass, d, s, c) AS k FROM e),
+f AS (SELECT photo, 0::BIGINT AS k, []::STRUCT(s BIGINT, c BIGINT, d DOUBLE)[] AS m FROM (SELECT DISTINCT photo FROM o)
+ UNION ALL SELECT f.photo, o.k, CASE WHEN len(list_filter(m, lambda q: q.s = o.s OR q.c = o.c)) > 0 THEN m ELSE list_append(m, {{'s': o.s, 'c': o.c, 'd': o.d}}) END FROM f JOIN o ON o.photo = f.photo AND o.k = f.k + 1),
+p AS (SELECT photo, unnest(max_by(m, k), recursive := true) FROM f GROUP BY photo),
+j AS (SELECT s.photo, s.s AS subject_ord, p.c AS class_ord, p.d AS distance, expected, class FROM s LEFT JOIN p ON p.photo = s.photo AND p.s = s.s LEFT JOIN v ON v.photo = p.photo AND v.c = p.c),
+r AS (SELECT photo, subject_ord, class_ord, round(distance, 6) AS distance, CASE WHEN class_ord IS NULL THEN 'missing_varietal_pair' WHEN coalesce(expected, 0) <= 0 THEN 'unknown_pot_series' WHEN class <> expected THEN 'pot_varietal_conflict' ELSE '' END AS review_reason,
+ CASE WHEN class_ord IS NULL THEN 'pot_only' WHEN coalesce(expected, 0) <= 0 THEN 'pot_plus_varietal_unvalidated' WHEN class <> expected THEN 'pot_plus_varietal_conflict' ELSE 'pot_plus_varietal_match' END AS evidence_type FROM j
+ UNION ALL SELECT photo, NULL, c, NULL, 'orphan_varietal_without_pot', 'varietal_only' FROM v WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.photo = v.photo AND p.c = v.c))
+SELECT *, review_reason <> '' AS needs_review FROM r""")
 def box_pairing(spark, sf_dir):
     b = ad.photo_boxes(spark, sf_dir)
     subjects = b.filter("kind = 'pot'").select("photo", "ord", "cx", "cy", F.when(F.col("class_number") < 11, F.col("class_number")).alias("expected"))
     return boxes.verdicts(subjects, b.filter("kind = 'varietal'").select("photo", "ord", "cx", "cy", "class_number"), "photo")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_BOXES}, o AS (SELECT photo, c, cx - 0.01 AS x, cy - 0.01 AS y, row_number() OVER (PARTITION BY photo, c ORDER BY ord, cx, cy) AS k FROM b),
+f AS (SELECT DISTINCT photo, c, 0::BIGINT AS k, []::STRUCT(x DOUBLE, y DOUBLE)[] AS m FROM o UNION ALL
+ SELECT f.photo, f.c, o.k, CASE WHEN len(list_filter(m, lambda q: sqrt(pow(q.x - o.x, 2) + pow(q.y - o.y, 2)) <= 0.04 OR
+  greatest(0, least(q.x, o.x) + 0.02 - greatest(q.x, o.x)) * greatest(0, least(q.y, o.y) + 0.02 - greatest(q.y, o.y)) >= 0.5 * (0.0008 - greatest(0, least(q.x, o.x) + 0.02 - greatest(q.x, o.x)) * greatest(0, least(q.y, o.y) + 0.02 - greatest(q.y, o.y))))) > 0
+  THEN m ELSE list_append(m, {{'x': o.x, 'y': o.y}}) END FROM f JOIN o ON o.photo = f.photo AND o.c = f.c AND o.k = f.k + 1),
+g AS (SELECT photo, c, len(max_by(m, k)) AS n FROM f GROUP BY ALL) SELECT photo, CAST(sum(n) AS BIGINT) AS kept FROM g GROUP BY photo""")
 def box_suppression(spark, sf_dir):
     b = ad.photo_boxes(spark, sf_dir).withColumns({"x": F.col("cx") - 0.01, "y": F.col("cy") - 0.01})
     return boxes.suppressed(b, "photo").groupBy("photo").agg(F.count("*").alias("kept"))
@@ -423,14 +441,14 @@ def box_collapse(spark, sf_dir):
 # ---- similarity
 
 
-@query("""WITH e AS (SELECT vec_id, label, embedding FROM embeddings), x AS (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS p FROM e WHERE vec_id % 2 = 0),
+@query("""WITH e AS (SELECT vec_id, label, embedding FROM embeddings), x AS (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS p FROM e),
 m AS (SELECT label, p, avg(CAST(v AS DOUBLE)) AS v FROM x GROUP BY ALL), t AS (SELECT label, list(v ORDER BY p) AS t, sqrt(sum(v * v)) AS n FROM m GROUP BY label),
-s AS (SELECT vec_id, t.label, round(list_dot_product(CAST(embedding AS DOUBLE[]), t.t) / n / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 9) AS score FROM e, t WHERE vec_id % 2 = 1)
+s AS (SELECT vec_id, t.label, round(list_dot_product(CAST(embedding AS DOUBLE[]), t.t) / n / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 9) AS score FROM e, t)
 SELECT vec_id, label, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS rank FROM s QUALIFY rank <= 3""")
 def template_matches(spark, sf_dir):
     e = ad.table(spark, sf_dir, "embeddings")
-    known = similarity.templates(e.filter("vec_id % 2 = 0"), "label", "embedding")
-    return similarity.matches(e.filter("vec_id % 2 = 1"), "embedding", known, "label", "vec_id").select("vec_id", "label", "rank")
+    known = similarity.templates(e, "label", "embedding")
+    return similarity.matches(e, "embedding", known, "label", "vec_id").select("vec_id", "label", "rank")
 
 
 # ---- season

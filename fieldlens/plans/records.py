@@ -190,12 +190,17 @@ def run_drift(spark, sf_dir):
     return report.drift(p).withColumns({c: F.round(c, 9) for c in ("unknown_latest", "unknown_baseline")})
 
 
-@query("""WITH phases(phase_id, s, e) AS (VALUES ('p1', DATE '1995-01-01', DATE '1995-12-31'), ('p2', DATE '1995-06-15', DATE '1996-06-30'), ('p3', DATE '2030-01-01', DATE '2031-01-01')),
-n AS (SELECT *, lead(s) OVER (ORDER BY s) AS nxt FROM phases)
-SELECT phase_id, coalesce(max(CAST(o_orderdate AS DATE)), any_value(e)) AS effective_end FROM n LEFT JOIN orders ON CAST(o_orderdate AS DATE) >= s AND (nxt IS NULL OR CAST(o_orderdate AS DATE) < nxt) GROUP BY phase_id""")
+@query("""WITH phases(phase_id, s, e, x) AS (VALUES ('p1', DATE '1995-01-01', DATE '1995-12-31', FALSE), ('p2', DATE '1995-06-15', DATE '1996-06-30', FALSE), ('p3', DATE '1996-05-01', DATE '1996-12-31', TRUE),
+ ('p4', DATE '1996-12-31', NULL, FALSE), ('p5', DATE '2030-01-01', DATE '2030-02-01', FALSE), ('p6', DATE '2030-01-15', DATE '2031-01-01', FALSE)),
+n AS (SELECT *, lead(s) OVER (ORDER BY s) AS nxt FROM phases), l AS (SELECT phase_id, max(CAST(o_orderdate AS DATE)) AS d FROM n JOIN orders ON CAST(o_orderdate AS DATE) >= s AND CAST(o_orderdate AS DATE) < nxt GROUP BY phase_id),
+j AS (SELECT n.*, d, CASE WHEN e IS NULL THEN 'missing_phase_end' WHEN nxt IS NULL OR nxt > e THEN 'timeline_end' WHEN x THEN 'explicit_end_batch' WHEN d IS NULL THEN 'no_run_before_next' ELSE 'latest_run_before_next' END AS basis FROM n LEFT JOIN l USING (phase_id))
+SELECT phase_id, CASE WHEN basis = 'latest_run_before_next' THEN d ELSE e END AS effective_end, basis FROM j""")
 def effective_ends(spark, sf_dir):
-    rows = [("p1", "1995-01-01", "1995-12-31", 1), ("p2", "1995-06-15", "1996-06-30", 2), ("p3", "2030-01-01", "2031-01-01", 3)]
-    phases = spark.createDataFrame(rows, "phase_id string, start_date string, end_date string, priority int").withColumns({c: F.to_date(c) for c in ("start_date", "end_date")})
+    rows = [
+        ("p1", "1995-01-01", "1995-12-31", 1, False), ("p2", "1995-06-15", "1996-06-30", 2, False), ("p3", "1996-05-01", "1996-12-31", 3, True),
+        ("p4", "1996-12-31", None, 4, False), ("p5", "2030-01-01", "2030-02-01", 5, False), ("p6", "2030-01-15", "2031-01-01", 6, False),
+    ]
+    phases = spark.createDataFrame(rows, "phase_id string, start_date string, end_date string, priority int, explicit_end boolean").withColumns({c: F.to_date(c) for c in ("start_date", "end_date")})
     return quality.effective_end(phases, ad.table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("run_date")))
 
 
@@ -244,11 +249,11 @@ def triage_refresh(spark, sf_dir):
     return merge.refreshed(ad.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey"), batch, "c_custkey", ["c_mktsegment", "c_nationkey"])
 
 
-@query(f"""WITH {ad.INTAKE} SELECT row_index, CASE WHEN user_id % 2 = 0 AND event_id % 4 <> 0 THEN 'Bean' WHEN caption <> '' THEN concat('Plant ', CAST(user_id % 40 AS VARCHAR)) END AS name,
+@query(f"""WITH {ad.INTAKE} SELECT row_index, CASE WHEN user_id % 2 = 0 AND event_id % 4 <> 0 THEN 'Bean' WHEN caption <> '' AND user_id % 3 = 0 THEN 'tomato' WHEN caption <> '' THEN concat('Plant ', CAST(user_id % 40 AS VARCHAR)) END AS name,
  CASE WHEN event_id % 2 = 0 THEN run_date ELSE DATE '2024-05-06' END AS capture_date FROM intake""")
 def derived_names(spark, sf_dir):
     e = F.col("event_id")
-    name = text.variety_name(F.when(F.col("user_id") % 2 == 0, F.when(e % 4 != 0, " Bean ").otherwise("Unknown")), F.lit("tomato"), F.col("caption"))
+    name = text.variety_name(F.when(F.col("user_id") % 2 == 0, F.when(e % 4 != 0, " Bean ").otherwise("Unknown")), F.lit("tomato"), F.when((F.col("caption") != "") & (F.col("user_id") % 3 == 0), "tomato | p").otherwise(F.col("caption")))
     day = text.capture_date(F.lit(" "), F.when(e % 2 == 0, F.concat(F.col("run_date").cast("string"), F.lit("T23:59:59-08:00"))), F.lit("2024-05-06 01:02:03"))
     return ad.intake(spark, sf_dir).select("row_index", name.alias("name"), day.alias("capture_date"))
 

@@ -173,18 +173,18 @@ def two_tier_labels(spark, sf_dir):
     return review.two_tier_labels(rows, "crop", "whole").select("row_index", "label", "ocr_excerpt")
 
 
-@query("""WITH e AS (SELECT vec_id, label, embedding FROM embeddings), x AS (SELECT label + 1 AS s, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS p FROM e WHERE vec_id % 2 = 0),
+@query("""WITH e AS (SELECT vec_id, label, embedding FROM embeddings), x AS (SELECT label + 1 AS s, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS p FROM e),
 m AS (SELECT s, p, avg(CAST(v AS DOUBLE)) AS v FROM x GROUP BY ALL), t AS (SELECT s, list(v ORDER BY p) AS t, sqrt(sum(v * v)) AS n FROM m GROUP BY s),
-d AS (SELECT vec_id, s, round(list_dot_product(CAST(embedding AS DOUBLE[]), t.t) / n / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 9) AS score FROM e, t WHERE vec_id % 4 = 1),
+d AS (SELECT vec_id, s, round(list_dot_product(CAST(embedding AS DOUBLE[]), t.t) / n / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 9) AS score FROM e, t WHERE e.label = 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, s) AS k FROM d),
 f AS (SELECT vec_id, max(s) FILTER (k = 1) AS visual, string_agg(CAST(s AS VARCHAR), ',' ORDER BY k) AS top3 FROM r WHERE k <= 3 GROUP BY vec_id)
 SELECT vec_id AS row_key, CASE WHEN vec_id % 3 = 0 THEN 4 ELSE visual END AS number, CASE WHEN vec_id % 3 = 0 THEN 5 ELSE 0 END AS votes, CASE WHEN vec_id % 3 = 0 THEN 'ocr_high' ELSE 'needs_manual' END AS tier, top3 FROM f WHERE CASE WHEN vec_id % 3 = 0 THEN 4 ELSE visual END <= 8""")
 def hard_rows(spark, sf_dir):
     e = ad.table(spark, sf_dir, "embeddings").withColumn("number", (F.col("label") + 1).cast("long"))
-    known = similarity.templates(e.filter("vec_id % 2 = 0"), "number", "embedding")
+    known = similarity.templates(e, "number", "embedding")
     rows = e.select(F.col("vec_id").alias("row_key"), "embedding")
     tries = rows.filter("row_key % 3 = 0").select("row_key", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("variant"), F.array(F.lit(4).cast("long")).alias("numbers"))
-    found = similarity.hard_rows(rows, rows.filter("row_key % 4 <> 1"), "embedding", known.withColumnRenamed("number", "label"), "label", similarity.votes(tries), 8)
+    found = similarity.hard_rows(rows, e.filter("label <> 1").select(F.col("vec_id").alias("row_key")), "embedding", known.withColumnRenamed("number", "label"), "label", similarity.votes(tries), 8)
     return found.select("row_key", "number", "votes", "tier", "top3")
 
 

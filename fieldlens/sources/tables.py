@@ -22,6 +22,11 @@ def read_json_tree(spark: SparkSession, path: str, schema: str, pattern: str = "
     return df.select("*", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_modification_time").alias("modified_at"))
 
 
+def unreadable(tree: DataFrame) -> DataFrame:
+    """(source_file): the documents of read_json_tree that could not be read, to be reported as unassigned."""
+    return tree.filter(F.col("_corrupt_record").isNotNull()).select("source_file").distinct()
+
+
 def flattened_album(payload: DataFrame, column: str) -> DataFrame:
     """Positional arrays [asset, [url, width, height], captured_ms, offset_ms, uploaded_ms] to rows; missing is null."""
     item = F.from_json(column, "array<array<string>>")

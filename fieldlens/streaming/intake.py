@@ -20,14 +20,29 @@ def daily_counts(stream: DataFrame, time: str, by: str) -> DataFrame:
 
 
 def upsert_feed(stream: DataFrame, table: str, keys: list[str], order: str, checkpoint: str):
-    """Starts a query that merges each batch into a table of versions; a batch that is run again writes the same version."""
+    """Starts a query that merges each batch into a table of versions.
+
+    `table`/last holds the number of the last version that is whole. A batch that is run again merges into the version
+    before its own and writes its own anew; a batch whose base is not there fails rather than start from nothing.
+    """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        old = f"{table}/version={batch_id - 1}"
-        path = spark._jvm.org.apache.hadoop.fs.Path(old)
-        has = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-        base = spark.read.parquet(old) if has else spark.createDataFrame([], batch.schema)
+        last = latest_version(spark, table)
+        if last is not None and last >= batch_id:
+            last = batch_id - 1 if batch_id else None
+        elif last is None and batch_id or last is not None and last != batch_id - 1:
+            raise ValueError(f"version {batch_id - 1} of {table} is not whole (last: {last})")
+        base = spark.createDataFrame([], batch.schema) if last is None else spark.read.schema(batch.schema).parquet(f"{table}/version={last}")
         upsert(base, batch, keys, order).write.mode("overwrite").parquet(f"{table}/version={batch_id}")
+        spark.createDataFrame([(batch_id,)], "version long").coalesce(1).write.mode("append").parquet(f"{table}/last")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_version(spark: SparkSession, table: str) -> int | None:
+    """The last whole version of a table that upsert_feed keeps, or None."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/last")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.schema("version long").parquet(f"{table}/last").agg(F.max("version")).first()[0]
