@@ -221,4 +221,4 @@ def bad_rows(rows: DataFrame) -> DataFrame:
 
 def with_phases(rows: DataFrame, phases: DataFrame, stage: str) -> DataFrame:
     """rows with lifecycle_stage and the phase that holds their run; a run without a phase has nulls."""
-    return phase_of(rows.withColumn("lifecycle_stage", F.lit(stage)), phases, F.col("lifecycle_stage"))
+    return phase_of(rows.withColumn("lifecycle_stage", F.lit(stage)), phases, F.lit(stage))

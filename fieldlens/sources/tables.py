@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.merge import content_hash
+from .shared import stored
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -23,8 +24,11 @@ def read_json_tree(spark: SparkSession, path: str, schema: str, pattern: str = "
 
 
 def unreadable(tree: DataFrame) -> DataFrame:
-    """(source_file): the documents of read_json_tree that could not be read, to be reported as unassigned."""
-    return tree.filter(F.col("_corrupt_record").isNotNull()).select("source_file").distinct()
+    """(source_file): the documents of read_json_tree that could not be read, to be reported as unassigned.
+
+    The read rows are stored first, as a scan cannot give its corrupt records alone.
+    """
+    return stored(tree.select("source_file", "_corrupt_record", *(c for c in tree.columns if c not in ("source_file", "_corrupt_record"))), "json-tree").filter(F.col("_corrupt_record").isNotNull()).select("source_file").distinct()
 
 
 def flattened_album(payload: DataFrame, column: str) -> DataFrame:

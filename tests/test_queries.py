@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from fieldlens.plans import catalog, records, registry, reviews  # noqa: F401  these register their queries
+from fieldlens.plans import catalog, records, registry, reviews, worklists  # noqa: F401  these register their queries
 
 DATA = "/root/testdata/sf0.001"
 
