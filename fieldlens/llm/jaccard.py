@@ -191,7 +191,7 @@ def shared_addresses(docs: DataFrame, n: int, tiles: Tiles, text: str, buckets:
 
     Tasks send their addresses, each class once, as packed arrays to the bucket of the address. An address that many
     classes of a task's part have is known to be shared: two of the classes go to the bucket, where they meet those of
-    other parts, and the rest are rows of their own, so no bucket grows with a hot address.
+    other parts, and the rest pass through buckets of their class, so no bucket grows with a hot address.
     """
     source = docs.select(F.col(f"`{text}`").alias("text"))
 
@@ -201,11 +201,10 @@ def shared_addresses(docs: DataFrame, n: int, tiles: Tiles, text: str, buckets:
         first = np.flatnonzero(np.diff(address, prepend=~address[:1]))
         nth = np.arange(len(address)) - np.repeat(first, np.diff(np.append(first, len(address))))
         many = np.repeat(np.diff(np.append(first, len(address))), np.diff(np.append(first, len(address))))
-        # bucket 0 holds what is known to be shared
-        bucket = np.where((many >= HEAVY) & (nth > 1), 0, 1 + slot(address, buckets))
-        spans = list(dealt(bucket))
+        # buckets beyond those of addresses hold what is known to be shared
+        spans = list(dealt(np.where((many >= HEAVY) & (nth > 1), buckets + slot(mix64(name.view(np.uint64)), buckets), slot(address, buckets))))
         return pa.RecordBatch.from_arrays(
-            [pa.array([b - 1 for b, _ in spans], pa.int32())] + [pa.array([x[i].tobytes() for _, i in spans], pa.binary()) for x in (address, tile, name)],
+            [pa.array([b for b, _ in spans], pa.int32())] + [pa.array([x[i].tobytes() for _, i in spans], pa.binary()) for x in (address, tile, name)],
             names=["bucket", "addresses", "tiles", "classes"],
         )
 
@@ -237,6 +236,8 @@ def shared_addresses(docs: DataFrame, n: int, tiles: Tiles, text: str, buckets:
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
         address, tile, name = unpacked([table.column(c).to_pylist() for c in ("addresses", "tiles", "classes")])
+        if key[0].as_py() >= buckets:
+            return pa.table(rows_of(address, tile, name))
         _, own, count = np.unique(address, return_inverse=True, return_counts=True)
         several = np.flatnonzero(count[own] > 1)
         address, tile, name = address[several], tile[several], name[several]
@@ -249,16 +250,9 @@ def shared_addresses(docs: DataFrame, n: int, tiles: Tiles, text: str, buckets:
         several = count[own] > 1
         return pa.table(rows_of(address[several], tile[several], name[several]))
 
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_pydict(rows_of(*unpacked([c.to_pylist() for c in batch.columns])))
-
-    sent = scratch(source.mapInArrow(send, "bucket int, addresses binary, tiles binary, classes binary"), "jaccard-addresses")
-    row = "address long, tile int, class long"
-    met = sent.filter("bucket >= 0").groupBy("bucket").applyInArrow(meet, row)
-    hot = sent.filter("bucket < 0").select("addresses", "tiles", "classes").mapInArrow(known, row)
-    met = scratch(met.unionByName(hot).groupBy("address", "class").agg(F.first("tile").alias("tile")), "jaccard-met")
-    discard(sent)
+    sent = source.mapInArrow(send, "bucket int, addresses binary, tiles binary, classes binary")
+    met = sent.groupBy("bucket").applyInArrow(meet, "address long, tile int, class long")
+    met = scratch(met.groupBy("address", "class").agg(F.first("tile").alias("tile")), "jaccard-met")
     sizes = met.groupBy("address").agg(F.count("*").alias("others"))
     return met.join(sizes, "address")
 
@@ -530,6 +524,8 @@ def class_links(
     classes = scratch(classes, "jaccard-classes")
     buckets = max(128, classes.count() // per_bucket)
     shared = scratch(shared_addresses(docs, n, tiles, text, buckets), "jaccard-shared")
+    # rows of blocks are several times the classes
+    buckets *= 4
     may = bitmap_links(shared, classes, tiles, buckets)
     may = scratch(may, "jaccard-may")
     clusters = components(may.select(F.col("class").alias("a"), F.col("other").alias("b")), "jaccard-clusters")
