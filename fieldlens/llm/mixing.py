@@ -261,10 +261,9 @@ def mix(
     uniform = (F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`"), F.lit(17)).bitwiseAND(F.lit((1 << 52) - 1))).cast("double") / float(1 << 52)
     judged = scratch(posteriors(docs.withColumn(draw, uniform), model, text, keep=[*carried, draw]), "mix-posteriors")
     moves, _ = fit_rates(judged, targets)
-
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield concat_rows(batch, [], {"rate": pa.array(rates_of(_posteriors_in(batch), moves), pa.float64())})
-
-    rated = judged.mapInArrow(rate, T.StructType([*judged.schema.fields, T.StructField("rate", T.DoubleType())]))
+    # an expression, so that texts that are carried do not pass through Python again
+    rate = F.lit(1.0)
+    for v in moves:
+        rate = F.greatest(F.lit(0.0), rate - sum((F.col(f"p_{d}") * float(v[k]) for k, d in enumerate(DOMAINS)), F.lit(0.0)))
+    rated = judged.withColumn("rate", rate)
     return rated.withColumn("copies", (F.floor("rate") + (F.col(draw) < F.col("rate") - F.floor("rate")).cast("int")).cast("int")).drop(draw)

@@ -17,7 +17,7 @@ from .langid import fold
 
 PASSAGE_BYTES = 400
 #: Passages that are encoded at once, and the most of one text that the fit looks at.
-BLOCK_PASSAGES, FIT_PASSAGES = 4096, 64
+BLOCK_PASSAGES, FIT_PASSAGES = 1024, 64
 _CLASS = np.full(256, 9, np.int64)
 for _k, _signs in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\n\r", "|", "%&*$#@^~<>{}[]\\=+_", "!", ".,;:?")):
     _CLASS[list(_signs.encode())] = _k
