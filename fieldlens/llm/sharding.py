@@ -44,8 +44,9 @@ def _keyed(docs: DataFrame, text: str, doc_id: str, names: dict[str, str]) -> Da
 
 
 def _table(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
-    """A small table of longs from the driver."""
-    return spark.createDataFrame(rows, ", ".join(f"`{n}` long" for n in names)).coalesce(1)
+    """A small table of longs from the driver as a VALUES clause (LOWEST has no literal of its own)."""
+    text = ", ".join("(" + ", ".join(f"CAST('{v}' AS BIGINT)" if v == LOWEST else f"{v}L" for v in r) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {text} AS t({', '.join(f'`{n}`' for n in names)})")
 
 
 def find_splitters(keys: DataFrame, pieces: int, tolerance: float, cells_per_piece: int = 64) -> tuple[list[Splitter], int]:
