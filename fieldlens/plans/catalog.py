@@ -400,17 +400,20 @@ def metric_scores(spark, sf_dir):
 _BOXES = """b AS (SELECT l_orderkey AS photo, l_linenumber AS ord, l_returnflag = 'N' AS pot, l_suppkey % 12 + 1 AS c, l_discount * 10 AS cx, l_tax * 10 AS cy FROM lineitem)"""
 
 
-@query(f"""WITH RECURSIVE {_BOXES}, s AS (SELECT photo, ord AS s, cx AS sx, cy AS sy, CASE WHEN c < 11 THEN c END AS expected FROM b WHERE pot), v AS (SELECT photo, ord AS c, cx AS x, cy AS y, c AS class FROM b WHERE NOT pot),
-e AS (SELECT photo, s, v.c, CASE WHEN expected = class THEN 1 ELSE 2 END AS pass, sqrt(pow(sx - x, 2) + pow(sy - y, 2)) AS d FROM s JOIN v USING (photo)),
+# from subjects s (photo, s, sx, sy, expected) and class boxes v (photo, c, x, y, class) to verdicts r
+_PAIRS = """e AS (SELECT photo, s, v.c, CASE WHEN expected = class THEN 1 ELSE 2 END AS pass, sqrt(pow(sx - x, 2) + pow(sy - y, 2)) AS d FROM s JOIN v USING (photo)),
 o AS (SELECT *, row_number() OVER (PARTITION BY photo ORDER BY pass, d, s, c) AS k FROM e),
 f AS (SELECT photo, 0::BIGINT AS k, []::STRUCT(s BIGINT, c BIGINT, d DOUBLE)[] AS m FROM (SELECT DISTINCT photo FROM o)
- UNION ALL SELECT f.photo, o.k, CASE WHEN len(list_filter(m, lambda q: q.s = o.s OR q.c = o.c)) > 0 THEN m ELSE list_append(m, {{'s': o.s, 'c': o.c, 'd': o.d}}) END FROM f JOIN o ON o.photo = f.photo AND o.k = f.k + 1),
+ UNION ALL SELECT f.photo, o.k, CASE WHEN len(list_filter(m, lambda q: q.s = o.s OR q.c = o.c)) > 0 THEN m ELSE list_append(m, {'s': o.s, 'c': o.c, 'd': o.d}) END FROM f JOIN o ON o.photo = f.photo AND o.k = f.k + 1),
 p AS (SELECT photo, unnest(max_by(m, k), recursive := true) FROM f GROUP BY photo),
 j AS (SELECT s.photo, s.s AS subject_ord, p.c AS class_ord, p.d AS distance, expected, class FROM s LEFT JOIN p ON p.photo = s.photo AND p.s = s.s LEFT JOIN v ON v.photo = p.photo AND v.c = p.c),
 r AS (SELECT photo, subject_ord, class_ord, round(distance, 6) AS distance, CASE WHEN class_ord IS NULL THEN 'missing_varietal_pair' WHEN coalesce(expected, 0) <= 0 THEN 'unknown_pot_series' WHEN class <> expected THEN 'pot_varietal_conflict' ELSE '' END AS review_reason,
  CASE WHEN class_ord IS NULL THEN 'pot_only' WHEN coalesce(expected, 0) <= 0 THEN 'pot_plus_varietal_unvalidated' WHEN class <> expected THEN 'pot_plus_varietal_conflict' ELSE 'pot_plus_varietal_match' END AS evidence_type FROM j
- UNION ALL SELECT photo, NULL, c, NULL, 'orphan_varietal_without_pot', 'varietal_only' FROM v WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.photo = v.photo AND p.c = v.c))
-SELECT *, review_reason <> '' AS needs_review FROM r""")
+ UNION ALL SELECT photo, NULL, c, NULL, 'orphan_varietal_without_pot', 'varietal_only' FROM v WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.photo = v.photo AND p.c = v.c))"""
+
+
+@query(f"""WITH RECURSIVE {_BOXES}, s AS (SELECT photo, ord AS s, cx AS sx, cy AS sy, CASE WHEN c < 11 THEN c END AS expected FROM b WHERE pot), v AS (SELECT photo, ord AS c, cx AS x, cy AS y, c AS class FROM b WHERE NOT pot),
+{_PAIRS} SELECT *, review_reason <> '' AS needs_review FROM r""")
 def box_pairing(spark, sf_dir):
     b = ad.photo_boxes(spark, sf_dir)
     subjects = b.filter("kind = 'pot'").select("photo", "ord", "cx", "cy", F.when(F.col("class_number") < 11, F.col("class_number")).alias("expected"))

@@ -179,7 +179,14 @@ def failure_patterns(spark, sf_dir):
     return rank.top_patterns(v.withColumn("p", F.concat("review_reason", F.lit(" "), F.col("class_ord").cast("string"))), "p")
 
 
-@query()
+# boxes of 0.02 by 0.02 whose overlap reaches a half are nearer than 0.04, so that the distance alone suppresses
+@query(f"""WITH RECURSIVE q AS (SELECT l_orderkey AS photo, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS ord, l_linenumber % 4 AS m, l_suppkey % 12 + 1 AS cls, l_discount + 0.01 AS x, l_tax + 0.01 AS y FROM lineitem),
+s AS (SELECT photo, min(ord) AS s, arg_min(x, ord) AS sx, arg_min(y, ord) AS sy, CASE WHEN cls <= 10 THEN cls END AS expected FROM q WHERE m = 1 GROUP BY photo, cls),
+n AS (SELECT photo, cls, ord, x, y, row_number() OVER (PARTITION BY photo, cls ORDER BY ord) AS k FROM q WHERE m IN (0, 2)),
+g AS (SELECT DISTINCT photo, cls, 0::BIGINT AS k, []::STRUCT(c BIGINT, x DOUBLE, y DOUBLE)[] AS m FROM n UNION ALL
+ SELECT g.photo, g.cls, n.k, CASE WHEN len(list_filter(m, lambda a: sqrt(pow(a.x - n.x, 2) + pow(a.y - n.y, 2)) <= 0.04)) > 0 THEN m ELSE list_append(m, {{'c': n.ord, 'x': n.x, 'y': n.y}}) END FROM g JOIN n ON n.photo = g.photo AND n.cls = g.cls AND n.k = g.k + 1),
+v AS (SELECT photo, cls AS class, unnest(max_by(m, k), recursive := true) FROM g GROUP BY photo, cls),
+{catalog._PAIRS} SELECT *, review_reason <> '' AS needs_review, CAST(row_number() OVER (PARTITION BY photo ORDER BY subject_ord IS NULL, subject_ord, class_ord) AS INT) AS pair_index FROM r""")
 def seed_resolution(spark, sf_dir):
     expected = spark.range(1, 11).select(F.concat(F.col("id").cast("string"), F.lit("T")).alias("subject_id"), F.col("id").alias("expected"))
     return boxes.resolved_seeds(boxes.typed(records._photos(spark, sf_dir), "photo"), "photo", expected)
