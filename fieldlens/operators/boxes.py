@@ -7,24 +7,45 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scores, text
-from ..functions.ids import class_number, subject_id
+from ..functions.ids import class_number, strip, subject_id
 from ..sources.shared import checked
 
 BOX = "struct<ord:int,class_number:bigint,x:double,y:double,w:double,h:double>"
 
 
-def expanded(payloads: DataFrame) -> DataFrame:
-    """One row a photo of single (boxes at the top) and multi (photos array) payloads; single wins, excluded photos go.
+def photo_rows(payloads: DataFrame) -> DataFrame:
+    """One row a photo of single (boxes at the top) and multi (photos array) payloads, with `excluded`; single wins.
 
     payloads: (path, version, saved_at, capture_date, row_index, asset, boxes, photos).
     """
     single = F.col("boxes").isNotNull() & F.col("asset").isNotNull()
-    one = payloads.filter(single).select("path", "saved_at", "capture_date", "row_index", "asset", "boxes", F.lit(0).alias("position"))
-    many = payloads.filter(~single).select("path", "saved_at", "capture_date", F.posexplode("photos").alias("position", "p")).filter(~F.coalesce("p.exclude_from_training", F.lit(False)))
-    many = many.select("path", "saved_at", "capture_date", F.coalesce("p.row_index", (F.col("position") + 1).cast("long")).alias("row_index"), F.col("p.asset").alias("asset"), F.col("p.boxes").alias("boxes"), "position")
+    one = payloads.filter(single).select("path", "saved_at", "capture_date", "row_index", "asset", "boxes", F.lit(0).alias("position"), F.lit(False).alias("excluded"))
+    many = payloads.filter(~single).select("path", "saved_at", "capture_date", F.posexplode("photos").alias("position", "p"))
+    many = many.select(
+        "path", "saved_at", "capture_date", F.coalesce("p.row_index", (F.col("position") + 1).cast("long")).alias("row_index"), F.col("p.asset").alias("asset"), F.col("p.boxes").alias("boxes"), "position",
+        F.coalesce("p.exclude_from_training", F.lit(False)).alias("excluded"),
+    )
     return one.unionByName(many)
 
 
+def expanded(payloads: DataFrame) -> DataFrame:
+    """photo_rows without the excluded photos."""
+    return photo_rows(payloads).filter(~F.col("excluded")).drop("excluded")
+
+
+def usability(photos: DataFrame) -> DataFrame:
+    """photo_rows with `skip`: the first reason that keeps a photo from use, or null."""
+    blank = lambda c: strip(F.col(c).cast("string")).isNull()
+    reason = F.when(F.col("excluded"), "excluded").when(blank("asset"), "no_asset").when(blank("capture_date"), "no_date").when(F.coalesce(F.size("boxes"), F.lit(0)) <= 0, "no_boxes")
+    return photos.withColumn("skip", reason)
+
+
+def usability_counts(photos: DataFrame) -> DataFrame:
+    """(total, processed, skipped, excluded) of usability; excluded photos are skipped ones too."""
+    skipped = F.col("skip").isNotNull()
+    return photos.agg(F.count("*").alias("total"), F.count_if(~skipped).alias("processed"), F.count_if(skipped).alias("skipped"), F.count_if(F.col("skip") == "excluded").alias("excluded"))
+
+
 def latest_seeds(photos: DataFrame) -> DataFrame:
     """The last saved row of each (capture_date, row_index, asset); ties keep the first path and position."""
     keys = ["capture_date", "row_index", "asset"]

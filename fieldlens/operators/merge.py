@@ -88,3 +88,10 @@ def refreshed(triage: DataFrame, batch: DataFrame, key: str, columns: list[str])
     """triage with the batch's values where it has the key."""
     b = batch.select(key, *(F.col(c).alias(f"_b_{c}") for c in columns))
     return triage.join(b, key, "left").select(*(F.coalesce(f"_b_{c}", c).alias(c) if c in columns else F.col(c) for c in triage.columns))
+
+
+def refresh_problems(triage: DataFrame, batch: DataFrame, key: str, expected: int) -> DataFrame:
+    """(code, item): `batch_size` if the batch has not as many rows as expected, and each key of triage that it lacks."""
+    size = batch.agg(F.count("*").alias("n")).filter(F.col("n") != expected).select(F.lit("batch_size").alias("code"), F.col("n").cast("string").alias("item"))
+    lacking = triage.dropna(subset=[key]).join(batch.select(key), key, "left_anti")
+    return size.unionByName(lacking.select(F.lit("missing_in_batch").alias("code"), F.col(key).cast("string").alias("item")))

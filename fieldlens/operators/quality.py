@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import text
+from ..functions import ids, text
 from ..sources import shared
 
 
@@ -55,3 +55,32 @@ def anchors(df: DataFrame, expected: dict[str, int]) -> DataFrame:
     pairs = ", ".join(f"'{c}', CAST(`{c}` AS BIGINT), CAST({int(v)} AS BIGINT)" for c, v in expected.items())
     long = df.selectExpr(f"stack({len(expected)}, {pairs}) AS (item, found, wanted)")
     return long.filter("NOT (found <=> wanted)").select(F.lit("count_differs").alias("code"), F.concat("item", F.lit("="), F.coalesce(F.col("found").cast("string"), F.lit("null"))).alias("item"))
+
+
+def anchor_runs(overrides: DataFrame, batch: DataFrame | None = None) -> DataFrame:
+    """(run_date, rows, reviewed_rows, subjects) of each run's overrides; subjects are different ids of reviewed rows.
+
+    batch: (run_date, row_index), rows chosen by hand. A run that it names counts only these.
+    """
+    rows = overrides.dropna(subset=["run_date"])
+    if batch is not None:
+        chosen = batch.select("run_date", "row_index").distinct()
+        named = chosen.select("run_date").distinct()
+        rows = rows.join(named, "run_date", "left_anti").unionByName(rows.join(chosen, ["run_date", "row_index"], "left_semi"))
+    seen = ids.truthy(F.col("reviewed"))
+    return rows.groupBy("run_date").agg(
+        F.count("*").alias("rows"), F.count_if(seen).alias("reviewed_rows"), F.count_distinct(F.when(seen, ids.subject_id(F.col("confirmed_subject")))).alias("subjects")
+    )
+
+
+def anchor_marks(overrides: DataFrame, run, subject: str, gone: int, chosen: int, mark: str) -> DataFrame:
+    """What a run's overrides say about a subject and two rows, in one row: whether it is declared missing, has a reviewed
+    row, and whether row `gone` is excluded and the notes of row `chosen` have the mark. A run without overrides says no."""
+    notes, index = F.col("notes"), F.col("row_index")
+    says = {
+        "declared_missing": F.array_contains(ids.declared_missing(notes), subject),
+        "has_row": ids.truthy(F.col("reviewed")) & (ids.subject_id(F.col("confirmed_subject")) == subject),
+        "excluded_row": (index == gone) & ids.excludes_row(notes),
+        "chosen_row": (index == chosen) & notes.contains(mark),
+    }
+    return overrides.filter(F.col("run_date") == F.lit(run)).agg(*(F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in says.items()))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import ids, scores, text
-from ..operators import boxes, lookup, merge, rank, report, resolve, season, select
+from ..operators import boxes, lookup, merge, quality, rank, report, resolve, season, select
 from . import adapters as ad
-from . import catalog, records
+from . import catalog, records, reviews
 from .registry import oracle_sql, query
 
 _LAST = "(SELECT max(run_date) FROM intake)"
@@ -286,3 +286,63 @@ def triage_summary(spark, sf_dir):
 def unmapped_rows(spark, sf_dir):
     rows, _ = catalog._resolved(spark, sf_dir)
     return merge.unmapped(ad.intake(spark, sf_dir).select("run_date", "row_index"), rows.filter("dropped IS NULL"), ["run_date", "row_index"])
+
+
+# ---- exports, anchors and refreshes
+
+
+_PHOTO_USE = """x AS (SELECT o_orderkey, 0 AS position, FALSE AS gone, CASE WHEN o_orderkey % 2 = 1 AND o_custkey % 4 = 0 THEN ' ' ELSE 'a' END AS asset, o_custkey % 7 = 0 AS undated, o_orderkey % 3 = 0 AS bare FROM orders
+ UNION ALL SELECT o_orderkey, 1, o_custkey % 3 = 0, 'b', o_custkey % 7 = 0, FALSE FROM orders WHERE o_orderkey % 2 = 1),
+u AS (SELECT o_orderkey AS path, position, CASE WHEN gone THEN 'excluded' WHEN trim(asset) = '' THEN 'no_asset' WHEN undated THEN 'no_date' WHEN bare THEN 'no_boxes' END AS skip FROM x)"""
+
+
+def _photo_use(spark, sf_dir):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    single, one = k % 2 == 0, F.array(F.struct(F.lit(0.5).alias("x")))
+    found = F.when(k % 3 != 0, one).otherwise(F.array().cast("array<struct<x:double>>"))
+    photo = lambda i, a, gone, b: F.struct(i.cast("long").alias("row_index"), a.alias("asset"), gone.alias("exclude_from_training"), b.alias("boxes"))
+    photos = F.array(photo(F.lit(None), F.when(c % 4 == 0, " ").otherwise("a"), F.lit(None).cast("boolean"), found), photo(F.lit(7), F.lit("b"), c % 3 == 0, one))
+    payloads = ad.table(spark, sf_dir, "orders").select(
+        k.alias("path"), F.col("o_orderdate").alias("saved_at"), F.when(c % 7 != 0, F.to_date("o_orderdate")).alias("capture_date"), c.alias("row_index"), F.when(single, "a").alias("asset"),
+        F.when(single, found).alias("boxes"), F.when(~single, photos).alias("photos"),
+    )
+    return boxes.usability(boxes.photo_rows(payloads))
+
+
+@query(f"WITH {_PHOTO_USE} SELECT path, CAST(position AS INT) AS position, skip FROM u")
+def photo_use(spark, sf_dir):
+    return _photo_use(spark, sf_dir).select("path", "position", "skip")
+
+
+@query(f"WITH {_PHOTO_USE} SELECT count(*) AS total, count(*) FILTER (skip IS NULL) AS processed, count(skip) AS skipped, count(*) FILTER (skip = 'excluded') AS excluded FROM u")
+def photo_use_counts(spark, sf_dir):
+    return boxes.usability_counts(_photo_use(spark, sf_dir))
+
+
+@query(f"""WITH {ad.INTAKE}, o AS (SELECT run_date, event_id % 4 <> 1 AS seen, event_id % 32 AS s FROM intake WHERE event_id % 50 = 7 AND (run_date <> {_LAST} OR event_id % 3 = 0))
+SELECT run_date, count(*) AS rows, count(*) FILTER (seen) AS reviewed_rows, count(DISTINCT s) FILTER (seen) AS subjects FROM o GROUP BY run_date""")
+def anchor_runs(spark, sf_dir):
+    rows = ad.intake(spark, sf_dir)
+    return quality.anchor_runs(ad.overrides(rows), select.of_run(rows).filter("event_id % 3 = 0"))
+
+
+@query(f"""WITH {ad.INTAKE}, o AS (SELECT * FROM intake WHERE event_id % 50 = 7 AND run_date = (SELECT run_date FROM intake WHERE row_index = 108))
+SELECT coalesce(bool_or(event_id % 100 = 7 AND event_id % 30 = 17), FALSE) AS declared_missing, coalesce(bool_or(event_id % 4 <> 1 AND event_id % 32 = 17), FALSE) AS has_row,
+ coalesce(bool_or(row_index = 108), FALSE) AS excluded_row, coalesce(bool_or(row_index = 58), FALSE) AS chosen_row FROM o""")
+def anchor_marks(spark, sf_dir):
+    rows = ad.intake(spark, sf_dir)
+    run = rows.filter("row_index = 108").agg(F.max("run_date")).first()[0]
+    return quality.anchor_marks(ad.overrides(rows), run, "18T", 108, 58, "checked")
+
+
+@query("""WITH b AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 5 = 0) SELECT 'batch_size' AS code, CAST(count(*) AS VARCHAR) AS item FROM b HAVING count(*) <> 7
+UNION ALL SELECT 'missing_in_batch', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM b)""")
+def refresh_problems(spark, sf_dir):
+    batch = ad.table(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    return merge.refresh_problems(ad.table(spark, sf_dir, "customer"), batch, "c_custkey", 7)
+
+
+@query(f"WITH r AS ({oracle_sql()['run_cards']}) SELECT run_date, CASE WHEN rows % 2 = 0 THEN 'census' ELSE 'mixed' END AS mode FROM r")
+def batch_modes(spark, sf_dir):
+    cards = reviews.run_cards(spark, sf_dir)
+    return cards.select("run_date", scores.batch_mode(F.col("rows"), F.col("rows") - F.col("rows") % 2).alias("mode"))

@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from fieldlens.functions import ids, text
-from fieldlens.operators import boxes, quality, rank
+from fieldlens.operators import boxes, merge, quality, rank
 from fieldlens.sources import tables
 from fieldlens.streaming import intake
 
@@ -95,3 +95,38 @@ def test_daily_counts(spark):
     q = intake.daily_counts(s, "ts", "kind").writeStream.format("memory").queryName("days").outputMode("complete").option("checkpointLocation", root + "/c").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted((r["kind"], r["n"]) for r in spark.table("days").collect()) == [("x", 2), ("y", 1)]
+
+
+def test_photos_without_use(spark):
+    photo = "array<struct<row_index:long,asset:string,exclude_from_training:boolean,boxes:array<struct<x:double>>>>"
+    schema = f"path string, version string, saved_at string, capture_date string, row_index long, asset string, boxes array<struct<x:double>>, photos {photo}"
+    one = [(0.5,)]
+    many = [None, (None, "a", True, one), (4, "", None, one), (5, "b", False, []), (6, "c", False, None), (None, "d", None, one)]
+    rows = [("p", "v", "t", "2026-01-01", None, None, None, many), ("q", "v", "t", " ", 1, "a", one, None), ("r", "v", "t", "d", None, None, None, None), ("s", "v", "t", "d", 2, "a", one, many)]
+    use = boxes.usability(boxes.photo_rows(spark.createDataFrame(rows, schema)))
+    got = {(r["path"], r["position"]): (r["row_index"], r["skip"]) for r in use.collect()}
+    want = {0: (1, "no_asset"), 1: (2, "excluded"), 2: (4, "no_asset"), 3: (5, "no_boxes"), 4: (6, "no_boxes"), 5: (6, None)}
+    assert got == {("p", k): v for k, v in want.items()} | {("q", 0): (1, "no_date"), ("s", 0): (2, None)}
+    assert tuple(boxes.usability_counts(use).first()) == (8, 2, 6, 1)
+    assert tuple(boxes.usability_counts(use.filter("false")).first()) == (0, 0, 0, 0)
+
+
+def test_anchors_of_runs(spark):
+    schema = "run_date string, row_index long, confirmed_subject string, notes string, reviewed string"
+    rows = [("d1", 1, "01t", None, "yes"), ("d1", 2, "1T", "missing_pots: 21T", " TRUE "), ("d1", 3, "2T", "exclude_row=1", None), ("d2", 1, None, "chosen", "yes"), ("d2", 2, "5T", "", "yes"), (None, 1, "9T", None, "yes")]
+    o = spark.createDataFrame(rows, schema)
+    runs = lambda *a: sorted(tuple(r) for r in quality.anchor_runs(o, *a).collect())
+    assert runs() == [("d1", 3, 2, 1), ("d2", 2, 2, 1)]
+    assert runs(spark.createDataFrame([("d2", 1), ("d2", 1), ("d2", 9)], "run_date string, row_index long")) == [("d1", 3, 2, 1), ("d2", 1, 1, 0)]
+    marks = lambda run, s, gone, chosen: tuple(quality.anchor_marks(o, run, s, gone, chosen, "chosen").first())
+    assert marks("d1", "21T", 3, 1) == (True, False, True, False)
+    assert marks("d2", "5T", 1, 1) == (False, True, False, True)
+    assert marks("d9", "5T", 1, 1) == (False, False, False, False)
+
+
+def test_refresh_with_short_batch(spark):
+    triage = spark.createDataFrame([("1T",), ("2T",), (None,), ("2T",)], "k string")
+    batch = spark.createDataFrame([("1T",), (None,)], "k string")
+    got = lambda b, n: sorted(tuple(r) for r in merge.refresh_problems(triage, b, "k", n).collect())
+    assert got(batch, 2) == [("missing_in_batch", "2T"), ("missing_in_batch", "2T")]
+    assert got(batch.filter("false"), 3)[0] == ("batch_size", "0")
