@@ -1,4 +1,4 @@
-"""The ten corpus operators and the pipeline over the driver's tables."""
+"""The corpus operators and the pipeline over the driver's tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, langid, media, mixing, pst, quality, secrets, sharding, urlfilter
+from . import collocations, decontam, dialogue, jaccard, langid, licenses, media, mixing, pst, quality, secrets, sharding, urlfilter
 from .common import read_table as read
 
 
@@ -66,6 +66,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("places")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.Repair(dialogue.damage(read(spark, sf_dir, "conversations"))).summary()
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_mixing, op2_quality, op3_sharding, op4_decontamination, op5_lm_scoring, op6_language_id, op7_jaccard_join, op8_secret_scan, op9_media, op10_url_filter)
+    own = (op1_mixing, op2_quality, op3_sharding, op4_decontamination, op5_lm_scoring, op6_language_id, op7_jaccard_join, op8_secret_scan, op9_media, op10_url_filter, op11_collocations, op12_license_scan, op13_conversation_repair)
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
@@ -118,5 +130,53 @@ FROM d LEFT JOIN words USING (uid) LEFT JOIN items USING (uid)
 """
 
 
+_COLLOCATION_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+s AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM s)),
+f1 AS (SELECT lang, x, count(*) AS n FROM g GROUP BY ALL),
+f2 AS (SELECT lang, x, y, count(*) AS n FROM g WHERE y IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, x, y, z, count(*) AS n FROM g WHERE z IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+sizes AS (SELECT lang, sum(n)::BIGINT AS n FROM f1 GROUP BY lang),
+cuts AS (
+  SELECT f2.lang, f2.x || ' ' || f2.y AS phrase, 1 AS k, f2.n AS a, p.n AS l, q.n AS r
+  FROM f2 JOIN f1 AS p ON p.lang = f2.lang AND p.x = f2.x JOIN f1 AS q ON q.lang = f2.lang AND q.x = f2.y
+  UNION ALL
+  SELECT f3.lang, f3.x || ' ' || f3.y || ' ' || f3.z, 1, f3.n, p.n, q.n
+  FROM f3 JOIN f1 AS p ON p.lang = f3.lang AND p.x = f3.x JOIN f2 AS q ON q.lang = f3.lang AND q.x = f3.y AND q.y = f3.z
+  UNION ALL
+  SELECT f3.lang, f3.x || ' ' || f3.y || ' ' || f3.z, 2, f3.n, p.n, q.n
+  FROM f3 JOIN f2 AS p ON p.lang = f3.lang AND p.x = f3.x AND p.y = f3.y JOIN f1 AS q ON q.lang = f3.lang AND q.x = f3.z),
+scored AS (SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM cuts),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (SELECT lang, x || ' ' || y AS phrase, max(n) AS n FROM (SELECT lang, x, y, n FROM f3 UNION ALL SELECT lang, y, z, n FROM f3) GROUP BY ALL),
+ranked AS (SELECT best.lang, phrase, a, l, r, score, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM best LEFT JOIN longer USING (lang, phrase) WHERE longer.n IS NULL OR 100 * longer.n < 50 * a)
+SELECT lang, rank, phrase, a, l, r, sizes.n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+
+
+def _license_sql() -> str:
+    """All words that stand where a notice has them, counted for each place at which the notice would begin."""
+    rows = [(t, label, base, p, w, p in must, len(words)) for t, (label, base, words, must) in enumerate(licenses.library()) for p, w in enumerate(words)]
+    values = ", ".join(f"({t}, '{label}', {base}, {p}, '{w}', {must}, {size})" for t, label, base, p, w, must, size in rows)
+    return r"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+n(t, label, base, p, word, must, size) AS (VALUES {values}),
+e AS (SELECT uid, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM d),
+hit AS (SELECT uid, t, label, base, size, i - p AS start, count(*) AS agree, count_if(must) AS met FROM e JOIN n USING (word) GROUP BY ALL),
+ok AS (SELECT uid, label, base, start, agree / size AS share FROM hit
+  WHERE agree * 100 >= size * {share} AND met = (SELECT count_if(must) FROM n WHERE n.t = hit.t)),
+per AS (SELECT uid, count_if(base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+  FROM ok GROUP BY uid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN per USING (uid)
+""".replace("{values}", values).replace("{share}", str(licenses.SHARE))
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": _DECONTAM_SQL, "op10_url_filter": _URL_SQL}
+    return {"op4_decontamination": _DECONTAM_SQL, "op10_url_filter": _URL_SQL, "op11_collocations": _COLLOCATION_SQL, "op12_license_scan": _license_sql()}
