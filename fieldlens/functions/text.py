@@ -100,13 +100,18 @@ def classify_text(text: Column, targets: str = "|".join(TARGET_PATTERNS), rules:
     return out.when(low.rlike(targets), make("tomato", "Tomato", "Solanum lycopersicum", 0.9, "ocr_keyword")).otherwise(make("unknown", None, None, 0.4, "ocr_unresolved"))
 
 
-#: Patterns below are fixed values: how boxes and levels are described.
+#: How boxes are described. A class number has one to three digits, a subject id a T besides.
+CLASS_TEXTS = (r"(?i)\bvariet(?:al)?\s*(?:no|number)?\s*([0-9]{1,3})\b", r"(?i)\b([0-9]{1,3})\s*variet(?:al)?\s*tag\b", r"(?i)\b([0-9]{1,3})\s*variet(?:al)?\b")
+SUBJECT_TEXT = r"(?i)\b(?:tag\s*for\s*)?pot\s*([0-9]{1,3})\s*t\b"
+BARE_SUBJECT_TEXT = r"(?i)\b([0-9]{1,3})\s*t\b"
+
+
 def annotation_kind(description: Column) -> Column:
     """struct(kind, value) of a box's text. A class number keeps its text, a subject id drops zeros."""
-    low = F.lower(F.trim(F.coalesce(description, F.lit(""))))
+    low = F.trim(F.coalesce(description, F.lit("")))
     get = lambda p: F.nullif(F.regexp_extract(low, p, 1), F.lit(""))
-    varietal = F.coalesce(get(r"\bvarietal\s*(?:no\.?|number|#)\s*([0-9]+)\b"), get(r"\b([0-9]+)\s*varietal\s*tag\b"), get(r"\b([0-9]+)\s*varietal\b"))
-    pot = F.coalesce(get(r"\bpot\s*([0-9]+)\s*t\b"), F.when(low.contains("pot"), get(r"\b([0-9]+)\s*t\b")))
+    varietal = F.coalesce(*(get(p) for p in CLASS_TEXTS))
+    pot = F.coalesce(get(SUBJECT_TEXT), F.when(F.lower(low).contains("pot"), get(BARE_SUBJECT_TEXT)))
     made = lambda k, v: F.struct(F.lit(k).alias("kind"), v.alias("value"))
     none = F.lit(None).cast("string")
     return (

@@ -158,7 +158,7 @@ def resolved_seeds(boxes: DataFrame, key: str, expected: DataFrame) -> DataFrame
     expected: (subject_id, expected), the class of each subject, a dimension.
     """
     pots = boxes.filter("kind = 'pot'").select(key, "ord", subject_id(F.col("value")).alias("subject_id"), "x", "y", "w", "h").dropna(subset=["subject_id"])
-    kept = collapsed(pots, key).join(checked(expected), "subject_id", "left")
+    kept = collapsed(pots, key).join(*checked(expected), "subject_id", "left")
     centre = lambda d, *more: d.select(key, "ord", (F.col("x") + F.col("w") / 2).alias("cx"), (F.col("y") + F.col("h") / 2).alias("cy"), *more)
     classes = boxes.filter("kind = 'varietal'").select(key, "ord", class_number(F.col("value")).alias("class_number"), "x", "y", "w", "h")
     found = verdicts(centre(kept, "expected"), centre(suppressed(classes, key), "class_number"), key)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def last_wins(df: DataFrame, keys: list[str], order: str, first: bool = False) -> DataFrame:
@@ -53,29 +52,26 @@ def phase_of(runs: DataFrame, phases: DataFrame, stage: Column) -> DataFrame:
 def history(rows: DataFrame, subject: str, value: str) -> DataFrame:
     """rows with `historical`: the subject's last value of a strictly earlier run; row_index decides within a run.
 
-    One pass: the last value up to the previous run of the subject, instead of a range join per run.
+    Values are carried from run to run in order, part by part of a subject with many runs.
     """
-    known = rows.filter(F.col(value).isNotNull() & F.col(subject).isNotNull())
-    per_run = known.groupBy(subject, "run_date").agg(F.max_by(value, "row_index").alias("_v"))
-    runs = rows.select(subject, "run_date").distinct().join(per_run, [subject, "run_date"], "left")
-    before = Window.partitionBy(subject).orderBy("run_date").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select(subject, "run_date", F.last("_v", ignorenulls=True).over(before).alias("historical"))
-    return rows.join(runs, [subject, "run_date"], "left")
+    from .rank import running
 
+    per_run = rows.groupBy(subject, "run_date").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("row_index"))).alias("_v"))
+    runs = running(per_run, [subject], [F.col("run_date")], {"historical": ("last", F.col("_v"))}, current=False).drop("_v")
+    runs = runs.withColumnsRenamed({subject: "_subject", "run_date": "_run"})
+    return rows.join(runs, (F.col(subject) == F.col("_subject")) & (F.col("run_date") == F.col("_run")), "left").drop("_subject", "_run")
 
-def runs_of(known: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, runs): the known values of a key as one array of (run_date, row_index, value) by run, for last_before.
-
-    An array has one entry a run, whatever the number of rows.
-    """
-    per_run = known.groupBy(key, "run_date").agg(F.max("row_index").alias("row_index"), F.max_by(value, "row_index").alias("value"))
-    return per_run.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("run_date", "row_index", "value"))).alias("runs"))
 
+def told_before(rows: DataFrame, known: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """rows (key, run_date) with `out`: of all known (key, run_date, row_index, value) of strictly earlier runs, the value with
+    the greatest row_index. Runs are few beside rows: both sides are brought to one row a run before they are put in order."""
+    from .rank import running
 
-def last_before(runs: Column, run_date: Column) -> Column:
-    """The value of the last row, in the order of the rows, of the runs strictly before a date."""
-    earlier = F.filter(runs, lambda r: r["run_date"] < run_date)
-    return F.array_max(F.transform(earlier, lambda r: F.struct(r["row_index"].alias("i"), r["value"].alias("v"))))["v"]
+    last = known.groupBy(key, "run_date").agg(F.max(F.struct("row_index", F.col(value).alias("v"))).alias("_k"))
+    asked = rows.select(key, "run_date").dropna().distinct().join(last, [key, "run_date"], "full")
+    carried = running(asked, [key], [F.col("run_date")], {"_best": ("max", F.col("_k"))}, current=False)
+    carried = carried.filter("_best IS NOT NULL").select(F.col(key).alias("_key"), F.col("run_date").alias("_run"), F.col("_best.v").alias(out))
+    return rows.join(carried, (F.col(key) == F.col("_key")) & (F.col("run_date") == F.col("_run")), "left").drop("_key", "_run")
 
 
 def earliest(rows: DataFrame, key: str, values: list[str]) -> DataFrame:

@@ -29,7 +29,7 @@ def effective_end(phases: DataFrame, runs: DataFrame) -> DataFrame:
     nxt = F.lead("start_date").over(Window.orderBy("start_date", "priority"))
     p = phases.select("phase_id", "start_date", "end_date", F.coalesce("explicit_end", F.lit(False)).alias("explicit"), nxt.alias("next"))
     days = runs.select("run_date").distinct()
-    found = days.join(shared.checked(p), (F.col("run_date") >= F.col("start_date")) & (F.col("run_date") < F.col("next"))).groupBy("phase_id").agg(F.max("run_date").alias("last_run"))
+    found = days.join(*shared.checked(p), (F.col("run_date") >= F.col("start_date")) & (F.col("run_date") < F.col("next"))).groupBy("phase_id").agg(F.max("run_date").alias("last_run"))
     overlap = F.coalesce((F.col("next") <= F.col("end_date")) & F.col("start_date").isNotNull(), F.lit(False))
     basis = (
         F.when(F.col("end_date").isNull(), "missing_phase_end").when(~overlap, "timeline_end").when(F.col("explicit"), "explicit_end_batch")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.shared import checked
+from ..sources.shared import stored
 
 
 def latest(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
@@ -26,53 +26,84 @@ def export_counts(rows: DataFrame, key: str, saved: str) -> DataFrame:
     return rows.dropna(subset=[key]).groupBy(key).agg(F.max(saved).alias("latest"), F.count("*").alias("exports"))
 
 
-def dealt_by_range(rows: DataFrame, key: Column, partitions: int, per_partition: int = 200) -> DataFrame:
-    """rows with `_o` (the key) and `_p`, the number of bounds below it.
+#: Bits of monotonically_increasing_id() below the partition's number.
+_ROW_BITS = 33
 
-    The bounds come from a bounded sample, read once, and are part of the plan: whatever reads the result deals its rows
-    alike. They only decide how even the parts are.
+
+def in_order(rows: DataFrame, groups: list[str], order: list[Column], name: str = "ordered") -> DataFrame:
+    """rows, stored once in the order of groups and order, with `_p` (the part) and `_i` (a number that grows in that order).
+
+    Spark deals the rows by ranges of all sort keys, so a group with most of the rows goes to many parts; how many follows
+    from the shuffle partitions and the bytes in them. Whatever reads the result finds the same parts.
     """
-    keyed = rows.withColumn("_o", key)
-    some = keyed.select("_o").sample(min(1.0, partitions * per_partition / max(1, keyed.count())), seed=7)
-    sample = sorted_sample(some, 2 * partitions * per_partition)
-    bounds = [sample[len(sample) * i // partitions] for i in range(1, partitions)] if sample else []
-    if not bounds:
-        return keyed.withColumn("_p", F.lit(0))
-    table = rows.sparkSession.createDataFrame(bounds, some.schema).coalesce(1).agg(F.collect_list("_o").alias("_bounds"))
-    found = F.size(F.filter("_bounds", lambda b: b < F.col("_o")))
-    return keyed.join(F.broadcast(table), F.lit(True)).withColumn("_p", found).drop("_bounds")
+    keys = [F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)] + [c.alias(f"_o{i}") for i, c in enumerate(order)]
+    names = [f"_g{i}" for i in range(len(groups))] + [f"_o{i}" for i in range(len(order))]
+    dealt = rows.select("*", *keys).repartitionByRange(*names).sortWithinPartitions(*names).drop(*names)
+    return stored(dealt.withColumn("_i", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_i", _ROW_BITS)), name)
+
 
+def _same(groups: list[str]) -> Column:
+    """The join condition of a part's rows with what is carried into it."""
+    on = F.col("_p") == F.col("_q")
+    for i, g in enumerate(groups):
+        on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return on
 
-def sorted_sample(keys: DataFrame, most: int) -> list:
-    return keys.orderBy("_o").limit(most).collect()
 
+def _parts(dealt: DataFrame, groups: list[str], totals: list[Column]) -> DataFrame:
+    """One row for each part of each group: `_q`, `_g0`... and the totals."""
+    out = dealt.groupBy("_p", *groups).agg(*totals)
+    return out.withColumnsRenamed({"_p": "_q"} | {g: f"_g{i}" for i, g in enumerate(groups)})
 
-def global_rank(rows: DataFrame, order: list[Column], name: str = "rank", partitions: int = 64) -> DataFrame:
-    """Rank from 1 over the whole table without one task that sorts all of it.
 
-    Rows are dealt by fixed bounds of the order, numbered in their part, and the parts' counts give the offsets.
-    The order must be total for a stable rank.
-    """
-    return positions(rows, [], order, name, partitions)
+def _before(groups: list[str]) -> Window:
+    return Window.partitionBy(*(f"_g{i}" for i in range(len(groups)))).orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
+
 
+def global_rank(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """Rank from 1 over the whole table without one task that sorts all of it. The order must be total for a stable rank."""
+    return positions(rows, [], order, name)
 
-def positions(rows: DataFrame, groups: list[str], order: list[Column], name: str, partitions: int = 64) -> DataFrame:
+
+def positions(rows: DataFrame, groups: list[str], order: list[Column], name: str) -> DataFrame:
     """The place of each row, from 1, in its group by order; a group with most of the rows is sorted in many parts.
 
-    Null groups are a group. The counts of parts and groups are as many as groups and parts at most.
+    Null groups are a group. A part's first number and the counts of the parts before it give the place, so no row is
+    compared or sorted again. Those are as many as groups and parts at most, and stored, so Spark knows their size.
     """
-    key = F.struct(*(F.col(g).alias(f"g{i}") for i, g in enumerate(groups)), *(c.alias(f"o{i}") for i, c in enumerate(order)))
-    dealt = dealt_by_range(rows, key, partitions)
-    mine = [F.col(g) for g in groups]
-    counts = dealt.groupBy("_p", *mine).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*groups).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col("_p").alias("_q"), *(F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    same = F.col("_p") == F.col("_q")
-    for i, g in enumerate(groups):
-        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    within = F.row_number().over(Window.partitionBy("_p", *groups).orderBy("_o"))
-    out = dealt.withColumn("_w", within).join(checked(offsets), same)
-    return out.withColumn(name, F.col("_w") + F.col("_off")).drop("_o", "_p", "_q", "_w", "_off", *(f"_g{i}" for i in range(len(groups))))
+    dealt = in_order(rows, groups, order)
+    counts = _parts(dealt, groups, [F.min("_i").alias("_first"), F.count("*").alias("_n")])
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(_before(groups)), F.lit(0)) - F.col("_first") + 1).drop("_first", "_n")
+    out = dealt.join(stored(offsets, "offsets"), _same(groups)).withColumn(name, F.col("_i") + F.col("_off"))
+    return out.drop("_i", "_p", "_q", "_off", *(f"_g{i}" for i in range(len(groups))))
+
+
+def running(rows: DataFrame, groups: list[str], order: list[Column], values: dict[str, tuple[str, Column]], current: bool = True) -> DataFrame:
+    """rows with running values of their group by order: name -> (kind, column), kind sum, min, max or last (not null).
+
+    Each part of a group keeps its own running values, and the totals of the parts before are carried into it, so a group
+    with most of the rows is many tasks' work. current: whether a row's own value counts. Null groups are a group; without
+    a value so far the result is null.
+    """
+    kinds = {"sum": F.sum, "min": F.min, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
+    names = list(values)
+    dealt = in_order(rows.withColumns({f"_v{i}": values[n][1] for i, n in enumerate(names)}), groups, order)
+    within = Window.partitionBy("_p", *groups).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0 if current else -1)
+    total = lambda i, n: F.max_by(f"_v{i}", F.when(F.col(f"_v{i}").isNotNull(), F.col("_i"))) if values[n][0] == "last" else kinds[values[n][0]](f"_v{i}")
+    parts = _parts(dealt, groups, [total(i, n).alias(f"_t{i}") for i, n in enumerate(names)])
+    parts = parts.withColumns({f"_c{i}": kinds[values[n][0]](f"_t{i}").over(_before(groups)) for i, n in enumerate(names)}).drop(*(f"_t{i}" for i in range(len(names))))
+    out = dealt.withColumns({f"_w{i}": kinds[values[n][0]](f"_v{i}").over(within) for i, n in enumerate(names)})
+    out = out.join(stored(parts, "carried"), _same(groups))
+
+    def joined(i: int, kind: str) -> Column:
+        own, carried = F.col(f"_w{i}"), F.col(f"_c{i}")
+        if kind == "sum":
+            return F.when(own.isNull(), carried).when(carried.isNull(), own).otherwise(own + carried)
+        return F.coalesce(own, carried) if kind == "last" else {"min": F.least, "max": F.greatest}[kind](own, carried)
+
+    out = out.withColumns({n: joined(i, values[n][0]) for i, n in enumerate(names)})
+    gone = [f"_{k}{i}" for k in "vwc" for i in range(len(names))]
+    return out.drop("_i", "_p", "_q", *gone, *(f"_g{i}" for i in range(len(groups))))
 
 
 def label_queue_order(readiness: Column, focus: Column, spill: Column, neighbor: Column, cov: Column, number: Column, subject: Column) -> list[Column]:

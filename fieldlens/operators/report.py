@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import ids
+
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value")
@@ -134,10 +136,24 @@ def catalog_completion(rows: DataFrame) -> DataFrame:
     )
 
 
+#: Fixed value: how a message names a subject.
+MESSAGE_SUBJECT = r"(?i)\bpot\s+([0-9]{1,3}T)\b"
+
+
+def with_subject(messages: DataFrame, column: str) -> DataFrame:
+    """The messages that name a subject, with subject_id."""
+    subject = ids.subject_id(F.nullif(F.regexp_extract(column, MESSAGE_SUBJECT, 1), F.lit("")))
+    return messages.withColumn("subject_id", subject).filter("subject_id IS NOT NULL")
+
+
 def subjects_in_messages(messages: DataFrame, column: str) -> DataFrame:
-    """Messages grouped by the subject id that they name."""
-    subject = F.nullif(F.regexp_extract(column, r"\b([0-9]{1,3}T)\b", 1), F.lit(""))
-    return messages.select(subject.alias("subject_id")).filter("subject_id IS NOT NULL").groupBy("subject_id").agg(F.count("*").alias("n"))
+    """(subject_id, n): how many messages name each subject."""
+    return with_subject(messages, column).groupBy("subject_id").agg(F.count("*").alias("n"))
+
+
+def subject_cards(compared: DataFrame, messages: DataFrame, column: str) -> DataFrame:
+    """compared (two runs over a spine of subjects) with the number of the later run's messages that name the subject."""
+    return compared.join(subjects_in_messages(messages, column), "subject_id", "left").withColumn("warnings", F.coalesce("n", F.lit(0))).drop("n")
 
 
 def metric_summary(rows: DataFrame) -> DataFrame:
@@ -150,21 +166,26 @@ def metric_summary(rows: DataFrame) -> DataFrame:
 
 
 def run_cards(rows: DataFrame, continuity: tuple[str, ...], n: int) -> DataFrame:
-    """Per run: kept rows, subjects, confirmed rows, rows resolved by continuity, and how many of 1..n are missing."""
+    """Per run: kept rows, subjects, confirmed rows, rows resolved by continuity, how many of 1..n are missing, and which."""
     kept = rows.filter("dropped IS NULL")
     number = F.regexp_extract("subject_id", "^([0-9]+)T$", 1).try_cast("bigint")
+    there = F.collect_set(F.when(number.between(1, n), number))  # n numbers at most
+    gone = F.array_except(F.sequence(F.lit(1).cast("bigint"), F.lit(n).cast("bigint")), there)
     return kept.groupBy("run_date").agg(
+        F.transform(F.array_sort(gone), lambda x: F.concat(x.cast("string"), F.lit("T"))).alias("missing_ids"),
         F.count("*").alias("rows"), F.count_distinct("subject_id").alias("subjects"), F.count_if("ocr_confirmed").alias("confirmed_rows"),
         F.count_if(F.col("resolution_source").isin(*continuity)).alias("continuity_rows"), (n - F.count_distinct(F.when(number.between(1, n), number))).alias("missing"),
     )
 
 
-def comparison_insight(compared: DataFrame, cards: DataFrame, first, second, n: int) -> DataFrame:
-    """Two runs in one row: subjects at risk and partly confirmed, confirmed rows of both, and the kind of headline.
+def comparison_insight(compared: DataFrame, cards: DataFrame, messages: DataFrame, first, second, n: int) -> DataFrame:
+    """Two runs in one row: subjects at risk and partly confirmed, confirmed rows and warnings of both, and the kind of headline.
 
-    compared is the comparison over the spine of n subjects; cards has a row for each run.
+    compared is the comparison over the spine of n subjects; cards has a row for each run, messages (run_date, severity).
     """
-    side = lambda d, s: cards.filter(F.col("run_date") == F.lit(d)).agg(F.max("rows").alias(f"rows_{s}"), F.max("confirmed_rows").alias(f"confirmed_{s}"))
+    warned = messages.filter("severity = 'warning'").groupBy("run_date").agg(F.count("*").alias("warnings"))
+    cards = cards.join(warned, "run_date", "left")
+    side = lambda d, s: cards.filter(F.col("run_date") == F.lit(d)).agg(F.max("rows").alias(f"rows_{s}"), F.max("confirmed_rows").alias(f"confirmed_{s}"), F.coalesce(F.max("warnings"), F.lit(0)).alias(f"warnings_{s}"))
     counts = compared.agg(F.count_if(F.col("status") == "risk").alias("at_risk"), F.count_if(F.col("status") == "info").alias("partial"))
     out = counts.join(F.broadcast(side(first, "a")), F.lit(True)).join(F.broadcast(side(second, "b")), F.lit(True))
     kind = F.when((F.col("rows_b") == n) & (F.col("rows_a") > n), "census_after_sweep").when(F.col("rows_b") == n, "complete").otherwise("batch")
@@ -192,6 +213,11 @@ def box_typing(boxes: DataFrame, key: str) -> DataFrame:
     )
 
 
+def box_values(boxes: DataFrame, key: str) -> DataFrame:
+    """(key, kind, value, n): how often a photo's boxes name each subject id and class number."""
+    return boxes.filter(F.col("kind").isin("pot", "varietal") & F.col("value").isNotNull()).groupBy(key, "kind", "value").agg(F.count("*").alias("n"))
+
+
 def pair_counts(verdicts: DataFrame, column: str) -> DataFrame:
     """(value, n) of the reasons or kinds of evidence of all photos together; no reason is no value."""
     return value_counts(verdicts.filter(F.col(column) != ""), column)

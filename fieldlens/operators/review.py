@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import ids, text
 from .lookup import last_wins
+from .rank import positions
 
 KEYS = ["run_date", "row_index", "asset"]
 #: Verdicts that take a row out.
@@ -90,9 +90,8 @@ def subject_checks(rows: DataFrame, n: int) -> DataFrame:
 
 def first_of_run(rows: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """The first n rows of each run by row_index, and (run_date, rows) of the runs that have fewer."""
-    position = F.row_number().over(Window.partitionBy("run_date").orderBy("row_index"))
     short = rows.groupBy("run_date").agg(F.count("*").alias("rows")).filter(F.col("rows") < n)
-    return rows.withColumn("position", position).filter(F.col("position") <= n), short
+    return positions(rows, ["run_date"], [F.col("row_index")], "position").filter(F.col("position") <= n), short
 
 
 def identity_verdict(given: Column, expected: Column, verdict: Column, corrected: Column) -> Column:

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .rank import running
 
 
 def running_harvest(rows: DataFrame, plant: str, day: str, grams: str) -> DataFrame:
-    w = Window.partitionBy(plant).orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(plant)
-    return rows.withColumns({"cumulative": F.sum(grams).over(w), "first_harvest": F.min(F.when(F.col(grams) > 0, F.col(day))).over(whole)})
+    """rows with the plant's cumulative grams by day and its first day with any; days of a plant must differ for stable sums.
+
+    A plant with most of the rows is many tasks' work.
+    """
+    first = rows.groupBy(F.col(plant).alias("_plant")).agg(F.min(F.when(F.col(grams) > 0, F.col(day))).alias("first_harvest"))
+    out = running(rows, [plant], [F.col(day)], {"cumulative": ("sum", F.col(grams))})
+    return out.join(first, F.col(plant).eqNullSafe(F.col("_plant")), "left").drop("_plant")
 
 
 def _steps(c: Column, bounds: list[float], points: list[int], up: bool = True) -> Column:

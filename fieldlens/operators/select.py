@@ -64,7 +64,7 @@ def focus_rows(resolved: DataFrame, images: DataFrame, runs: DataFrame | None =
     """Resolved rows, of the given runs, with a subject, a place in the table, an asset and a listed image."""
     rows = resolved.filter(F.col("dropped").isNull() & (ids.subject_number(F.col("subject_id")) > 0) & (F.col("row_index") > 0) & ids.strip(F.col("asset")).isNotNull())
     if runs is not None:
-        rows = rows.join(checked(runs.select("run_date").distinct()), "run_date", "left_semi")
+        rows = rows.join(*checked(runs.select("run_date").distinct()), "run_date", "left_semi")
     return rows.join(images.select("row_index", "asset").distinct(), ["row_index", "asset"], "left_semi")
 
 
@@ -80,8 +80,8 @@ def enriched(rows: DataFrame, profiles: DataFrame, aliases: DataFrame, name: str
     profiles: (key, columns); aliases: (key, profile_key), keys being names in lower case with single spaces.
     """
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(name), F.lit(""))), r"\s+", " "))
-    a = checked(aliases.select(F.col("key").alias("_a"), "profile_key"))
-    p = checked(profiles.select(F.col("key").alias("_p"), *(F.col(c).alias(f"_p_{c}") for c in columns)))
+    a = aliases.select(F.col("key").alias("_a"), "profile_key")
+    a, p = checked(a, profiles.select(F.col("key").alias("_p"), *(F.col(c).alias(f"_p_{c}") for c in columns)))
     out = rows.withColumn("_key", plain).join(a, F.col("_key") == F.col("_a"), "left")
     out = out.withColumn("_key", F.coalesce("profile_key", "_key")).join(p, F.col("_key") == F.col("_p"), "left")
     value: dict[str, Column] = {c: F.coalesce(ids.strip(F.col(f"_p_{c}")), ids.strip(F.col(c))) for c in columns}

@@ -64,8 +64,7 @@ missing AS (SELECT run_date, count(DISTINCT event_id % 30 + 1) AS m FROM intake
 cnt AS (SELECT r.run_date, coalesce(e.n, 0) AS n, coalesce(m, 0) AS m FROM (SELECT DISTINCT run_date FROM resolved) r
   LEFT JOIN (SELECT run_date, count(*) AS n FROM each GROUP BY run_date) e USING (run_date) LEFT JOIN missing USING (run_date))
 SELECT run_date, 'duplicate_subject' AS code, subject_id AS item FROM each WHERE n > 1 UNION ALL SELECT run_date, 'conflicting_names', subject_id FROM each WHERE v > 1
-UNION ALL SELECT run_date, 'conflicting_class_names', CAST(class_number AS VARCHAR) FROM kept WHERE class_number IS NOT NULL GROUP BY run_date, class_number HAVING count(DISTINCT variety_name) > 1
-UNION ALL SELECT run_date, 'unresolved_row', CAST(row_index AS VARCHAR) FROM kept WHERE final_status LIKE 'review_needed%'
+UNION ALL SELECT run_date, 'missing_variety_name', CAST(row_index AS VARCHAR) FROM kept WHERE variety_name IS NULL
 UNION ALL SELECT run_date, 'subject_count', CAST(n AS VARCHAR) FROM cnt WHERE n <> greatest(32 - m, 0)""")
 def identity_violations(spark, sf_dir):
     rows, over = _resolved(spark, sf_dir)

@@ -177,9 +177,11 @@ def catalog_completion(spark, sf_dir):
     return report.catalog_completion(rows)
 
 
-@query(f"WITH {ad.INTAKE} SELECT concat(CAST(user_id % 40 AS VARCHAR), 'T') AS subject_id, count(*) AS n FROM intake WHERE notes <> '' GROUP BY 1")
+@query("SELECT concat(CAST(user_id % 40 AS VARCHAR), 'T') AS subject_id, count(*) AS n FROM events WHERE event_id % 4 IN (0, 2) AND user_id % 40 > 0 GROUP BY 1")
 def message_subjects(spark, sf_dir):
-    return report.subjects_in_messages(ad.intake(spark, sf_dir), "notes")
+    k, n = F.col("event_id") % 4, (F.col("user_id") % 40).cast("string")
+    said = F.when(k == 0, F.concat(F.lit("row 3: pot 0"), n, F.lit("t: moved"))).when(k == 1, F.concat(F.lit("lot "), n, F.lit("T arrived"))).when(k == 2, F.concat(F.lit("Pot  "), n, F.lit("T has no name"))).otherwise(F.concat(F.lit("spot "), n, F.lit("T")))
+    return report.subjects_in_messages(ad.table(spark, sf_dir, "events").select(said.alias("said")), "said")
 
 
 @query(f"""WITH {catalog._PROFILE}, m AS (SELECT *, CASE WHEN caption_rate >= 0.1 THEN 'baseline' ELSE 'random' END AS mode FROM prof)

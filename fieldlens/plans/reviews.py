@@ -100,23 +100,13 @@ def tag_conflicts(spark, sf_dir):
 
 _CARDS = f"""{catalog._RESOLVED}, cards AS (SELECT run_date, count(*) AS rows, count(DISTINCT subject_id) AS subjects, count(*) FILTER (ocr_confirmed) AS confirmed_rows,
   count(*) FILTER (resolution_source IN ('baseline_continuity', 'historical_continuity', 'series_map', 'sequence_inference', 'manual_override')) AS continuity_rows,
-  32 - count(DISTINCT CASE WHEN CAST(replace(subject_id, 'T', '') AS BIGINT) BETWEEN 1 AND 32 THEN subject_id END) AS missing FROM resolved WHERE dropped IS NULL GROUP BY run_date)"""
+  32 - count(DISTINCT CASE WHEN CAST(replace(subject_id, 'T', '') AS BIGINT) BETWEEN 1 AND 32 THEN subject_id END) AS missing,
+  array_to_string([concat(CAST(i AS VARCHAR), 'T') FOR i IN range(1, 33) IF NOT list_contains(list(subject_id), concat(CAST(i AS VARCHAR), 'T'))], ',') AS missing_ids FROM resolved WHERE dropped IS NULL GROUP BY run_date)"""
 
 
 @query(f"WITH {_CARDS} SELECT * FROM cards")
 def run_cards(spark, sf_dir):
-    return report.run_cards(catalog._resolved(spark, sf_dir)[0], lookup.CONTINUITY, 32)
-
-
-@query(f"""WITH cmp AS ({oracle_sql()["run_comparison"]}), crd AS (WITH {_CARDS} SELECT *, row_number() OVER (ORDER BY run_date DESC) AS k FROM cards),
-j AS (SELECT (SELECT count(*) FROM cmp WHERE status = 'risk') AS at_risk, (SELECT count(*) FROM cmp WHERE status = 'info') AS partial, a.rows AS rows_a, a.confirmed_rows AS confirmed_a, b.rows AS rows_b, b.confirmed_rows AS confirmed_b
-  FROM (SELECT * FROM crd WHERE k = 2) a, (SELECT * FROM crd WHERE k = 1) b)
-SELECT *, CASE WHEN rows_b = 32 AND rows_a > 32 THEN 'census_after_sweep' WHEN rows_b = 32 THEN 'complete' ELSE 'batch' END AS headline FROM j""")
-def comparison_insight(spark, sf_dir):
-    cards = run_cards(spark, sf_dir)
-    days = [r["run_date"] for r in cards.select("run_date").orderBy(F.desc("run_date")).limit(2).collect()]
-    first, second = lookup.run_pair(days)
-    return report.comparison_insight(catalog.run_comparison(spark, sf_dir), cards, first, second, 32)
+    return report.run_cards(catalog._resolved(spark, sf_dir)[0], lookup.CONTINUITY, 32).withColumn("missing_ids", F.array_join("missing_ids", ","))
 
 
 @query(f"WITH {ad.INTAKE} SELECT run_date, row_index, row_number() OVER (PARTITION BY run_date ORDER BY row_index) AS position FROM intake QUALIFY position <= 20")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checked(small: DataFrame, most: int = 200_000) -> DataFrame:
-    """small, to be broadcast if it has at most so many rows; otherwise the join is left to Spark."""
-    return F.broadcast(small) if small.limit(most + 1).count() <= most else small
+def checked(*small: DataFrame, most: int = 200_000, most_bytes: int = 64 << 20) -> list[DataFrame]:
+    """Each table, to be broadcast if it has at most so many rows and bytes (as JSON); other joins are left to Spark.
+
+    One job measures all of them.
+    """
+    sizes = [
+        t.limit(most + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in t.columns))))), F.lit(0)).alias("bytes")).withColumn("i", F.lit(i))
+        for i, t in enumerate(small)
+    ]
+    fits = {r["i"] for r in reduce(DataFrame.unionByName, sizes).collect() if r["n"] <= most and r["bytes"] <= most_bytes}
+    return [F.broadcast(t) if i in fits else t for i, t in enumerate(small)]

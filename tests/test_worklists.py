@@ -15,14 +15,14 @@ from fieldlens.streaming import intake
 def test_ranks_are_the_same_whatever_is_selected(spark):
     n = 30_000  # more than the sample of the bounds
     rows = spark.range(n).select(F.col("id").alias("a"), (F.col("id") * 7919 % n).alias("b"), F.lit("x" * 50).alias("wide"))
-    ranked = rank.global_rank(rows, [F.col("b")], partitions=16)
+    ranked = rank.global_rank(rows, [F.col("b")])
     assert ranked.filter("rank <> b + 1").count() == 0
     assert ranked.select("rank").distinct().count() == n and ranked.select("a", "rank").agg(F.max("rank")).first()[0] == n
 
 
 def test_positions_in_a_hot_group(spark):
     rows = spark.range(4000).select(F.col("id").alias("i"), F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 2 == 0, "cold").alias("g"))
-    got = {(r["g"], r["i"]): r["p"] for r in rank.positions(rows, ["g"], [F.col("i")], "p", partitions=8).collect()}
+    got = {(r["g"], r["i"]): r["p"] for r in rank.positions(rows, ["g"], [F.col("i")], "p").collect()}
     seen = {}
     for g, i in sorted(got, key=lambda k: (str(k[0]), k[1])):
         seen[g] = seen.get(g, 0) + 1
