@@ -33,7 +33,7 @@ APART = BREAK.copy()
 APART[[0x20, 0x09]] = True
 
 #: Positions whose phrases are added up before they are handed on.
-HELD = 4 << 20
+HELD = 2 << 20
 #: Phrases of a block, and bits of a bitmap at most: about 50 MB and 16 MB.
 BLOCK, MOST_BITS = 1 << 20, 1 << 27
 #: Children of one base, as a mean, and places of the table for each child.
@@ -213,9 +213,9 @@ class Trie:
 
     def _placed(self, group: np.ndarray, code: np.ndarray, n: int) -> np.ndarray:
         """A base for each group so that no two children share a place; groups with many children go first."""
-        rng, base = np.random.default_rng(11), np.zeros(n, np.int32)
+        rng, base = np.random.default_rng(11), np.zeros(max(1, n), np.int32)
         used = np.zeros(self.size, bool)
-        size = np.bincount(group, minlength=n)
+        size = np.bincount(group, minlength=len(base))
         order = np.argsort(group, kind="stable")
         begin = np.cumsum(size) - size
         for one in sorted(set(size[size > 0].tolist()), reverse=True):

@@ -1,6 +1,7 @@
 """Repair of conversation structure by bidirectional Dijkstra over the lattice of edits.
 
-A conversation is its rows in order of turn (nulls first; equal turns by role and text). A node of the lattice is
+A conversation is its rows in order of turn (nulls first; equal turns by role and text); an empty role has no initial and
+is never legal. A node of the lattice is
 (rows read, state of the grammar `(s?(ua)+)?` over role initials). Edits are Keep (0), Rerole to user or assistant (2),
 Delete (3, required for blank and duplicate rows) and Insert of an empty user or assistant turn (2); a truncated row that
 stays adds 1. From a given state the letters K, R, D, I name one path each, since the state decides the new role.
