@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, NOT_SPACE, concat_rows, runs, slices, span_hashes
+from .common import LOWER, NOT_SPACE, concat_rows, discard, runs, scratch, slices, span_hashes
 from .langid import fold
 
 PASSAGE_BYTES = 400
-#: Passages that are encoded at once, and the most of one text that the fit looks at.
-BLOCK_PASSAGES, FIT_PASSAGES = 1024, 64
+#: Passages that are encoded at once, and that the labelled sample of the fit may have in all (about 100 MB).
+BLOCK_PASSAGES, FIT_PASSAGES = 1024, 200_000
 _CLASS = np.full(256, 9, np.int64)
 for _k, _signs in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\n\r", "|", "%&*$#@^~<>{}[]\\=+_", "!", ".,;:?")):
     _CLASS[list(_signs.encode())] = _k
@@ -195,20 +195,11 @@ def _blocks(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, first: np
 
 
 def _fit_bags(column: pa.Array) -> Iterator[bytes]:
-    """Features of each text's passages, of a long text of FIT_PASSAGES evenly spaced ones."""
+    """Features of all passages of each text."""
     for _, _, data, offsets in slices(column):
         starts, first = passages(data, offsets)
-        many = np.diff(first)
-        few = np.minimum(many, FIT_PASSAGES)
-        cut = np.concatenate(([0], np.cumsum(few)))
-        row = np.repeat(np.arange(len(few)), few)
-        chosen = first[row] + (np.arange(cut[-1]) - cut[row]) * many[row] // few[row]
-        x, at = [], 0
-        for block, _ in _blocks(data, offsets, starts, first):
-            x.append(block[chosen[(chosen >= at) & (chosen < at + len(block))] - at])
-            at += len(block)
-        x = np.concatenate(x)
-        yield from (x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:]))
+        x = np.concatenate([block for block, _ in _blocks(data, offsets, starts, first)])
+        yield from (x[a:b].tobytes() for a, b in zip(first[:-1], first[1:]))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, folds: int, text: str, doc_id: str) -> DataFrame:
@@ -227,11 +218,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1500, folds: int = 5, text: str = "text", doc_id: str = "doc_id"
+    docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1500, folds: int = 5, text: str = "text", doc_id: str = "doc_id", most: int = FIT_PASSAGES
 ) -> Net:
-    """Fits the net on at most 2 * per_class labelled documents (their passages, at most
-    FIT_PASSAGES of each, are encoded by Spark's tasks)."""
+    """Fits the net on a bounded sample of at most 2 * per_class labelled documents with at most `most` passages in all.
+
+    Spark's tasks encode all passages of each. Should the documents have more passages than `most`, the sample has only
+    those below a length with which they have not.
+    """
     sample = labelled_sample(docs, labels, label, per_class, folds, text, doc_id)
+    sample = sample.filter(F.coalesce(F.octet_length("_text"), F.lit(0)) <= most * PASSAGE_BYTES)
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,7 +234,16 @@ def train(
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), batch.column(2)], names=["_id", "bag", "_y"])
 
     schema = T.StructType([sample.schema["_id"], T.StructField("bag", T.BinaryType()), T.StructField("_y", T.IntegerType())])
-    found = sample.select("_id", "_text", "_y").mapInArrow(bag, schema).orderBy(F.xxhash64("_id"), "bag").limit(2 * per_class).collect()
+    bags = sample.select("_id", "_text", "_y").mapInArrow(bag, schema).orderBy(F.xxhash64("_id"), "bag").limit(2 * per_class)
+    encoded = scratch(bags, "quality-bags").withColumn("n", F.octet_length("bag") / (4 * FEATURES))
+    total, below = 0, 0
+    for r in encoded.groupBy("n").agg(F.sum("n").alias("passages")).orderBy("n").collect():
+        total += r["passages"]
+        if total > most:
+            break
+        below = r["n"]
+    found = encoded.filter(F.col("n") <= below).orderBy(F.xxhash64("_id"), "bag").collect()
+    discard(encoded)
     bags = [np.frombuffer(r["bag"], np.float32).reshape(-1, FEATURES).astype(np.float64) for r in found]
     return fit(bags, np.array([r["_y"] for r in found], np.float64))
 

@@ -112,28 +112,29 @@ def filter_urls(pages: DataFrame, domain: DataFrame, patterns: DataFrame, url: s
     and path and no rule; patterns still see a URL without `://`. Repeated rows stay. Columns of pages that clash with
     the new ones are replaced. No rows give no rows.
 
-    Up to broadcast_rules rules (a few MB), the index is one broadcast row, an array sorted by token, which each URL
-    searches for its tokens in place. More are joined with the URLs' tokens by shuffle.
+    Up to broadcast_rules rules (a few MB), the index is one broadcast row, arrays sorted by token, which each URL
+    searches for its tokens in place, so its cost grows with the logarithm of the number of rules. More are joined with the URLs' tokens by shuffle.
     """
     new = {"host", "path", "rule", "verdict"}
     kept = [c for c in pages.columns if c.lower() not in new]
-    names = {n: free_name(pages, n) for n in ("_uid", "_token", "_rules", "_index", "_best", "_blocked")}
+    names = {n: free_name(pages, n) for n in ("_uid", "_token", "_rules", "_index", "_sought", "_best", "_blocked")}
     base = pages.select(*(F.col(f"`{c}`") for c in kept), url_host(F.col(f"`{url}`")).alias("host"), url_path(F.col(f"`{url}`")).alias("path"))
     rule = F.struct((F.col("rule").isNotNull()).alias("on_key"), "rank", "rule", "verdict", "regex").alias("r")
     index = rule_index(domain.unionByName(patterns), pages, url, broadcast_rules).select("token", rule)
     index = index.groupBy("token").agg(F.array_sort(F.collect_list("r")).alias("rules"))
     if (n := domain.count() + patterns.count()) <= broadcast_rules:
         size = index.count()
-        whole = index.agg(F.array_sort(F.collect_list(F.struct("token", "rules"))).alias(names["_index"]))
+        # tokens and rules stand in two columns, so that a step of the search reads one token and builds nothing
+        whole = index.agg(F.array_sort(F.collect_list(F.struct("token", "rules"))).alias("i"))
+        whole = whole.select(F.transform("i", lambda e: e["token"]).alias(names["_sought"]), F.transform("i", lambda e: e["rules"]).alias(names["_index"]))
         found = base.join(F.broadcast(whole), F.lit(True))
-        order = F.transform(names["_index"], lambda e: e["token"])
 
         def rules_of(token):
-            entry = F.get(F.col(names["_index"]), places_up_to(order, size, token) - 1)
-            return F.when(entry["token"] == token, entry["rules"])
+            at = places_up_to(F.col(names["_sought"]), size, token) - 1
+            return F.when(F.get(F.col(names["_sought"]), at) == token, F.get(F.col(names["_index"]), at))
 
         sought = F.concat(tokens(F.col(f"`{url}`")), F.array(F.lit("")))
-        found = found.withColumn(names["_rules"], F.flatten(F.filter(F.transform(sought, rules_of), lambda e: e.isNotNull()))).drop(names["_index"])
+        found = found.withColumn(names["_rules"], F.flatten(F.filter(F.transform(sought, rules_of), lambda e: e.isNotNull()))).drop(names["_index"], names["_sought"])
     else:
         # the URLs' rows are stored, so that a row has the same number wherever it is read
         base = scratch(base.withColumn(names["_uid"], F.monotonically_increasing_id()), f"url-rows-{n}")

@@ -45,6 +45,27 @@ def table(df, *cols):
     return sorted((tuple(r[c] for c in cols) for r in df.collect()), key=str)
 
 
+# ---- bounds of the quality fit and of the index of URL rules
+
+
+def test_quality_fit_sees_whole_texts_within_its_bound(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "good words here. " * (30 * i + 1) if i % 2 else "%&* | " * (20 * i + 1)) for i in range(40)] + [(3, "hot")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda bags, y: seen.append(sorted(len(b) for b in bags)))
+    quality.train(docs, labels)
+    quality.train(docs, labels, most=60)
+    sizes = sorted(-(-len(t.encode()) // quality.PASSAGE_BYTES) for i, t in ((r["doc_id"], r["text"]) for r in docs.collect()) if zlib.crc32(str(i).encode()) % 5)
+    assert seen[0] == sizes and sum(seen[1]) <= 60 and seen[1] == sizes[: len(seen[1])] and len(seen[1]) > 3
+
+
+def test_many_url_rules(spark):
+    pages = spark.createDataFrame([(i, f"https://a{i}.org/x/key{i}z/y?q={i}") for i in range(300)], "page_id long, url string")
+    patterns = [(rf"/key{i}z/", f"key{i}z") for i in range(0, 4000, 2)]
+    judged = urlfilter.filter_urls(pages, urlfilter.domain_rules(spark), urlfilter.pattern_rules(spark, patterns))
+    assert judged.filter((F.col("verdict") == "block") != (F.col("page_id") % 2 == 0)).count() == 0
+
+
 # ---- sharding
 
 
