@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import scores, text
 from ..functions.ids import class_number, strip, subject_id
 from ..sources.shared import checked
+from .crowded import paired_photos, suppressing
 
 BOX = "struct<ord:int,class_number:bigint,x:double,y:double,w:double,h:double>"
 
@@ -67,36 +68,58 @@ def collapsed(boxes: DataFrame, key: str) -> DataFrame:
     return boxes.groupBy(key, "subject_id").agg(pick.alias("b"), (F.count("*") - 1).alias("dropped")).select(key, "subject_id", "b.*", "dropped")
 
 
+#: Boxes of a class, and pairs of a photo, up to which a photo is folded in one expression; more take the route of crowded photos.
+FOLDED_BOXES, FOLDED_PAIRS = 128, 2048
+
+
 def suppressed(boxes: DataFrame, key: str, near: float = 0.04, overlap: float = 0.5) -> DataFrame:
     """Class boxes of a photo without those whose centre is within `near` of, or whose IoU reaches `overlap` with, a
-    box of the class kept before. One photo's boxes of a class stand in one array: tens, not thousands."""
-    arr = F.array_sort(F.collect_list(F.struct("ord", "x", "y", "w", "h")))
+    box of the class kept before. Boxes of equal order go by place and size. A photo with many boxes of a class finds the
+    kept ones by cells."""
+    box = "struct<ord:int,x:double,y:double,w:double,h:double>"
     centre = lambda b: (b["x"] + b["w"] / 2, b["y"] + b["h"] / 2)
 
     def clash(a, b):
         (ax, ay), (bx, by) = centre(a), centre(b)
         return (scores.distance(ax, ay, bx, by) <= near) | (scores.iou(a, b) >= overlap)
 
-    empty = F.array().cast("array<struct<ord:int,x:double,y:double,w:double,h:double>>")
-    kept = F.aggregate(arr, empty, lambda acc, b: F.when(F.exists(acc, lambda k: clash(k, b)), acc).otherwise(F.concat(acc, F.array(b))))
-    return boxes.groupBy(key, "class_number").agg(kept.alias("k")).select(key, "class_number", F.explode("k").alias("b")).select(key, "class_number", "b.*")
+    empty = F.array().cast(f"array<{box}>")
+    fold = F.aggregate("b", empty, lambda acc, b: F.when(F.exists(acc, lambda k: clash(k, b)), acc).otherwise(F.concat(acc, F.array(b))))
+    lists = boxes.groupBy(F.col(key).alias("key"), "class_number").agg(F.array_sort(F.collect_list(F.struct("ord", "x", "y", "w", "h").cast(box))).alias("b"))
+    # the condition is told again, as Spark may evaluate the fold beside the filter
+    few = lists.filter(F.size("b") <= FOLDED_BOXES).select("key", "class_number", F.when(F.size("b") <= FOLDED_BOXES, fold).alias("b"))
+    many = lists.filter(F.size("b") > FOLDED_BOXES)
+    kinds = ", ".join(f"{c} {lists.schema[c].dataType.simpleString()}" for c in ("key", "class_number"))
+    out = few.unionByName(many.mapInArrow(suppressing(near, overlap), f"{kinds}, b array<{box}>"))
+    return out.select(F.col("key").alias(key), "class_number", F.explode("b").alias("b")).select(key, "class_number", "b.*")
 
 
 def paired(subjects: DataFrame, classes: DataFrame, key: str) -> DataFrame:
     """(key, subject_ord, class_ord, pass_no, distance): greedy one-to-one pairs, near first, expected classes before others.
 
-    subjects: (key, ord, cx, cy, expected); classes: (key, ord, cx, cy, class_number). Each photo's edges are folded in
-    one row: pass, distance, subject order, class order.
+    subjects: (key, ord, cx, cy, expected); classes: (key, ord, cx, cy, class_number). A photo's boxes are brought together
+    in two lists. Those with few pairs fold all pairs by pass, distance, subject and class; others follow least edges.
     """
-    s = subjects.select(key, F.col("ord").alias("s"), F.col("cx").alias("sx"), F.col("cy").alias("sy"), "expected")
-    c = classes.select(key, F.col("ord").alias("c"), F.col("cx").alias("x"), F.col("cy").alias("y"), "class_number")
-    edges = s.join(c, key).select(
-        key, F.struct(F.when(F.col("expected") == F.col("class_number"), 1).otherwise(2).alias("pass_no"), scores.distance(F.col("sx"), F.col("sy"), F.col("x"), F.col("y")).alias("distance"), "s", "c").alias("e")
-    )
+    box = "struct<ord:int,x:double,y:double,number:bigint>"
+    side = lambda d, number, kind: d.select(F.col(key).alias("key"), F.lit(kind).alias("kind"), F.struct("ord", "cx", "cy", number).cast(box).alias("b"))
+    both = side(subjects, "expected", 0).unionByName(side(classes, "class_number", 1))
+    listed = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("b"))))
+    lists = both.dropna(subset=["key"]).groupBy("key").agg(listed(0).alias("s"), listed(1).alias("c"))
+    lists = lists.filter((F.size("s") > 0) & (F.size("c") > 0))
+
+    def edge(s, c):
+        return F.struct(F.when(s["number"] == c["number"], 1).otherwise(2).alias("pass_no"), scores.distance(s["x"], s["y"], c["x"], c["y"]).alias("distance"), s["ord"].alias("s"), c["ord"].alias("c"))
+
+    edges = F.array_sort(F.flatten(F.transform("s", lambda s: F.transform("c", lambda c: edge(s, c)))))
     none = F.array().cast("array<struct<pass_no:int,distance:double,s:int,c:int>>")
     taken = lambda acc, e: F.exists(acc, lambda k: (k["s"] == e["s"]) | (k["c"] == e["c"]))
-    fold = F.aggregate(F.array_sort(F.collect_list("e")), none, lambda acc, e: F.when(taken(acc, e), acc).otherwise(F.concat(acc, F.array(e))))
-    out = edges.groupBy(key).agg(fold.alias("m")).select(key, F.explode("m").alias("m"))
+    fold = F.aggregate(edges, none, lambda acc, e: F.when(taken(acc, e), acc).otherwise(F.concat(acc, F.array(e))))
+    pairs = F.size("s").cast("long") * F.size("c")
+    kind = lists.schema["key"].dataType.simpleString()
+    # the condition is told again, as Spark may evaluate the fold beside the filter
+    out = lists.filter(pairs <= FOLDED_PAIRS).select("key", F.when(pairs <= FOLDED_PAIRS, fold).alias("m"))
+    out = out.unionByName(lists.filter(pairs > FOLDED_PAIRS).mapInArrow(paired_photos, f"key {kind}, m array<struct<pass_no:int,distance:double,s:int,c:int>>"))
+    out = out.select(F.col("key").alias(key), F.explode("m").alias("m"))
     return out.select(key, F.col("m.s").alias("subject_ord"), F.col("m.c").alias("class_ord"), F.col("m.pass_no").alias("pass_no"), F.col("m.distance").alias("distance"))
 
 
