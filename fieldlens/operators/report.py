@@ -2,30 +2,71 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import ids
+from ..sources.shared import stored
+from .rank import positions
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value")
 
 
+def medians(rows: DataFrame, group: str, columns: list[str], most: int = 1_000_000) -> DataFrame:
+    """(group, median_<column>...): exact medians of the values that are there.
+
+    A group of up to `most` rows is one task's buffer; the values of larger ones are numbered in order by all tasks, and the
+    one or two in the middle are looked up.
+    """
+    named = rows.select(F.col(group).alias("_group"), *columns)
+    large = stored(named.groupBy("_group").agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select(F.col("_group").alias("_large")), "large-groups")
+    same = F.col("_group").eqNullSafe(F.col("_large"))
+    some = large.limit(1).count() > 0
+    small = named.join(large, same, "left_anti") if some else named
+    out = small.groupBy("_group").agg(*(F.median(c).alias(f"median_{c}") for c in columns))
+    if some:
+        hot = large.select(F.col("_large").alias("_group"))
+        for c in columns:
+            placed = positions(named.join(large, same, "left_semi").select("_group", c).dropna(subset=[c]), ["_group"], [F.col(c)], "_place")
+            last = placed.groupBy(F.col("_group").alias("_g")).agg(F.max("_place").alias("_n"))
+            middle = placed.join(last, F.col("_group").eqNullSafe(F.col("_g"))).filter(F.col("_place").between(F.expr("(_n + 1) div 2"), F.expr("(_n + 2) div 2")))
+            middle = middle.groupBy("_g").agg(F.avg(c).alias(f"median_{c}"))
+            hot = hot.join(middle, F.col("_group").eqNullSafe(F.col("_g")), "left").drop("_g")
+        out = out.unionByName(hot)
+    return out.withColumnRenamed("_group", group)
+
+
+def mapping_rates(resolved: DataFrame, continuity: tuple[str, ...]) -> DataFrame:
+    """Shares of each run's rows that resolution inferred, confirmed, resolved by itself, and carried on from elsewhere."""
+    there = ~F.col("dropped").eqNullSafe("extra")
+    rate = lambda c: F.round(F.avg(F.coalesce(c, F.lit(False)).cast("int")), 4)
+    kept = F.col("dropped").isNull()
+    return resolved.groupBy("run_date").agg(
+        rate(F.col("inferred") & there).alias("sequential_rate"), rate(F.col("counted_confirmation") & there).alias("confirmed_rate"),
+        rate(kept & (F.col("final_status") == "ready_auto_resolved")).alias("auto_resolved_rate"), rate(kept & F.col("resolution_source").isin(*continuity)).alias("continuity_rate"),
+    )
+
+
 def batch_profile(rows: DataFrame) -> DataFrame:
     """Quality profile of each run; rates have all rows of the run below the line, medians the rows that have the value.
 
-    rows: (run_date, label, caption, ocr_excerpt, width, height, blur, brightness).
+    rows: (run_date, label, caption, ocr_excerpt, width, height, blur, brightness, has_crop).
     """
+    labels = {k: F.count_if(c).alias(f"{k}_rows") for k, c in (("tomato", F.col("label") == "tomato"), ("non_tomato", F.col("label") == "non_tomato"), ("unknown", ~F.coalesce(F.col("label").isin("tomato", "non_tomato"), F.lit(False))))}
     long_side = F.greatest("width", "height")
     rate = lambda c: F.round(F.avg(F.coalesce(c, F.lit(False)).cast("int")), 4)
-    return rows.groupBy("run_date").agg(
-        F.count("*").alias("total_rows"), rate(F.col("caption") != "").alias("caption_rate"), rate(F.col("ocr_excerpt") != "").alias("ocr_rate"),
-        rate(F.col("label") != "unknown").alias("non_unknown_rate"), rate(long_side <= 700).alias("low_resolution_rate"), rate(long_side >= 2000).alias("full_resolution_rate"),
+    out = rows.groupBy("run_date").agg(
+        F.count("*").alias("total_rows"), *labels.values(), rate(F.trim("caption") != "").alias("caption_rate"), rate(F.trim("ocr_excerpt") != "").alias("ocr_rate"),
+        rate(F.col("label").isin("tomato", "non_tomato")).alias("non_unknown_rate"), rate(F.col("has_crop")).alias("crop_rate"), rate(long_side <= 700).alias("low_resolution_rate"), rate(long_side >= 2000).alias("full_resolution_rate"),
         rate(F.col("height") > F.col("width")).alias("portrait_rate"), rate(F.col("width") > F.col("height")).alias("landscape_rate"),
-        F.median("blur").alias("median_blur"), F.median("brightness").alias("median_brightness"),
     )
+    zero = {f"median_{c}": F.round(F.coalesce(f"median_{c}", F.lit(0.0)), 4) for c in ("blur", "brightness")}
+    return out.join(medians(rows, "run_date", ["blur", "brightness"]).withColumns(zero), "run_date")
 
 
 def run_mode(rows: Column, caption: Column, known: Column, full: Column, sequential: Column) -> Column:
@@ -69,18 +110,37 @@ def calibration(manual: DataFrame, predicted: DataFrame, key: str, fields: list[
     )
 
 
-def presence_audit(manual: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
-    """manual: (key, subjects, classes arrays); predicted: (key, subject_id, class_number). Rates over joined rows."""
-    j = manual.join(predicted, key)
+def presence_audit(manual: DataFrame, predicted: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """Rates over joined rows. manual: (key, subjects, classes arrays); predicted: (key, subject_id, class_number); pairs: (key,
+    subject_id, class_number), the boxes that were paired: a row is exact if one of its pairs is the predicted one."""
+    exact = pairs.dropna(subset=["subject_id", "class_number"]).select(key, "subject_id", "class_number").distinct().withColumn("exact", F.lit(True))
+    j = manual.join(predicted, key).join(exact, [key, "subject_id", "class_number"], "left")
     has_s, has_c = F.array_contains("subjects", F.col("subject_id")), F.array_contains("classes", F.col("class_number"))
     strict = (F.size("subjects") == 1) & (F.size("classes") == 1)
     rate = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("int"))
     return j.agg(
-        F.count("*").alias("joined"), rate(has_s).alias("subject_rate"), rate(has_c).alias("class_rate"), rate(has_s & has_c).alias("both_rate"),
+        F.count("*").alias("joined"), rate(has_s).alias("subject_rate"), rate(has_c).alias("class_rate"), rate(has_s & has_c).alias("both_rate"), rate(F.col("exact")).alias("exact_rate"),
         F.count_if(strict).alias("strict_rows"), F.count_if(F.coalesce(strict & has_s & has_c, F.lit(False))).alias("strict_right"),
     )
 
 
+def failures(manual: DataFrame, predicted: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """(pattern): one row for each fault of a joined row and of its pairs (key, subject_id, expected, class_number, review_reason)."""
+    j = manual.join(predicted, key)
+    said = lambda d, test, *parts: d.filter(test).select(F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts)).alias("pattern"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    subject, number = F.col("subject_id"), text("class_number")
+    own = pairs.join(j.select(key), key, "left_semi")
+    out = [
+        said(own, F.col("review_reason") == "pot_varietal_conflict", "conflict: pot ", text("subject_id"), " expected ", text("expected"), " labeled ", number),
+        said(own, (F.col("review_reason") == "missing_varietal_pair") & subject.isNotNull(), "missing_varietal_for_pot: ", subject),
+        said(own, (F.col("review_reason") == "orphan_varietal_without_pot") & F.col("class_number").isNotNull(), "orphan_varietal: ", number),
+        said(j, subject.isNotNull() & ~F.array_contains("subjects", subject), "pipeline_pot_not_in_manual_set: ", subject),
+        said(j, (F.col("class_number") > 0) & ~F.array_contains("classes", F.col("class_number")), "pipeline_series_not_in_manual_set: ", number),
+    ]
+    return reduce(DataFrame.unionByName, out)
+
+
 def variant_ranking(tries: DataFrame) -> DataFrame:
     """tries: (row_key, variant, text, numbers, truth). Rates of each variant, the best first."""
     hit = F.coalesce(F.array_contains("numbers", F.col("truth")), F.lit(False)).cast("int")

@@ -17,6 +17,8 @@ from .rank import positions
 @dataclass(frozen=True)
 class Params:
     expected: int = 32
+    #: Runs of so many rows are expected to have `expected` subjects, others as many as they have rows; without it all have `expected`.
+    usual_sizes: tuple[int, int] | None = None
     sequential: bool = True
     target_only_run: bool = True
     baseline_reconcile: bool = True
@@ -114,11 +116,16 @@ def resolve_identities(
             "excluded": F.coalesce("o_exclude", F.lit(False)),
         }
     )
-    extra = F.col("detected").isNull() & F.lit(p.sequential and p.expected > 0) & (F.col("run_position") > p.expected) & ~F.col("excluded")
+    rows = rows.withColumn("expected", F.lit(p.expected).cast("long"))
+    if p.usual_sizes:
+        sizes = intake.groupBy("run_date").agg(F.count("*").alias("_size"))
+        usual = F.when(F.col("_size").between(*p.usual_sizes), F.col("expected")).otherwise(F.col("_size"))
+        rows = rows.join(sizes, "run_date").withColumn("expected", usual).drop("_size")
+    extra = F.col("detected").isNull() & F.lit(p.sequential) & (F.col("expected") > 0) & (F.col("run_position") > F.col("expected")) & ~F.col("excluded")
     rows = rows.withColumns({"dropped": F.when(extra, "extra").when(F.col("excluded"), "excluded"), "inferred": F.col("detected").isNull() & F.lit(p.sequential)})
     live = ~F.col("dropped").eqNullSafe("extra")
     rows = rows.withColumn("log", F.array().cast(LOG))
-    rows = _noted(rows.withColumn("expected", F.lit(p.expected)), (~live, "extra_row", ["expected"]))
+    rows = _noted(rows, (~live, "extra_row", ["expected"]))
     rows = rows.withColumn("subject_id", F.when(F.col("inferred"), F.concat(F.col("run_position").cast("string"), F.lit("T"))).otherwise(F.col("detected")))
     number = ids.subject_number(F.col("subject_id"))
     seen = lambda n: F.coalesce(F.array_contains("numbers", n), F.lit(False))

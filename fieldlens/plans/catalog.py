@@ -298,16 +298,35 @@ def value_counts(spark, sf_dir):
     return report.value_counts(ad.table(spark, sf_dir, "events"), "event_type")
 
 
-_PROFILE = f"""{ad.INTAKE}, prof AS (SELECT run_date, count(*) AS total_rows, round(avg(CASE WHEN caption <> '' THEN 1 ELSE 0 END), 4) AS caption_rate, round(avg(CASE WHEN ocr_excerpt <> '' THEN 1 ELSE 0 END), 4) AS ocr_rate,
- round(avg(CASE WHEN label <> 'unknown' THEN 1 ELSE 0 END), 4) AS non_unknown_rate, round(avg(CASE WHEN user_id * 25 <= 700 THEN 1 ELSE 0 END), 4) AS low_resolution_rate,
- round(avg(CASE WHEN user_id * 25 >= 2000 THEN 1 ELSE 0 END), 4) AS full_resolution_rate, median(value) AS median_blur FROM intake GROUP BY run_date)"""
+_PROFILE = f"""{ad.INTAKE}, prof AS (SELECT run_date, count(*) AS total_rows, count(*) FILTER (label = 'tomato') AS tomato_rows, count(*) FILTER (label = 'non_tomato') AS non_tomato_rows, count(*) FILTER (label = 'other') AS unknown_rows,
+ round(avg(CASE WHEN caption <> '' THEN 1 ELSE 0 END), 4) AS caption_rate, round(avg(CASE WHEN ocr_excerpt <> '' THEN 1 ELSE 0 END), 4) AS ocr_rate,
+ round(avg(CASE WHEN label <> 'other' THEN 1 ELSE 0 END), 4) AS non_unknown_rate, round(avg(CASE WHEN event_id % 6 = 0 THEN 1 ELSE 0 END), 4) AS crop_rate, round(avg(CASE WHEN user_id * 25 <= 700 THEN 1 ELSE 0 END), 4) AS low_resolution_rate,
+ round(avg(CASE WHEN user_id * 25 >= 2000 THEN 1 ELSE 0 END), 4) AS full_resolution_rate, round(median(value), 4) AS median_blur FROM intake GROUP BY run_date)"""
 
 
-@query(f"""WITH {_PROFILE} SELECT *, CASE WHEN caption_rate >= 0.7 AND non_unknown_rate >= 0.6 AND full_resolution_rate >= 0.5 THEN 'baseline' WHEN total_rows BETWEEN 30 AND 34 AND non_unknown_rate <= 0.2 THEN 'watering_day' ELSE 'random' END AS mode FROM prof""")
+@query(f"WITH {_PROFILE} SELECT * FROM prof")
 def batch_profile(spark, sf_dir):
-    rows = ad.intake(spark, sf_dir).withColumns({"width": F.col("user_id") * 25, "height": F.lit(0).cast("long"), "blur": F.col("value"), "brightness": F.col("value")})
-    p = report.batch_profile(rows).select("run_date", "total_rows", "caption_rate", "ocr_rate", "non_unknown_rate", "low_resolution_rate", "full_resolution_rate", "median_blur")
-    return p.withColumn("mode", report.run_mode(F.col("total_rows"), F.col("caption_rate"), F.col("non_unknown_rate"), F.col("full_resolution_rate"), F.lit(1.0)))
+    rows = ad.intake(spark, sf_dir).withColumns({"width": F.col("user_id") * 25, "height": F.lit(0).cast("long"), "blur": F.col("value"), "brightness": F.col("value"), "has_crop": F.col("event_id") % 6 == 0})
+    return report.batch_profile(rows).drop("portrait_rate", "landscape_rate", "median_brightness")
+
+
+# as resolved without overrides, where only runs of 30 to 34 rows are expected to have 32 subjects
+_SIZED = (
+    _RESOLVED.replace("event_id % 50 = 7 AND event_id % 4 <> 1", "FALSE")
+    .replace("SELECT i.*, row_number() OVER (PARTITION BY run_date ORDER BY row_index)", "SELECT i.*, CASE WHEN count(*) OVER (PARTITION BY run_date) BETWEEN 30 AND 34 THEN 32 ELSE count(*) OVER (PARTITION BY run_date) END AS expected, row_number() OVER (PARTITION BY run_date ORDER BY row_index)")
+    .replace("run_position > 32", "run_position > expected")
+)
+
+
+@query(f"""WITH p AS (WITH {_PROFILE} SELECT * FROM prof), r AS (WITH {_SIZED} SELECT run_date, round(avg(CASE WHEN inferred AND coalesce(dropped, '') <> 'extra' THEN 1 ELSE 0 END), 4) AS sequential_rate,
+ round(avg(CASE WHEN counted AND coalesce(dropped, '') <> 'extra' THEN 1 ELSE 0 END), 4) AS confirmed_rate, round(avg(CASE WHEN dropped IS NULL AND final_status = 'ready_auto_resolved' THEN 1 ELSE 0 END), 4) AS auto_resolved_rate,
+ round(avg(CASE WHEN dropped IS NULL AND resolution_source IN ('baseline_continuity', 'series_map', 'sequence_inference', 'manual_override') THEN 1 ELSE 0 END), 4) AS continuity_rate FROM resolved GROUP BY run_date)
+SELECT *, CASE WHEN caption_rate >= 0.7 AND non_unknown_rate >= 0.6 AND full_resolution_rate >= 0.5 THEN 'baseline' WHEN total_rows BETWEEN 30 AND 34 AND sequential_rate >= 0.9 AND non_unknown_rate <= 0.2 THEN 'watering_day' ELSE 'random' END AS mode FROM p JOIN r USING (run_date)""")
+def run_profile(spark, sf_dir):
+    rows = ad.intake(spark, sf_dir)
+    found = resolve.resolve_identities(rows, *ad.dims(spark, sf_dir), ad.overrides(rows).filter("false"), resolve.Params(usual_sizes=(30, 34)))
+    p = batch_profile(spark, sf_dir).join(report.mapping_rates(found, lookup.CONTINUITY), "run_date")
+    return p.withColumn("mode", report.run_mode(F.col("total_rows"), F.col("caption_rate"), F.col("non_unknown_rate"), F.col("full_resolution_rate"), F.col("sequential_rate")))
 
 
 @query(f"""WITH {ad.METRICS}, l AS (SELECT 'coverage' AS metric, CASE WHEN coverage > 0.03 THEN coverage END AS v FROM metrics UNION ALL SELECT 'growth', growth FROM metrics UNION ALL SELECT 'plants', plants FROM metrics),

@@ -65,15 +65,21 @@ def label_sets(spark, sf_dir):
 
 
 @query(f"""WITH {_LINES}, e AS (SELECT photo, coalesce(list(DISTINCT value) FILTER (kind = 'pot'), []) AS s, coalesce(list(DISTINCT value) FILTER (kind = 'varietal'), []) AS c FROM t GROUP BY photo),
-j AS (SELECT list_contains(s, concat(CAST(o_custkey % 12 + 1 AS VARCHAR), 'T')) AS hs, list_contains(c, CAST(o_custkey % 12 AS VARCHAR)) AS hc, len(s) = 1 AND len(c) = 1 AS strict FROM e JOIN orders ON photo = o_orderkey)
-SELECT count(*) AS joined, round(avg(CAST(hs AS INT)), 9) AS subject_rate, round(avg(CAST(hc AS INT)), 9) AS class_rate, round(avg(CAST(hs AND hc AS INT)), 9) AS both_rate,
+j AS (SELECT list_contains(s, concat(CAST(o_custkey % 12 + 1 AS VARCHAR), 'T')) AS hs, list_contains(c, CAST(o_custkey % 12 AS VARCHAR)) AS hc, len(s) = 1 AND len(c) = 1 AS strict,
+  EXISTS (SELECT 1 FROM t a JOIN t b USING (photo) WHERE a.photo = o_orderkey AND a.kind = 'pot' AND b.kind = 'varietal' AND b.ord = a.ord + 1 AND a.value = concat(CAST(o_custkey % 12 + 1 AS VARCHAR), 'T') AND b.value = CAST(o_custkey % 12 AS VARCHAR)) AS ex
+  FROM e JOIN orders ON photo = o_orderkey)
+SELECT count(*) AS joined, round(avg(CAST(hs AS INT)), 9) AS subject_rate, round(avg(CAST(hc AS INT)), 9) AS class_rate, round(avg(CAST(hs AND hc AS INT)), 9) AS both_rate, round(avg(CAST(ex AS INT)), 9) AS exact_rate,
  count(*) FILTER (strict) AS strict_rows, count(*) FILTER (strict AND hs AND hc) AS strict_right FROM j""")
 def presence_audit(spark, sf_dir):
-    manual = boxes.evidence_sets(boxes.typed(_photos(spark, sf_dir), "photo"), "photo")
+    typed = boxes.typed(_photos(spark, sf_dir), "photo")
+    manual = boxes.evidence_sets(typed, "photo")
+    # a pot's box and the class box after it are a pair
+    pots, after = typed.filter("kind = 'pot'"), typed.filter("kind = 'varietal'").select("photo", (F.col("ord") - 1).alias("ord"), F.col("value").cast("long").alias("class_number"))
+    pairs = pots.join(after, ["photo", "ord"]).select("photo", F.col("value").alias("subject_id"), "class_number")
     o = F.col("o_custkey") % 12
     predicted = ad.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("photo"), F.concat((o + 1).cast("string"), F.lit("T")).alias("subject_id"), o.alias("class_number"))
-    rates = ("subject_rate", "class_rate", "both_rate")
-    return report.presence_audit(manual, predicted, "photo").withColumns({c: F.round(c, 9) for c in rates})
+    rates = ("subject_rate", "class_rate", "both_rate", "exact_rate")
+    return report.presence_audit(manual, predicted, pairs, "photo").withColumns({c: F.round(c, 9) for c in rates})
 
 
 @query("""WITH p AS (SELECT *, CAST(o_orderdate AS DATE) AS d, concat('f', lpad(CAST(o_orderkey AS VARCHAR), 9, '0')) AS path FROM orders),

@@ -173,10 +173,24 @@ def pair_reasons(spark, sf_dir):
     return report.pair_counts(catalog.box_pairing(spark, sf_dir), "review_reason")
 
 
-@query(f"WITH v AS ({oracle_sql()['box_pairing']}) SELECT concat(review_reason, ' ', CAST(class_ord AS VARCHAR)) AS pattern, count(*) AS n FROM v WHERE review_reason <> '' AND class_ord IS NOT NULL GROUP BY 1 ORDER BY n DESC, pattern LIMIT 10")
+@query(f"""WITH v AS ({oracle_sql()['box_pairing']}), b AS (SELECT l_orderkey AS photo, l_linenumber AS ord, l_returnflag = 'N' AS pot, l_suppkey % 12 + 1 AS c FROM lineitem),
+e AS (SELECT photo, coalesce(list(DISTINCT c) FILTER (pot), []) AS s, coalesce(list(DISTINCT c) FILTER (NOT pot), []) AS k FROM b GROUP BY photo),
+j AS (SELECT photo, o_custkey % 12 + 1 AS ps, o_custkey % 13 AS pk, s, k FROM e JOIN orders ON o_orderkey = photo),
+w AS (SELECT v.*, p.c AS pc, q.c AS qc FROM v LEFT JOIN b p ON p.photo = v.photo AND p.ord = subject_ord AND p.pot LEFT JOIN b q ON q.photo = v.photo AND q.ord = class_ord AND NOT q.pot WHERE v.photo IN (SELECT photo FROM j)),
+f AS (SELECT concat('conflict: pot ', pc, 'T expected ', pc, ' labeled ', qc) AS pattern FROM w WHERE review_reason = 'pot_varietal_conflict'
+ UNION ALL SELECT concat('missing_varietal_for_pot: ', pc, 'T') FROM w WHERE review_reason = 'missing_varietal_pair' UNION ALL SELECT concat('orphan_varietal: ', qc) FROM w WHERE review_reason = 'orphan_varietal_without_pot'
+ UNION ALL SELECT concat('pipeline_pot_not_in_manual_set: ', ps, 'T') FROM j WHERE NOT list_contains(s, ps) UNION ALL SELECT concat('pipeline_series_not_in_manual_set: ', pk) FROM j WHERE pk > 0 AND NOT list_contains(k, pk))
+SELECT pattern, count(*) AS n FROM f GROUP BY 1 ORDER BY n DESC, pattern LIMIT 10""")
 def failure_patterns(spark, sf_dir):
-    v = catalog.box_pairing(spark, sf_dir).filter("review_reason <> ''")
-    return rank.top_patterns(v.withColumn("p", F.concat("review_reason", F.lit(" "), F.col("class_ord").cast("string"))), "p")
+    b = ad.photo_boxes(spark, sf_dir)
+    subject = F.concat(F.col("class_number").cast("string"), F.lit("T"))
+    pots = b.filter("kind = 'pot'").select("photo", F.col("ord").alias("subject_ord"), subject.alias("subject_id"), F.when(F.col("class_number") < 11, F.col("class_number")).alias("expected"))
+    others = b.filter("kind <> 'pot'").select("photo", F.col("ord").alias("class_ord"), "class_number")
+    pairs = catalog.box_pairing(spark, sf_dir).join(pots, ["photo", "subject_ord"], "left").join(others, ["photo", "class_ord"], "left")
+    manual = boxes.evidence_sets(b.withColumn("value", F.when(F.col("kind") == "pot", subject).otherwise(F.col("class_number").cast("string"))), "photo")
+    c = F.col("o_custkey")
+    predicted = ad.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("photo"), F.concat((c % 12 + 1).cast("string"), F.lit("T")).alias("subject_id"), (c % 13).alias("class_number"))
+    return rank.top_patterns(report.failures(manual, predicted, pairs, "photo"), "pattern")
 
 
 # boxes of 0.02 by 0.02 whose overlap reaches a half are nearer than 0.04, so that the distance alone suppresses
