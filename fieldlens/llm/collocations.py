@@ -32,8 +32,9 @@ BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 APART = BREAK.copy()
 APART[[0x20, 0x09]] = True
 
-#: Positions whose phrases are added up before they are handed on.
-HELD = 2 << 20
+#: Positions whose phrases are added up before they are handed on, and rows handed on at once.
+SENT = 1 << 16
+HELD = 1 << 20
 #: Phrases of a block, and bits of a bitmap at most: about 50 MB and 16 MB.
 BLOCK, MOST_BITS = 1 << 20, 1 << 27
 #: Children of one base, as a mean, and places of the table for each child.
@@ -137,10 +138,12 @@ def _safe(k: int, held: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterato
     """(h1, ..., hk, n): phrases of k words whose first and last k - 1 words have their bits."""
     bits = held.value
 
-    def handed(parts: list[np.ndarray]) -> pa.RecordBatch:
+    def handed(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         rows = np.concatenate(parts, axis=1)
+        parts.clear()
         at, n = _added(phrase_of(rows), np.ones(rows.shape[1], np.int64))
-        return _rows(k, rows[:, at], n)
+        for a in range(0, len(at), SENT):
+            yield _rows(k, rows[:, at[a : a + SENT]], n[a : a + SENT])
 
     parts, size = [], 0
     for _, _, _, keys, follows, _ in _stretches(batches):
@@ -151,10 +154,10 @@ def _safe(k: int, held: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterato
         parts.append(np.stack([keys[at + j] for j in range(k)]))
         size += len(at)
         if size >= HELD:
-            yield handed(parts)
-            parts, size = [], 0
+            yield from handed(parts)
+            size = 0
     if size:
-        yield handed(parts)
+        yield from handed(parts)
 
 
 def phrase_of(words: np.ndarray) -> np.ndarray:
@@ -275,8 +278,8 @@ def _matched(held: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
         if len(keys):
             total += np.bincount(trie.accepted(keys, follows), minlength=trie.size)
     states = np.flatnonzero(total)
-    for at in range(0, len(states), 1 << 18):
-        some = states[at : at + (1 << 18)]
+    for at in range(0, len(states), SENT):
+        some = states[at : at + SENT]
         yield _rows(trie.k, trie.phrases(some), total[some])
 
 
