@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.merge import upsert
+from ..sources import keyed
 
 
 def asset_stream(spark: SparkSession, path: str, schema: str, time: str, key: str, late: str = "2 days", per_trigger: int = 100) -> DataFrame:
@@ -19,30 +19,22 @@ def daily_counts(stream: DataFrame, time: str, by: str) -> DataFrame:
     return stream.groupBy(F.window(time, "1 day").alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), by, "n")
 
 
-def upsert_feed(stream: DataFrame, table: str, keys: list[str], order: str, checkpoint: str):
-    """Starts a query that merges each batch into a table of versions.
+def upsert_feed(stream: DataFrame, table: str, keys: list[str], order: str, checkpoint: str, buckets: int = 64, versions_kept: int = 3):
+    """Starts a query that merges each batch into a keyed table as the version of its number (see sources.keyed).
 
-    `table`/last holds the number of the last version that is whole. A batch that is run again merges into the version
-    before its own and writes its own anew; a batch whose base is not there fails rather than start from nothing.
+    A batch writes only the buckets of its keys; one that is run again finds its version whole, or writes it anew.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        last = latest_version(spark, table)
-        if last is not None and last >= batch_id:
-            last = batch_id - 1 if batch_id else None
-        elif last is None and batch_id or last is not None and last != batch_id - 1:
-            raise ValueError(f"version {batch_id - 1} of {table} is not whole (last: {last})")
-        base = spark.createDataFrame([], batch.schema) if last is None else spark.read.schema(batch.schema).parquet(f"{table}/version={last}")
-        upsert(base, batch, keys, order).write.mode("overwrite").parquet(f"{table}/version={batch_id}")
-        spark.createDataFrame([(batch_id,)], "version long").coalesce(1).write.mode("append").parquet(f"{table}/last")
+        keyed.merge(batch, table, keys, order, batch_id, buckets, versions_kept=versions_kept)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_version(spark: SparkSession, table: str) -> int | None:
-    """The last whole version of a table that upsert_feed keeps, or None."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/last")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return None
-    return spark.read.schema("version long").parquet(f"{table}/last").agg(F.max("version")).first()[0]
+def to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", seconds: int = 3600) -> DataFrame:
+    """Runs a stream over all that is there now, and returns the rows that it has written so far."""
+    query = stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    if not query.awaitTermination(seconds):
+        query.stop()
+        raise TimeoutError(f"the stream into {path} has not come to its end")
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)

@@ -77,16 +77,6 @@ def test_sources_and_sinks(spark):
     assert spark.read.text(root + "/y").count() == 1
 
 
-def test_feed_keeps_whole_versions(spark):
-    root = tempfile.mkdtemp(prefix="spark-")
-    for k, rows in enumerate([[(1, "a", 1), (2, "b", 1)], [(2, "c", 2)], [(3, "d", 3)]]):
-        spark.createDataFrame(rows, "k long, v string, seq long").coalesce(1).write.mode("append").parquet(root + "/in")
-        stream = spark.readStream.schema("k long, v string, seq long").parquet(root + "/in")
-        intake.upsert_feed(stream, root + "/t", ["k"], "seq", root + "/c").awaitTermination(60)
-        assert intake.latest_version(spark, root + "/t") == k
-    assert sorted((r["k"], r["v"]) for r in spark.read.parquet(root + "/t/version=2").collect()) == [(1, "a"), (2, "c"), (3, "d")]
-
-
 def test_daily_counts(spark):
     root = tempfile.mkdtemp(prefix="spark-")
     e = spark.createDataFrame([("2024-01-01 01:00:00", "x"), ("2024-01-01 09:00:00", "x"), ("2024-01-09 00:00:00", "y")], "ts string, kind string").withColumn("ts", F.to_timestamp("ts"))
