@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import intervals
+
 
 def last_wins(df: DataFrame, keys: list[str], order: str, first: bool = False) -> DataFrame:
     """One row a key: the one of the greatest (or least) order; rows with a null key fall away."""
@@ -32,14 +34,14 @@ def overlay(base: DataFrame, over: DataFrame, key: str, asset: str, fields: list
 def phase_of(runs: DataFrame, phases: DataFrame, stage: Column) -> DataFrame:
     """Each run with the first phase (by priority) whose closed interval holds it and whose stage agrees or is empty.
 
-    phases: (phase_id, phase_name, lifecycle_stage, start_date, end_date, start_label, end_label, priority), a small
-    dimension; runs without a phase keep nulls.
+    phases: (phase_id, phase_name, lifecycle_stage, start_date, end_date, start_label, end_label, priority), any number of
+    them, overlapping or not; stage is a literal. Runs without a phase keep nulls.
     """
-    p = phases.withColumnRenamed("lifecycle_stage", "_stage")
-    agrees = F.col("_stage").isNull() | (F.col("_stage") == "") | stage.isNull() | (F.col("_stage") == stage)
-    met = runs.select("run_date").distinct().join(p, (F.col("start_date") <= F.col("run_date")) & (F.col("run_date") <= F.col("end_date")) & agrees)
+    own = F.col("lifecycle_stage")
+    agrees = own.isNull() | (own == "") | stage.isNull() | (own == stage)
     names = ["phase_id", "phase_name", "start_date", "end_date", "start_label", "end_label"]
-    best = met.groupBy("run_date").agg(F.min_by(F.struct(*names), F.struct("priority", "phase_id")).alias("p"))
+    best = intervals.first_holding(runs, "run_date", phases.filter(agrees), "start_date", "end_date", ["priority", "phase_id"], names)
+    best = best.withColumnRenamed("found", "p")
     edge = F.when(F.col("run_date") == F.col("p.start_date"), "phase_start").when(F.col("run_date") == F.col("p.end_date"), "phase_end").otherwise("phase_window")
     label = (
         F.when(F.col("run_date") == F.col("p.start_date"), F.coalesce("p.start_label", F.lit("Phase Start")))

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import ids, text
-from ..sources import shared
+from . import intervals, rank
 
 
 def phase_consistency(rows: DataFrame) -> DataFrame:
@@ -25,11 +24,11 @@ def effective_end(phases: DataFrame, runs: DataFrame) -> DataFrame:
     begins on or before it; then it holds if a batch was named as the end, else the latest run from the phase's start
     and before the next one's stands for it, if there is one. A phase without an end has none.
     """
-    # phases are a small dimension: their window and this range join hold a row for each
-    nxt = F.lead("start_date").over(Window.orderBy("start_date", "priority"))
-    p = phases.select("phase_id", "start_date", "end_date", F.coalesce("explicit_end", F.lit(False)).alias("explicit"), nxt.alias("next"))
-    days = runs.select("run_date").distinct()
-    found = days.join(*shared.checked(p), (F.col("run_date") >= F.col("start_date")) & (F.col("run_date") < F.col("next"))).groupBy("phase_id").agg(F.max("run_date").alias("last_run"))
+    # the next phase's start is the last one met from the other end, so no task holds all phases
+    reverse = [-F.unix_date("start_date"), F.col("priority").isNull(), -F.col("priority")]
+    p = phases.select("phase_id", "start_date", "end_date", "priority", F.coalesce("explicit_end", F.lit(False)).alias("explicit"))
+    p = rank.running(p, [], reverse, {"next": ("last", F.col("start_date"))}, current=False).drop("priority")
+    found = intervals.last_within(p.withColumn("before_next", F.date_sub("next", 1)), ["phase_id"], "start_date", "before_next", runs, "run_date", "last_run")
     overlap = F.coalesce((F.col("next") <= F.col("end_date")) & F.col("start_date").isNotNull(), F.lit(False))
     basis = (
         F.when(F.col("end_date").isNull(), "missing_phase_end").when(~overlap, "timeline_end").when(F.col("explicit"), "explicit_end_batch")

@@ -23,24 +23,21 @@ def templates(vectors: DataFrame, subject: str, vector: str) -> DataFrame:
     return each.groupBy(subject).agg(mean.alias("mean")).select(subject, unit(F.col("mean")).alias("template"))
 
 
-def matches(targets: DataFrame, vector: str, known: DataFrame, subject: str, key: str, k: int = 3, most_templates: int = 10_000) -> DataFrame:
+def matches(targets: DataFrame, vector: str, known: DataFrame, subject: str, key: str, k: int = 3, most_templates: int = 10_000, most_bytes: int = 64 << 20) -> DataFrame:
     """(key, subject, score, rank): the k templates nearest to each target, ties by subject.
 
-    Templates are a query set that every target is compared with, kept as arrays of about most_templates. One such block
-    is broadcast; more are joined block by block, each target keeping its k best of a block and then of all blocks.
+    Up to most_templates of at most most_bytes together are broadcast and every target is compared with all; of more, each
+    target meets only those that bounds of angles do not rule out (`nearest.nearest`), with the same rows.
     """
-    n = known.count()
+    from .nearest import nearest
+
+    n, width = known.agg(F.count("*"), F.coalesce(F.sum(F.size("template").cast("bigint") * 8), F.lit(0))).first()
+    if n > most_templates or width > most_bytes:
+        return nearest(targets, vector, known, subject, key, k)
     block = F.struct(F.col(subject).alias("s"), F.col("template").alias("t"))
     best = F.slice(F.array_sort(F.transform("_all", lambda r: F.struct((-F.round(dot(F.col("_u"), r["t"]), 9)).alias("n"), r["s"].alias("s")))), 1, k)
     each = targets.select(key, unit(F.col(vector)).alias("_u"))
-    if n <= most_templates:
-        found = each.join(F.broadcast(known.agg(F.collect_list(block).alias("_all"))), F.lit(True)).select(key, best.alias("_best"))
-    else:
-        count = -(-n // most_templates)
-        blocks = known.groupBy(F.pmod(F.xxhash64(subject), F.lit(count)).alias("_b")).agg(F.collect_list(block).alias("_all"))
-        dealt = each.withColumn("_id", F.monotonically_increasing_id()).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint"))))
-        near = dealt.join(blocks.hint("shuffle_hash"), "_b").select("_id", key, best.alias("_best"))
-        found = near.groupBy("_id", key).agg(F.slice(F.array_sort(F.flatten(F.collect_list("_best"))), 1, k).alias("_best")).drop("_id")
+    found = each.join(F.broadcast(known.agg(F.collect_list(block).alias("_all"))), F.lit(True)).select(key, best.alias("_best"))
     return found.select(key, F.posexplode("_best").alias("p", "b")).select(key, F.col("b.s").alias(subject), (-F.col("b.n")).alias("score"), (F.col("p") + 1).alias("rank"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from ..operators import boxes, lookup, merge, quality, rank, report, resolve, season, similarity
+from ..operators import boxes, intervals, lookup, merge, nearest, quality, rank, report, resolve, season, similarity
 from ..sources import tables
 from . import adapters as ad
 from . import catalog
@@ -198,6 +198,16 @@ def run_drift(spark, sf_dir):
     return report.drift(p).withColumns({c: F.round(c, 9) for c in ("unknown_latest", "unknown_baseline")})
 
 
+@query("""WITH p AS (SELECT o_custkey AS phase_id, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 60 AS INT) AS e, o_orderkey % 97 AS priority, o_orderkey AS k FROM orders),
+d AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS day FROM lineitem)
+SELECT day, min_by(k, struct_pack(a := priority, b := k)) AS span FROM d JOIN p ON day BETWEEN s AND e GROUP BY day""")
+def order_spans(spark, sf_dir):
+    day = F.to_date("o_orderdate")
+    spans = ad.table(spark, sf_dir, "orders").select(day.alias("s"), F.date_add(day, (F.col("o_orderkey") % 60).cast("int")).alias("e"), (F.col("o_orderkey") % 97).alias("priority"), F.col("o_orderkey").alias("k"))
+    days = ad.table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("day"))
+    return intervals.first_holding(days, "day", spans, "s", "e", ["priority", "k"], ["k"]).select("day", F.col("found.k").alias("span"))
+
+
 @query("""WITH phases(phase_id, s, e, x) AS (VALUES ('p1', DATE '1995-01-01', DATE '1995-12-31', FALSE), ('p2', DATE '1995-06-15', DATE '1996-06-30', FALSE), ('p3', DATE '1996-05-01', DATE '1996-12-31', TRUE),
  ('p4', DATE '1996-12-31', NULL, FALSE), ('p5', DATE '2030-01-01', DATE '2030-02-01', FALSE), ('p6', DATE '2030-01-15', DATE '2031-01-01', FALSE)),
 n AS (SELECT *, lead(s) OVER (ORDER BY s) AS nxt FROM phases), l AS (SELECT phase_id, max(CAST(o_orderdate AS DATE)) AS d FROM n JOIN orders ON CAST(o_orderdate AS DATE) >= s AND CAST(o_orderdate AS DATE) < nxt GROUP BY phase_id),
@@ -269,6 +279,15 @@ def derived_names(spark, sf_dir):
 # ---- vectors
 
 
+@query("""WITH t AS (SELECT vec_id AS near_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), u AS (SELECT near_id, v, sqrt(list_dot_product(v, v)) AS n FROM t),
+s AS (SELECT q.near_id AS vec_id, u.near_id, round(list_dot_product(q.v, u.v) / q.n / u.n, 9) AS score FROM u q, u WHERE q.near_id % 50 = 0)
+SELECT vec_id, near_id, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, near_id) AS rank FROM s QUALIFY rank <= 5""")
+def nearest_vectors(spark, sf_dir):
+    e = ad.table(spark, sf_dir, "embeddings")
+    known = e.select(F.col("vec_id").alias("near_id"), similarity.unit(F.col("embedding")).alias("template"))
+    return nearest.nearest(e.filter("vec_id % 50 = 0"), "embedding", known, "near_id", "vec_id", k=5).select("vec_id", "near_id", "rank")
+
+
 @query(f"""WITH found AS ({oracle_sql()["template_matches"]}), j AS (SELECT vec_id, max(CASE WHEN f.rank = 1 AND f.label = e.label THEN 1 ELSE 0 END) AS a, max(CASE WHEN f.label = e.label THEN 1 ELSE 0 END) AS b
  FROM found f JOIN embeddings e USING (vec_id) GROUP BY vec_id) SELECT count(*) AS rows, round(avg(a), 4) AS top1, round(avg(b), 4) AS top3 FROM j""")
 def match_accuracy(spark, sf_dir):
