@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import discard, free_name, places_up_to, scratch
@@ -32,11 +33,14 @@ def size_of(text: Column) -> Column:
 
 def _keyed(docs: DataFrame, text: str, doc_id: str, names: dict[str, str]) -> DataFrame:
     """docs with the sort key: equal texts are neighbours, and ids and row numbers tell rows of one text apart."""
-    body = F.col(f"`{text}`")
+    body, own = F.col(f"`{text}`"), F.col(f"`{doc_id}`")
+    # ids that are no whole numbers are ordered by their hashes
+    whole = isinstance(docs.schema[doc_id].dataType, T.IntegralType)
+    number = own.cast("long") if whole else F.when(own.isNotNull(), F.xxhash64(own))
     return docs.withColumns(
         {
             names["k0"]: F.coalesce(F.conv(F.substring(F.md5(body.cast("binary")), 1, 15), 16, 10).cast("long"), F.lit(-1)),
-            names["k1"]: F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LOWEST)),
+            names["k1"]: F.coalesce(number, F.lit(LOWEST)),
             names["k2"]: F.monotonically_increasing_id(),
             names["size"]: size_of(body),
         }
