@@ -34,8 +34,6 @@ DEPTH = 1 + FARTHER
 HELD_WORDS = 1 << 19
 #: Entries of branches that a task scores at once (more only where one branch has them).
 HELD_ENTRIES = 1 << 18
-#: The branch of first tokens.
-START = np.uint64(0)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _CLASS_OF_END = (FREQUENT + 1 + (mix64(np.arange(1, (1 << 16) + 1, dtype=np.uint64)) >> np.uint64(57)).astype(np.int64)).astype(np.uint8)
 
@@ -54,7 +52,8 @@ class Alphabet:
     """What all tasks know: the frequent words, sorted, with their counts, totals, and the first level of the tree.
 
     seen[x] and kinds[x] are the training tokens and distinct words of each symbol; first[s] is the smoothed next-symbol
-    distribution after the start (0) and each frequent word (1 and on).
+    distribution after the start (0) and each frequent word (1 and on). start[x] is the whole branch of the start: the log10
+    probability of x as a text's first symbol.
     """
 
     words: np.ndarray
@@ -63,6 +62,7 @@ class Alphabet:
     kinds: np.ndarray
     rows: int
     first: np.ndarray
+    start: np.ndarray
 
     @property
     def root(self) -> np.ndarray:
@@ -145,7 +145,7 @@ def count_words(docs: DataFrame, held: Column, text: str, bucket_bytes: int) ->
         kinds[r["class"]] -= 1
     seen[1 : len(top) + 1], kinds[1 : len(top) + 1] = counts[order], 1
     seen[END], kinds[END] = rows, int(rows > 0)
-    return Alphabet(words[order], counts[order], seen, kinds, rows, np.zeros((FREQUENT + 1, SYMBOLS))), size
+    return Alphabet(words[order], counts[order], seen, kinds, rows, np.zeros((FREQUENT + 1, SYMBOLS)), np.zeros(SYMBOLS)), size
 
 
 def streams(symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,8 +166,9 @@ def streams(symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return row, code, np.where(nth > 0, place - 1, -1)
 
 
-def first_level(docs: DataFrame, held: Column, text: str, alphabet: Alphabet) -> np.ndarray:
-    """Smoothed next-symbol distributions after the start and each frequent word, from all training tokens."""
+def first_level(docs: DataFrame, held: Column, text: str, alphabet: Alphabet) -> None:
+    """Sets the smoothed next-symbol distributions after the start and each frequent word, from all training tokens, and
+    the branch of the start: nothing stands before it, so its first level has all of its counts."""
     sent = docs.sparkSession.sparkContext.broadcast(alphabet)
     source = docs.select(F.col(f"`{text}`").alias("text"), F.coalesce(held, F.lit(False)).alias("held")).filter(~F.col("held")).select("text")
 
@@ -189,7 +190,8 @@ def first_level(docs: DataFrame, held: Column, text: str, alphabet: Alphabet) ->
         counts[r["cell"]] = r["n"]
     counts = counts.reshape(-1, SYMBOLS)
     kinds = np.maximum((counts > 0).sum(axis=1, keepdims=True), 1)
-    return (counts + kinds * alphabet.root) / (counts.sum(axis=1, keepdims=True) + kinds)
+    alphabet.first = (counts + kinds * alphabet.root) / (counts.sum(axis=1, keepdims=True) + kinds)
+    alphabet.start, _ = branch_scores(np.zeros(SYMBOLS, np.int32), np.arange(SYMBOLS, dtype=np.uint32), counts[0], np.zeros(1, np.int64), alphabet)
 
 
 def passes(ratio: np.ndarray, kinds: np.ndarray) -> np.ndarray:
@@ -264,7 +266,7 @@ def score_texts(
     those that clash with new ones are replaced. docs should be a table that is read, whose rows come in the same order
     if a lost task runs again.
 
-    Words are told apart by 64-bit hashes. Blocks of about block_bytes of text send each branch's bucket their distinct
+    Words are told apart by 64-bit hashes. First tokens are scored where they are read. Blocks of about block_bytes of text send each branch's bucket their distinct
     (row, word, code) with the number of times; a frequent word's branch is dealt by its next farther symbol as well,
     and the first level of such a branch is the same for all tasks. A bucket sends each block back the sums for its
     rows. A window that is repeated, even a third of all, is one entry a row.
@@ -272,7 +274,7 @@ def score_texts(
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     carried = [c for c in (keep if keep is not None else [c for c in docs.columns if c != text]) if c.lower() not in new]
     alphabet, size = count_words(docs, held, text, 64 << 20)
-    alphabet.first = first_level(docs, held, text, alphabet)
+    first_level(docs, held, text, alphabet)
     sent = docs.sparkSession.sparkContext.broadcast(alphabet)
     buckets = max(64, -(-size // bucket_bytes))
     vocabulary, n_all = int(alphabet.kinds.sum()), int(alphabet.seen.sum())
@@ -293,8 +295,7 @@ def score_texts(
         at, times = at[order], times[order]
         row, word, code = row[at], word[at], code[at]
         symbol = model.symbols(word, np.full(len(word), 255, np.uint8))
-        frequent = (symbol <= FREQUENT) | (word == START)
-        far = np.where(frequent, mix64(word + (code >> np.uint32(24)).astype(np.uint64) * _ODD), word)
+        far = np.where(symbol <= FREQUENT, mix64(word + (code >> np.uint32(24)).astype(np.uint64) * _ODD), word)
         home = zlib.crc32(block.encode()) % buckets
         out = []
         for b, at in dealt(slot(mix64(far), buckets)):
@@ -320,14 +321,15 @@ def score_texts(
                 hashes, classes, at = words_of(data, offsets)
                 symbols = model.symbols(hashes, classes)
                 row, code, word = streams(symbols, at)
-                branch = np.where(word >= 0, np.append(hashes, START)[word], START)
-                # what this task knows of a row: tokens, sums over its words within their symbols, and over frequent words
+                later = word >= 0
+                # what this task knows of a row: tokens, sums over its words within their symbols, and over frequent words,
+                # and its first token, which asks no branch: each row has one
                 owner = np.repeat(np.arange(b - a), np.diff(at))
                 named = symbols <= FREQUENT
                 count = np.append(0, model.counts)[np.where(named, symbols, 0)]
                 logs = np.bincount(owner[named], weights=np.log10(count[named] + 1.0), minlength=b - a)
-                own = np.stack([np.diff(at) + 1.0, np.bincount(owner, weights=within[symbols], minlength=b - a), logs, np.bincount(owner[named], weights=count[named] > 0, minlength=b - a)], axis=1)
-                parts.append((row, branch, code, train[a:b], own))
+                own = np.stack([np.diff(at) + 1.0, np.bincount(owner, weights=within[symbols], minlength=b - a), logs, np.bincount(owner[named], weights=count[named] > 0, minlength=b - a), model.start[code[~later] & np.uint32(255)]], axis=1)
+                parts.append((row[later], hashes[word[later]], code[later], train[a:b], own))
                 rows.append(extra.slice(a, b - a))
                 size += len(data)
                 if size >= block_bytes:
@@ -355,7 +357,7 @@ def score_texts(
         code = np.concatenate([np.zeros(0, np.uint32), *codes])
         del at, codes
         symbol = model.symbols(branch, np.full(len(branch), 255, np.uint8)).astype(np.int64)
-        named = np.where(branch == START, 0, np.where(symbol <= FREQUENT, symbol, -1))
+        named = np.where(symbol <= FREQUENT, symbol, -1)
         logs, base_logs, known = np.zeros(len(code)), np.zeros(len(code)), np.zeros(len(code), bool)
         # branches know nothing of each other: a few at a time are held
         many = np.cumsum(np.bincount(place, minlength=len(branch)))
@@ -389,8 +391,8 @@ def score_texts(
     def finish(key: tuple, table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         home = next(r for r in rows if r["own"] is not None)
-        tokens, among, named_logs, named_known = np.frombuffer(home["own"], "<f8").reshape(-1, 4).T
-        symbols, logs, known = np.zeros(len(tokens)), named_logs.copy(), named_known.copy()
+        tokens, among, named_logs, named_known, start = np.frombuffer(home["own"], "<f8").reshape(-1, 5).T
+        symbols, logs, known = start.copy(), named_logs.copy(), named_known.copy()
         # always in the same order, so that a rerun adds up alike
         for r in sorted((r for r in rows if r["row"] is not None), key=lambda r: r["row"] + r["sums"]):
             at = np.frombuffer(r["row"], "<u4")

@@ -140,6 +140,16 @@ def test_other_file_splits_deal_the_same_shards(spark, monkeypatch):
             spark.conf.set(k, before[k])
 
 
+def test_ids_that_are_text(spark):
+    rows = [(f"a{k % 70}" if k % 9 else None, "same" if k % 3 else text_of(k, 20)) for k in range(200)]
+    got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id string, text string"), shards=7).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(rows)
+    sizes = Counter()
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+    assert len(sizes) == 7 and max(sizes.values()) - min(sizes.values()) < 400
+
+
 # ---- decontamination
 
 
@@ -203,6 +213,17 @@ def test_lm_scores(spark, docs, empty):
     assert pst.score_texts(docs, F.lit(True), keep=["doc_id"]).count() == len(ROWS)
 
 
+def test_first_tokens_ask_no_branch(spark):
+    # one word a text: only ends ask, each the branch of its own word, so no bucket holds a share of all rows
+    docs = spark.createDataFrame([(k, f"first{k}") for k in range(3000)] + [(k, None) for k in range(3000, 3100)], "doc_id long, text string").repartition(2)
+    got = pst.score_texts(docs, F.lit(False), keep=["doc_id"])
+    assert got.count() == 3100 and got.filter("score >= 0 OR isnan(score)").count() == 0
+    rows = [(k, f"Word{k % 50:02d} tail") for k in range(300)]
+    tree = BruteTree(rows, lambda i: False)
+    scores = {r["doc_id"]: r["score"] for r in pst.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False), keep=["doc_id"]).collect()}
+    assert all(abs(scores[i] - tree.score(t)) < 1e-9 * abs(scores[i]) for i, t in rows)
+
+
 def test_lm_beats_base_on_held_out(spark):
     row = queries.op5_lm_scoring(spark, SMALL).filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert row["s"] > row["b"]
@@ -302,7 +323,7 @@ def test_lm_scores_are_those_of_the_tree(spark):
 def test_contexts_are_smoothed_distributions():
     rng = np.random.default_rng(4)
     first = rng.dirichlet(np.ones(pst.SYMBOLS), pst.FREQUENT + 1)
-    alphabet = pst.Alphabet(np.zeros(0, np.uint64), np.zeros(0, np.int64), rng.integers(0, 50, pst.SYMBOLS), np.ones(pst.SYMBOLS, np.int64), 9, first)
+    alphabet = pst.Alphabet(np.zeros(0, np.uint64), np.zeros(0, np.int64), rng.integers(0, 50, pst.SYMBOLS), np.ones(pst.SYMBOLS, np.int64), 9, first, first[0])
     # one context asked for every next symbol: its probabilities add up to 1, whatever is kept
     for context in (5 << 24 | 6 << 16 | 7 << 8, 0):
         code = np.arange(pst.SYMBOLS, dtype=np.uint32) | np.uint32(context)
@@ -331,6 +352,16 @@ def test_language_id(spark, docs, empty):
     assert langid.identify(empty, model).count() == 0
 
 
+def test_five_hundred_languages_are_added_up_one_by_one(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, chr(0x4E00 + k % 500) * 20, f"l{k % 500:03d}") for k in range(1500)], "doc_id long, text string, lang string").repartition(3)
+    counts = langid.train(docs)
+    assert len(counts.langs) == 500 and set(counts.docs) == {3.0}
+    sizes = counts.table.groupBy("slice", "lang").count()
+    assert sizes.count() == 500 * langid.SLICES and sizes.filter("count > 1").count() == 0
+    model = counts.model(7, 8)
+    assert model.langs == ["l007"] and model.best([chr(0x4E00 + 7)])[0] == ["l007"]
+
+
 def test_language_posteriors_against_plain_python(spark, monkeypatch):
     monkeypatch.setattr(langid, "HELD_LANGS", 5)
     monkeypatch.setattr(langid, "TASKS_ADDED", 2)
