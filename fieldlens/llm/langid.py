@@ -112,12 +112,13 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", alpha: float
     """Counts the n-grams of every labelled text (text and language not null).
 
     Tasks count per language in fixed tables of 2**BITS, for at most HELD_LANGS languages at a time, sent on in slices
-    that are added up apart from each other and in two steps, so neither a language with most of the rows nor the number
-    of tasks makes a large group.
+    that are added up apart from each other, language by language and in two steps. So neither a language with most of the
+    rows nor the number of languages or tasks makes a large group: it has at most 8 KB for each of TASKS_ADDED tasks and
+    each time that one of them sends the language.
     """
     rows = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
     width = (1 << BITS) // SLICES
-    names = ["part", "slice", "lang", "docs", "counts"]
+    names, kinds = ["part", "slice", "lang", "docs", "counts"], [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.binary()]
     schema = "part int, slice int, lang string, docs long, counts binary"
 
     def sliced(part: int, total: dict[str, np.ndarray], seen: dict[str, int]) -> Iterator[pa.RecordBatch]:
@@ -155,21 +156,15 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", alpha: float
             yield from sliced(part, total, seen)
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
-        total, seen = {}, {}
-        for name, n, body in zip(*(table.column(c) for c in ("lang", "docs", "counts"))):
-            name = name.as_py()
-            total[name] = total.get(name, 0) + np.frombuffer(body.as_buffer(), "<i8")
-            seen[name] = seen.get(name, 0) + n.as_py()
-        fixed = [pa.array([k.as_py()] * len(total), pa.int32()) for k in key]
-        if len(fixed) == 1:
-            fixed = [pa.array([0] * len(total), pa.int32()), *fixed]
-        return pa.Table.from_arrays(
-            [*fixed, pa.array(list(total), pa.string()), pa.array([seen[x] for x in total], pa.int64()), pa.array([v.astype("<i8").tobytes() for v in total.values()], pa.binary())],
-            names=names,
-        )
-
-    summed = rows.mapInArrow(count, schema).groupBy("part", "slice").applyInArrow(add, schema)
-    summed = scratch(summed.groupBy("slice").applyInArrow(add, schema).select("slice", "lang", "docs", "counts"), "language-counts")
+        *part, at, name = (k.as_py() for k in key)
+        total = np.zeros(width, np.int64)
+        for body in table.column("counts"):
+            total += np.frombuffer(body.as_buffer(), "<i8")
+        one = {"part": part[0] if part else 0, "slice": at, "lang": name, "docs": sum(table.column("docs").to_pylist()), "counts": total.astype("<i8").tobytes()}
+        return pa.Table.from_pylist([one], schema=pa.schema(list(zip(names, kinds))))
+
+    summed = rows.mapInArrow(count, schema).groupBy("part", "slice", "lang").applyInArrow(add, schema)
+    summed = scratch(summed.groupBy("slice", "lang").applyInArrow(add, schema).select("slice", "lang", "docs", "counts"), "language-counts")
     found = sorted((r["lang"], r["docs"]) for r in summed.filter("slice = 0").select("lang", "docs").collect())
     return Counts(summed, [x for x, _ in found], np.array([n for _, n in found], np.float64), alpha)
 
