@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..sources import keyed
 from ..sources.shared import new_folder
-from ..streaming import intake
+from ..streaming import intake, monitor
 from . import adapters as ad
 from .registry import query
 
@@ -70,3 +70,35 @@ def upsert_feed(spark, sf_dir):
     root = new_folder(spark, "users")
     intake.upsert_feed(stream, f"{root}/table", ["user_id"], "seq", f"{root}/state").awaitTermination()
     return keyed.read(spark, f"{root}/table", stream.schema).select("user_id", "event_id", "event_type")
+
+
+_MONITORED = """m AS (SELECT CAST(event_id AS VARCHAR) AS id, strftime(ts, '%Y-%m-%d') AS d, event_type, r.run FROM events, (VALUES (1, 10), (2, 20), (3, 99)) r(run, days)
+  WHERE ts < TIMESTAMP '2024-01-01' + r.days * INTERVAL 1 DAY AND (r.run = 1 OR event_type <> 'error')),
+t AS (SELECT run, count(*) AS total_assets, count(DISTINCT d) AS unique_dates, max(d) AS latest FROM m GROUP BY run),
+x AS (SELECT r.run, CASE WHEN c.id IS NULL THEN 'removed' ELSE 'added' END AS change, coalesce(c.d, p.d) AS d FROM (VALUES (1), (2), (3)) r(run)
+  JOIN (SELECT DISTINCT id FROM m) i ON TRUE LEFT JOIN m c ON c.id = i.id AND c.run = r.run LEFT JOIN m p ON p.id = i.id AND p.run = r.run - 1 WHERE (c.id IS NULL) <> (p.id IS NULL))"""
+
+
+def _monitored(spark, sf_dir):
+    """Three runs over a manifest that grows; photos of a kind are gone from the second run on."""
+    e = ad.table(spark, sf_dir, "events")
+    root = new_folder(spark, "monitor")
+    for run, days in ((1, 10), (2, 20), (3, 99)):
+        seen = e.filter(F.col("ts") < F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(days)))
+        seen = seen if run == 1 else seen.filter("event_type <> 'error'")
+        day = F.date_format("ts", "yyyy-MM-dd")
+        rows = seen.select(F.col("event_id").cast("string").alias("asset_id"), day.alias("capture_date"), F.col("ts").cast("string").alias("captured_at"), F.lit("1").alias("photo_index"), F.col("event_id").alias("row_index"))
+        monitor.observe(rows, root, run)
+    return root
+
+
+@query(f"""WITH {_MONITORED}, n AS (SELECT t.*, coalesce(lag(latest) OVER (ORDER BY run), '') AS before FROM t)
+SELECT run, total_assets, unique_dates, latest AS latest_capture_date, before AS comparison_latest_capture_date, count(*) FILTER (change = 'added') AS added_count, count(*) FILTER (change = 'removed') AS removed_count,
+ count(*) FILTER (change = 'added' AND d >= before) AS forward_added_count, count(*) FILTER (change = 'removed' AND d >= before) AS forward_removed_count FROM n LEFT JOIN x USING (run) GROUP BY ALL""")
+def monitor_history(spark, sf_dir):
+    return monitor.history(spark, _monitored(spark, sf_dir)).drop("comparison_source")
+
+
+@query(f"WITH {_MONITORED} SELECT change, d AS capture_date, count(*) AS n FROM x WHERE run = 2 GROUP BY ALL")
+def monitor_moves(spark, sf_dir):
+    return monitor.moves_by_date(spark, _monitored(spark, sf_dir), 2)
