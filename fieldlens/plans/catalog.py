@@ -113,7 +113,9 @@ def phase_consistency(spark, sf_dir):
  WHEN event_id % 90 = 0 THEN CAST(user_id % 40 AS VARCHAR) ELSE concat(CAST(user_id % 40 AS VARCHAR), ',', CAST(event_id % 90 AS VARCHAR)) END AS list_distinct_keep FROM events)""")
 def id_normalisation(spark, sf_dir):
     e = ad.table(spark, sf_dir, "events")
-    raw = F.concat(F.lit(" "), F.lpad(F.col("user_id").cast("string"), 3, "0"), F.lit("-t "))
+    number = F.col("user_id").cast("string")
+    # lpad cuts longer texts
+    raw = F.concat(F.lit(" "), F.lpad(number, F.greatest(F.length(number), F.lit(3)), "0"), F.lit("-t "))
     numbers = ids.number_candidates(F.concat(F.lit("no "), (F.col("user_id") % 40).cast("string"), F.lit(" of "), (F.col("event_id") % 90).cast("string")))
     return e.select(
         "event_id", ids.subject_id(raw).alias("subject_id"), ids.class_number(F.concat(F.lit("#"), F.col("user_id").cast("string"))).alias("class_number"),
