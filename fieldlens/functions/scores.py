@@ -42,10 +42,10 @@ def quality_flags_v1(blur: Column, brightness: Column, cov: Column) -> Column:
     return F.coalesce(F.nullif(F.array_join(F.array_compact(flags), "|"), F.lit("")), F.lit("ok"))
 
 
-def quality_flags_v2(fallback: Column, blur: Column, brightness: Column, inner: Column, cov: Column) -> Column:
+def quality_flags_v2(fallback: Column, blur: Column, brightness: Column, inner: Column, cov: Column, most_spill: float = 0.32, least_cov: float = 0.01) -> Column:
     flags = F.array(
         F.when(fallback, "fallback_anchor"), F.when(blur < 45, "blur_low"), F.when(brightness < 40, "underexposed"), F.when(brightness > 225, "overexposed"),
-        F.when(inner > 0.32, "neighbor_spill"), F.when(cov < 0.01, "low_signal"),
+        F.when(inner > most_spill, "neighbor_spill"), F.when(cov < least_cov, "low_signal"),
     )
     return F.coalesce(F.nullif(F.array_join(F.array_compact(flags), "|"), F.lit("")), F.lit("ok"))
 

@@ -103,7 +103,7 @@ def profile_rows(spark, sf_dir):
 @query(f"""WITH {ad.METRICS}, f AS (SELECT part, concat_ws('|', CASE WHEN part % 11 = 0 THEN 'fallback_anchor' END, CASE WHEN blur < 45 THEN 'blur_low' END, CASE WHEN brightness < 40 THEN 'underexposed' END, CASE WHEN brightness > 225 THEN 'overexposed' END,
  CASE WHEN inner_spill > 0.2 THEN 'neighbor_spill' END, CASE WHEN coverage < 0.03 THEN 'low_signal' END) AS f FROM metrics) SELECT part, CASE WHEN f = '' THEN 'ok' ELSE f END AS flags FROM f""")
 def metric_flags(spark, sf_dir):
-    flags = scores.quality_flags_v2(F.col("part") % 11 == 0, F.col("blur"), F.col("brightness"), F.col("inner_spill") + 0.12, F.col("coverage") - 0.02)
+    flags = scores.quality_flags_v2(F.col("part") % 11 == 0, F.col("blur"), F.col("brightness"), F.col("inner_spill"), F.col("coverage"), most_spill=0.2, least_cov=0.03)
     return ad.metrics(spark, sf_dir).select("part", flags.alias("flags"))
 
 
