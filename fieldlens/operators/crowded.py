@@ -10,6 +10,9 @@ import pyarrow as pa
 PAIRS = pa.list_(pa.struct([("pass_no", pa.int32()), ("distance", pa.float64()), ("s", pa.int32()), ("c", pa.int32())]))
 
 
+JUDGED = pa.list_(pa.struct([("subject_ord", pa.int32()), ("expected", pa.int64()), ("class_ord", pa.int32()), ("class_number", pa.int64()), ("distance", pa.float64())]))
+
+
 def greedy_pairs(subjects: np.ndarray, classes: np.ndarray, expected: np.ndarray, numbers: np.ndarray) -> list[tuple[int, float, int, int]]:
     """(pass, distance, subject, class) of the greedy one-to-one pairs by pass, distance, subject and class.
 
@@ -68,17 +71,42 @@ def _fields(column: pa.Array, row: int, *names: str) -> list[np.ndarray]:
     return [values.field(n).to_numpy(zero_copy_only=False).astype(np.float64) for n in names]
 
 
+def _made(batch: pa.RecordBatch, row: int) -> list[tuple[int, float, int, int]]:
+    """(pass, distance, subject's ord, class box's ord) of a photo, whose boxes stand in lists s and c, in their order."""
+    so, sx, sy, expected = _fields(batch.column("s"), row, "ord", "x", "y", "number")
+    co, x, y, number = _fields(batch.column("c"), row, "ord", "x", "y", "number")
+    return [(p, d, int(so[s]), int(co[c])) for p, d, s, c in greedy_pairs(np.stack([sx, sy]), np.stack([x, y]), expected, number)]
+
+
 def paired_photos(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, m): the pairs of each photo, whose boxes stand in lists s and c, in their order."""
     for batch in batches:
         for row in range(batch.num_rows):
-            so, sx, sy, expected = _fields(batch.column("s"), row, "ord", "x", "y", "number")
-            co, x, y, number = _fields(batch.column("c"), row, "ord", "x", "y", "number")
-            made = greedy_pairs(np.stack([sx, sy]), np.stack([x, y]), expected, number)
-            found = [{"pass_no": p, "distance": d, "s": int(so[s]), "c": int(co[c])} for p, d, s, c in made]
+            found = [{"pass_no": p, "distance": d, "s": s, "c": c} for p, d, s, c in _made(batch, row)]
             yield pa.RecordBatch.from_arrays([batch.column("key").slice(row, 1), pa.array([found], PAIRS)], names=["key", "m"])
 
 
+def judged_photos(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, r): each photo's subject boxes with their pairs, then the class boxes left over. Boxes of equal order share a pair."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            pairs, named = {}, {}
+            for _, distance, s, c in _made(batch, row):
+                pairs.setdefault(s, []).append((c, distance))
+            classes = batch.column("c")[row].as_py()
+            for c in classes:
+                named.setdefault(c["ord"], []).append(c["number"])
+            found = []
+            for s in batch.column("s")[row].as_py():
+                own = [(c, n, d) for c, d in pairs.get(s["ord"], ()) for n in named[c]]
+                found += [(s["ord"], s["number"], c, n, d) for c, n, d in own or [(None, None, None)]]
+            gone = {c for of in pairs.values() for c, _ in of}
+            found += [(None, None, c["ord"], c["number"], None) for c in classes if c["ord"] not in gone]
+            names = [f.name for f in JUDGED.value_type]
+            told = pa.array([[dict(zip(names, r)) for r in found]], JUDGED)
+            yield pa.RecordBatch.from_arrays([batch.column("key").slice(row, 1), told], names=["key", "r"])
+
+
 def suppressing(near: float, overlap: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The batch with each list `b` cut down to the boxes that are kept."""

@@ -59,3 +59,20 @@ def test_no_boxes(spark, n):
     s, c = made(1, 1, n, 0)
     assert boxes.paired(spark.createDataFrame(s, SUBJECT), spark.createDataFrame(c, CLASS), "photo").count() == 0
     assert crowded.kept_boxes(*(np.zeros(0) for _ in range(4)), 0.1, 0.5) == []
+
+
+def test_verdicts_of_crowded_photos_and_of_boxes_without_a_photo(spark, monkeypatch):
+    s, c = made(7, 12, 9, 7)
+    # equal orders, photos with one kind of boxes only, and boxes without a photo
+    s += [(0, 3, 0.5, 0.5, 2), (50, 1, 0.1, 0.1, 1), (None, 1, 0.2, 0.2, 1), (None, 2, 0.2, 0.2, 1)]
+    c += [(60, 1, 0.1, 0.1, 1), (None, 1, 0.2, 0.2, 1)]
+    s, c = spark.createDataFrame(s, SUBJECT), spark.createDataFrame(c, CLASS)
+    found = boxes.verdicts(s, c, "photo")
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = found.collect()
+    assert sum(r["subject_ord"] is not None for r in rows) == 12 * 9 + 4
+    assert sorted((r["subject_ord"], r["class_ord"]) for r in rows if r["photo"] is None and r["subject_ord"]) == [(1, None), (2, None)]
+    assert [(r["class_ord"], r["evidence_type"]) for r in rows if r["photo"] == 60] == [(1, "varietal_only")]
+    rest = lambda t: sorted((tuple(r) for r in t if r["photo"] != 0), key=str)
+    monkeypatch.setattr(boxes, "FOLDED_PAIRS", -1)
+    assert rest(boxes.verdicts(s, c, "photo").collect()) == rest(rows)
