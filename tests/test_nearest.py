@@ -57,3 +57,23 @@ def test_nothing_known_and_no_targets(spark):
     assert nearest.nearest(targets.filter("false"), "v", known, "s", "k").count() == 0
     zero = templates_of(spark, [(1, [0.0, 0.0]), (2, [0.0, 0.0])])
     assert [tuple(r) for r in nearest.nearest(targets, "v", zero, "s", "k", k=1).collect()] == [(1, 1, 0.0, 1)]
+
+
+def test_norms_once_a_vector_and_blocks_of_targets(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    known = templates_of(spark, list(enumerate(rng.normal(size=(400, 12)).tolist())))
+    # the norm of a vector is worked out beside its elements, not for each of them
+    plan = known._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("sqrt") == 1
+    targets = spark.createDataFrame(list(enumerate(rng.normal(size=(90, 12)).tolist())), "k long, v array<double>")
+    monkeypatch.setattr(nearest, "BLOCK", 16)
+    monkeypatch.setattr(nearest, "SPAN", 2)
+    compare(spark, targets, known, 7, 4, 10)
+
+
+def test_subjects_that_are_texts_and_many_ties(spark):
+    points = clustered(5, 2, 10, width=4)
+    rows = [(f"s{i:03}", points[i % 20]) for i in range(400)]
+    known = spark.createDataFrame(rows, "s string, v array<double>").select("s", similarity.unit(F.col("v")).alias("template"))
+    targets = spark.createDataFrame(list(enumerate(points)), "k long, v array<double>")
+    compare(spark, targets, known, 25, 3, 30)
