@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, scores, text
 from ..operators import boxes, lookup, merge, quality, rank, report, resolve, season, similarity
+from ..sources.shared import stored
 from . import adapters as ad
 from .registry import query
 
@@ -37,6 +38,12 @@ def _resolved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return resolve.resolve_identities(rows, *ad.dims(spark, sf_dir), over), over
 
 
+def _kept(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """_resolved, with the rows stored, for those who read them more than once."""
+    rows, over = _resolved(spark, sf_dir)
+    return stored(rows, "resolved-rows"), over
+
+
 _CORE = ["run_date", "row_index", "subject_id", "class_number", "variety_name", "final_status", "resolution_source", "ocr_confirmed", "dropped"]
 
 
@@ -80,7 +87,11 @@ SELECT subject_id, a.v AS variety_name_a, b.v AS variety_name_b, coalesce(b.v, a
   WHEN a.s IN ('baseline_continuity', 'historical_continuity', 'series_map', 'sequence_inference', 'manual_override') AND b.s IN ('baseline_continuity', 'historical_continuity', 'series_map', 'sequence_inference', 'manual_override')
    AND NOT a.o AND NOT b.o THEN 'risk' WHEN a.o AND b.o THEN 'ok' ELSE 'info' END AS status FROM j""")
 def run_comparison(spark, sf_dir):
-    rows = _resolved(spark, sf_dir)[0].filter("dropped IS NULL")
+    return _comparison(spark, _kept(spark, sf_dir)[0])
+
+
+def _comparison(spark, rows):
+    rows = rows.filter("dropped IS NULL")
     days = [r["run_date"] for r in rows.select("run_date").distinct().orderBy(F.desc("run_date")).limit(2).collect()]
     first, second = lookup.run_pair(days)
     side = lambda d: rank.latest(rows.filter(F.col("run_date") == F.lit(d)), "subject_id", [F.col("row_index")])

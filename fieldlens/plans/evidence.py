@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import lookup, report, resolve
+from ..sources.shared import stored
 from . import adapters as ad
 from . import catalog, reviews
 from .registry import oracle_sql, query
@@ -129,10 +130,11 @@ def packet_messages(spark, sf_dir):
 n AS (SELECT concat(regexp_extract(text, '\\bpot ([0-9]+)T\\b', 1), 'T') AS subject_id, count(*) AS n FROM msg WHERE regexp_matches(text, '\\bpot [0-9]{{1,3}}T\\b') GROUP BY 1)
 SELECT subject_id, variety_name, status, coalesce(n, 0) AS warnings FROM cmp LEFT JOIN n USING (subject_id)""")
 def subject_cards(spark, sf_dir):
-    messages = _messages(spark, sf_dir).filter("severity = 'warning'")
+    rows, over = catalog._kept(spark, sf_dir)
+    messages = resolve.run_messages(rows, over, 32).filter("severity = 'warning'")
     last = ad.intake(spark, sf_dir).agg(F.max("run_date").alias("last"))
     latest = messages.join(F.broadcast(last), F.col("run_date") == F.col("last"))
-    return report.subject_cards(catalog.run_comparison(spark, sf_dir), latest, "text").select("subject_id", "variety_name", "status", "warnings")
+    return report.subject_cards(catalog._comparison(spark, rows), latest, "text").select("subject_id", "variety_name", "status", "warnings")
 
 
 @query(f"""WITH cmp AS ({oracle_sql()["run_comparison"]}), crd AS (WITH {reviews._CARDS} SELECT *, row_number() OVER (ORDER BY run_date DESC) AS k FROM cards),
@@ -141,10 +143,11 @@ j AS (SELECT (SELECT count(*) FROM cmp WHERE status = 'risk') AS at_risk, (SELEC
   b.rows AS rows_b, b.confirmed_rows AS confirmed_b, coalesce(b.warnings, 0) AS warnings_b FROM (SELECT * FROM c WHERE k = 2) a, (SELECT * FROM c WHERE k = 1) b)
 SELECT *, CASE WHEN rows_b = 32 AND rows_a > 32 THEN 'census_after_sweep' WHEN rows_b = 32 THEN 'complete' ELSE 'batch' END AS headline FROM j""")
 def comparison_insight(spark, sf_dir):
-    cards = reviews.run_cards(spark, sf_dir)
+    rows, over = catalog._kept(spark, sf_dir)
+    cards = stored(reviews._cards(rows), "run-cards")
     days = [r["run_date"] for r in cards.select("run_date").orderBy(F.desc("run_date")).limit(2).collect()]
     first, second = lookup.run_pair(days)
-    return report.comparison_insight(catalog.run_comparison(spark, sf_dir), cards, _messages(spark, sf_dir), first, second, 32)
+    return report.comparison_insight(catalog._comparison(spark, rows), cards, resolve.run_messages(rows, over, 32), first, second, 32)
 
 
 # ---- texts of boxes

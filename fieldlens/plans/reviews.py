@@ -106,7 +106,11 @@ _CARDS = f"""{catalog._RESOLVED}, cards AS (SELECT run_date, count(*) AS rows, c
 
 @query(f"WITH {_CARDS} SELECT * FROM cards")
 def run_cards(spark, sf_dir):
-    return report.run_cards(catalog._resolved(spark, sf_dir)[0], lookup.CONTINUITY, 32).withColumn("missing_ids", F.array_join("missing_ids", ","))
+    return _cards(catalog._resolved(spark, sf_dir)[0])
+
+
+def _cards(rows):
+    return report.run_cards(rows, lookup.CONTINUITY, 32).withColumn("missing_ids", F.array_join("missing_ids", ","))
 
 
 @query(f"WITH {ad.INTAKE} SELECT run_date, row_index, row_number() OVER (PARTITION BY run_date ORDER BY row_index) AS position FROM intake QUALIFY position <= 20")
