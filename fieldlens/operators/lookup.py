@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 from . import intervals
 
 
@@ -64,16 +65,27 @@ def history(rows: DataFrame, subject: str, value: str) -> DataFrame:
     return rows.join(runs, (F.col(subject) == F.col("_subject")) & (F.col("run_date") == F.col("_run")), "left").drop("_subject", "_run")
 
 
-def told_before(rows: DataFrame, known: DataFrame, key: str, value: str, out: str) -> DataFrame:
-    """rows (key, run_date) with `out`: of all known (key, run_date, row_index, value) of strictly earlier runs, the value with
-    the greatest row_index. Runs are few beside rows: both sides are brought to one row a run before they are put in order."""
+def told_index(asked: DataFrame, known: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, run_date, value) for those asked (key, run_date) that have one: of all known (key, run_date, row_index, value) of
+    strictly earlier runs, the value with the greatest row_index. Stored, so that several lookups order the runs once."""
     from .rank import running
 
     last = known.groupBy(key, "run_date").agg(F.max(F.struct("row_index", F.col(value).alias("v"))).alias("_k"))
-    asked = rows.select(key, "run_date").dropna().distinct().join(last, [key, "run_date"], "full")
+    asked = asked.select(key, "run_date").dropna().distinct().join(last, [key, "run_date"], "full")
     carried = running(asked, [key], [F.col("run_date")], {"_best": ("max", F.col("_k"))}, current=False)
-    carried = carried.filter("_best IS NOT NULL").select(F.col(key).alias("_key"), F.col("run_date").alias("_run"), F.col("_best.v").alias(out))
-    return rows.join(carried, (F.col(key) == F.col("_key")) & (F.col("run_date") == F.col("_run")), "left").drop("_key", "_run")
+    return stored(carried.filter("_best IS NOT NULL").select(key, "run_date", F.col("_best.v").alias(value)), "told")
+
+
+def with_told(rows: DataFrame, index: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """rows (key, run_date) with `out`, the value of told_index."""
+    index = index.select(F.col(key).alias("_key"), F.col("run_date").alias("_run"), F.col(value).alias(out))
+    return rows.join(index, (F.col(key) == F.col("_key")) & (F.col("run_date") == F.col("_run")), "left").drop("_key", "_run")
+
+
+def told_before(rows: DataFrame, known: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """rows (key, run_date) with `out`: of all known (key, run_date, row_index, value) of strictly earlier runs, the value with
+    the greatest row_index. Runs are few beside rows: both sides are brought to one row a run before they are put in order."""
+    return with_told(rows, told_index(rows, known, key, value), key, value, out)
 
 
 def earliest(rows: DataFrame, key: str, values: list[str]) -> DataFrame:

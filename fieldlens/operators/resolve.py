@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, text
 from ..sources.shared import checked, stored
-from .lookup import last_wins, phase_of, told_before
+from .lookup import last_wins, phase_of, told_index, with_told
 from .rank import positions
 
 
@@ -133,7 +133,10 @@ def resolve_identities(
     class_texts = [F.col("packet_tag"), F.col("notes"), F.col("caption"), F.col("ocr_excerpt")]
     guess = F.try_element_at(F.filter("numbers", lambda x: (x != F.coalesce(number, F.lit(-1))) & (x <= p.most_class)), F.lit(1))
     found = F.coalesce(ids.first_class_number(*class_texts), guess) if p.name_fallback else F.lit(None).cast("bigint")
-    rows = rows.withColumn("found_class", found).join(fixed, "subject_id", "left").join(known, "subject_id", "left")
+    rows = rows.withColumn("found_class", found)
+    if p.name_fallback:  # names of earlier runs are looked up for what follows, and these texts are read once
+        rows = evidence = stored(rows, "evidence")
+    rows = rows.join(fixed, "subject_id", "left").join(known, "subject_id", "left")
     use_fixed = F.col("fixed_class").isNotNull()
     after_fixed = F.coalesce("fixed_class", "found_class")
     replaced = lambda a, b: live & (F.col(a) != F.col(b))
@@ -154,10 +157,15 @@ def resolve_identities(
     )
     told = told.filter("label = 'tomato' AND number IS NOT NULL AND told IS NOT NULL")
 
+    if p.name_fallback:
+        # the identity before overrides and the one after them are looked up in one index
+        asked = [evidence.select(ids.subject_number(c).alias("number"), "run_date") for c in (F.col("subject_id"), F.coalesce("o_subject", "subject_id"))]
+        index = told_index(asked[0].unionByName(asked[1]), told, "number", "told")
+
     def historical(d: DataFrame, out: str) -> DataFrame:
         if not p.name_fallback:  # names of earlier runs are looked up only then
             return d.withColumn(out, F.lit(None).cast("string"))
-        return told_before(d.withColumn("number", ids.subject_number(F.col("subject_id"))), told, "number", "told", out).drop("number")
+        return with_told(d.withColumn("number", ids.subject_number(F.col("subject_id"))), index, "number", "told", out).drop("number")
 
     rows = historical(rows, "history_name")
     name = F.coalesce(derived, F.col("history_name") if p.name_fallback else F.lit(None).cast("string"), F.col("class_name"))
