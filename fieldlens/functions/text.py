@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -90,14 +91,30 @@ def record_hash(*parts: Column) -> Column:
     return F.sha1(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)).cast("binary"))
 
 
+def needed_word(pattern: str) -> str:
+    """The longest run of letters that any match of a rule's pattern has; nothing if its form does not tell."""
+    plain = re.sub(r"\([^()]*\)[?*]", " ", re.sub(r"\\.", " ", pattern))
+    if re.search(r"[|(){}\[\]]", plain):
+        return ""
+    return max(re.findall("[a-z]+", re.sub(r"[a-z][?*]", " ", plain)), key=len, default="")
+
+
+def _matches(low: Column, patterns: list[str]) -> Column:
+    """Any pattern matches. Words are looked for first, as that reads a text's bytes without decoding it for each pattern."""
+    words = [needed_word(p) for p in patterns]
+    found = low.rlike("|".join(patterns))
+    return reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in words)) & found if all(words) else found
+
+
 def classify_text(text: Column, targets: str = "|".join(TARGET_PATTERNS), rules: list = SPECIES_RULES) -> Column:
     """struct(label, common, scientific, confidence, method) of the first rule that matches; species before targets."""
     low = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
     make = lambda *v: F.struct(*(F.lit(x).cast(t).alias(n) for x, n, t in zip(v, ("label", "common", "scientific", "confidence", "method"), ("string",) * 3 + ("double", "string"))))
     out = F.when(F.trim(low) == "", make("unknown", None, None, 0.3, "ocr_no_text"))
     for pattern, common, scientific, sure in rules:
-        out = out.when(low.rlike(pattern), make("non_tomato", common, scientific, sure, "ocr_keyword"))
-    return out.when(low.rlike(targets), make("tomato", "Tomato", "Solanum lycopersicum", 0.9, "ocr_keyword")).otherwise(make("unknown", None, None, 0.4, "ocr_unresolved"))
+        out = out.when(_matches(low, [pattern]), make("non_tomato", common, scientific, sure, "ocr_keyword"))
+    target = _matches(low, TARGET_PATTERNS) if targets == "|".join(TARGET_PATTERNS) else low.rlike(targets)
+    return out.when(target, make("tomato", "Tomato", "Solanum lycopersicum", 0.9, "ocr_keyword")).otherwise(make("unknown", None, None, 0.4, "ocr_unresolved"))
 
 
 #: How boxes are described. A class number has one to three digits, a subject id a T besides.
