@@ -264,9 +264,12 @@ def ingest_summary(tasks: DataFrame) -> DataFrame:
 
 
 def box_typing(boxes: DataFrame, key: str) -> DataFrame:
-    """Per photo, from typed boxes: boxes, those with a text, their share, and counts of kinds and of different values."""
+    """Per photo, from typed boxes: boxes, those with a text, their share, and counts of kinds and of different values.
+
+    Values are numbers of up to three digits, so a photo's sets of them stay small whatever the number of its boxes.
+    """
     kind = lambda k: F.count_if(F.col("kind") == k)
-    values = lambda k: F.count_distinct(F.when(F.col("kind") == k, F.col("value")))
+    values = lambda k: F.size(F.collect_set(F.when(F.col("kind") == k, F.col("value")))).cast("long")
     return boxes.groupBy(key).agg(
         F.count("*").alias("boxes"), F.round(F.avg((F.col("kind") != "unlabeled").cast("int")), 4).alias("typed_ratio"), kind("pot").alias("pots"), kind("varietal").alias("varietals"),
         kind("other").alias("others"), values("pot").alias("pot_ids"), values("varietal").alias("varietal_numbers"),
