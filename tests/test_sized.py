@@ -1,6 +1,7 @@
 """Queries on rows that the small driver tables do not have."""
 
 import duckdb
+import pytest
 
 from fieldlens.plans import registry, worklists  # noqa: F401  worklists imports the modules whose queries are used here
 
@@ -31,3 +32,18 @@ def test_a_mean_on_the_limit_has_no_flag(spark, tmp_path):
     con = write(tmp_path, part="SELECT 1 AS p_partkey", lineitem="SELECT 1 AS l_partkey, 0.03::DOUBLE AS l_discount, 0.0::DOUBLE AS l_tax, 30.0::DOUBLE AS l_quantity, 1100.0::DOUBLE AS l_extendedprice")
     got, want = both(spark, con, tmp_path, "metric_flags")
     assert got == want == [(1, "ok")]
+
+
+@pytest.mark.parametrize("name", ["early_scores", "label_queue", "metric_flags", "metric_scores", "metric_summary", "page_stats", "reference_subjects", "routed_rows"])
+def test_means_on_limits_follow_the_order_of_the_table(spark, tmp_path, name):
+    con = write(tmp_path, part="SELECT i AS p_partkey FROM range(2000) t(i)")
+    con.execute("SET threads TO 1")
+    # every part's nine discounts and taxes, twice each, have their mean on a limit; its rows lie in four files
+    spread = "(i // 2000 + i % 2000) * [1, 2, 4, 5, 7, 8][i % 2000 % 6 + 1] % 9 - 4"
+    amounts = f"(CASE i % 2000 % 3 WHEN 0 THEN 4 ELSE 5 END + {spread}) / 100.0 AS l_discount, (CASE i % 2 WHEN 0 THEN 4 ELSE 6 END + {spread}) / 100.0 AS l_tax, (36 + hash(i, 'q') % 15)::DOUBLE AS l_quantity, (90000 + (hash(i, 'p') % 10000000)::BIGINT) / 100.0 AS l_extendedprice"
+    (tmp_path / "lineitem.parquet").mkdir()
+    for f in range(4):
+        con.execute(f"COPY (SELECT i % 2000 AS l_partkey, {amounts} FROM range({f} * 9000, {f + 1} * 9000) t(i)) TO '{tmp_path}/lineitem.parquet/{f}.parquet'")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    got, want = both(spark, con, tmp_path, name)
+    assert got == want
