@@ -265,13 +265,17 @@ def _listed(values: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
 
 
-def run_messages(rows: DataFrame, overrides: DataFrame, expected: int, most_listed: int = 10_000) -> DataFrame:
+#: A subject's rows are put into words in blocks of 2^16 row numbers, so no task holds more of a hot subject than their text.
+_BLOCK_BITS = 16
+
+
+def run_messages(rows: DataFrame, overrides: DataFrame, expected: int, most_listed: int | None = None) -> DataFrame:
     """(run_date, severity, code, item, text): what the rows' logs say, and the faults of whole runs.
 
     rows: resolved identities. Errors are incomplete rows, subjects seen twice or with several names, and a count of subjects
     other than expected; classes with several names, rows that are not of the target and declared missing ids are warnings.
-    Declared missing ids of a run's reviewed overrides lower its expected count. A subject's rows are listed in the text
-    if there are no more than most_listed, else counted.
+    Declared missing ids of a run's reviewed overrides lower its expected count. A subject's rows are all listed in the text,
+    however many, unless most_listed asks to count longer lists.
     """
     # several views of the same rows: they are resolved once
     rows = stored(rows.select("run_date", "row_index", "subject_id", "class_number", "variety_name", "candidate", "dropped", "log"), "resolved")
@@ -281,12 +285,13 @@ def run_messages(rows: DataFrame, overrides: DataFrame, expected: int, most_list
     worse = F.when(F.col("code").isin(*(k for k, (v, _) in ROW_TEXTS.items() if v == "error")), "error").otherwise("warning")
     own = own.select("run_date", worse.alias("severity"), "code", F.col("row_index").cast("string").alias("item"), _row_text(F.col("code"), F.col("row_index"), F.col("values")).alias("text"))
 
-    each = kept.filter("subject_id IS NOT NULL").groupBy("run_date", "subject_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("variety_name")).alias("names"))
-    twice = each.filter("n > 1").select("run_date", "subject_id", "n")
-    some = kept.join(twice.filter(F.col("n") <= most_listed).select("run_date", "subject_id"), ["run_date", "subject_id"], "left_semi")
-    some = some.groupBy("run_date", "subject_id").agg(F.array_sort(F.collect_list("row_index")).alias("rows"))
-    twice = twice.join(some, ["run_date", "subject_id"], "left")
-    which = F.coalesce(F.concat(F.lit("["), F.array_join(F.col("rows").cast("array<string>"), ", "), F.lit("]")), F.col("n").cast("string"))
+    each = kept.filter("subject_id IS NOT NULL").groupBy("run_date", "subject_id").agg(F.array_sort(F.collect_set("variety_name")).alias("names"))
+    blocks = kept.filter("subject_id IS NOT NULL").groupBy("run_date", "subject_id", F.shiftright(F.col("row_index").cast("bigint"), _BLOCK_BITS).alias("block"))
+    blocks = blocks.agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("row_index")).cast("array<string>"), ", ").alias("part"))
+    twice = blocks.groupBy("run_date", "subject_id").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("block", "part"))).alias("parts")).filter("n > 1")
+    which = F.concat(F.lit("["), F.array_join("parts.part", ", "), F.lit("]"))
+    if most_listed is not None:
+        which = F.when(F.col("n") <= most_listed, which).otherwise(F.col("n").cast("string"))
     classes = kept.filter("class_number IS NOT NULL").groupBy("run_date", "class_number").agg(F.array_sort(F.collect_set("variety_name")).alias("names"))
 
     declared = overrides.filter(ids.truthy(F.col("reviewed"), on=False)).select("run_date", F.explode(ids.declared_missing(F.col("notes"))).alias("m"))

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from fieldlens.plans import registry, worklists  # noqa: F401  worklists imports the modules whose queries are used here
+from fieldlens.plans import evidence, registry, worklists  # noqa: F401  these import the modules whose queries are used here
 
 
 def write(tmp_path, **tables):
@@ -47,3 +47,12 @@ def test_means_on_limits_follow_the_order_of_the_table(spark, tmp_path, name):
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     got, want = both(spark, con, tmp_path, name)
     assert got == want
+
+
+def test_all_rows_of_a_subject_are_listed(spark, tmp_path):
+    # one run with more than 10000 rows of one subject, whose numbers lie far apart
+    events = "SELECT i * 17 AS event_id, TIMESTAMP '2026-03-01 08:00:00' AS ts, 7 AS user_id, 'view' AS event_type, 1.0 AS value FROM range(18000) t(i) ORDER BY hash(i)"
+    con = write(tmp_path, events=events, nation="SELECT * FROM '/root/testdata/sf0.001/nation.parquet'")
+    got, want = both(spark, con, tmp_path, "packet_messages")
+    assert got == want
+    assert max(r[-1].count(", ") for r in map(tuple, want) if "duplicate_subject" in r) >= 10_000
